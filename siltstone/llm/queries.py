@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, quality, secrets, shard
+from siltstone.llm import chat, counts, pieces, quality, secrets, shard
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op4_sharding": shard.op4_sharding,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_token_counts": counts.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
