@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, counts, pieces, quality, secrets, shard
+from siltstone.llm import chat, counts, pieces, quality, secrets, shard, toxicity
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": counts.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
