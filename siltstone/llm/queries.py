@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, counts, pieces, quality, secrets, shard, toxicity
+from siltstone.llm import chat, counts, decontaminate, pieces, quality, secrets, shard, toxicity
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": shard.op4_sharding,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": counts.op6_token_counts,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
