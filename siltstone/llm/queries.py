@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, counts, decontaminate, pieces, quality, secrets, shard, toxicity
+from siltstone.llm import chat, counts, decontaminate, pieces, quality, secrets, shard, substrings, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": shard.op4_sharding,
