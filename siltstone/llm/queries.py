@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, counts, decontaminate, pieces, quality, secrets, shard, substrings, toxicity
+from siltstone.llm import chat, counts, decontaminate, jaccard, pieces, quality, secrets, shard, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": shard.op4_sharding,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": counts.op6_token_counts,
+    "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_formatting": chat.op10_chat_formatting,

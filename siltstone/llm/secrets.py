@@ -90,14 +90,18 @@ def _entropy_spans(text: Column, base: Column, kind: int) -> Column:
 
 def find_secrets(documents: DataFrame) -> DataFrame:
     """documents' doc_id and text with base, spans: array<struct<start, kind, end, match>>, sorted by start, then kind; kind indexes KINDS."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _found(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "text", "base", "spans")
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """rows with base, hexes and spans, computed from text."""
     assign = _spans(F.col("text"), ASSIGN, 0, lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= 6)
     rows = rows.select("*", F.array_sort(F.concat(assign, _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))).alias("base"))
     more = [_entropy_spans(F.col("text"), F.col("base"), k) for k in range(3, len(KINDS))]
     hexes, rest = more[0], more[1]
     rows = rows.select("*", hexes.alias("hexes"))
     distinct = F.filter(rest, lambda x: ~F.exists(F.col("hexes"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", "hexes", distinct)).alias("spans"))
+    return rows.select("*", F.array_sort(F.concat("base", "hexes", distinct)).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
@@ -111,6 +115,14 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))).otherwise(text)
 
 
+def mask(documents: DataFrame) -> DataFrame:
+    """documents with every span masked in text, and n_chars, where there is one, counted anew."""
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = _found(rows).select("row", F.when(F.col("row.text").isNotNull(), redact(F.col("text"), F.col("spans"))).alias("text"))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
+
+
 def listed(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
