@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index: the training text's token postings are stored once, and the windows of the test items are looked up by intersecting offset-adjusted posting lists, rarest terms first.
 
-The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its term counts order each window's terms; the postings of the RARE rarest give candidate starts (position - offset), which must agree on all of them. Only documents with such a candidate have their other terms' postings read, and a window matches where all its terms' adjusted lists meet. The same lists give proximity matches: the window's rare terms, each within SLOP words of its place.
+A term is a word with the word after it (a window of one word is a term by itself), which keeps the lists of common words short. The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its counts order each window's terms; the postings of the rarest give candidate starts (position - offset), which must agree on the RARE rarest; only for the documents and windows that are left are the other terms' postings read, and a window matches where all its terms' adjusted lists meet. The same lists give proximity matches: the window's rarest term with all but one of the next RARE - 1, each within SLOP words of its place.
 
 Edge cases: null and empty texts have no words; an item of fewer than `length` words, but not none, is one window; rows that repeat, or share a doc_id or item_id, are the same document or item; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
 The vocabulary and windows of the items are broadcast only under a counted bound, and joined by shuffle beyond it."""
@@ -12,66 +12,87 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise, maybe_broadcast, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words. Splitting by it is several times as fast as extracting by the complement.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a window (62 at most), terms that candidates must share, words that a proximity match's terms may be off.
 LENGTH, RARE, SLOP = 10, 3, 4
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words in their own case; an item's text is lower-cased in A-Z before."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
 def windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """window id, item_id, size, words of every distinct window of every item."""
-    own = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """window id, size, words and item ids of every distinct window of the items."""
+    own = items.select("item_id", words_of(lowered(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - length + 1))
     cut = own.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, length))).alias("words"))
     # Equal windows of several items are looked up once; their items come back at the end.
     return cut.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("words").alias("window"), "items", F.size("words").alias("size"), "words")
 
 
+def window_terms(spans: DataFrame) -> DataFrame:
+    """(window, size, n, off, word, next): the n terms of each window."""
+    n = F.greatest(F.size("words") - 1, F.lit(1))
+    offs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("off"), F.get("words", i).alias("word"), F.get("words", i + 1).alias("next")))
+    return spans.select("window", "size", n.alias("n"), F.explode(offs).alias("t")).select("window", "size", "n", "t.*", F.xxhash64("t.word", "t.next").alias("term"))
+
+
 def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, doc, pos) of the vocabulary (word, term), written without a shuffle."""
-    tokens = documents.select(F.col("doc_id").alias("doc"), F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return materialise(tokens.join(maybe_broadcast(vocabulary), "word").select("term", "doc", "pos"), "postings")
+    """Postings (term, doc, pos) of the vocabulary (word, next, term), written without a shuffle."""
+    split = documents.select(F.col("doc_id").alias("doc"), words_of(F.col("text")).alias("w"))
+    pairs = split.select("doc", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("pos", "t"))
+    # Lower case by the fast function first; where that also folds letters beyond A-Z, the exact form decides.
+    rows = pairs.select("doc", "pos", F.col("t.a").alias("a"), F.col("t.b").alias("b"))
+    same = lambda own, word: (F.col(own) == F.col(word)) | (lowered(F.col(own)) == F.col(word))
+    n = vocabulary.count()
+    two = vocabulary.filter("next is not null").withColumn("la", F.lower("word")).withColumn("lb", F.lower("next"))
+    index = rows.join(maybe_broadcast(two, n), (F.lower("a") == F.col("la")) & (F.lower("b") == F.col("lb"))).filter(same("a", "word") & same("b", "next")).select("term", "doc", "pos")
+    one = vocabulary.filter("next is null").withColumn("la", F.lower("word"))
+    if one.limit(1).count():
+        index = index.unionByName(rows.join(maybe_broadcast(one, n), F.lower("a") == F.col("la")).filter(same("a", "word")).select("term", "doc", "pos"))
+    return materialise(index, "postings")
 
 
 def find(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(doc, start, size, items) of exact matches, and (doc, items) of proximity matches; doc is doc_id, start counts words from 0."""
     spans = materialise(windows(items, length), "windows")
-    placed = spans.select("window", "size", F.posexplode("words").alias("off", "word"))
-    vocabulary = materialise(placed.select("word").distinct().select("word", F.xxhash64("word").alias("term")), "vocabulary")
-    index = build_index(documents, vocabulary)
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    placed = placed.select("window", "size", "off", F.xxhash64("word").alias("term"))
+    placed = window_terms(spans)
+    index = build_index(documents, materialise(placed.select("word", "next", "term").distinct(), "vocabulary"))
+    frequency = materialise(index.groupBy("term").agg(F.count("*").alias("df")), "frequency")
     # A term that the documents lack rules its windows out.
-    ranked = placed.join(maybe_broadcast(materialise(frequency, "frequency")), "term").withColumn("all", F.count("*").over(Window.partitionBy("window"))).filter("all = size")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).select("window", "size", "off", "term", "r")
+    ranked = placed.drop("word", "next").join(maybe_broadcast(frequency), "term").withColumn("all", F.count("*").over(Window.partitionBy("window"))).filter("all = n")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).select("window", "size", "n", "off", "term", "r")
     terms = materialise(ranked, "terms")
     n_terms = terms.count()
     bit = F.expr("shiftleft(1L, r - 1)").alias("bit")  # a term's place among its window's terms: repeated rows set it once
-    mine = ["doc", "window", "size", (F.col("pos") - F.col("off")).alias("start"), bit]
+    mine = ["doc", "window", "size", "n", (F.col("pos") - F.col("off")).alias("start"), bit]
     first = materialise(index.join(maybe_broadcast(terms.filter("r = 1"), n_terms), "term").select(*mine), "candidates")
     docs = maybe_broadcast(materialise(first.select("doc").distinct(), "candidate-docs"))
     rest = index.join(docs, "doc", "left_semi").join(maybe_broadcast(terms.filter(F.col("r").between(2, RARE)), n_terms), "term").select(*mine)
-    place = ["doc", "window", "size", "start"]
+    place = ["doc", "window", "size", "n", "start"]
     lists = first.unionByName(materialise(rest, "rarer"))
-    likely = materialise(lists.groupBy(*place).agg(F.bit_or("bit").alias("bits")).filter(F.expr(f"bits = shiftleft(1L, least(size, {RARE})) - 1")).select(*place), "likely")
+    likely = materialise(lists.groupBy(*place).agg(F.bit_or("bit").alias("bits")).filter(f"bits = shiftleft(1L, least(n, {RARE})) - 1").select(*place), "likely")
     # The other terms, in the documents and windows that are left.
-    more = terms.filter(F.col("r") > RARE).join(maybe_broadcast(likely.select("window").distinct()), "window", "left_semi")
-    where = likely.filter(F.col("size") > RARE)
-    wanted = where.join(maybe_broadcast(more, n_terms), ["window", "size"]).select(*place, "term", (F.col("start") + F.col("off")).alias("pos"), bit)
-    left = index.join(maybe_broadcast(likely.select("doc").distinct()), "doc", "left_semi")
-    found = wanted.join(left, ["doc", "term", "pos"]).groupBy(*place).agg(F.bit_or("bit").alias("bits")).filter(F.expr(f"bits = shiftleft(1L, size) - shiftleft(1L, {RARE})"))
-    exact = found.select(*place).unionByName(likely.filter(F.col("size") <= RARE).select(*place))
+    more = terms.filter(F.col("r") > RARE).join(maybe_broadcast(likely.select("window").distinct()), "window", "left_semi").select("window", "off", "term", "r")
+    wanted = likely.filter(F.col("n") > RARE).join(maybe_broadcast(more, n_terms), "window").select(*place, "term", (F.col("start") + F.col("off")).alias("pos"), bit)
+    left = index.join(maybe_broadcast(likely.select("doc").distinct()), "doc", "left_semi").join(maybe_broadcast(more.select("term").distinct(), n_terms), "term", "left_semi")
+    found = wanted.join(left, ["doc", "term", "pos"]).groupBy(*place).agg(F.bit_or("bit").alias("bits")).filter(f"bits = shiftleft(1L, n) - shiftleft(1L, {RARE})")
+    exact = found.select(*place).unionByName(likely.filter(F.col("n") <= RARE).select(*place))
     by_window = maybe_broadcast(spans.select("window", "items"), n_terms)
     # Proximity: the rarest term's start and the other rare terms' starts, at most SLOP apart, by cells of that width.
     cell = F.floor(F.col("start") / max(1, SLOP))
-    anchors = first.select("doc", "window", "size", F.col("start").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    anchors = first.select("doc", "window", "n", F.col("start").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     others = lists.filter("bit > 1").select("doc", "window", "start", "bit", cell.alias("cell"))
     close = anchors.join(others, ["doc", "window", "cell"]).filter(F.abs(F.col("start") - F.col("at")) <= SLOP)
-    near = close.groupBy("doc", "window", "size", "at").agg(F.bit_or("bit").alias("bits")).filter(F.expr(f"bits = shiftleft(1L, least(size, {RARE})) - 2")).select("doc", "window")
-    near = near.unionByName(first.filter("size = 1").select("doc", "window"))
+    near = close.groupBy("doc", "window", "n", "at").agg(F.bit_or("bit").alias("bits")).filter(f"bit_count(bits) >= greatest(1, least(n, {RARE}) - 2)").select("doc", "window")
+    near = near.unionByName(first.filter("n = 1").select("doc", "window"))
     return exact.join(by_window, "window").select("doc", "start", "size", "items"), near.distinct().join(by_window, "window").select("doc", "items")
 
 
@@ -95,7 +116,7 @@ def scan(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFr
     )
     loose = near.groupBy("doc").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
     hits = hits.select("doc", covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids").join(loose, "doc", "full_outer")
-    counted = documents.select("doc_id", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
+    counted = documents.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(hits, F.col("doc_id") == F.col("doc"), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
