@@ -100,66 +100,93 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of text (ranks, unique separators included) sorted by their first `length` characters at least, by doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    k, n = 1, len(text)
+    """Suffixes of text (small non-negative numbers) sorted by at least `length` characters, by doubling from packed characters; ties in any order."""
+    n = len(text)
+    bits = max(1, int(text.max()).bit_length())
+    k = min(length, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] |= text[j:] if j else text
     while True:
-        key = rank << np.int64(32)
-        key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
-        new = np.cumsum(np.r_[0, s[1:] != s[:-1]])
-        rank[order] = new
+        if k >= length or k >= n:
+            return order.astype(np.int32)
+        new = np.zeros(n, np.int64)
+        np.cumsum(s[1:] != s[:-1], out=new[1:])
+        if new[-1] == n - 1:
+            return order.astype(np.int32)
+        rank = s
+        rank[order] = new + 1
+        key = rank << np.int64(32)
+        key[: n - k] |= rank[k:]
         k *= 2
-        if k >= length or new[-1] == n - 1 or k >= n:
-            return order
 
 
 def expand(parts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of the parts, each followed by a separator of its own, in order, and the borders between those that differ within `length` bytes.
+    """The suffixes of the parts, each followed by a separator, in order, and the borders between those that differ within `length` bytes.
 
-    Threshold-bounded interval expansion: `border[i]` is set when the common prefix of suffixes i-1 and i is known to be shorter than `length`; each round extends the intervals of strings of one length backward by every character before them, and a border found for the first time at round l marks a common prefix of l. An interval whose right border was known can't lead to a new one, so it isn't extended again, and over all rounds no more intervals are extended than there are suffixes."""
-    total = sum(len(p) + 1 for p in parts)
-    text = np.empty(total, np.int64)
+    Threshold-bounded interval expansion: `border[i]` is set when the common prefix of suffixes i-1 and i is known to be shorter than `length`; each round extends the intervals of strings of one length backward by every character before them, and a border found for the first time at round l marks a common prefix of l. An interval whose right border was known can't lead to a new one, so it isn't extended again, and over all rounds no more intervals are extended than there are suffixes. Separators extend nothing."""
+    n = sum(len(p) + 1 for p in parts)
+    text = np.zeros(n, np.int16)
     i = 0
-    for k, p in enumerate(parts):
-        text[i : i + len(p)] = p.astype(np.int64) + len(parts)
-        text[i + len(p)] = k  # separators differ, so that nothing crosses a part
+    for p in parts:
+        text[i : i + len(p)] = p
+        text[i : i + len(p)] += 1
         i += len(p) + 1
     order = suffix_order(text, length)
-    n = total
-    before = text[order - 1]  # the transform; the first suffix wraps to the last separator
-    # Separators extend nothing that can repeat: they are one character, number 0.
-    letters, before = np.unique(np.maximum(before, len(parts) - 1), return_inverse=True)
-    before = before.astype(np.int64)
-    sorted_first = np.maximum(text[order], len(parts) - 1)
-    starts = np.searchsorted(sorted_first, letters)
-    # occ: places of each character in the transform, in one array; rank by searching character * n + place.
-    by_letter = np.argsort(before, kind="stable")
-    keys = before[by_letter] * n + by_letter
-    offset = np.searchsorted(before[by_letter], np.arange(len(letters)))
+    before = text[order - 1]  # the transform; the first suffix is preceded by the last separator
+    by_letter = np.argsort(before, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)  # the row of the suffix that is one character longer
+    step[by_letter] = np.arange(n, dtype=np.int32)
+    same = before[by_letter[1:]] == before[by_letter[:-1]]
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)
+    following[by_letter[:-1][same]] = by_letter[1:][same]
+    preceding[by_letter[1:][same]] = by_letter[:-1][same]
+    del by_letter, same
+    solid = before > 0
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int64), np.array([n], np.int64)
     for _ in range(length):
         if not len(lo):
             break
-        # Characters that occur before the interval: the distinct ones among its rows.
         sizes = hi - lo
-        inside = np.repeat(lo - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        owner = np.repeat(np.arange(len(lo)), sizes)
-        pair = np.unique(owner * len(letters) + before[inside])
-        owner, c = pair // len(letters), pair % len(letters)
-        owner, c = owner[c > 0], c[c > 0]
-        base = c * n
-        left = starts[c] + np.searchsorted(keys, base + lo[owner]) - offset[c]
-        right = starts[c] + np.searchsorted(keys, base + hi[owner]) - offset[c]
+        one = sizes == 1
+        rows = lo[one]
+        rows = rows[solid[rows]]
+        lefts, rights = [step[rows]], [step[rows] + 1]
+        lo, hi, sizes = lo[~one], hi[~one], sizes[~one]
+        # In each wider interval the rows that are the first, and the last, of their character: a child's ends.
+        for a in _groups(sizes):
+            w = sizes[a]
+            inside = np.repeat(lo[a] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum())
+            first = inside[(preceding[inside] < np.repeat(lo[a], w)) & solid[inside]]
+            last = inside[(following[inside] >= np.repeat(hi[a], w)) & solid[inside]]
+            owner = np.searchsorted(lo[a], np.r_[first, last], side="right").astype(np.int64) * (n + 1)
+            ends = np.r_[step[first], step[last]]
+            lefts.append(ends[: len(first)][np.argsort(owner[: len(first)] + ends[: len(first)])])
+            rights.append(ends[len(first) :][np.argsort(owner[len(first) :] + ends[len(first) :])] + 1)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
         new = ~border[right]
-        border[right[new]] = True
-        lo, hi = left[new], right[new]
+        left, right = left[new].astype(np.int64), right[new].astype(np.int64)
+        border[right] = True
+        by = np.argsort(left)
+        lo, hi = left[by], right[by]
     return order, border
 
 
+def _groups(sizes: np.ndarray, most: int = 1 << 19) -> list[slice]:
+    """Slices of about `most` rows, so that what an interval's rows take is bounded."""
+    if not len(sizes):
+        return []
+    total = np.cumsum(sizes)
+    cuts = np.searchsorted(total, np.arange(most, int(total[-1]) + most, most)) + 1
+    ends = np.unique(np.minimum(cuts, len(sizes)))
+    return [slice(a, z) for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True) if z > a]
+
+
 def first_runs(parts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(part, from, to): runs of places in each part whose string of `length` bytes starts earlier in another place; parts are in any order."""
     sizes = np.array([len(p) for p in parts])
