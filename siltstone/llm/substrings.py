@@ -6,7 +6,7 @@ Which strings have to meet in a task is settled by their own bytes. Each window
 
 Steps and what they move: anchors (a hash, a segment hash, a place; about one in 33 bytes), then, for anchors that recur with different segments only, those segments' bytes, then marks merged to runs. Documents are shuffled by doc_id once; both joins use that exchange.
 
-Edge cases: null and empty texts have no bytes and no spans; texts shorter than `length` lose nothing; order is (doc_id, start); rows that share a doc_id are ordered by their text's hash and otherwise apart, of identical rows with one doc_id all count as the same document; no rows give no rows; further columns are ignored. Hashes of segments have 128 bits."""
+Edge cases: null and empty texts have no bytes and no spans; texts shorter than `length` lose nothing; order is (doc_id, start); rows that share a doc_id are ordered by their text's hash and otherwise apart, of identical rows with one doc_id all count as the same document; no rows give no rows; further columns are ignored. A segment is known by the 64-bit hash of its anchor and another one of itself; length is 4095 at most."""
 
 from __future__ import annotations
 
@@ -71,11 +71,11 @@ class Ranges:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts one after the other in data, each up to its end: anchor's hash and place, segment hash (two), start and end of every segment; fewer than 2^PLACE bytes."""
+    """Of texts one after the other in data, each up to its end: anchor's hash and place, segment hash, start and end of every segment; fewer than 2^PLACE bytes."""
     window = length - gram + 1
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.int64, np.int64))
     hashes = Ranges(data)
     h = hashes.every(gram)
     # Least hash in each window, leftmost of equals: the place rides in the low bits, which the hash gives up.
@@ -96,7 +96,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         return segments(data[:0], ends)
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
     start, end = at[new], at[np.r_[new[1:], len(at)] - 1] + length
-    return h[place[new]], place[new], hashes.of(start, end, 0), hashes.of(start, end, 1), start, end
+    return h[place[new]], place[new], hashes.of(start, end, 1), start, end
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
@@ -252,17 +252,18 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
-    mark = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("place", pa.int64())])
+    # An anchor's row packs start, segment length and place; a run of removed bytes is -1 - start, with its end for a hash.
+    mark = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(texts: list[tuple[int, int, bytes]], rows: list) -> None:
             data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
             sizes = np.array([len(t) for _, _, t in texts])
             ends = np.cumsum(sizes)
-            h, place, s1, s2, start, end = segments(data, ends, length, gram)
+            h, place, seg, start, end = segments(data, ends, length, gram)
             k = np.searchsorted(ends, start, side="right")
             shift = np.array([o for _, o, _ in texts]) - (ends - sizes)
-            rows.append((h.view(np.int64), s1.view(np.int64), s2.view(np.int64), np.array([d for d, _, _ in texts])[k], start + shift[k], end + shift[k], place + shift[k]))
+            rows.append((h.view(np.int64), seg.view(np.int64), np.array([d for d, _, _ in texts])[k], start + shift[k], end + shift[k], place + shift[k]))
 
         for b in batches:
             texts, size, rows = [], 0, []
@@ -281,31 +282,33 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 flush(texts, rows)
             if not rows:
                 continue
-            key, s1, s2, doc, start, end, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-            by, new = _firsts([key, s1, s2], doc, start)
+            key, seg, doc, start, end, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+            by, new = _firsts([key, seg], doc, start)
             i, j = by[new], by[~new]
-            yield batch({"key": key[i], "s1": s1[i], "s2": s2[i], "doc": doc[i], "kind": np.full(len(i), ANCHOR), "start": start[i], "end": end[i], "place": place[i]}, mark)
+            yield batch({"key": key[i], "seg": seg[i], "doc": doc[i], "at": start[i] << 24 | (end - start)[i] << 12 | (place - start)[i]}, mark)
             doc, start, end = _merge(start[j], end[j], doc[j])
-            zero = np.zeros(len(doc), np.int64)
-            yield batch({"key": _spread(doc), "s1": zero, "s2": zero, "doc": doc, "kind": zero, "start": start, "end": end, "place": zero}, mark)
+            yield batch({"key": _spread(doc), "seg": end, "doc": doc, "at": -1 - start}, mark)
 
     plain = pa.schema([("doc", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("place", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Firsts of equal segments by anchor; of anchors with several segments, these as candidates."""
-        got = [[], [], [], [], [], [], []]
+        got = [[], [], [], []]
         for b in batches:
-            kind = b.column("kind").to_numpy()
-            c = {n: b.column(n).to_numpy() for n in ("key", "s1", "s2", "doc", "start", "end", "place")}
-            d = kind == DUP
+            c = {n: b.column(n).to_numpy() for n in mark.names}
+            d = c["at"] < 0
             if d.any():
-                yield batch({"doc": c["doc"][d], "kind": kind[d], "start": c["start"][d], "end": c["end"][d], "place": c["place"][d]}, plain)
+                zero = np.zeros(d.sum(), np.int64)
+                yield batch({"doc": c["doc"][d], "kind": zero, "start": -1 - c["at"][d], "end": c["seg"][d], "place": zero}, plain)
             for x, n in zip(got, c, strict=True):
                 x.append(c[n][~d])
         if not got[0]:
             return
-        key, s1, s2, doc, start, end, place = (np.concatenate(x) for x in got)
-        by, new = _firsts([key, s1, s2], doc, start)
+        key, seg, doc, at = (np.concatenate(x) for x in got)
+        got.clear()
+        start = at >> 24
+        end, place = start + (at >> 12 & 4095), start + (at & 4095)
+        by, new = _firsts([key, seg], doc, start)
         j = by[~new]
         d, a, e = _merge(start[j], end[j], doc[j])
         yield batch({"doc": d, "kind": np.zeros(len(d)), "start": a, "end": e, "place": np.zeros(len(d))}, plain)
@@ -415,7 +418,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
             yield pa.RecordBatch.from_arrays(head + tail, names)
 
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.mapInArrow(anchors, "key long, s1 long, s2 long, doc long, kind byte, start long, end long, place long").repartition("key").mapInArrow(meet, "doc long, kind byte, start long, end long, place long")
+    found = docs.mapInArrow(anchors, "key long, seg long, doc long, at long").repartition("key").mapInArrow(meet, "doc long, kind byte, start long, end long, place long")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "place")).alias("marks"))
     pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks").mapInArrow(fetch, "key long, doc long, start long, end long, bytes binary")
     runs = pieces.repartition("key").mapInArrow(transform, "doc long, start long, end long")
