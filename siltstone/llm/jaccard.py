@@ -36,7 +36,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(gap & ~before)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = Ranges(data).of(start, end, 0)
+    word = Ranges(data, 1).of(start, end, 0)
     ends = np.cumsum([len(t) + 1 for t in texts])
     of = np.searchsorted(ends, start, side="right")
     count = np.bincount(of, minlength=len(texts))
@@ -56,7 +56,8 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         docs.append(short)
         hashes.append(fold(first[short], n))
     doc, h = np.concatenate(docs), np.concatenate(hashes)
-    by = np.lexsort((h, doc))
+    by = np.argsort(h)
+    by = by[np.argsort(doc[by].astype(np.uint16), kind="stable")]  # a radix sort: a chunk has fewer than 2^15 texts
     doc, h = doc[by], h[by]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(doc) else np.zeros(0, bool)
     return doc[new], h[new]
@@ -73,7 +74,7 @@ def _chunks(batches: Iterator, columns: int = 2) -> Iterator[tuple[list, list[by
             texts.append(b"" if raw is None else raw.to_pybytes())
             extra.append(e)
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= CHUNK or len(ids) >= 30_000:
                 yield ids, texts, extra
                 ids, texts, extra, size = [], [], [], 0
         if ids:
@@ -151,14 +152,17 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
             speaks[by[first]] = True
             keep = speaks[doc]
             doc, h = doc[keep], h[keep]
-            by = np.lexsort((h, order(h), doc))
+            r = order(h)
+            late = np.flatnonzero(r)
+            by = np.r_[np.flatnonzero(r == 0), late[np.argsort(r[late])]]
+            by = by[np.argsort((2 * doc[by] + (r[by] > 0)).astype(np.uint16), kind="stable")]
             doc, h = doc[by], h[by]
             place = np.arange(len(doc)) - np.searchsorted(doc, doc)
             short = place < (n - (num * n + den - 1) // den + 1)[doc]
             doc, h = doc[short], h[short]
             yield _batch(entry, token=h.view(np.int64), s1=s1[doc], doc=ids[doc], n=n[doc])
 
-    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("w", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -172,14 +176,14 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         width = np.diff(np.r_[head, len(token)])
         mark = np.add.reduceat(_mix(doc.astype(np.uint64) + np.uint64(1)), head) + width.astype(np.uint64)
-        _, one = np.unique(mark, return_index=True)  # one n-gram for each list of members
-        use = np.zeros(len(head), bool)
-        use[one] = True
-        rows = np.repeat(use & (width > 1), width)
-        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows])
-
-    members = docs.mapInArrow(prefixes, "token long, s1 long, doc long, n long").repartition("token").mapInArrow(meet, "bucket long, doc long, n long").distinct()
-    members = materialise(members, "jaccard-buckets")
+        _, one, times = np.unique(mark, return_index=True, return_counts=True)  # one n-gram for each list of members, with how many it stands for
+        use = np.zeros(len(head), np.int64)
+        use[one] = times
+        rows = np.repeat((use > 0) & (width > 1), width)
+        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], w=np.repeat(use, width)[rows])
+
+    members = docs.mapInArrow(prefixes, "token long, s1 long, doc long, n long").repartition("token").mapInArrow(meet, "bucket long, doc long, n long, w long")
+    members = materialise(members.groupBy("bucket", "doc", "n").agg(F.sum("w").alias("w")), "jaccard-buckets")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
     members = members.join(width, "bucket")
     weight = members.groupBy("doc").agg(F.sum("width").alias("weight"))
@@ -201,7 +205,7 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         else:
             pairs = pairs.select("doc", "n", "p", "np").distinct()
             least = partners
-        pairs = materialise(pairs, "jaccard-pairs")
+        pairs = materialise(_likely(pairs, members, num, den), "jaccard-pairs")
         linked = _verify(docs, pairs, size, num, den, order)
         if linked is not None:
             if labels is None:
@@ -229,6 +233,15 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     return out.select(F.nullif(F.col("doc"), F.lit(NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(comp, F.lit(NULL_ID)).alias("component_id"))
 
 
+def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that share enough n-grams of their prefixes. Of the set whose prefix ends first, what the pair shares up to there is in both prefixes, and ceil(t n) - 1 n-grams come after it; so the overlap is at most the shared ones and these."""
+    pairs = materialise(pairs, "jaccard-candidates")
+    of = members.select("doc", "bucket", "w")
+    common = pairs.join(of.select(F.col("doc").alias("p"), "bucket"), "p").join(of, ["doc", "bucket"]).groupBy("doc", "n", "p", "np").agg(F.sum("w").alias("c"))
+    rest = f"greatest(({num} * n + {den - 1}) div {den}, ({num} * np + {den - 1}) div {den}) - 1"
+    return common.filter(f"{num + den} * (c + {rest}) >= {num} * (n + np)").select("doc", "n", "p", "np")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int, order) -> DataFrame | None:
     """The pairs (doc, n, p, np) that reach the threshold; None if there are no pairs. Only texts of documents in pairs are read into sets."""
     import pyarrow as pa
@@ -244,7 +257,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int, or
         for ids, texts, leads in _chunks(batches, 3):
             doc, h = shingles(texts, size)
             fragment = np.where(order(h) > 0, FRAGMENTS - 1, (h % np.uint64(FRAGMENTS - 1)).astype(np.int64))
-            by = np.lexsort((h, fragment, doc))
+            by = np.argsort(doc * FRAGMENTS + fragment, kind="stable")
             doc, h, fragment = doc[by], h[by].view(np.int64), fragment[by]
             bounds = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1]), True]) if len(doc) else np.zeros(1, int)
             out = {k: [] for k in part.names}

@@ -44,12 +44,12 @@ _BASES = [(_mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * (k + 1))), ba
 
 
 class Ranges:
-    """128-bit hashes of byte ranges that depend on their bytes only: polynomial sums, shifted to place 0 and mixed."""
+    """Hashes of byte ranges that depend on their bytes only, 64 bits a part: polynomial sums, shifted to place 0 and mixed."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, parts: int = 2):
         n = len(data)
         self.parts = []
-        for digits, base, powers in _BASES:
+        for digits, base, powers in _BASES[:parts]:
             if len(powers[0]) <= n:
                 for k, b in enumerate((base, pow(base, -1, 1 << 64))):
                     p = np.full(2 * n + 1, b, np.uint64)
@@ -340,7 +340,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 if not len(start):
                     continue
                 raw = t.as_buffer().to_pybytes()
-                hashes = Ranges(np.frombuffer(raw, np.uint8))
+                hashes = Ranges(np.frombuffer(raw, np.uint8), 1)
                 # windows from w on: those with w <= place - half have the left side, the rest have the right side
                 last = end - length
                 for x, y, p, q in ((start, np.minimum(last, place - half), place - half, place + gram), (np.maximum(start, place - half + 1), last, place, place + gram + (length - gram - half))):
