@@ -11,15 +11,20 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.common import table
 
 SPACE = "▁"
 #: Distinct units a worker keeps; longer ones than CACHED_CHARS are not kept.
-CACHED_UNITS, CACHED_CHARS = 400_000, 64
+CACHED_UNITS, CACHED_CHARS = 200_000, 64
+#: Rows that go back to Spark at a time.
+ROWS = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -291,17 +296,22 @@ def tokenise(documents: DataFrame, model: bytes, digests: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for b in batches:
-            counts, first, second = [], [], []
-            for text in b.column(1):
-                units = c.split(text.as_py() or "")
-                ids = ",".join(map(c.ids_of.__getitem__, units))
-                plain = "".join(map(c.text_of.__getitem__, units))
-                plain = plain[1:] if units and c.prefix else plain
-                counts.append(ids.count(",") + 1 if ids else 0)
-                first.append(sha(ids) if digests else [int(x) for x in ids.split(",")] if ids else [])
-                second.append(sha(plain) if digests else plain)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                counts, first, second = [], [], []
+                for text in b.column(1):
+                    units = c.split(text.as_py() or "")
+                    ids = ",".join(map(c.ids_of.__getitem__, units))
+                    plain = "".join(map(c.text_of.__getitem__, units))
+                    plain = plain[1:] if units and c.prefix else plain
+                    counts.append(ids.count(",") + 1 if ids else 0)
+                    first.append(sha(ids) if digests else array("i", map(int, ids.split(","))) if ids else array("i"))
+                    second.append(sha(plain) if digests else plain)
+                if not digests:
+                    ends = np.cumsum([0, *counts]).astype(np.int32)
+                    first = pa.ListArray.from_arrays(ends, np.concatenate([np.frombuffer(x, np.int32) for x in first]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), first if not digests else pa.array(first, pa.string()), pa.array(second, pa.string())], names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
