@@ -54,18 +54,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Kept(dict):
-    """A bounded memo of a function."""
+    """A bounded memo of a function; what `also` gives is another memo's share of the same work."""
 
-    def __init__(self, of):
+    def __init__(self, of, also=None):
         super().__init__()
-        self.of = of
+        self.of, self.also = of, also
 
     def __missing__(self, key):
-        value = self.of(key)
+        value, other = self.of(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= CACHED_UNITS:
                 self.clear()
+                if self.also is not None:
+                    self.also.clear()
             self[key] = value
+            if self.also is not None:
+                self.also[key] = other
         return value
 
 
@@ -131,11 +135,15 @@ class PieceCodec:
             if not ordered:
                 plain.add(i)
             self.left[i], self.right[i] = edges[0], edges[1]
-            self.automaton.add_word(p, (len(p), i))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.plain, self.pairs = plain, {}
-        self.ids_of = _Kept(lambda u: ",".join(map(str, self.encode_unit(u))))
-        self.text_of = _Kept(lambda u: self._join([int(x) for x in self.ids_of[u].split(",")]))
+        self.sizes = [len(p) for p in self.pieces]
+        self.names = [str(i) for i in range(len(self.pieces))]
+        # What a piece alone decodes to; a byte of a longer character has no text of its own.
+        self.texts = [None if self.byte_of.get(i, 0) > 127 else chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.text_of = _Kept(lambda u: self._unit(u)[::-1])
+        self.ids_of = _Kept(self._unit, self.text_of)
 
     @staticmethod
     def _text(node) -> str:
@@ -197,26 +205,40 @@ class PieceCodec:
 
     def _backtrack(self, unit: str) -> list[int]:
         """Ids of a unit whose characters are all pieces and that holds no two space marks in a row."""
-        n = len(unit)
-        at: list[list] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(unit):
-            at[end + 1 - size].append((size, i))
-        for x in at:
-            x.reverse()  # they come by end, so the longest is last
-        failed, out, pos, tried = bytearray(n + 1), [], 0, 0
+        # The longest pieces from left to right are what is tried first; most units need no more.
+        out, pairs = [i for _, i in self.automaton.iter_long(unit)], self.pairs
+        if all([pairs.get(a << 32 | b) or self.compatible(a, b) for a, b in zip(out, out[1:], strict=False)]):
+            return out
+        n, sizes = len(unit), self.sizes
+        at: list[list] = [[] for _ in unit]
+        for end, i in self.automaton.iter(unit):
+            at[end + 1 - sizes[i]].append(i)  # they come by end, so the longest is last
+        failed, out, counts, pos, k = bytearray(n + 1), [], [], 0, len(at[0]) - 1
         while pos < n:
-            last = out[-1][0] if out else None
-            for k in range(tried, len(at[pos])):
-                size, i = at[pos][k]
-                if not failed[pos + size] and (last is None or self.compatible(last, i)):
-                    out.append((i, k))
-                    pos, tried = pos + size, 0
+            here = at[pos]
+            last = out[-1] if out else None
+            while k >= 0:
+                i = here[k]
+                end = pos + sizes[i]
+                if not failed[end] and (last is None or (pairs.get(last << 32 | i) or self.compatible(last, i))):
+                    out.append(i)
+                    counts.append(k)
+                    pos = end
+                    if pos < n:
+                        k = len(at[pos]) - 1
                     break
+                k -= 1
             else:
                 failed[pos] = 1
-                i, k = out.pop()
-                pos, tried = pos - len(self.pieces[i]), k + 1
-        return [i for i, _ in out]
+                pos -= sizes[out.pop()]
+                k = counts.pop() - 1
+        return out
+
+    def _unit(self, unit: str) -> tuple[str, str]:
+        """A unit's ids as text, and what they decode to."""
+        ids = self.encode_unit(unit)
+        parts = [self.texts[i] for i in ids]
+        return ",".join([self.names[i] for i in ids]), self._join(ids) if None in parts else "".join(parts)
 
     def encode_unit(self, unit: str) -> list[int]:
         if SPACE * 2 in unit:
