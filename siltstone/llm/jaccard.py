@@ -1,8 +1,8 @@
 """N-gram Jaccard join by vertical partitioning: the global order of n-grams is cut into fragments, the overlap of a pair is counted in each fragment by itself, and the counts are summed per pair.
 
-A document is the set of its distinct n-grams of words, as 64-bit hashes. The global order puts frequent n-grams last (by counts over all documents of those that are frequent within a task) and orders the rest by hash. Two sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1 of each, so only these prefixes are dealt by n-gram; equal sets are one set from the start. N-grams with the same members count as one bucket.
+A document is the set of its distinct n-grams of words, as 64-bit hashes; equal sets are one set from the start. Candidates come from prefixes in the order of document frequency, rarest first: two sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1 of each. For this the n-grams are dealt by ranges of their hash, packed in five bytes each, and counted there; only those that several sets hold go back to their documents. N-grams of one set alone count as unmatched, so a document whose shared n-grams are fewer than t n is done. N-grams with the same members count as one bucket.
 
-Links are looked for where they can still join components. In each bucket the members are ranked by how many bucket places they share, and the first ranks are compared with all members whose size can match and which are in another component: first only each document's best partner, then 4, 16, 64, ... partners a bucket until every bucket is one component or has had all its members compared. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost.
+Links are looked for where they can still join components. In each bucket the members are ranked by how many bucket places they share, and the first ranks are compared with all members whose size and unshared n-grams allow a link and which are in another component: first only each document's best partner, then 4, 16, 64, ... partners a bucket until every bucket is one component or has had all its members compared. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost.
 
 Edge cases: null and empty texts have an empty set and are their own component; fewer words than n make one n-gram of their own kind; repeated rows and equal sets are linked; rows that share a doc_id are one document; no rows give no rows; further columns are ignored."""
 
@@ -18,10 +18,10 @@ from siltstone.llm.common import materialise, maybe_broadcast, table
 from siltstone.llm.components import components
 from siltstone.llm.substrings import M1, NULL_ID, Ranges, _mix
 
-#: Bytes shingled at a time; count within a task's share that makes an n-gram frequent, and frequent n-grams at most (16 bytes each, to every task).
-CHUNK, LOCAL_COUNT, FREQUENT = 1 << 21, 8, 100_000
-#: N-grams counted at a time, fragments of the global order (the last one is the frequent n-grams').
-COUNTED, FRAGMENTS = 2_000_000, 8
+#: Bytes shingled at a time, and for the counts of n-grams.
+CHUNK, DEALT = 1 << 21, 1 << 23
+#: Fragments of the global order of n-grams.
+FRAGMENTS = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -63,7 +63,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _chunks(batches: Iterator, columns: int = 2) -> Iterator[tuple[list, list[bytes], list]]:
+def _chunks(batches: Iterator, columns: int = 2, most: int | None = None) -> Iterator[tuple[list, list[bytes], list]]:
     """ids, texts and what a third column holds, about CHUNK bytes at a time."""
     for b in batches:
         ids, texts, extra, size = [], [], [], 0
@@ -74,7 +74,7 @@ def _chunks(batches: Iterator, columns: int = 2) -> Iterator[tuple[list, list[by
             texts.append(b"" if raw is None else raw.to_pybytes())
             extra.append(e)
             size += len(texts[-1])
-            if size >= CHUNK or len(ids) >= 30_000:
+            if size >= (most or CHUNK) or len(ids) >= 30_000:
                 yield ids, texts, extra
                 ids, texts, extra, size = [], [], [], 0
         if ids:
@@ -102,77 +102,96 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     import pyarrow as pa
 
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    summary = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    summary = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-
-        def frequent() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h, n = h[n >= LOCAL_COUNT].view(np.int64), n[n >= LOCAL_COUNT]
-            return _batch(summary, kind=np.ones(len(h)), a=h, n=n, s1=np.zeros(len(h)), s2=np.zeros(len(h)))
-
         for ids, texts, _ in _chunks(batches):
+            n, s1, s2 = _keys(*shingles(texts, size), len(ids))
+            yield _batch(summary, doc=ids, n=n, s1=s1, s2=s2)
+
+    sets = materialise(docs.mapInArrow(survey, "doc long, n long, s1 long, s2 long"), "jaccard-sets")
+    key = ["s1", "s2", "n"]
+    least_of = sets.groupBy(*key).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    copies = materialise(sets.join(maybe_broadcast(materialise(least_of.filter("copies > 1"), "jaccard-copied")), key).filter("doc <> rep").select("doc"), "jaccard-copies")
+    single = docs.join(maybe_broadcast(copies), "doc", "left_anti")
+    ranges = max(64, 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, _ in _chunks(batches, most=DEALT):
             doc, h = shingles(texts, size)
-            n, s1, s2 = _keys(doc, h, len(ids))
-            yield _batch(summary, kind=np.zeros(len(ids)), a=ids, n=n, s1=s1, s2=s2)
-            held.append(h)
-            many += len(h)
-            if many >= COUNTED:
-                yield frequent()
-                held, many = [], 0
-        if held:
-            yield frequent()
-
-    seen = materialise(docs.mapInArrow(survey, "kind byte, a long, n long, s1 long, s2 long"), "jaccard-survey")
-    sets = seen.filter("kind = 0").select(F.col("a").alias("doc"), "n", "s1", "s2")
-    top = seen.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
-    ranks = sorted((r["a"] & ((1 << 64) - 1), len(top) - k) for k, r in enumerate(top))
-    often, rank = np.array([a for a, _ in ranks], np.uint64), np.array([k for _, k in ranks], np.int64)
-
-    def order(h: np.ndarray) -> np.ndarray:
-        """0 for n-grams that aren't frequent, else larger for more frequent ones."""
-        if not len(often):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-        return np.where(often[at] == h, rank[at], 0)
-
-    entry = pa.schema([("token", pa.int64()), ("s1", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+            if not len(doc):
+                continue
+            ids, token = np.array(ids, np.int64), h >> np.uint64(24)
+            part = (token % np.uint64(ranges)).astype(np.int64)
+            by = np.argsort(part.astype(np.uint16), kind="stable") if ranges < 1 << 16 else np.argsort(part, kind="stable")
+            doc, part = doc[by], part[by]
+            five = np.ascontiguousarray(token[by].view(np.uint8).reshape(-1, 8)[:, :5])
+            new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
+            many, own, where = np.diff(np.r_[new, len(doc)]).astype(np.int32), ids[doc[new]], part[new]
+            cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            ends = np.r_[cut[1:], len(where)]
+            at = np.r_[new, len(doc)]
+            yield _batch(packed, part=where[cut], tokens=[five[at[a] : at[z]].tobytes() for a, z in zip(cut, ends, strict=True)], docs=[own[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], counts=[many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])
+
+    held = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By document, the n-grams of these ranges that several sets hold, with how many."""
+        rows = [r for b in batches for r in zip(*(b.column(c) for c in packed.names[1:]), strict=True)]  # whole ranges: their sizes are near equal
+        if not rows:
+            return
+        five = np.frombuffer(b"".join(t.as_py() for t, _, _ in rows), np.uint8).reshape(-1, 5)
+        token = np.zeros((len(five), 8), np.uint8)
+        token[:, :5] = five
+        token = token.view(np.int64).ravel()
+        doc = np.repeat(np.frombuffer(b"".join(d.as_py() for _, d, _ in rows), np.int64), np.frombuffer(b"".join(c.as_py() for _, _, c in rows), np.int32))
+        del five, rows
+        by = np.argsort(token)
+        token, doc = token[by], doc[by]
+        new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        times = np.diff(np.r_[new, len(token)])
+        df = np.repeat(times, times)
+        shared = df > 1
+        token, doc, df = token[shared], doc[shared], df[shared]
+        by = np.argsort(doc)
+        token, doc, df = token[by], doc[by], df[by].astype(np.int32)
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
+        ends = np.r_[new, len(doc)].astype(np.int32)
+        for a in range(0, len(new), 20_000):
+            z = min(a + 20_000, len(new))
+            cut, span = ends[a : z + 1] - ends[a], slice(ends[a], ends[z])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:z]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(token[span])), pa.ListArray.from_arrays(pa.array(cut), pa.array(df[span]))], schema=held)
+
+    entry = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("u", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _ in _chunks(batches):
-            doc, h = shingles(texts, size)
-            n, s1, s2 = _keys(doc, h, len(ids))
-            ids = np.array(ids, np.int64)
-            # Copies within the chunk have the same prefix: the least id speaks for them.
-            by = np.lexsort((ids, s2, s1))
-            first = np.ones(len(by), bool)
-            first[1:] = (s1[by[1:]] != s1[by[:-1]]) | (s2[by[1:]] != s2[by[:-1]])
-            speaks = np.zeros(len(ids), bool)
-            speaks[by[first]] = True
-            keep = speaks[doc]
-            doc, h = doc[keep], h[keep]
-            r = order(h)
-            late = np.flatnonzero(r)
-            by = np.r_[np.flatnonzero(r == 0), late[np.argsort(r[late])]]
-            by = by[np.argsort((2 * doc[by] + (r[by] > 0)).astype(np.uint16), kind="stable")]
-            doc, h = doc[by], h[by]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            short = place < (n - (num * n + den - 1) // den + 1)[doc]
-            doc, h = doc[short], h[short]
-            yield _batch(entry, token=h.view(np.int64), s1=s1[doc], doc=ids[doc], n=n[doc])
-
-    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("w", pa.int64())])
+        """The shared n-grams in the prefix of each document (doc, n, tokens, dfs): its u n-grams of its own come first in it."""
+        for b in batches:
+            doc, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            lists = [(ts.values.flatten().to_numpy(), fs.values.flatten().to_numpy()) for ts, fs in zip(b.column(2), b.column(3), strict=True)]
+            out: dict[str, list] = {k: [] for k in entry.names}
+            for d, m, (t, f) in zip(doc, n, lists, strict=True):
+                own = m - len(t)
+                take = m - (num * m + den - 1) // den + 1 - own
+                if take > 0:
+                    first = np.lexsort((t, f))[:take]
+                    out["token"].append(t[first])
+                    for k, x in (("doc", d), ("n", m), ("u", own)):
+                        out[k].append(np.full(len(first), x))
+            yield _batch(entry, **{k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in out.items()})
+
+    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), ("w", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        token, s1, doc, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in entry.names)
-        by = np.lexsort((doc, s1, token))
-        token, s1, doc, n = token[by], s1[by], doc[by], n[by]
-        own = np.r_[True, (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])]
-        token, doc, n = token[own], doc[own], n[own]
+        token, doc, n, u = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in entry.names)
+        by = np.lexsort((doc, token))
+        token, doc, n, u = token[by], doc[by], n[by], u[by]
+        own = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]
+        token, doc, n, u = token[own], doc[own], n[own], u[own]
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         width = np.diff(np.r_[head, len(token)])
         mark = np.add.reduceat(_mix(doc.astype(np.uint64) + np.uint64(1)), head) + width.astype(np.uint64)
@@ -180,10 +199,14 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         use = np.zeros(len(head), np.int64)
         use[one] = times
         rows = np.repeat((use > 0) & (width > 1), width)
-        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], w=np.repeat(use, width)[rows])
-
-    members = docs.mapInArrow(prefixes, "token long, s1 long, doc long, n long").repartition("token").mapInArrow(meet, "bucket long, doc long, n long, w long")
-    members = materialise(members.groupBy("bucket", "doc", "n").agg(F.sum("w").alias("w")), "jaccard-buckets")
+        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], u=u[rows], w=np.repeat(use, width)[rows])
+
+    shared = single.mapInArrow(deal, "part int, tokens binary, docs binary, counts binary").repartition("part").mapInArrow(count, "doc long, tokens array<long>, dfs array<int>")
+    by_doc = shared.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"), F.sum(F.size("tokens")).alias("s"))
+    sized = by_doc.join(sets.groupBy("doc").agg(F.max("n").alias("n")), "doc").filter(f"{den} * s >= {num} * n")
+    listed = sized.select("doc", "n", "tokens", "dfs").mapInArrow(prefixes, "token long, doc long, n long, u long")
+    members = listed.repartition("token").mapInArrow(meet, "bucket long, doc long, n long, u long, w long")
+    members = materialise(members.groupBy("bucket", "doc", "n", "u").agg(F.sum("w").alias("w")), "jaccard-buckets")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
     members = members.join(width, "bucket")
     weight = members.groupBy("doc").agg(F.sum("width").alias("weight"))
@@ -198,15 +221,15 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
             own = materialise(own.join(parted, "bucket", "left_semi"), "jaccard-open")
         else:
             own = own.withColumn("comp", F.col("doc"))
-        lead = own.filter((F.col("rank") > least) & (F.col("rank") <= partners)).select("bucket", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"), F.col("weight").alias("wp"), F.col("rank").alias("rp"))
-        pairs = lead.join(own.select("bucket", "doc", "n", "comp", "rank"), "bucket").filter(f"rank > rp and comp <> cp and {den} * least(n, np) >= {num} * greatest(n, np)")
+        lead = own.filter((F.col("rank") > least) & (F.col("rank") <= partners)).select("bucket", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("u").alias("up"), F.col("comp").alias("cp"), F.col("weight").alias("wp"), F.col("rank").alias("rp"))
+        pairs = lead.join(own.select("bucket", "doc", "n", "u", "comp", "rank"), "bucket").filter(f"rank > rp and comp <> cp and {den} * least(n, np) >= {num} * greatest(n, np) and {num + den} * least(n - u, np - up) >= {num} * (n + np)")
         if labels is None:  # each document with its best partner only; the same ranks come again with the next ones
             pairs = pairs.groupBy("doc").agg(F.max(F.struct("wp", F.expr("-p").alias("q"), "p", "np", "n")).alias("b")).select("doc", "b.n", "b.p", "b.np")
         else:
             pairs = pairs.select("doc", "n", "p", "np").distinct()
             least = partners
         pairs = materialise(_likely(pairs, members, num, den), "jaccard-pairs")
-        linked = _verify(docs, pairs, size, num, den, order)
+        linked = _verify(docs, pairs, size, num, den)
         if linked is not None:
             if labels is None:
                 labels = materialise(components(linked.select(F.col("doc").alias("u"), F.col("p").alias("v"))).select(F.col("u").alias("doc"), F.col("root").alias("comp")), "jaccard-labels")
@@ -226,7 +249,6 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
                 break
         else:
             partners = 4
-    least_of = sets.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     named = least_of.join(maybe_broadcast(labels.withColumnRenamed("doc", "rep")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     out = sets.join(named.select("s1", "s2", "n", "comp"), ["s1", "s2", "n"])
     comp = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("comp"))
@@ -242,7 +264,7 @@ def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFra
     return common.filter(f"{num + den} * (c + {rest}) >= {num} * (n + np)").select("doc", "n", "p", "np")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int, order) -> DataFrame | None:
+def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
     """The pairs (doc, n, p, np) that reach the threshold; None if there are no pairs. Only texts of documents in pairs are read into sets."""
     import pyarrow as pa
 
@@ -256,9 +278,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int, or
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, leads in _chunks(batches, 3):
             doc, h = shingles(texts, size)
-            fragment = np.where(order(h) > 0, FRAGMENTS - 1, (h % np.uint64(FRAGMENTS - 1)).astype(np.int64))
-            by = np.argsort(doc * FRAGMENTS + fragment, kind="stable")
-            doc, h, fragment = doc[by], h[by].view(np.int64), fragment[by]
+            fragment = (h // np.uint64((1 << 64) // FRAGMENTS)).astype(np.int64)  # ranges of the hash: in order already
+            h = h.view(np.int64)
             bounds = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1]), True]) if len(doc) else np.zeros(1, int)
             out = {k: [] for k in part.names}
             for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
