@@ -18,7 +18,7 @@ from siltstone.llm.common import table
 
 END = "</w>"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHED, CACHED_CHARS = 400_000, 64
+CACHED, CACHED_CHARS = 150_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -18,8 +18,8 @@ from siltstone.llm.common import materialise, maybe_broadcast, table
 from siltstone.llm.components import components
 from siltstone.llm.substrings import M1, NULL_ID, Ranges, _mix
 
-#: Bytes shingled at a time, and for the counts of n-grams.
-CHUNK, DEALT = 1 << 21, 1 << 23
+#: Bytes shingled at a time; n-grams dealt at a time.
+CHUNK, DEALT = 1 << 20, 1_000_000
 #: Fragments of the global order of n-grams.
 FRAGMENTS = 8
 
@@ -63,7 +63,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _chunks(batches: Iterator, columns: int = 2, most: int | None = None) -> Iterator[tuple[list, list[bytes], list]]:
+def _chunks(batches: Iterator, columns: int = 2) -> Iterator[tuple[list, list[bytes], list]]:
     """ids, texts and what a third column holds, about CHUNK bytes at a time."""
     for b in batches:
         ids, texts, extra, size = [], [], [], 0
@@ -74,7 +74,7 @@ def _chunks(batches: Iterator, columns: int = 2, most: int | None = None) -> Ite
             texts.append(b"" if raw is None else raw.to_pybytes())
             extra.append(e)
             size += len(texts[-1])
-            if size >= (most or CHUNK) or len(ids) >= 30_000:
+            if size >= CHUNK or len(ids) >= 30_000:
                 yield ids, texts, extra
                 ids, texts, extra, size = [], [], [], 0
         if ids:
@@ -118,23 +118,33 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     packed = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, _ in _chunks(batches, most=DEALT):
-            doc, h = shingles(texts, size)
-            if not len(doc):
-                continue
-            ids, token = np.array(ids, np.int64), h >> np.uint64(24)
+        def pack(held: list) -> pa.RecordBatch:
+            doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            token = h >> np.uint64(24)
             part = (token % np.uint64(ranges)).astype(np.int64)
             by = np.argsort(part.astype(np.uint16), kind="stable") if ranges < 1 << 16 else np.argsort(part, kind="stable")
             doc, part = doc[by], part[by]
             five = np.ascontiguousarray(token[by].view(np.uint8).reshape(-1, 8)[:, :5])
             new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
-            many, own, where = np.diff(np.r_[new, len(doc)]).astype(np.int32), ids[doc[new]], part[new]
+            many, own, where = np.diff(np.r_[new, len(doc)]).astype(np.int32), doc[new], part[new]
             cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
             ends = np.r_[cut[1:], len(where)]
             at = np.r_[new, len(doc)]
-            yield _batch(packed, part=where[cut], tokens=[five[at[a] : at[z]].tobytes() for a, z in zip(cut, ends, strict=True)], docs=[own[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], counts=[many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])
+            return _batch(packed, part=where[cut], tokens=[five[at[a] : at[z]].tobytes() for a, z in zip(cut, ends, strict=True)], docs=[own[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], counts=[many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])
+
+        held, many = [], 0
+        for ids, texts, _ in _chunks(batches):
+            doc, h = shingles(texts, size)
+            if len(doc):
+                held.append((np.array(ids, np.int64)[doc], h))
+                many += len(doc)
+            if many >= DEALT:
+                yield pack(held)
+                held, many = [], 0
+        if held:
+            yield pack(held)
 
-    held = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
+    held_by = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By document, the n-grams of these ranges that several sets hold, with how many."""
@@ -161,7 +171,7 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         for a in range(0, len(new), 20_000):
             z = min(a + 20_000, len(new))
             cut, span = ends[a : z + 1] - ends[a], slice(ends[a], ends[z])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:z]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(token[span])), pa.ListArray.from_arrays(pa.array(cut), pa.array(df[span]))], schema=held)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:z]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(token[span])), pa.ListArray.from_arrays(pa.array(cut), pa.array(df[span]))], schema=held_by)
 
     entry = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("u", pa.int64())])
 

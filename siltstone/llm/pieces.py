@@ -22,7 +22,7 @@ from siltstone.llm.common import table
 
 SPACE = "▁"
 #: Distinct units a worker keeps; longer ones than CACHED_CHARS are not kept.
-CACHED_UNITS, CACHED_CHARS = 200_000, 64
+CACHED_UNITS, CACHED_CHARS = 120_000, 64
 #: Rows that go back to Spark at a time.
 ROWS = 256
 

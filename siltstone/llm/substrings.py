@@ -52,7 +52,7 @@ class Ranges:
         for digits, base, powers in _BASES[:parts]:
             if len(powers[0]) <= n:
                 for k, b in enumerate((base, pow(base, -1, 1 << 64))):
-                    p = np.full(2 * n + 1, b, np.uint64)
+                    p = np.full(n + n // 8 + 1, b, np.uint64)
                     p[0] = 1
                     powers[k] = np.multiply.accumulate(p)
             sums = np.zeros(n + 1, np.uint64)

@@ -21,7 +21,7 @@ from siltstone.llm.common import maybe_broadcast, table
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sampled labelled rows of each class, characters of a sampled row that are used to fit, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
 SAMPLE_ROWS, FIT_CHARS, MAX_FEATURES, MARK_RATIO, LEAST_G, GRADES = 3000, 20_000, 20_000, 4.0, 15.0, 4
-CACHED = 300_000
+CACHED = 100_000
 
 
 def features(word: str) -> list[str]:

@@ -61,7 +61,7 @@ def make(seed, n=150):
 @pytest.mark.parametrize(("seed", "size", "num"), [(1, 4, 85), (2, 5, 80)])
 def test_equals_brute_force(spark, seed, size, num, monkeypatch):
     monkeypatch.setattr(J, "CHUNK", 3000)
-    monkeypatch.setattr(J, "DEALT", 5000)
+    monkeypatch.setattr(J, "DEALT", 500)
     docs = make(seed)
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n string").repartition(3)
     got = sorted(tuple(r) for r in J.link(df, size, num, 100).collect())
