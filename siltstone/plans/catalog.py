@@ -3,10 +3,512 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as T
+from siltstone.operators import bm25, chunk, context, evaluate, expansion, formatter, fusion, health, index, knowledge, lookup, research, snippet, vector, wiki
+from siltstone.plans import search
+from siltstone.sources import sessions
+from siltstone.streaming import idle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH {COMMON}\n{sql}"
+        return f
+
+    return add
+
+
+TITLE = r"coalesce(nullif(trim(regexp_extract(text, '(?m)^##?\s+(.+)$', 1)), ''), CAST(doc_id AS VARCHAR))"
+COMMON = rf"""d AS (
+  SELECT doc_id, source AS collection, lang || '/' || doc_id || '.md' AS path, source || '/' || lang || '/' || doc_id || '.md' AS filepath,
+    'vault://' || source || '/' || lang || '/' || doc_id || '.md' AS id, sha256(text) AS hash, substr(sha256(text), 1, 6) AS docid, {TITLE} AS title, text AS body,
+    '2026-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS modified_at FROM documents
+), k AS (
+  SELECT id, collection, regexp_extract_all(lower(filepath), '[\p{{L}}\p{{N}}]+') AS f, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+') AS t, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS b FROM d
+), v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), q AS (SELECT e AS qe FROM v WHERE vec_id = 0
+), near AS (
+  SELECT vec_id, label, 1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS dist FROM v, q
+)"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as an index's documents: its source is the collection, language and id make the path."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".md"))
+    h = T.content_hash(F.col("text"))
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
+    return d.select("doc_id", T.virtual_path(F.col("source"), path).alias("id"), F.col("source").alias("collection"), path.alias("path"), F.concat_ws("/", "source", path).alias("filepath"), T.title(F.col("text"), path).alias("title"), h.alias("hash"), T.docid(h).alias("docid"), F.col("text").alias("body"), F.lit("docs").alias("source_type"), F.lit(True).alias("active"), day.alias("modified_at"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("hash_seq"), "label", "embedding")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+
+
+def roots(spark: SparkSession) -> DataFrame:
+    rows = [("src0", "/data/a", {"/": "all of a", "en": "English"}, True), ("src1", "/data/a/b/", {"fr": "French", "fr/1": "first French"}, None), ("src2", "/data/ab", {}, False), ("gone", "/srv/x", None, True)]
+    return spark.createDataFrame(rows, "name string, root string, context map<string,string>, include_by_default boolean")
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    d = documents(spark, sf_dir)
+    return search.Index(d, index.postings(d), index.lengths(d))
+
+
+# --- store, status, health
+
+@query("SELECT hash, count(*) AS copies, min(path) AS first_path FROM d GROUP BY hash")
+def content_store(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("hash").agg(F.count("*").alias("copies"), F.min("path").alias("first_path"))
+
+
+@query("SELECT doc_id, title, docid FROM d")
+def titles_and_docids(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "title", "docid")
+
+
+@query("SELECT collection, count(*) AS documents, max(modified_at) AS last_modified FROM d GROUP BY collection")
+def collection_status(spark, sf_dir):
+    return health.status(documents(spark, sf_dir))
+
+
+@query("SELECT name, coalesce(n, 0) AS total, coalesce(n, 0) AS active, m AS last_modified FROM (VALUES ('src0'), ('src1'), ('src2'), ('gone')) c(name) LEFT JOIN (SELECT collection, count(*) n, max(modified_at) m FROM d GROUP BY 1) ON name = collection")
+def collection_stats(spark, sf_dir):
+    return health.collection_stats(roots(spark), documents(spark, sf_dir))
+
+
+@query("SELECT hash, min(path) AS path FROM d WHERE doc_id % 3 <> 0 AND hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0) GROUP BY hash")
+def pending_embeddings(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return vector.pending(d, d.filter("doc_id % 3 = 0").select("hash", F.lit(0).alias("seq")))
+
+
+@query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT hash) FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0)) AS needs_embedding, CAST(floor(date_diff('second', max(CAST(modified_at AS TIMESTAMP)), TIMESTAMP '2026-03-01 12:00:00') / 86400) AS BIGINT) AS days_stale FROM d")
+def index_health(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return health.index_health(d, d.filter("doc_id % 3 = 0").select("hash"), "2026-03-01T12:00:00Z")
+
+
+@query("SELECT hash, doc_id FROM d WHERE doc_id % 3 = 0 AND hash NOT IN (SELECT hash FROM d WHERE doc_id % 2 = 1)")
+def orphan_vectors(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return health.orphan_vectors(d.filter("doc_id % 3 = 0").select("hash", "doc_id"), d.filter("doc_id % 2 = 1"))
+
+
+@query("SELECT DISTINCT least(a.n, b.n) AS name_a, greatest(a.n, b.n) AS name_b FROM (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) a(n, r) JOIN (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) b(n, r) ON a.n <> b.n AND starts_with(a.r, b.r)")
+def overlapping_collections(spark, sf_dir):
+    return health.overlaps(roots(spark))
+
+
+@query("""SELECT 'overlap' AS kind, 'src0,src1' AS subject UNION ALL VALUES ('no_context', 'src2'), ('no_context', 'gone'), ('empty', 'gone')
+UNION ALL SELECT DISTINCT 'no_embedding', collection FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0)
+UNION ALL SELECT 'stale', c FROM (SELECT collection AS c, max(CAST(modified_at AS TIMESTAMP)) AS m FROM d WHERE collection IN ('src0', 'src1', 'src2') GROUP BY 1) WHERE m < TIMESTAMP '2026-02-26 00:00:00' - INTERVAL 30 DAY""")
+def health_alerts(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return health.alerts(roots(spark), d, d.filter("doc_id % 3 = 0").select("hash"), "2026-02-26T00:00:00Z")
+
+
+@query("""SELECT collection, path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'updated' WHEN doc_id % 10 = 2 THEN 'retitled' WHEN doc_id % 10 = 3 THEN 'removed' ELSE 'unchanged' END AS state FROM d""")
+def snapshot_diff(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    k = F.col("doc_id") % 10
+    old = d.filter(k != 0).withColumn("hash", F.when(k == 1, "x").otherwise(F.col("hash"))).withColumn("title", F.when(k == 2, "old").otherwise(F.col("title")))
+    return index.diff(old, d.filter(k != 3)).select("collection", "path", "state")
+
+
+@query("SELECT collection, path, doc_id % 10 <> 3 AS active FROM d")
+def snapshot_merge(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return index.merge(d.filter("doc_id % 10 <> 0"), d.filter("doc_id % 10 <> 3")).select("collection", "path", "active")
+
+
+@query("SELECT CASE WHEN collection = 'src1' THEN 'renamed' ELSE collection END AS collection, count(*) AS n FROM d WHERE collection <> 'src2' GROUP BY 1")
+def collection_rename_remove(spark, sf_dir):
+    d = health.remove_collection(health.rename_collection(documents(spark, sf_dir), "src1", "renamed"), "src2")
+    return health.drop_inactive(d).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+# --- lookup
+
+@query("SELECT path, collection FROM d WHERE hash LIKE (SELECT docid FROM d WHERE doc_id = 7) || '%' ORDER BY collection, path LIMIT 1")
+def docid_lookup(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    wanted = d.filter("doc_id = 7").first()["docid"]
+    return lookup.by_docid(d, f'"#{wanted.upper()}"').select("path", "collection")
+
+
+@query(r"SELECT collection, path FROM d WHERE regexp_matches(path, '^(en|fr)/1[0-9]*[.]md$')")
+def glob_match(spark, sf_dir):
+    return lookup.match_glob(documents(spark, sf_dir), "{en,fr}/1*.md").select("collection", "path")
+
+
+@query("SELECT collection, path, 12 AS line FROM d WHERE collection || '/' || path LIKE '%/17.md' ORDER BY collection, path LIMIT 1")
+def suffix_lookup(spark, sf_dir):
+    return lookup.find(documents(spark, sf_dir), "/17.md:12").select("collection", "path", "line")
+
+
+@query("SELECT path, levenshtein(lower(path), 'en/12.md') AS distance FROM (SELECT DISTINCT path FROM d) WHERE levenshtein(lower(path), 'en/12.md') <= 3 ORDER BY distance, path LIMIT 5")
+def similar_paths(spark, sf_dir):
+    return lookup.similar(documents(spark, sf_dir), "EN/12.md").select("path", F.col("distance").cast("long").alias("distance"))
+
+
+@query("SELECT collection, path, title, docid FROM d WHERE collection = 'src3' AND starts_with(path, 'en/')")
+def list_files(spark, sf_dir):
+    return lookup.list_files(documents(spark, sf_dir), "src3", "en/")
+
+
+@query("SELECT name, path, CASE WHEN octet_length(encode(body)) > 10240 THEN NULL ELSE sha256(body) END AS body_hash FROM (SELECT n AS name, path, body, row_number() OVER (PARTITION BY n ORDER BY filepath) AS r FROM d JOIN (VALUES ('/3.md'), ('/4.md'), ('/5.md')) w(n) ON filepath LIKE '%' || n) WHERE r = 1")
+def multi_lookup(spark, sf_dir):
+    found, _ = lookup.find_many(documents(spark, sf_dir), "/3.md, /4.md, /5.md, nowhere.md")
+    return found.select("name", "path", F.sha2("body", 256).alias("body_hash"))
+
+
+@query("SELECT name FROM (VALUES ('src0'), ('src1'), ('gone')) c(name) UNION SELECT DISTINCT collection FROM d WHERE collection NOT IN ('src0', 'src1', 'src2', 'gone')")
+def default_collections(spark, sf_dir):
+    return lookup.default_collections(roots(spark), documents(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, array_to_string(string_split(body, chr(10))[2:3], chr(10)) AS slice FROM d")
+def body_slice(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.line_slice(F.col("body"), 2, 2).alias("slice"))
+
+
+@query("SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(l) + 1), lambda i: CAST(i AS VARCHAR) || ': ' || l[i]), chr(10))) AS h FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM d)")
+def line_numbers(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(T.numbered(F.col("body")), 256).alias("h"))
+
+
+# --- context
+
+CONTEXTS = "(VALUES ('src0', '', 'all of a'), ('src0', 'en', 'English'), ('src1', 'fr', 'French'), ('src1', 'fr/1', 'first French')) c(c, p, x)"
+
+
+@query(f"SELECT d.collection, d.path, concat_ws(chr(10) || chr(10), 'everything', string_agg(x, chr(10) || chr(10) ORDER BY length(p), x)) AS context FROM d LEFT JOIN {CONTEXTS} ON c = d.collection AND starts_with(d.path, p) GROUP BY 1, 2")
+def context_all(spark, sf_dir):
+    return context.all_contexts(documents(spark, sf_dir), context.entries(roots(spark)), "everything")
+
+
+@query(f"SELECT collection, path, x AS context FROM (SELECT d.collection, d.path, x, row_number() OVER (PARTITION BY d.collection, d.path ORDER BY length(p) DESC) AS r FROM d JOIN {CONTEXTS} ON c = d.collection AND starts_with(d.path, p)) WHERE r = 1")
+def context_longest(spark, sf_dir):
+    return context.longest_context(documents(spark, sf_dir), context.entries(roots(spark)))
+
+
+@query("SELECT name, CASE WHEN name = 'src2' THEN (SELECT count(*) FROM d WHERE collection = 'src2') ELSE 0 END AS documents FROM (VALUES ('src2'), ('gone')) c(name)")
+def collections_without_context(spark, sf_dir):
+    return context.without_context(roots(spark), documents(spark, sf_dir))
+
+
+@query("SELECT DISTINCT collection, split_part(path, '/', 1) AS folder FROM d WHERE (collection, split_part(path, '/', 1)) NOT IN (VALUES ('src0', 'en'), ('src1', 'fr'))")
+def folders_without_context(spark, sf_dir):
+    return context.folders_without_context(documents(spark, sf_dir), context.entries(roots(spark)))
+
+
+# --- lexical search
+
+@query("SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(list_concat(f, list_concat(t, b))) AS term FROM k) GROUP BY 1, 2) GROUP BY term")
+def vocabulary(spark, sf_dir):
+    return index.vocabulary(index.postings(documents(spark, sf_dir)))
+
+
+def _bm25_sql(clauses: list[tuple[str, bool]], tail: str) -> str:
+    """The ranking for clauses (condition on a list's x at i, negated)."""
+    hits = lambda c, l: f"len(list_filter(range(1, len({l}) + 1), lambda i: {c.replace('$', l)}))"
+    cols = ", ".join(f"1.5 * {hits(c, 'f')} + 4.0 * {hits(c, 't')} + 1.0 * {hits(c, 'b')} AS tf{i}" for i, (c, _) in enumerate(clauses))
+    pos = [i for i, (_, no) in enumerate(clauses) if not no]
+    part = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in pos)
+    where = " AND ".join([f"tf{i} {'=' if no else '>'} 0" for i, (_, no) in enumerate(clauses)])
+    dfs = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) OVER () AS df{i}" for i in pos)
+    return f""", h AS (SELECT id, collection, len(f) + len(t) + len(b) AS len, {cols} FROM k), s AS (SELECT *, count(*) OVER () AS n, avg(len) OVER () AS mean, {dfs} FROM h),
+r AS (SELECT id, collection, {part} AS bm FROM s WHERE {where})
+{tail}"""
+
+
+SCORED = "round(bm / (1 + bm), 6) AS score"
+
+
+@query(_bm25_sql([("starts_with($[i], 'the')", False), ("starts_with($[i], 'tion')", False)], f"SELECT id, {SCORED} FROM r ORDER BY bm DESC, id LIMIT 20"))
+def bm25_prefixes(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical("the tion").select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("$[i] = 'of' AND $[i + 1] = 'the'", False), ("starts_with($[i], 'and')", False)], f"SELECT id, {SCORED} FROM r ORDER BY bm DESC, id LIMIT 20"))
+def bm25_phrase(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical('"of the" and').select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'that')", False), ("starts_with($[i], 'with')", True)], f"SELECT id, {SCORED} FROM r ORDER BY bm DESC, id LIMIT 20"))
+def bm25_negation(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical("that -with").select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'for')", False)], f"SELECT id, {SCORED} FROM (SELECT * FROM r ORDER BY bm DESC, id LIMIT 50) WHERE collection = 'src1' ORDER BY bm DESC, id LIMIT 5"))
+def bm25_collection_overfetch(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical("for", 5, "src1").select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'for')", False)], f"SELECT id, {SCORED} FROM r WHERE collection = 'src1' ORDER BY bm DESC, id LIMIT 5"))
+def bm25_collection_exact(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical("for", 5, "src1", exact=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("$[i] = 'src1' AND $[i + 1] = 'es'", False)], f"SELECT id, {SCORED} FROM r ORDER BY bm DESC, id LIMIT 20"))
+def bm25_hyphened(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexical("src1-es").select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'the')", False), ("starts_with($[i], 'tion')", False)], "SELECT id AS file, round(1.0 / row_number() OVER (ORDER BY bm DESC, id), 6) AS score FROM r ORDER BY bm DESC, id LIMIT 10"))
+def hybrid_skip_rerank(spark, sf_dir):
+    return search.hybrid(lexical_index(spark, sf_dir), "the tion").select("file", F.round("score", 6).alias("score"))
+
+
+# --- vectors
+
+@query("SELECT vec_id, round(dist, 6) AS distance FROM near ORDER BY dist, CAST(vec_id AS VARCHAR) LIMIT 25")
+def vector_nearest(spark, sf_dir):
+    return vector.nearest(vectors(spark, sf_dir), query_vector(spark, sf_dir), 25).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT 'label' || label AS id, round(min(1 - dist), 6) * 0 + round(max(1 - dist), 6) AS score FROM (SELECT * FROM near ORDER BY dist, CAST(vec_id AS VARCHAR) LIMIT 30) GROUP BY label ORDER BY max(1 - dist) DESC LIMIT 10")
+def vector_best_per_file(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.concat(F.lit("label"), F.col("label")).alias("hash"), F.lit(0).alias("seq"), F.lit(0).alias("pos"), "hash_seq", "embedding")
+    files = v.select(F.col("hash").alias("id"), "hash", F.lit(True).alias("active")).distinct()
+    return vector.search(v, files, query_vector(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT qid, vec_id, rank FROM (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(b.e, a.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(a.e, a.e))), CAST(b.vec_id AS VARCHAR)) AS rank FROM v a, v b WHERE a.vec_id < 5) WHERE rank <= 7")
+def vector_nearest_of_many(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return vector.nearest_of_many(v, q, 7).select("qid", F.col("hash_seq").cast("long").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- fusion
+
+LISTS = "l AS (SELECT 0 AS list, id AS file, CAST(length(body) AS DOUBLE) AS score FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 1, id, CAST(doc_id % 97 AS DOUBLE) FROM d WHERE doc_id % 3 = 0), rk AS (SELECT list, file, row_number() OVER (PARTITION BY list ORDER BY score DESC, file) AS rank, CASE WHEN list = 0 THEN 2.0 ELSE 1.0 END AS w FROM l), fu AS (SELECT file, sum(w / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0 END AS rrf, min(rank) AS best_rank, count(*) AS lists FROM rk GROUP BY file)"
+
+
+def ranked_lists(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    a = d.filter("doc_id % 2 = 0").select(F.lit(0).alias("list"), F.col("id").alias("file"), F.length("body").cast("double").alias("score"))
+    b = d.filter("doc_id % 3 = 0").select(F.lit(1).alias("list"), F.col("id").alias("file"), (F.col("doc_id") % 97).cast("double").alias("score"))
+    return fusion.rank_lists(a.unionByName(b))
+
+
+@query(f", {LISTS} SELECT file, round(rrf, 9) AS rrf, best_rank FROM fu")
+def rrf_fusion(spark, sf_dir):
+    return fusion.fuse(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0}).select("file", F.round("rrf", 9).alias("rrf"), F.col("best_rank").cast("long").alias("best_rank"))
+
+
+@query(f", {LISTS} SELECT file, round(rrf, 9) AS total, lists FROM fu")
+def rrf_trace(spark, sf_dir):
+    return fusion.trace(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0}).select("file", F.round("total", 9).alias("total"), F.size("contributions").cast("long").alias("lists"))
+
+
+@query(f", {LISTS}, c AS (SELECT file, row_number() OVER (ORDER BY rrf DESC, file) AS place FROM fu ORDER BY rrf DESC, file LIMIT 40) SELECT file, round(w / place + (1 - w) * 0.01 * (place % 7), 9) AS score FROM (SELECT *, CASE WHEN place <= 3 THEN 0.75 WHEN place <= 10 THEN 0.6 ELSE 0.4 END AS w FROM c) ORDER BY w / place + (1 - w) * 0.01 * (place % 7) DESC, file LIMIT 10")
+def position_blend(spark, sf_dir):
+    c = fusion.candidates(fusion.fuse(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0})).withColumn("rerank", 0.01 * (F.col("place") % 7))
+    return fusion.finish(fusion.blend(c), 10).select("file", F.round("score", 9).alias("score"))
+
+
+# --- chunks and snippets
+
+@query()
+def chunks(spark, sf_dir):
+    return chunk.chunk_documents(documents(spark, sf_dir), "id", "body")
+
+
+@query()
+def best_chunks(spark, sf_dir):
+    cut = chunk.chunk_documents(documents(spark, sf_dir).withColumnRenamed("id", "file"), "file", "body")
+    return fusion.best_chunk(cut, "that tion")
+
+
+SNIP = "sn AS (SELECT doc_id, len(l) AS n, l, list_transform(l, lambda x: CAST(contains(lower(x), 'that') AS INT) + CAST(contains(lower(x), 'tion') AS INT)) AS s FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM d)), sb AS (SELECT *, list_position(s, list_max(s)) AS best FROM sn), sc AS (SELECT *, greatest(1, best - 1) AS first, array_to_string(l[greatest(1, best - 1) : best + 2], chr(10)) AS t, least(n, best + 2) - greatest(1, best - 1) + 1 AS c FROM sb)"
+
+
+@query(f", {SNIP} SELECT doc_id, best AS line, '@@ -' || first || ',' || c || ' @@ (' || (first - 1) || ' before, ' || (n - first - c + 1) || ' after)' || chr(10) || CASE WHEN length(t) > 500 THEN substr(t, 1, 497) || '...' ELSE t END AS snippet FROM sc")
+def snippets(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", snippet.snippet(F.col("body"), "that tion").alias("s")).select("doc_id", F.col("s.line").cast("long").alias("line"), "s.snippet")
+
+
+# --- results
+
+@query(r"""SELECT rank, CASE WHEN regexp_matches(title, '[",\n\r]') THEN '"' || replace(title, '"', '""') || '"' ELSE title END || ',' || path AS line FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rank, title, path FROM d) UNION ALL SELECT 0, 'title,path'""")
+def format_csv(spark, sf_dir):
+    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).cast("int").alias("rank"), "title", "path")
+    return formatter.as_csv(rows, ["title", "path"]).select(F.col("rank").cast("long").alias("rank"), "line")
+
+
+@query("SELECT doc_id, sha256(replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS h FROM d")
+def format_xml_escape(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(formatter.xml_escape(F.col("body")), 256).alias("h"))
+
+
+@query("SELECT id, title FROM d ORDER BY title, id LIMIT 10 OFFSET 20")
+def paging(spark, sf_dir):
+    return documents(spark, sf_dir).select("id", "title").orderBy("title", "id").offset(20).limit(10)
+
+
+# --- wiki
+
+PAGES = "p AS (SELECT collection AS project, CAST(doc_id AS VARCHAR) AS title, doc_id, '[[' || (doc_id % 50) || ']] and [[' || (doc_id % 7) || ']]' AS body, ['t' || (doc_id % 5), lang] AS tags FROM d JOIN documents USING (doc_id))"
+
+
+def pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    target = lambda n: F.concat(F.lit("[["), F.col("doc_id") % n, F.lit("]]"))
+    return d.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("title"), "doc_id", F.concat(target(50), F.lit(" and "), target(7)).alias("body"), F.array(F.concat(F.lit("t"), F.col("doc_id") % 5), "lang").alias("tags"), F.array().cast("array<string>").alias("related"), F.array().cast("array<string>").alias("sources"), *[(F.col("doc_id") % (k + 2)).cast("int").alias(c) for k, c in enumerate(wiki.COUNTERS)], F.lit("2026-01-01").alias("updated"))
+
+
+@query(f", {PAGES} SELECT tag, count(*) AS pages, array_to_string(list_sort(list_distinct(list(project))), ',') AS projects FROM (SELECT project, unnest(tags) AS tag FROM p) GROUP BY tag")
+def tag_counts(spark, sf_dir):
+    return health.tag_counts(pages(spark, sf_dir)).withColumn("projects", F.array_join("projects", ","))
+
+
+@query(f", {PAGES}, e AS (SELECT DISTINCT project AS fp, title AS ft, unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1)) AS title FROM p) SELECT p.project, p.title, fp AS from_project, ft AS from_title FROM p JOIN e ON p.title = e.title WHERE p.title <> ft OR p.project <> fp")
+def backlinks(spark, sf_dir):
+    return wiki.backlinks(pages(spark, sf_dir))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS title, CAST(doc_id % 2 + 2 * (doc_id % 3) + doc_id % 4 + doc_id % 5 + 3 * (doc_id % 6) AS BIGINT) AS importance, CAST(doc_id % 7 + doc_id % 8 AS BIGINT) AS hit_count FROM documents")
+def page_importance(spark, sf_dir):
+    p = wiki.scored(pages(spark, sf_dir))
+    return p.select("title", F.col("importance").cast("long").alias("importance"), F.col("hit_count").cast("long").alias("hit_count"))
+
+
+@query("SELECT source AS project, count(*) AS pages FROM documents GROUP BY 1")
+def project_counts(spark, sf_dir):
+    return wiki.overview(pages(spark, sf_dir))["projects"]
+
+
+@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS title, source AS project, 't' || (doc_id % 5) || ',' || lang AS tags, '[[' || (doc_id % 50) || ']] and [[' || (doc_id % 7) || ']]' AS body FROM documents")
+def front_matter_round_trip(spark, sf_dir):
+    t = wiki.render(pages(spark, sf_dir)).select("doc_id", wiki.front_matter(F.col("text")).alias("m"))
+    return t.select("doc_id", "m.title", "m.project", F.array_join("m.tags", ",").alias("tags"), "m.body")
+
+
+# --- sessions and knowledge
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, sha256('---' || chr(10) || 'session_id: ' || conv_id || chr(10) || 'project: p' || chr(10) || 'start_time: a' || chr(10) || 'end_time: b' || chr(10) || 'parser_version: \"1.0\"' || chr(10) || '---' || string_agg(chr(10) || chr(10) || CASE role WHEN 'user' THEN '### User' WHEN 'assistant' THEN '### Assistant' ELSE '### Tool' END || chr(10) || text, '' ORDER BY turn) || chr(10)) AS h FROM conversations GROUP BY conv_id")
+def session_markdown(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("session_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+    s = c.select("session_id", F.lit("p").alias("project"), F.lit("a").alias("start_time"), F.lit("b").alias("end_time"), F.lit("1.0").alias("parser_version"), "messages")
+    return sessions.to_markdown(s).select("session_id", F.sha2("markdown", 256).alias("h"))
+
+
+@query("SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM conversations")
+def token_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM conversations) WHERE spent < 2000")
+def within_budget(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("cost", F.length("text"))
+    return knowledge.within_budget(c, "cost", ["turn"], 2000, ["conv_id"]).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, '[Tool call: run] ' || doc_id AS t FROM documents")
+def strip_tools(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("m", F.concat(F.lit("<details>\n<summary> run </summary>\n\n"), F.substring("text", 1, 50), F.lit("\n</details> "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", knowledge.strip_tools(F.col("m")).alias("t"))
+
+
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", count(*) AS events FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s")
+def idle_sessions(spark, sf_dir):
+    out = idle.ready_sessions(table(spark, sf_dir, "events"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
+
+
+# --- research
+
+CANON = r"cu AS (SELECT page_id, scheme || '://' || host || CASE WHEN path IN ('', '/') THEN CASE WHEN kept = '' THEN '' ELSE '/' END ELSE path END || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)) AS host, regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS path, array_to_string(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?i)(?:utm_[^=&]*|fbclid|gclid|mc_[^=&]*|_hsenc|_hsmi|ref|ref_[^=&]*)(?:=|$)')), '&') AS kept FROM (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages)))"
+
+
+@query(f", {CANON} SELECT page_id, url, substr(sha256(url), 1, 12) AS id FROM cu")
+def canonical_urls(spark, sf_dir):
+    u = T.canonical_url(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", u.alias("url"), T.source_id(u).alias("id"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 200 THEN 'too_short' WHEN n > 5000 THEN 'too_long' WHEN regexp_matches(substr(text, 1, 2000), '(?i)\\b(subscribe to read|paywall|sign up to continue|members only)\\b') THEN 'paywall' ELSE 'ok' END AS verdict FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
+def quality_verdicts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.quality_verdict(F.col("text"), F.lit("https://a.example/x"), F.lit("en"), max_words=5000, languages=["en"]).alias("verdict"))
+
+
+@query("SELECT sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body_hash, count(*) AS n FROM documents GROUP BY 1")
+def body_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(T.body_hash(F.col("text")).alias("body_hash")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN c > 2 * l THEN 'ko' WHEN l > 5 AND c = 0 THEN 'en' WHEN c > 0 THEN 'ko' END AS language FROM (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 1000), '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}\\x{ac00}-\\x{d7af}]')) AS c, len(regexp_extract_all(substr(text, 1, 1000), '[A-Za-z]')) AS l FROM documents)")
+def language_guesses(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.language_guess(F.col("text")).alias("language"))
+
+
+@query("SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, 'https?://[^\\s<>\"''\\])]+')), '[.,;:!?]+$', '') AS url FROM documents")
+def urls_in_documents(spark, sf_dir):
+    return research.urls_in(table(spark, sf_dir, "documents")).distinct()
+
+
+@query()
+def extracted_pages(spark, sf_dir):
+    return research.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "canonical_url", "language", "word_count", "body_hash")
+
+
+@query()
+def first_seen_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("canonical_url", T.canonical_url(F.col("url"))).withColumn("body_hash", T.body_hash(F.col("html")))
+    return research.first_seen(p).select("page_id", "accepted")
+
+
+@query("SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, sum(octet_length(encode(html))) OVER (ORDER BY page_id) AS b FROM pages) WHERE n <= 80 AND b <= 200000")
+def fetch_budget(spark, sf_dir):
+    return research.budgeted(table(spark, sf_dir, "pages").withColumnRenamed("html", "body_md"), 80, 200_000).select("page_id")
+
+
+# --- evaluation
+
+@query(f", {LISTS}, res AS (SELECT list AS query_id, rank, file FROM rk), ex AS (SELECT 0 AS query_id, id AS file FROM d WHERE doc_id % 40 = 0 UNION ALL SELECT 1, id FROM d WHERE doc_id % 25 = 1), m AS (SELECT ex.query_id, ex.file, min(rank) AS r FROM ex LEFT JOIN res ON res.query_id = ex.query_id AND res.file = ex.file GROUP BY 1, 2), a AS (SELECT query_id, count(*) AS n, count(r) AS f, count(*) FILTER (WHERE r <= 10) AS h, min(r) AS first FROM m GROUP BY 1) SELECT query_id, round(h / least(10, n), 9) AS precision_at_k, round(f / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, h AS hits_at_k FROM a")
+def retrieval_metrics(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    want = d.filter("doc_id % 40 = 0").select(F.lit(0).alias("query_id"), F.col("id").alias("file")).unionByName(d.filter("doc_id % 25 = 1").select(F.lit(1).alias("query_id"), F.col("id").alias("file")))
+    got = evaluate.retrieval(ranked_lists(spark, sf_dir).select(F.col("list").alias("query_id"), "rank", "file"), want, 10)
+    return got.select("query_id", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall", "mrr")], "hits_at_k")
+
+
+@query("SELECT round(avg(n_chars % 101), 6) AS mean, round(median(n_chars % 101), 6) AS median, min(n_chars % 101) AS least, max(n_chars % 101) AS most, round(avg(CASE WHEN n_chars % 101 >= 70 THEN 1.0 ELSE 0.0 END), 6) AS share_70 FROM documents")
+def reward_profile(spark, sf_dir):
+    out = evaluate.reward_profile(table(spark, sf_dir, "documents").withColumn("percentage", F.col("n_chars") % 101))
+    return out.select(F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "least", "most", F.round("share_70", 6).alias("share_70"))
+
+
+@query("SELECT CASE WHEN p >= 80 THEN 'Excellent' WHEN p >= 60 THEN 'Good' WHEN p >= 40 THEN 'Acceptable' WHEN p >= 20 THEN 'Poor' ELSE 'Failed' END AS rating, count(*) AS n FROM (SELECT n_chars % 101 AS p FROM documents) GROUP BY 1")
+def reward_bands(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(evaluate.rating(F.col("n_chars") % 101).alias("rating")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lower(substr(text, 1, 6)) AS q, min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(substr(text, 1, 6))), lower(substr(text, 1, 6)) QUALIFY row_number() OVER (PARTITION BY lower(trim(substr(any_value(text), 1, 6))) ORDER BY min(doc_id)) = 1")
+def expansion_dedup(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select(F.substring("text", 1, 6).alias("query"), "doc_id")
+    return expansion.dedup(p, ["doc_id"]).select(F.lower("query").alias("q"), "doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Ranked lexical search over the whole index."""
+    return bm25_prefixes(spark, sf_dir)
