@@ -23,6 +23,8 @@ from siltstone.llm.common import table
 SPACE = "▁"
 #: Distinct units a worker keeps; longer ones than CACHED_CHARS are not kept.
 CACHED_UNITS, CACHED_CHARS = 120_000, 64
+#: Neighbours whose check a worker remembers.
+KNOWN_PAIRS = 500_000
 #: Rows that go back to Spark at a time.
 ROWS = 256
 
@@ -54,18 +56,24 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Kept(dict):
-    """A bounded memo of a function; what `also` gives is another memo's share of the same work."""
+    """A bounded memo of a function in two generations: when the young one is full it becomes the old one, from which what is used again comes back. What `also` gives is another memo's share of the same work."""
 
     def __init__(self, of, also=None):
         super().__init__()
-        self.of, self.also = of, also
+        self.of, self.also, self.old, self.old_also = of, also, {}, {}
 
     def __missing__(self, key):
-        value, other = self.of(key)
+        value = self.old.get(key)
+        if value is not None:
+            other = self.old_also.get(key)
+        else:
+            value, other = self.of(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= CACHED_UNITS:
+                self.old = dict(self)
                 self.clear()
                 if self.also is not None:
+                    self.old_also = dict(self.also)
                     self.also.clear()
             self[key] = value
             if self.also is not None:
@@ -139,6 +147,11 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.plain, self.pairs = plain, {}
         self.sizes = [len(p) for p in self.pieces]
+        # The next shorter piece that a piece starts with, -1 if there is none.
+        self.shorter = [-1] * len(self.pieces)
+        for i in self.left:
+            p = self.pieces[i]
+            self.shorter[i] = next((j for k in range(len(p) - 1, 0, -1) if (j := self.id.get(p[:k], -1)) in self.left), -1)
         self.names = [str(i) for i in range(len(self.pieces))]
         # What a piece alone decodes to; a byte of a longer character has no text of its own.
         self.texts = [None if self.byte_of.get(i, 0) > 127 else chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
@@ -180,11 +193,9 @@ class PieceCodec:
     def compatible(self, a: int, b: int) -> bool:
         """Whether re-merging the texts of a and b gives a and b again."""
         key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 4 * CACHED_UNITS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(a, b)
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[key] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -205,34 +216,36 @@ class PieceCodec:
 
     def _backtrack(self, unit: str) -> list[int]:
         """Ids of a unit whose characters are all pieces and that holds no two space marks in a row."""
-        # The longest pieces from left to right are what is tried first; most units need no more.
-        out, pairs = [i for _, i in self.automaton.iter_long(unit)], self.pairs
-        if all([pairs.get(a << 32 | b) or self.compatible(a, b) for a, b in zip(out, out[1:], strict=False)]):
-            return out
-        n, sizes = len(unit), self.sizes
-        at: list[list] = [[] for _ in unit]
-        for end, i in self.automaton.iter(unit):
-            at[end + 1 - sizes[i]].append(i)  # they come by end, so the longest is last
-        failed, out, counts, pos, k = bytearray(n + 1), [], [], 0, len(at[0]) - 1
-        while pos < n:
-            here = at[pos]
-            last = out[-1] if out else None
-            while k >= 0:
-                i = here[k]
+        pairs, sizes, shorter, n = self.pairs, self.sizes, self.shorter, len(unit)
+        longest = [0] * n
+        for end, i in self.automaton.iter(unit):  # by end, so the longest from each place is set last
+            longest[end + 1 - sizes[i]] = i
+        failed, out, pos, i = bytearray(n + 1), [], 0, longest[0]
+        end = sizes[i]
+        if end < n:  # the first piece has no neighbour to its left
+            out.append(i)
+            pos, i = end, longest[end]
+        else:
+            return [i]
+        while True:
+            last = out[-1] if out else -1
+            while i >= 0:
                 end = pos + sizes[i]
-                if not failed[end] and (last is None or (pairs.get(last << 32 | i) or self.compatible(last, i))):
-                    out.append(i)
-                    counts.append(k)
-                    pos = end
-                    if pos < n:
-                        k = len(at[pos]) - 1
-                    break
-                k -= 1
+                if not failed[end]:
+                    key = last << 32 | i
+                    if last < 0 or (pairs[key] if key in pairs else self.compatible(last, i)):
+                        break
+                i = shorter[i]
             else:
                 failed[pos] = 1
-                pos -= sizes[out.pop()]
-                k = counts.pop() - 1
-        return out
+                i = out.pop()
+                pos -= sizes[i]
+                i = shorter[i]
+                continue
+            out.append(i)
+            if end == n:
+                return out
+            pos, i = end, longest[end]
 
     def _unit(self, unit: str) -> tuple[str, str]:
         """A unit's ids as text, and what they decode to."""
