@@ -2,7 +2,7 @@
 
 A document is the set of its distinct n-grams of words, as 64-bit hashes; equal sets are one set from the start. Candidates come from prefixes in the order of document frequency, rarest first: two sets that reach the threshold share an n-gram among the first n - ceil(t n) + 1 of each. For this the n-grams are dealt by ranges of their hash, packed in five bytes each, and counted there; only those that several sets hold go back to their documents. N-grams of one set alone count as unmatched, so a document whose shared n-grams are fewer than t n is done. N-grams with the same members count as one bucket.
 
-Links are looked for where they can still join components. In each bucket the members are ranked by how many bucket places they share, and the first ranks are compared with all members whose size and unshared n-grams allow a link and which are in another component: first only each document's best partner, then 4, 16, 64, ... partners a bucket until every bucket is one component or has had all its members compared. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost.
+Links are looked for where they can still join components. In each bucket the members are ranked by how many bucket places they share, and the first ranks are compared with all members whose size and place of the shared n-gram (as the first that the pair shares) allow a link and which are in another component: first only each document's best partner, then 4, 16, 64, ... partners a bucket until every bucket is one component or has had all its members compared. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost.
 
 Edge cases: null and empty texts have an empty set and are their own component; fewer words than n make one n-gram of their own kind; repeated rows and equal sets are linked; rows that share a doc_id are one document; no rows give no rows; further columns are ignored."""
 
@@ -173,10 +173,10 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
             cut, span = ends[a : z + 1] - ends[a], slice(ends[a], ends[z])
             yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:z]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(token[span])), pa.ListArray.from_arrays(pa.array(cut), pa.array(df[span]))], schema=held_by)
 
-    entry = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("u", pa.int64())])
+    entry = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shared n-grams in the prefix of each document (doc, n, tokens, dfs): its u n-grams of its own come first in it."""
+        """The shared n-grams in the prefix of each document (doc, n, tokens, dfs), with their places in its order: its own n-grams come first."""
         for b in batches:
             doc, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             lists = [(ts.values.flatten().to_numpy(), fs.values.flatten().to_numpy()) for ts, fs in zip(b.column(2), b.column(3), strict=True)]
@@ -187,36 +187,39 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
                 if take > 0:
                     first = np.lexsort((t, f))[:take]
                     out["token"].append(t[first])
-                    for k, x in (("doc", d), ("n", m), ("u", own)):
+                    for k, x in (("doc", d), ("n", m)):
                         out[k].append(np.full(len(first), x))
+                    out["i"].append(own + np.arange(len(first)))
             yield _batch(entry, **{k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in out.items()})
 
-    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), ("w", pa.int64())])
+    member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("i", pa.int64()), ("w", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        token, doc, n, u = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in entry.names)
-        by = np.lexsort((doc, token))
-        token, doc, n, u = token[by], doc[by], n[by], u[by]
+        token, doc, n, i = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in entry.names)
+        by = np.lexsort((i, doc, token))
+        token, doc, n, i = token[by], doc[by], n[by], i[by]
         own = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]
-        token, doc, n, u = token[own], doc[own], n[own], u[own]
+        token, doc, n, i = token[own], doc[own], n[own], i[own]
         head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         width = np.diff(np.r_[head, len(token)])
         mark = np.add.reduceat(_mix(doc.astype(np.uint64) + np.uint64(1)), head) + width.astype(np.uint64)
-        _, one, times = np.unique(mark, return_index=True, return_counts=True)  # one n-gram for each list of members, with how many it stands for
+        # For each list of members its first n-gram in the global order, which is the first in every member's order too, with how many it stands for.
+        by = np.lexsort((i[head], mark))
+        _, one, times = np.unique(mark[by], return_index=True, return_counts=True)
         use = np.zeros(len(head), np.int64)
-        use[one] = times
+        use[by[one]] = times
         rows = np.repeat((use > 0) & (width > 1), width)
-        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], u=u[rows], w=np.repeat(use, width)[rows])
+        yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], i=i[rows], w=np.repeat(use, width)[rows])
 
     shared = single.mapInArrow(deal, "part int, tokens binary, docs binary, counts binary").repartition("part").mapInArrow(count, "doc long, tokens array<long>, dfs array<int>")
     by_doc = shared.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"), F.sum(F.size("tokens")).alias("s"))
     sized = by_doc.join(sets.groupBy("doc").agg(F.max("n").alias("n")), "doc").filter(f"{den} * s >= {num} * n")
-    listed = sized.select("doc", "n", "tokens", "dfs").mapInArrow(prefixes, "token long, doc long, n long, u long")
-    members = listed.repartition("token").mapInArrow(meet, "bucket long, doc long, n long, u long, w long")
-    members = materialise(members.groupBy("bucket", "doc", "n", "u").agg(F.sum("w").alias("w")), "jaccard-buckets")
+    listed = sized.select("doc", "n", "tokens", "dfs").mapInArrow(prefixes, "token long, doc long, n long, i long")
+    members = listed.repartition("token").mapInArrow(meet, "bucket long, doc long, n long, i long, w long")
+    members = materialise(members.groupBy("bucket", "doc", "n").agg(F.sum("w").alias("w"), F.min("i").alias("i")), "jaccard-buckets")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
     members = members.join(width, "bucket")
     weight = members.groupBy("doc").agg(F.sum("width").alias("weight"))
@@ -231,8 +234,8 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
             own = materialise(own.join(parted, "bucket", "left_semi"), "jaccard-open")
         else:
             own = own.withColumn("comp", F.col("doc"))
-        lead = own.filter((F.col("rank") > least) & (F.col("rank") <= partners)).select("bucket", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("u").alias("up"), F.col("comp").alias("cp"), F.col("weight").alias("wp"), F.col("rank").alias("rp"))
-        pairs = lead.join(own.select("bucket", "doc", "n", "u", "comp", "rank"), "bucket").filter(f"rank > rp and comp <> cp and {den} * least(n, np) >= {num} * greatest(n, np) and {num + den} * least(n - u, np - up) >= {num} * (n + np)")
+        lead = own.filter((F.col("rank") > least) & (F.col("rank") <= partners)).select("bucket", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("i").alias("ip"), F.col("comp").alias("cp"), F.col("weight").alias("wp"), F.col("rank").alias("rp"))
+        pairs = lead.join(own.select("bucket", "doc", "n", "i", "comp", "rank"), "bucket").filter(f"rank > rp and comp <> cp and {den} * least(n, np) >= {num} * greatest(n, np) and {num + den} * least(n - i, np - ip) >= {num} * (n + np)")
         if labels is None:  # each document with its best partner only; the same ranks come again with the next ones
             pairs = pairs.groupBy("doc").agg(F.max(F.struct("wp", F.expr("-p").alias("q"), "p", "np", "n")).alias("b")).select("doc", "b.n", "b.p", "b.np")
         else:
@@ -267,9 +270,9 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
 
 def _likely(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that share enough n-grams of their prefixes. Of the set whose prefix ends first, what the pair shares up to there is in both prefixes, and ceil(t n) - 1 n-grams come after it; so the overlap is at most the shared ones and these."""
-    pairs = materialise(pairs, "jaccard-candidates")
-    of = members.select("doc", "bucket", "w")
-    common = pairs.join(of.select(F.col("doc").alias("p"), "bucket"), "p").join(of, ["doc", "bucket"]).groupBy("doc", "n", "p", "np").agg(F.sum("w").alias("c"))
+    of = members.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # as many as its prefix has n-grams
+    both = pairs.join(of.select(F.col("doc").alias("p"), F.col("m").alias("mp")), "p").join(of, "doc")
+    common = both.withColumn("c", F.aggregate(F.array_intersect(F.map_keys("m"), F.map_keys("mp")), F.lit(0).cast("long"), lambda a, b: a + F.element_at("m", b)))
     rest = f"greatest(({num} * n + {den - 1}) div {den}, ({num} * np + {den - 1}) div {den}) - 1"
     return common.filter(f"{num + den} * (c + {rest}) >= {num} * (n + np)").select("doc", "n", "p", "np")
 
