@@ -22,9 +22,9 @@ from siltstone.llm.common import table
 
 SPACE = "▁"
 #: Distinct units a worker keeps; longer ones than CACHED_CHARS are not kept.
-CACHED_UNITS, CACHED_CHARS = 120_000, 64
+CACHED_UNITS, CACHED_CHARS = 80_000, 64
 #: Neighbours whose check a worker remembers.
-KNOWN_PAIRS = 500_000
+KNOWN_PAIRS = 300_000
 #: Rows that go back to Spark at a time.
 ROWS = 256
 
@@ -56,28 +56,21 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Kept(dict):
-    """A bounded memo of a function in two generations: when the young one is full it becomes the old one, from which what is used again comes back. What `also` gives is another memo's share of the same work."""
+    """A bounded memo of a function in two generations: when the young one is full it becomes the old one, from which what is used again comes back."""
 
-    def __init__(self, of, also=None):
+    def __init__(self, of):
         super().__init__()
-        self.of, self.also, self.old, self.old_also = of, also, {}, {}
+        self.of, self.old = of, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is not None:
-            other = self.old_also.get(key)
-        else:
-            value, other = self.of(key)
+        if value is None:
+            value = self.of(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= CACHED_UNITS:
                 self.old = dict(self)
                 self.clear()
-                if self.also is not None:
-                    self.old_also = dict(self.also)
-                    self.also.clear()
             self[key] = value
-            if self.also is not None:
-                self.also[key] = other
         return value
 
 
@@ -155,8 +148,8 @@ class PieceCodec:
         self.names = [str(i) for i in range(len(self.pieces))]
         # What a piece alone decodes to; a byte of a longer character has no text of its own.
         self.texts = [None if self.byte_of.get(i, 0) > 127 else chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
-        self.text_of = _Kept(lambda u: self._unit(u)[::-1])
-        self.ids_of = _Kept(self._unit, self.text_of)
+        #: By unit its ids, joined by commas, and what they decode to.
+        self.known = _Kept(self._unit)
 
     @staticmethod
     def _text(node) -> str:
@@ -274,7 +267,7 @@ class PieceCodec:
         return self.units((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for u in self.split(text) for x in self.ids_of[u].split(",")]
+        return [int(x) for u in self.split(text) for x in self.known[u][0].split(",")]
 
     def _join(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
@@ -337,8 +330,9 @@ def tokenise(documents: DataFrame, model: bytes, digests: bool = False) -> DataF
                 counts, first, second = [], [], []
                 for text in b.column(1):
                     units = c.split(text.as_py() or "")
-                    ids = ",".join(map(c.ids_of.__getitem__, units))
-                    plain = "".join(map(c.text_of.__getitem__, units))
+                    got = list(map(c.known.__getitem__, units))
+                    ids = ",".join([g for g, _ in got])
+                    plain = "".join([g for _, g in got])
                     plain = plain[1:] if units and c.prefix else plain
                     counts.append(ids.count(",") + 1 if ids else 0)
                     first.append(sha(ids) if digests else array("i", map(int, ids.split(","))) if ids else array("i"))
