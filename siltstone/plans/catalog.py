@@ -509,6 +509,163 @@ def expansion_dedup(spark, sf_dir):
     return expansion.dedup(p, ["doc_id"]).select(F.lower("query").alias("q"), "doc_id")
 
 
+# --- further operators
+
+@query("SELECT collection, CASE WHEN doc_id % 2 = 0 THEN path ELSE upper(path) END AS path FROM d")
+def case_renames(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    new = d.withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.upper("path")))
+    return index.rename_case(d, new).select("collection", "path")
+
+
+@query("SELECT hash, count(*) AS n FROM d WHERE doc_id % 5 <> 0 GROUP BY hash HAVING hash IN (SELECT hash FROM d WHERE doc_id % 7 = 0)")
+def orphan_content(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return health.drop_orphan_content(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 7 = 0")).groupBy("hash").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id AS hash, modified_at AS created_at FROM d ORDER BY modified_at DESC, id LIMIT 50")
+def newest_cache_entries(spark, sf_dir):
+    return health.trim_cache(documents(spark, sf_dir).select(F.col("id").alias("hash"), F.col("modified_at").alias("created_at")), 50)
+
+
+@query("SELECT DISTINCT lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(substr(body, 1, 40)), '[^\\p{L}\\p{N}\\s-]', '', 'g')), '[\\s-]+', '-', 'g'), '^-|-$', '', 'g'))) AS slug FROM d")
+def slugs(spark, sf_dir):
+    return documents(spark, sf_dir).select(T.slug(F.substring("body", 1, 40)).alias("slug")).distinct()
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a-' || doc_id || '/b-c.md' WHEN doc_id % 3 = 1 THEN 'x/' || doc_id || '.md' ELSE doc_id || '-v1.txt' END AS path FROM documents")
+def clean_paths(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a "), n, F.lit("/b__c.md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x___"), n, F.lit("!.md"))).otherwise(F.concat(n, F.lit(".v1.txt")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_path(raw).alias("path"))
+
+
+@query("SELECT doc_id, 'src' || (doc_id % 3) AS collection, 'p/' || doc_id || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 'main' END AS index FROM documents")
+def virtual_paths(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    name = F.concat(F.lit("vault:////src"), F.col("doc_id") % 3, F.lit("/p/"), n, F.lit(".md"), F.when(F.col("doc_id") % 2 == 0, "?index=main").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", T.parse_virtual(name).alias("v")).select("doc_id", "v.collection", "v.path", "v.index")
+
+
+@query("SELECT doc_id, sha256('title: ' || title || ' | text: ' || body) AS document, sha256('task: search result | query: ' || title) AS query FROM d")
+def embedding_prompts(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(vector.prompt(F.col("body"), F.col("title")), 256).alias("document"), F.sha2(vector.prompt(F.col("title"), query=True), 256).alias("query"))
+
+
+@query("SELECT doc_id + 1 AS rank, '#' || docid || ',0.50,' || path AS line FROM d")
+def format_files(spark, sf_dir):
+    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("rank"), "docid", F.lit(0.5).alias("score"), F.col("path").alias("file"))
+    return formatter.as_files(rows)
+
+
+@query("SELECT doc_id + 1 AS rank, '---' || chr(10) || '# ' || title || chr(10) || chr(10) || '**docid:** `#' || docid || '`' || chr(10) || chr(10) || substr(body, 1, 30) || chr(10) AS line FROM d")
+def format_markdown(spark, sf_dir):
+    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("rank"), "docid", "title", F.col("path").alias("file"), F.substring("body", 1, 30).alias("snippet"))
+    return formatter.as_markdown(rows)
+
+
+@query("SELECT doc_id + 1 AS rank, '{\"docid\":\"' || docid || '\",\"file\":\"' || path || '\"}' AS line FROM d")
+def format_json(spark, sf_dir):
+    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("rank"), "docid", F.col("path").alias("file"))
+    return formatter.as_json(rows, ["docid", "file"])
+
+
+@query("SELECT doc_id, 'n' || doc_id AS title, [('k' || doc_id % 3), 'z'][1] AS first_tag, 2 AS tags FROM documents WHERE doc_id % 2 = 0")
+def notes_from_answers(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    body = F.concat(F.lit('{"title": "n'), n, F.lit('", "summary": "s", "tags": ["k'), F.col("doc_id") % 3, F.lit('", "z"]}'))
+    answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 2 == 0, body).otherwise("no json")
+    got = table(spark, sf_dir, "documents").select("doc_id", knowledge.parse_note(answer).alias("n")).filter("n is not null")
+    return got.select("doc_id", "n.title", F.get("n.tags", F.lit(0)).alias("first_tag"), F.size("n.tags").alias("tags"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, string_agg(text, ' ' ORDER BY turn) AS summary, arg_min('t' || turn, turn) AS title, count(*) + 1 AS tags FROM conversations GROUP BY conv_id")
+def merged_notes(spark, sf_dir):
+    t = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    note = F.struct(t.alias("title"), F.col("text").alias("summary"), F.array().cast("array<string>").alias("keyInsights"), F.array(t, F.lit("all")).alias("tags"), F.array().cast("array<string>").alias("relatedTopics"))
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("part"), note.alias("note"))
+    return knowledge.merge_notes(parts).select("session_id", "summary", "title", F.size("tags").cast("long").alias("tags"))
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id FROM conversations WHERE conv_id % 3 <> 0")
+def unprocessed_sessions(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id")).distinct()
+    return knowledge.unprocessed(s, s.withColumn("status", F.when(F.col("session_id").cast("long") % 3 == 0, "processed").otherwise("failed")))
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id FROM conversations GROUP BY conv_id HAVING count(*) < 4")
+def retry_queue(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"))
+    return knowledge.retry_queue(c.distinct(), c, 4)
+
+
+@query("SELECT CAST(user_id % 5 AS VARCHAR) AS topic, count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM events)) AS fetched, round(sum(value), 4) AS cost, arg_max(event_id, event_id) AS last_event FROM events GROUP BY 1")
+def topic_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type")).first()[0]
+    rows = e.select((F.col("user_id") % 5).cast("string").alias("topic"), F.col("event_id").alias("ts"), F.when(F.col("event_type") == first, "fetched").otherwise(F.col("event_id").cast("string")).alias("kind"), F.col("value").alias("cost"), "event_id")
+    got = research.run_status(rows).select("topic", "fetched", F.round("cost", 4).alias("cost"))
+    return got.join(rows.groupBy("topic").agg(F.max("event_id").alias("last_event")), "topic")
+
+
+@query("SELECT CASE WHEN n <= 2 THEN 'short' WHEN n <= 6 THEN 'medium' ELSE 'long' END AS band, lang AS category, count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) AS with_lex, count(*) AS with_vec, 0 AS with_hyde FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents) GROUP BY 1, 2")
+def training_profile(spark, sf_dir):
+    q = F.array_join(F.array_repeat(F.lit("w"), (F.col("doc_id") % 9 + 1).cast("int")), " ")
+    p = table(spark, sf_dir, "documents").select(q.alias("query"), F.col("lang").alias("category"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("lex"), F.lit("vec"))).otherwise(F.array(F.lit("vec"))).alias("types"))
+    return evaluate.dataset_profile(p)
+
+
+@query("SELECT source AS file, count(*) AS lines, count(*) FILTER (WHERE doc_id % 4 <> 0) AS valid, count(*) FILTER (WHERE doc_id % 4 = 0) AS invalid FROM documents GROUP BY 1")
+def training_validation(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 4 == 0, "bad").otherwise("lex")
+    p = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.lit("q").alias("query"), F.array(F.array(kind, F.lit("x"))).alias("output"))
+    return expansion.validation_counts(p)
+
+
+@query("SELECT doc_id, 'hyde: h' || doc_id || chr(10) || 'lex: a b' || chr(10) || 'vec: c' AS text, true AS has_hyde FROM documents")
+def training_lines(spark, sf_dir):
+    raw = F.concat(F.lit("lex: a b\nnoise\n  vec:  c\nhyde: h"), F.col("doc_id").cast("string"), F.lit("\nlex:\n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", expansion.parse_lines(raw).alias("t"))
+    return d.select("doc_id", expansion.render_lines(expansion.hyde_first(F.col("t"))).alias("text"), expansion.has_type(F.col("t"), "hyde").alias("has_hyde"))
+
+
+@query("""SELECT query, type, round(CASE WHEN np > 0 THEN mp / np ELSE 0 END, 9) AS precision, round(mg / ng, 9) AS recall FROM (
+  SELECT query, type, count(*) AS np, count(*) FILTER (WHERE ok) AS mp, CASE WHEN count(*) FILTER (WHERE ok) > 0 THEN 1 ELSE 0 END AS mg, 1 AS ng FROM (
+    SELECT DISTINCT source AS query, 'vec' AS type, CASE WHEN doc_id % 2 = 0 THEN 'alpha beta gamma' ELSE 'delta epsilon' END AS p, doc_id % 2 = 0 AS ok FROM documents) GROUP BY 1, 2)""")
+def expansion_matches(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    p = d.select(F.col("source").alias("query"), F.lit("vec").alias("type"), F.when(F.col("doc_id") % 2 == 0, "alpha beta gamma").otherwise("delta epsilon").alias("text"))
+    g = d.select(F.col("source").alias("query"), F.lit("vec").alias("type"), F.lit("alpha beta").alias("text"))
+    return evaluate.expansion_match(p, g).select("query", "type", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("SELECT 'b' || (doc_id % 3) AS backend, round(avg(doc_id % 10), 6) AS precision_at_k, round(avg(doc_id % 7), 6) AS recall, count(*) AS queries FROM documents GROUP BY 1")
+def benchmark_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("b"), F.col("doc_id") % 3).alias("backend"), (F.col("doc_id") % 10).alias("precision_at_k"), (F.col("doc_id") % 7).alias("recall"), F.lit(0).alias("mrr"), F.lit(0).alias("f1"))
+    return evaluate.summary(d).select("backend", F.round("precision_at_k", 6).alias("precision_at_k"), F.round("recall", 6).alias("recall"), "queries")
+
+
+@query("SELECT 'src0' AS name, 'en' AS prefix, 'changed' AS context UNION ALL VALUES ('src0', '/', 'all of a'), ('src1', 'fr', 'French')")
+def context_changes(spark, sf_dir):
+    c = context.remove(context.put(roots(spark), "src0", "en", "changed"), "src1", "fr/1")
+    return context.entries(c).select(F.col("collection").alias("name"), "prefix", "context")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS title, CAST(doc_id % 5 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS link_count FROM documents")
+def counter_bumps(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    hits = p.filter("doc_id % 2 = 0").select("project", "title", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    return wiki.bump(p, hits, "link_count").select("title", F.col("link_count").cast("long").alias("link_count"))
+
+
+@query("SELECT id, round(CAST(sum(s) AS DOUBLE), 6) AS score FROM (SELECT id, 2.0 * (1 + doc_id % 5) AS s FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT id, 1.0 * (1 + doc_id % 3) FROM d WHERE doc_id % 3 = 0) GROUP BY id ORDER BY sum(s) DESC, id LIMIT 5")
+def similar_pages(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    a, b = d.filter("doc_id % 2 = 0").select("id", (1.0 + F.col("doc_id") % 5).alias("score")), d.filter("doc_id % 3 = 0").select("id", (1.0 + F.col("doc_id") % 3).alias("score"))
+    return wiki.similar_pages(a, b).select("id", F.round("score", 6).alias("score"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked lexical search over the whole index."""
     return bm25_prefixes(spark, sf_dir)
