@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import let, materialise, table
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: What parts words; splitting by it is several times as fast as extracting by its complement.
+GAP, IN_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -36,13 +37,13 @@ def repeated_words(words: Column) -> Column:
 def measure(documents: DataFrame) -> DataFrame:
     """doc_id, the base counts of the whole text, and what the rules look at besides."""
     text = F.coalesce("text", F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    words = F.array_remove(F.split(text, GAP, -1), "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(IN_WORD))
     counts = documents.select("doc_id", text.alias("text"), words.alias("words"), lines.alias("lines"))
     return counts.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
