@@ -115,28 +115,28 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     copies = materialise(sets.join(maybe_broadcast(materialise(least_of.filter("copies > 1"), "jaccard-copied")), key).filter("doc <> rep").select("doc"), "jaccard-copies")
     single = docs.join(maybe_broadcast(copies), "doc", "left_anti")
     ranges = max(64, 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+    packed = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(held: list) -> pa.RecordBatch:
-            doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
             token = h >> np.uint64(24)
             part = (token % np.uint64(ranges)).astype(np.int64)
             by = np.argsort(part.astype(np.uint16), kind="stable") if ranges < 1 << 16 else np.argsort(part, kind="stable")
-            doc, part = doc[by], part[by]
+            doc, n, part = doc[by], n[by], part[by]
             five = np.ascontiguousarray(token[by].view(np.uint8).reshape(-1, 8)[:, :5])
             new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
-            many, own, where = np.diff(np.r_[new, len(doc)]).astype(np.int32), doc[new], part[new]
+            many, own, sizes, where = np.diff(np.r_[new, len(doc)]).astype(np.int32), doc[new], n[new].astype(np.int32), part[new]
             cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
             ends = np.r_[cut[1:], len(where)]
             at = np.r_[new, len(doc)]
-            return _batch(packed, part=where[cut], tokens=[five[at[a] : at[z]].tobytes() for a, z in zip(cut, ends, strict=True)], docs=[own[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], counts=[many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])
+            return _batch(packed, part=where[cut], tokens=[five[at[a] : at[z]].tobytes() for a, z in zip(cut, ends, strict=True)], docs=[own[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], sizes=[sizes[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], counts=[many[a:z].tobytes() for a, z in zip(cut, ends, strict=True)])
 
         held, many = [], 0
         for ids, texts, _ in _chunks(batches):
             doc, h = shingles(texts, size)
             if len(doc):
-                held.append((np.array(ids, np.int64)[doc], h))
+                held.append((np.array(ids, np.int64)[doc], np.bincount(doc, minlength=len(ids))[doc], h))
                 many += len(doc)
             if many >= DEALT:
                 yield pack(held)
@@ -144,53 +144,68 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         if held:
             yield pack(held)
 
-    held_by = pa.schema([("doc", pa.int64()), ("tokens", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
+    back = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("dfs", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
+
+    def unpack(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray] | None:
+        """What the columns' bytes hold, end to end; five-byte n-grams become whole numbers."""
+        got: dict[str, list[bytes]] = {k: [] for k in ["tokens", *kinds]}
+        for b in batches:
+            for k, x in got.items():
+                x += b.column(b.schema.get_field_index(k)).to_pylist()
+        if not got["tokens"]:
+            return None
+        five = np.frombuffer(b"".join(got.pop("tokens")), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(five), 8), np.uint8)
+        wide[:, :5] = five
+        return {"tokens": wide.view(np.int64).ravel(), **{k: np.frombuffer(b"".join(got.pop(k)), t) for k, t in kinds.items()}}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By document, the n-grams of these ranges that several sets hold, with how many."""
-        rows = [r for b in batches for r in zip(*(b.column(c) for c in packed.names[1:]), strict=True)]  # whole ranges: their sizes are near equal
-        if not rows:
+        """The n-grams of these ranges that several sets hold, with how many, on their way back to the documents, which are dealt by their ids."""
+        x = unpack(batches, {"docs": np.int64, "sizes": np.int32, "counts": np.int32})
+        if x is None:
             return
-        five = np.frombuffer(b"".join(t.as_py() for t, _, _ in rows), np.uint8).reshape(-1, 5)
-        token = np.zeros((len(five), 8), np.uint8)
-        token[:, :5] = five
-        token = token.view(np.int64).ravel()
-        doc = np.repeat(np.frombuffer(b"".join(d.as_py() for _, d, _ in rows), np.int64), np.frombuffer(b"".join(c.as_py() for _, _, c in rows), np.int32))
-        del five, rows
+        token, doc, n = x["tokens"], np.repeat(x["docs"], x["counts"]), np.repeat(x["sizes"], x["counts"])
+        del x
         by = np.argsort(token)
-        token, doc = token[by], doc[by]
+        token, doc, n = token[by], doc[by], n[by]
         new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         times = np.diff(np.r_[new, len(token)])
         df = np.repeat(times, times)
         shared = df > 1
-        token, doc, df = token[shared], doc[shared], df[shared]
-        by = np.argsort(doc)
-        token, doc, df = token[by], doc[by], df[by].astype(np.int32)
-        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-        ends = np.r_[new, len(doc)].astype(np.int32)
-        for a in range(0, len(new), 20_000):
-            z = min(a + 20_000, len(new))
-            cut, span = ends[a : z + 1] - ends[a], slice(ends[a], ends[z])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:z]]), pa.ListArray.from_arrays(pa.array(cut), pa.array(token[span])), pa.ListArray.from_arrays(pa.array(cut), pa.array(df[span]))], schema=held_by)
+        token, doc, n, df = token[shared], doc[shared], n[shared], df[shared].astype(np.int32)
+        if not len(token):
+            return
+        part = (_mix(doc.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        by = np.lexsort((doc, part))
+        token, doc, n, df, part = token[by], doc[by], n[by], df[by], part[by]
+        five = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        many = np.diff(np.r_[new, len(doc)]).astype(np.int32)
+        where = part[new]
+        cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        at, ends = np.r_[new, len(doc)], np.r_[cut[1:], len(where)]
+        both = list(zip(cut.tolist(), ends.tolist(), strict=True))
+        own, sizes = doc[new], n[new]
+        of = lambda v, inner: [v[at[a] : at[z]].tobytes() if inner else v[a:z].tobytes() for a, z in both]
+        yield _batch(back, part=where[cut], tokens=of(five, True), dfs=of(df, True), docs=of(own, False), sizes=of(sizes, False), counts=of(many, False))
 
     entry = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shared n-grams in the prefix of each document (doc, n, tokens, dfs), with their places in its order: its own n-grams come first."""
-        for b in batches:
-            doc, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            lists = [(ts.values.flatten().to_numpy(), fs.values.flatten().to_numpy()) for ts, fs in zip(b.column(2), b.column(3), strict=True)]
-            out: dict[str, list] = {k: [] for k in entry.names}
-            for d, m, (t, f) in zip(doc, n, lists, strict=True):
-                own = m - len(t)
-                take = m - (num * m + den - 1) // den + 1 - own
-                if take > 0:
-                    first = np.lexsort((t, f))[:take]
-                    out["token"].append(t[first])
-                    for k, x in (("doc", d), ("n", m)):
-                        out[k].append(np.full(len(first), x))
-                    out["i"].append(own + np.arange(len(first)))
-            yield _batch(entry, **{k: np.concatenate(x) if x else np.zeros(0, np.int64) for k, x in out.items()})
+        """The shared n-grams in the prefix of each document, with their places in its order: its own n-grams come first."""
+        x = unpack(batches, {"dfs": np.int32, "docs": np.int64, "sizes": np.int32, "counts": np.int32})
+        if x is None:
+            return
+        token, df, doc, n = x["tokens"], x["dfs"], np.repeat(x["docs"], x["counts"]), np.repeat(x["sizes"], x["counts"]).astype(np.int64)
+        del x
+        by = np.lexsort((token, df, doc))
+        token, doc, n = token[by], doc[by], n[by]
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        many = np.diff(np.r_[new, len(doc)])
+        own = n - np.repeat(many, many)
+        place = own + np.arange(len(doc)) - np.repeat(new, many)
+        use = place < n - (num * n + den - 1) // den + 1
+        yield _batch(entry, token=token[use], doc=doc[use], n=n[use], i=place[use])
 
     member = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("i", pa.int64()), ("w", pa.int64())])
 
@@ -214,10 +229,8 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         rows = np.repeat((use > 0) & (width > 1), width)
         yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], i=i[rows], w=np.repeat(use, width)[rows])
 
-    shared = single.mapInArrow(deal, "part int, tokens binary, docs binary, counts binary").repartition("part").mapInArrow(count, "doc long, tokens array<long>, dfs array<int>")
-    by_doc = shared.groupBy("doc").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"), F.sum(F.size("tokens")).alias("s"))
-    sized = by_doc.join(sets.groupBy("doc").agg(F.max("n").alias("n")), "doc").filter(f"{den} * s >= {num} * n")
-    listed = sized.select("doc", "n", "tokens", "dfs").mapInArrow(prefixes, "token long, doc long, n long, i long")
+    dealt = single.mapInArrow(deal, "part int, tokens binary, docs binary, sizes binary, counts binary").repartition("part")
+    listed = dealt.mapInArrow(count, "part int, tokens binary, dfs binary, docs binary, sizes binary, counts binary").repartition("part").mapInArrow(prefixes, "token long, doc long, n long, i long")
     members = listed.repartition("token").mapInArrow(meet, "bucket long, doc long, n long, i long, w long")
     members = materialise(members.groupBy("bucket", "doc", "n").agg(F.sum("w").alias("w"), F.min("i").alias("i")), "jaccard-buckets")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
