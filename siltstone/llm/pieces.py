@@ -138,7 +138,7 @@ class PieceCodec:
             self.left[i], self.right[i] = edges[0], edges[1]
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.plain, self.pairs = plain, {}
+        self.plain, self.pairs, self.known_pairs = plain, [{} for _ in self.pieces], 0
         self.sizes = [len(p) for p in self.pieces]
         # The next shorter piece that a piece starts with, -1 if there is none.
         self.shorter = [-1] * len(self.pieces)
@@ -185,10 +185,12 @@ class PieceCodec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether re-merging the texts of a and b gives a and b again."""
-        key = a << 32 | b
-        if len(self.pairs) > KNOWN_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[key] = self._compatible(a, b)
+        if self.known_pairs >= KNOWN_PAIRS:
+            self.known_pairs = 0
+            for row in self.pairs:
+                row.clear()
+        self.known_pairs += 1
+        known = self.pairs[a][b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -209,36 +211,39 @@ class PieceCodec:
 
     def _backtrack(self, unit: str) -> list[int]:
         """Ids of a unit whose characters are all pieces and that holds no two space marks in a row."""
-        pairs, sizes, shorter, n = self.pairs, self.sizes, self.shorter, len(unit)
+        sizes, shorter, rows, n = self.sizes, self.shorter, self.pairs, len(unit)
         longest = [0] * n
         for end, i in self.automaton.iter(unit):  # by end, so the longest from each place is set last
             longest[end + 1 - sizes[i]] = i
-        failed, out, pos, i = bytearray(n + 1), [], 0, longest[0]
-        end = sizes[i]
-        if end < n:  # the first piece has no neighbour to its left
-            out.append(i)
-            pos, i = end, longest[end]
-        else:
+        i = longest[0]
+        pos = sizes[i]
+        if pos == n:
             return [i]
+        out, failed, row = [i], 0, rows[i]  # failed: a bitfield of places
+        i = longest[pos]
         while True:
-            last = out[-1] if out else -1
             while i >= 0:
                 end = pos + sizes[i]
-                if not failed[end]:
-                    key = last << 32 | i
-                    if last < 0 or (pairs[key] if key in pairs else self.compatible(last, i)):
+                if not (failed and failed >> end & 1):
+                    if row is None:
+                        break
+                    fits = row.get(i)
+                    if fits is None:
+                        fits = self.compatible(out[-1], i)
+                    if fits:
                         break
                 i = shorter[i]
             else:
-                failed[pos] = 1
+                failed |= 1 << pos
                 i = out.pop()
                 pos -= sizes[i]
+                row = rows[out[-1]] if out else None
                 i = shorter[i]
                 continue
             out.append(i)
             if end == n:
                 return out
-            pos, i = end, longest[end]
+            row, pos, i = rows[i], end, longest[end]
 
     def _unit(self, unit: str) -> tuple[str, str]:
         """A unit's ids as text, and what they decode to."""
