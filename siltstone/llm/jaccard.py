@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, maybe_broadcast, table
+from siltstone.llm.common import materialise, maybe_broadcast, released, table
 from siltstone.llm.components import components
 from siltstone.llm.substrings import M1, NULL_ID, Ranges, _mix
 
 #: Bytes shingled at a time; n-grams dealt at a time.
-CHUNK, DEALT = 1 << 20, 1_000_000
+CHUNK, DEALT = 1 << 20, 500_000
 #: Fragments of the global order of n-grams.
 FRAGMENTS = 8
 
@@ -109,7 +109,7 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
             n, s1, s2 = _keys(*shingles(texts, size), len(ids))
             yield _batch(summary, doc=ids, n=n, s1=s1, s2=s2)
 
-    sets = materialise(docs.mapInArrow(survey, "doc long, n long, s1 long, s2 long"), "jaccard-sets")
+    sets = materialise(docs.mapInArrow(released(survey), "doc long, n long, s1 long, s2 long"), "jaccard-sets")
     key = ["s1", "s2", "n"]
     least_of = sets.groupBy(*key).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     copies = materialise(sets.join(maybe_broadcast(materialise(least_of.filter("copies > 1"), "jaccard-copied")), key).filter("doc <> rep").select("doc"), "jaccard-copies")
@@ -229,9 +229,9 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
         rows = np.repeat((use > 0) & (width > 1), width)
         yield _batch(member, bucket=np.repeat(mark, width)[rows].view(np.int64), doc=doc[rows], n=n[rows], i=i[rows], w=np.repeat(use, width)[rows])
 
-    dealt = single.mapInArrow(deal, "part int, tokens binary, docs binary, sizes binary, counts binary").repartition("part")
-    listed = dealt.mapInArrow(count, "part int, tokens binary, dfs binary, docs binary, sizes binary, counts binary").repartition("part").mapInArrow(prefixes, "token long, doc long, n long, i long")
-    members = listed.repartition("token").mapInArrow(meet, "bucket long, doc long, n long, i long, w long")
+    dealt = single.mapInArrow(released(deal), "part int, tokens binary, docs binary, sizes binary, counts binary").repartition("part")
+    listed = dealt.mapInArrow(released(count), "part int, tokens binary, dfs binary, docs binary, sizes binary, counts binary").repartition("part").mapInArrow(released(prefixes), "token long, doc long, n long, i long")
+    members = listed.repartition("token").mapInArrow(released(meet), "bucket long, doc long, n long, i long, w long")
     members = materialise(members.groupBy("bucket", "doc", "n").agg(F.sum("w").alias("w"), F.min("i").alias("i")), "jaccard-buckets")
     width = members.groupBy("bucket").agg(F.count("*").alias("width"))
     members = members.join(width, "bucket")
@@ -321,7 +321,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
             yield _batch(part, **out)
 
     wanted = docs.join(maybe_broadcast(roles, n_pairs), "doc")
-    cuts = materialise(wanted.select("doc", "text", "leads").mapInArrow(cut, "p long, doc long, fragment int, tokens array<long>"), "jaccard-fragments")
+    cuts = materialise(wanted.select("doc", "text", "leads").mapInArrow(released(cut), "p long, doc long, fragment int, tokens array<long>"), "jaccard-fragments")
     lead = cuts.filter("doc is null").select("p", "fragment", F.col("tokens").alias("own"))
     both = cuts.filter("doc is not null").join(lead.hint("shuffle_merge"), ["p", "fragment"])
     partial = both.select("p", "doc", "fragment", F.size(F.array_intersect("tokens", "own")).alias("o"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import released, table
 
 LENGTH = 100
 #: Bytes of an anchor; a window of 100 has 64 places for it.
@@ -418,13 +418,13 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
             yield pa.RecordBatch.from_arrays(head + tail, names)
 
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.mapInArrow(anchors, "key long, seg long, doc long, at long").repartition("key").mapInArrow(meet, "doc long, kind byte, start long, end long, place long")
+    found = docs.mapInArrow(released(anchors), "key long, seg long, doc long, at long").repartition("key").mapInArrow(released(meet), "doc long, kind byte, start long, end long, place long")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "place")).alias("marks"))
-    pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks").mapInArrow(fetch, "key long, doc long, start long, end long, bytes binary")
-    runs = pieces.repartition("key").mapInArrow(transform, "doc long, start long, end long")
+    pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks").mapInArrow(released(fetch), "key long, doc long, start long, end long, bytes binary")
+    runs = pieces.repartition("key").mapInArrow(released(transform), "doc long, start long, end long")
     spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     tail = "kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, kept binary"
-    out = docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(cut, f"doc long, n_bytes long, n_removed long, n_spans long, {tail}")
+    out = docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(released(cut), f"doc long, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.select(F.nullif(F.col("doc"), F.lit(NULL_ID)).alias("doc_id"), *names[1:])
 
 
