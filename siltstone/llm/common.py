@@ -66,3 +66,16 @@ def released(run: Callable) -> Callable:
                 trim(0)
 
     return whole
+
+
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most: a batch of texts lies in memory twice, in the JVM and in Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

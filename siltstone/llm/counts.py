@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import released, table
+from siltstone.llm.common import released, small_batches, table
 
 END = "</w>"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -151,7 +151,7 @@ def count_tokens(documents: DataFrame, file: bytes, limit: int = 2048) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, maybe_broadcast, released, table
+from siltstone.llm.common import materialise, maybe_broadcast, released, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.substrings import M1, NULL_ID, Ranges, _mix
 
@@ -101,7 +101,7 @@ def link(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) ->
     """doc_id, n_shingles, component_id: documents whose sets' Jaccard similarity is num/den or more are linked, and a component is named by its least doc_id."""
     import pyarrow as pa
 
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = small_batches(documents).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     summary = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import released, table
+from siltstone.llm.common import released, small_batches, table
 
 SPACE = "▁"
 #: Distinct units a worker keeps; longer ones than CACHED_CHARS are not kept.
@@ -350,7 +350,7 @@ def tokenise(documents: DataFrame, model: bytes, digests: bool = False) -> DataF
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_tokens long, {names[2]} {'string' if digests else 'array<int>'}, {names[3]} string"
-    return documents.select("doc_id", "text").mapInArrow(released(run), schema)
+    return small_batches(documents).select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

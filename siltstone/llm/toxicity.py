@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import maybe_broadcast, released, table
+from siltstone.llm.common import maybe_broadcast, released, small_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sampled labelled rows of each class, characters of a sampled row that are used to fit, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
@@ -186,7 +186,7 @@ def score(documents: DataFrame, model: Severity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5), pa.array(n, pa.int64())], ["doc_id", "severity", "p_toxic", "toxic", "n_words"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, severity double, p_toxic double, toxic boolean, n_words long")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, severity double, p_toxic double, toxic boolean, n_words long")
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Severity:
