@@ -5,7 +5,6 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, jaccard, pieces, secrets, toxicity
 from siltstone.llm.common import materialise, table
