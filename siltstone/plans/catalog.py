@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import bm25, chunk, context, evaluate, expansion, formatter, fusion, health, index, knowledge, lookup, research, snippet, vector, wiki
+from siltstone.operators import chunk, context, evaluate, expansion, formatter, fusion, health, index, knowledge, lookup, research, snippet, vector, wiki
 from siltstone.plans import search
 from siltstone.sources import sessions
 from siltstone.streaming import idle
