@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index: the training text's token postings are stored once, and the windows of the test items are looked up by intersecting offset-adjusted posting lists, rarest terms first.
 
-A term is a word with the word after it (a window of one word is a term by itself), which keeps the lists of common words short. The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its counts order each window's terms; the postings of the rarest give candidate starts (position - offset), which must agree on the RARE rarest; only for the documents and windows that are left are the other terms' postings read, and a window matches where all its terms' adjusted lists meet. The same lists give proximity matches: the window's rarest term with all but one of the next RARE - 1, each within SLOP words of its place.
+A term is a word with the word after it (a window of one word is a term by itself), which keeps the lists of common words short. The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its counts order each window's terms; the postings of the rarest give candidate starts (position - offset), which must agree on the RARE rarest; only for the documents and windows that are left are the other terms' postings read, and a window matches where all its terms' adjusted lists meet. The index gives proximity matches too, whatever other documents hold: all of a window's terms but LOST (so that one altered word is forgiven), each within SLOP words of its place as one of the rarest tells it.
 
 Edge cases: null and empty texts have no words; an item of fewer than `length` words, but not none, is one window; rows that repeat, or share a doc_id or item_id, are the same document or item; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
 The vocabulary and windows of the items are broadcast only under a counted bound, and joined by shuffle beyond it."""
@@ -15,8 +15,8 @@ from siltstone.llm.common import materialise, maybe_broadcast, table
 #: What parts words. Splitting by it is several times as fast as extracting by the complement.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a window (62 at most), terms that candidates must share, words that a proximity match's terms may be off.
-LENGTH, RARE, SLOP = 10, 3, 4
+#: Words of a window (62 at most), terms that candidates must share, words that a proximity match's terms may be off, terms that it may lack: a replaced word breaks two.
+LENGTH, RARE, SLOP, LOST = 10, 3, 4, 2
 
 
 def words_of(text: Column) -> Column:
@@ -60,18 +60,32 @@ def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return materialise(index, "postings")
 
 
-def find(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(doc, start, size, items) of exact matches, and (doc, items) of proximity matches; doc is doc_id, start counts words from 0."""
+def look_up(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows (window, size, items), the index, and each window's terms that the documents hold, ranked by rarity (r); full: they hold all n."""
     spans = materialise(windows(items, length), "windows")
     placed = window_terms(spans)
     index = build_index(documents, materialise(placed.select("word", "next", "term").distinct(), "vocabulary"))
     frequency = materialise(index.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    # A window is ruled out only where the documents lack more of its terms than a proximity match may miss.
+    ranked = placed.drop("word", "next").join(maybe_broadcast(frequency), "term").withColumn("all", F.count("*").over(Window.partitionBy("window"))).filter(F.col("all") >= needed())
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).select("window", "size", "n", "off", "term", "r", (F.col("all") == F.col("n")).alias("full"))
+    return spans.select("window", "size", "items"), index, materialise(ranked, "terms")
+
+
+def needed() -> Column:
+    """Terms of n that a proximity match must have: all but LOST, and two where there are two."""
+    return F.greatest(F.least("n", F.lit(2)), F.col("n") - LOST)
+
+
+BIT = "shiftleft(1L, r - 1)"  # a term's place among its window's terms: repeated rows set it once
+
+
+def find_exact(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc, window, size, start) of exact matches; start counts words from 0."""
     # A term that the documents lack rules its windows out.
-    ranked = placed.drop("word", "next").join(maybe_broadcast(frequency), "term").withColumn("all", F.count("*").over(Window.partitionBy("window"))).filter("all = n")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("window").orderBy("df", "off"))).select("window", "size", "n", "off", "term", "r")
-    terms = materialise(ranked, "terms")
+    terms = ranked.filter("full")
     n_terms = terms.count()
-    bit = F.expr("shiftleft(1L, r - 1)").alias("bit")  # a term's place among its window's terms: repeated rows set it once
+    bit = F.expr(BIT).alias("bit")
     mine = ["doc", "window", "size", "n", (F.col("pos") - F.col("off")).alias("start"), bit]
     first = materialise(index.join(maybe_broadcast(terms.filter("r = 1"), n_terms), "term").select(*mine), "candidates")
     docs = maybe_broadcast(materialise(first.select("doc").distinct(), "candidate-docs"))
@@ -84,16 +98,32 @@ def find(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> tuple[
     wanted = likely.filter(F.col("n") > RARE).join(maybe_broadcast(more, n_terms), "window").select(*place, "term", (F.col("start") + F.col("off")).alias("pos"), bit)
     left = index.join(maybe_broadcast(likely.select("doc").distinct()), "doc", "left_semi").join(maybe_broadcast(more.select("term").distinct(), n_terms), "term", "left_semi")
     found = wanted.join(left, ["doc", "term", "pos"]).groupBy(*place).agg(F.bit_or("bit").alias("bits")).filter(f"bits = shiftleft(1L, n) - shiftleft(1L, {RARE})")
-    exact = found.select(*place).unionByName(likely.filter(F.col("n") <= RARE).select(*place))
-    by_window = maybe_broadcast(spans.select("window", "items"), n_terms)
-    # Proximity: the rarest term's start and the other rare terms' starts, at most SLOP apart, by cells of that width.
-    cell = F.floor(F.col("start") / max(1, SLOP))
-    anchors = first.select("doc", "window", "n", F.col("start").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    others = lists.filter("bit > 1").select("doc", "window", "start", "bit", cell.alias("cell"))
-    close = anchors.join(others, ["doc", "window", "cell"]).filter(F.abs(F.col("start") - F.col("at")) <= SLOP)
-    near = close.groupBy("doc", "window", "n", "at").agg(F.bit_or("bit").alias("bits")).filter(f"bit_count(bits) >= greatest(1, least(n, {RARE}) - 2)").select("doc", "window")
-    near = near.unionByName(first.filter("n = 1").select("doc", "window"))
-    return exact.join(by_window, "window").select("doc", "start", "size", "items"), near.distinct().join(by_window, "window").select("doc", "items")
+    out = ["doc", "window", "size", "start"]
+    return found.select(*out).unionByName(likely.filter(F.col("n") <= RARE).select(*out))
+
+
+def find_near(index: DataFrame, terms: DataFrame, exact: DataFrame) -> DataFrame:
+    """(doc, window) of proximity matches, exact ones among them.
+
+    A match lacks LOST terms at most, so it holds one of any LOST + 1 and two of any LOST + 2: the rarest that there are."""
+    n_terms = terms.count()
+    bit = F.expr(BIT).alias("bit")
+    known = exact.select("doc", "window").distinct()
+    lists = index.join(maybe_broadcast(terms.filter(F.col("r") <= LOST + 2), n_terms), "term").select("doc", "window", "n", (F.col("pos") - F.col("off")).alias("start"), bit)
+    lists = lists.join(maybe_broadcast(known), ["doc", "window"], "left_anti")
+    around = Window.partitionBy("doc", "window").orderBy("start").rangeBetween(-SLOP, SLOP)
+    close = lists.withColumn("bits", F.bit_or("bit").over(around)).filter(f"bit < shiftleft(1L, {LOST + 1}) and bit_count(bits) >= least(n, 2)")
+    places = materialise(close.select("doc", "window", "n", F.col("start").alias("at"), "bits").distinct(), "near-places")
+    # The other terms, in the documents and windows that are left.
+    more = terms.filter(F.col("r") > LOST + 2).join(maybe_broadcast(places.select("window").distinct()), "window", "left_semi").select("window", "off", "term", "r")
+    cells = lambda c: F.floor(c / max(1, SLOP))
+    mid = cells(F.col("at") + F.col("off"))
+    wanted = places.join(maybe_broadcast(more, n_terms), "window").select("doc", "window", "n", "at", "term", "off", bit, F.explode(F.array(mid - 1, mid, mid + 1)).alias("cell"))
+    left = index.join(maybe_broadcast(places.select("doc").distinct()), "doc", "left_semi").join(maybe_broadcast(more.select("term").distinct(), n_terms), "term", "left_semi")
+    found = wanted.join(left.withColumn("cell", cells(F.col("pos"))), ["doc", "term", "cell"]).filter(F.abs(F.col("pos") - F.col("off") - F.col("at")) <= SLOP)
+    both = places.unionByName(found.select("doc", "window", "n", "at", F.col("bit").alias("bits")))
+    held = both.groupBy("doc", "window", "n", "at").agg(F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") >= needed())
+    return known.unionByName(held.select("doc", "window").distinct())
 
 
 def covered(starts: Column) -> Column:
@@ -109,7 +139,11 @@ def covered(starts: Column) -> Column:
 
 def scan(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), n_near for every document."""
-    exact, near = find(documents, items, length)
+    spans, index, terms = look_up(documents, items, length)
+    found = materialise(find_exact(index, terms), "exact")
+    by_window = maybe_broadcast(spans.select("window", "items"))
+    exact = found.join(by_window, "window")
+    near = find_near(index, terms, found).join(by_window, "window")
     hits = exact.groupBy("doc").agg(
         F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("item_ids"),
@@ -121,6 +155,11 @@ def scan(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFr
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity half of op3: n_near items of which a window occurs in the document, as it is or altered."""
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_hit", "n_near")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -152,6 +191,6 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents in which no window of an item occurs."""
-    exact, _ = find(documents, items)
-    bad = materialise(exact.select(F.col("doc").alias("doc_id")).distinct(), "contaminated")
+    _, index, terms = look_up(documents, items)
+    bad = materialise(find_exact(index, terms).select(F.col("doc").alias("doc_id")).distinct(), "contaminated")
     return documents.join(maybe_broadcast(bad), "doc_id", "left_anti").select(documents.columns)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 
 from siltstone.llm import decontaminate as D
 
@@ -54,6 +55,18 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 0), 3: (10, 1)}
 
 
+PASSAGE = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("altered", ["one two x three four five six seven eight nine ten", "one two three four FIVE! x seven eight nine ten", "one two three four five seven eight nine ten"])
+@pytest.mark.parametrize("others", [[], [PASSAGE], ["two three", "x two", "five six and six seven", "six seven"] * 3])
+def test_proximity_whatever_other_documents_hold(spark, tmp_path, altered, others):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, t) for i, t in enumerate([altered, *others, "one two and nine ten"])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in D.op3_proximity(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1), **{i + 1: (10, 1) if t == PASSAGE else (0, 0) for i, t in enumerate(others)}, len(others) + 1: (0, 0)}
+
+
 def test_sql_and_query(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
