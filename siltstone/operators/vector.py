@@ -28,13 +28,20 @@ def nearest(vectors: DataFrame, query: list[float], k: int, column: str = "embed
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "hash_seq", most_queries: int = 1000) -> DataFrame:
-    """The k nearest rows of each of a small table of queries (qid, query): one scan of vectors against a checked broadcast."""
+    """The k nearest rows of each of a table of queries (qid, query): a scan of vectors against a broadcast for each block of most_queries."""
     n = queries.count()
+    blocks = [queries]
     if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} at once")
-    pairs = vectors.join(F.broadcast(queries)).select("qid", key, cosine_distance(F.col(column), F.col("query")).alias("distance"))
+        # Equal qids share a block, so that they are ranked together.
+        numbered = queries.withColumn("_block", F.floor((F.dense_rank().over(Window.orderBy("qid")) - 1) / most_queries))
+        blocks = [numbered.filter(F.col("_block") == b).drop("_block") for b in range(-(-n // most_queries))]
     w = Window.partitionBy("qid").orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = None
+    for q in blocks:
+        pairs = vectors.join(F.broadcast(q)).select("qid", key, cosine_distance(F.col(column), F.col("query")).alias("distance"))
+        found = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def search(chunks: DataFrame, documents: DataFrame, query: list[float], limit: int = 10, collection: str | None = None, source_type: str | None = None) -> DataFrame:

@@ -298,6 +298,14 @@ def vector_nearest_of_many(spark, sf_dir):
     return vector.nearest_of_many(v, q, 7).select("qid", F.col("hash_seq").cast("long").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT qid, vec_id, rank FROM (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(b.e, a.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(a.e, a.e))), CAST(b.vec_id AS VARCHAR)) AS rank FROM v a, v b WHERE a.vec_id % 100 = 0) WHERE rank <= 7")
+def vector_nearest_of_hundredths(spark, sf_dir):
+    """Every vector whose id is divisible by 100 against all."""
+    v = vectors(spark, sf_dir)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return vector.nearest_of_many(v, q, 7).select("qid", F.col("hash_seq").cast("long").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- fusion
 
 LISTS = "l AS (SELECT 0 AS list, id AS file, CAST(length(body) AS DOUBLE) AS score FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 1, id, CAST(doc_id % 97 AS DOUBLE) FROM d WHERE doc_id % 3 = 0), rk AS (SELECT list, file, row_number() OVER (PARTITION BY list ORDER BY score DESC, file) AS rank, CASE WHEN list = 0 THEN 2.0 ELSE 1.0 END AS w FROM l), fu AS (SELECT file, sum(w / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0 END AS rrf, min(rank) AS best_rank, count(*) AS lists FROM rk GROUP BY file)"
