@@ -43,6 +43,11 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df.hint("shuffle_merge")
 
 
+def document_key() -> Column:
+    """What a document is known by in joins, never null: its doc_id, and where that is null, its text, so that others without a doc_id are apart from it."""
+    return F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("of_text"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often and wherever body uses it."""
     return F.transform(F.array(value), body)[0]

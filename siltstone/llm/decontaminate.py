@@ -2,7 +2,7 @@
 
 A term is a word with the word after it (a window of one word is a term by itself), which keeps the lists of common words short. The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its counts order each window's terms; the postings of the rarest give candidate starts (position - offset), which must agree on the RARE rarest; only for the documents and windows that are left are the other terms' postings read, and a window matches where all its terms' adjusted lists meet. The index gives proximity matches too, whatever other documents hold: all of a window's terms but LOST (so that one altered word is forgiven), each within SLOP words of its place as one of the rarest tells it.
 
-Edge cases: null and empty texts have no words; an item of fewer than `length` words, but not none, is one window; rows that repeat, or share a doc_id or item_id, are the same document or item; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
+Edge cases: null and empty texts have no words; an item of fewer than `length` words, but not none, is one window; rows that repeat, or share a doc_id or item_id, are the same document or item; documents with a null doc_id are told apart by their texts; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
 The vocabulary and windows of the items are broadcast only under a counted bound, and joined by shuffle beyond it."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, maybe_broadcast, table
+from siltstone.llm.common import document_key, materialise, maybe_broadcast, table
 
 #: What parts words. Splitting by it is several times as fast as extracting by the complement.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -45,8 +45,8 @@ def window_terms(spans: DataFrame) -> DataFrame:
 
 
 def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, doc, pos) of the vocabulary (word, next, term), written without a shuffle."""
-    split = documents.select(F.col("doc_id").alias("doc"), words_of(F.col("text")).alias("w"))
+    """Postings (term, doc, pos) of the vocabulary (word, next, term), written without a shuffle; doc is the document's key."""
+    split = documents.select(document_key().alias("doc"), words_of(F.col("text")).alias("w"))
     pairs = split.select("doc", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("pos", "t"))
     # Lower case by the fast function first; where that also folds letters beyond A-Z, the exact form decides.
     rows = pairs.select("doc", "pos", F.col("t.a").alias("a"), F.col("t.b").alias("b"))
@@ -150,8 +150,8 @@ def scan(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFr
     )
     loose = near.groupBy("doc").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
     hits = hits.select("doc", covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids").join(loose, "doc", "full_outer")
-    counted = documents.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(hits, F.col("doc_id") == F.col("doc"), "left")
+    counted = documents.select("doc_id", document_key().alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(hits, F.col("key") == F.col("doc"), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
@@ -192,5 +192,5 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 def drop_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents in which no window of an item occurs."""
     _, index, terms = look_up(documents, items)
-    bad = materialise(find_exact(index, terms).select(F.col("doc").alias("doc_id")).distinct(), "contaminated")
-    return documents.join(maybe_broadcast(bad), "doc_id", "left_anti").select(documents.columns)
+    bad = materialise(find_exact(index, terms).select(F.col("doc").alias("bad")).distinct(), "contaminated")
+    return documents.join(maybe_broadcast(bad), document_key() == F.col("bad"), "left_anti").select(documents.columns)

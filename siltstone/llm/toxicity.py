@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import maybe_broadcast, released, small_batches, table
+from siltstone.llm.common import document_key, maybe_broadcast, released, small_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sampled labelled rows of each class, characters of a sampled row that are used to fit, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
@@ -201,5 +201,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those that the model finds toxic."""
-    bad = score(documents, fitted(documents, labels)).filter("toxic").select("doc_id").distinct()
-    return documents.join(maybe_broadcast(bad), "doc_id", "left_anti").select(documents.columns)
+    keyed = documents.select(document_key().alias("doc_id"), "text")
+    bad = score(keyed, fitted(documents, labels)).filter("toxic").select(F.col("doc_id").alias("bad")).distinct()
+    return documents.join(maybe_broadcast(bad), document_key() == F.col("bad"), "left_anti").select(documents.columns)

@@ -67,6 +67,15 @@ def test_proximity_whatever_other_documents_hold(spark, tmp_path, altered, other
     assert got == {0: (0, 1), **{i + 1: (10, 1) if t == PASSAGE else (0, 0) for i, t in enumerate(others)}, len(others) + 1: (0, 0)}
 
 
+def test_null_doc_ids(spark):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rows = [(None, f"a {PASSAGE} b"), (None, "clean"), (None, None), (1, PASSAGE), (2, "clean"), (None, PASSAGE.replace("five", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_words"], r["n_hit"], r["n_near"]) for r in D.scan(docs, items).filter("doc_id is null").collect())
+    assert got == [(0, 0, 0), (1, 0, 0), (10, 0, 1), (12, 10, 1)]
+    assert sorted(map(str, (tuple(r) for r in D.drop_contaminated(docs, items).collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+
+
 def test_sql_and_query(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -50,6 +50,15 @@ def test_frames(spark):
     assert not any(r["toxic"] for r in T.score(df, T.fitted(df, labels)).collect())
 
 
+def test_toxic_rows_without_doc_id_are_dropped(spark):
+    rows = [(k, f"vilest filth{k} here" if k % 2 else f"fine day{k} here", k % 2) for k in range(80)]
+    odd = [(None, "vilest vilest filth", 0), (None, "fine day here", 0), (None, None, 0)]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    kept = T.drop_toxic(spark, df.drop("toxic"), df.drop("text")).collect()
+    assert {r["text"] for r in kept if r["doc_id"] is None} == {"fine day here", None}
+    assert {r["doc_id"] for r in kept} == {None, *range(0, 80, 2)}
+
+
 def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
