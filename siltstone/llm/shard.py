@@ -1,8 +1,8 @@
 """Sharding by minimax contiguous partition: binary-search the smallest feasible shard capacity over the ordered sizes of atomic groups, check each by a greedy pass, and cut there.
 
-Groups are the sets of equal texts, in the order of their smallest doc_id. Sizes never leave the cluster as a whole: the driver sees sums of blocks (as many as partitions), and then only the group boundaries that lie where a cut can fall.
+Groups are the sets of equal texts, in the order of their smallest doc_id, ties by the hash of the text. Sizes never leave the cluster as a whole: the driver sees sums of blocks (as many as partitions), and then only the group boundaries that lie where a cut can fall.
 
-Edge cases: a null text is a group apart from the empty text and weighs 1 byte; fewer groups than shards leave the last shards empty; a group larger than an even share sets the capacity, and the greedy cut then fills the first shards up to it; repeated doc_ids are separate rows; no rows give no rows; further columns are ignored."""
+Edge cases: a null text is a group apart from the empty text and weighs 1 byte; fewer groups than shards leave the last shards empty; a group larger than an even share sets the capacity, and the greedy cut then fills the first shards up to it; repeated doc_ids are separate rows; groups that have no doc_id but null come first, and null doc_ids are dealt like any others; no rows give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -98,16 +98,18 @@ def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
         documents.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("sha"), F.col("text").isNull().alias("absent")),
         "shard-rows",
     )
-    groups = rows.groupBy("sha", "absent").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = rows.groupBy("sha", "absent").agg(F.struct(F.min("doc_id").alias("doc_id"), "absent", "sha").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     groups = materialise(groups.repartitionByRange("first").withColumn("block", F.spark_partition_id()), "shard-groups")
     placed, cuts, _ = cut_offsets(groups.select("first", "bytes", "block"), shards)
-    # The first doc_id of each shard after shard 0: one row a cut.
-    starts = sorted(r["first"] for r in placed.filter((F.col("end") - F.col("bytes")).isin(cuts[:-1])).select("first").collect()) if len(cuts) > 1 else []
+    # The first group of each shard after shard 0: one row a cut. As parts of a struct nulls compare, below all else.
+    starts = [r["first"] for r in placed.filter((F.col("end") - F.col("bytes")).isin(cuts[:-1])).select("first").collect()] if len(cuts) > 1 else []
+    id_type = documents.schema["doc_id"].dataType
     shard = F.lit(0)
     for s in starts:
-        shard = shard + (F.col("first") >= s).cast("int")
+        at = F.struct(F.lit(s["doc_id"]).cast(id_type).alias("doc_id"), F.lit(s["absent"]).alias("absent"), F.lit(bytes(s["sha"])).alias("sha"))
+        shard = shard + (F.col("first") >= at).cast("int")
     shared = groups.filter("n > 1").select("sha", "absent", "first")
-    of_group = rows.join(shared, ["sha", "absent"], "left").withColumn("first", F.coalesce("first", "doc_id"))
+    of_group = rows.join(shared, ["sha", "absent"], "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "absent", "sha")))
     dealt = materialise(of_group.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard")).repartitionByRange("doc_id").withColumn("block", F.spark_partition_id()), "shard-dealt")
     counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n")).orderBy("shard", "block").collect()  # partitions x shards rows
     before, at = [], {}

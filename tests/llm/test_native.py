@@ -132,6 +132,21 @@ def test_sharding_is_minimax(spark, sf, case, monkeypatch):
     assert shard.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_sharding_keeps_null_doc_ids(spark):
+    rows = [(None, f"n{i}" * 9, "s", 1) for i in range(40)] * 2 + [(i // 3, f"t{i}" * 9, "s", 1) for i in range(60)] + [(None, None, "s", 1), (None, "t5" * 9, "s", 1)]
+    out = shard.shard_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in out) == Counter((i, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    shards = {}
+    for r in out:
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in shards.values()) and {s for x in shards.values() for s in x} == set(range(8))
+    load = Counter()
+    for r in out:
+        load[r["shard"]] += r["size"]
+        assert 0 <= r["slot"] < sum(x["shard"] == r["shard"] for x in out)
+    assert len({(r["shard"], r["slot"]) for r in out}) == len(rows) and max(load.values()) - min(load.values()) < 100
+
+
 def test_sizes_near_equal(spark):
     out = shard.op4_sharding(spark, "/root/testdata/sf0.01").groupBy("shard").sum("size").collect()
     sizes = [r[1] for r in out]
