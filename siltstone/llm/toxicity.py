@@ -1,6 +1,6 @@
 """Toxicity as severity: cumulative-link (proportional odds) regression on sparse text features. One weight vector is shared by all ordered thresholds, P(grade <= k) = sigmoid(t_k - w.x), and the output is the expected severity.
 
-Features of a document are counted over its words: the words themselves and their first four and five letters, which also catch inflected forms. The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS a class, those with the least hash of doc_id, so the sample doesn't depend on partitions); everything else sees all rows. Features that lean to the toxic class by the G statistic are fitted. Labels say only toxic or not, so toxic training rows get their grade 1 to 3 by how many of their words have such a feature, and no such feature may lower the severity.
+Features of a document are counted over its words: the words themselves and their first four and five letters, which also catch inflected forms. The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS a class, those with the least hash of doc_id, so the sample doesn't depend on partitions), each counted whole in the executors: its distinct words' counts go to the driver, not its text; everything else sees all rows. Features that lean to the toxic class by the G statistic are fitted. Labels say only toxic or not, so toxic training rows get their grade 1 to 3 by how many of their words have such a feature, and no such feature may lower the severity.
 The fitted weights (MAX_FEATURES strings at most) go to the executors with the task.
 
 Edge cases: null and empty texts have no features and get the baseline severity; labels with a null or repeated doc_id, without a document or with a null toxic are left out or count once; with no toxic or no clean labelled row nothing is rejected (severity 0); repeated rows each give a row; no rows give no rows; further columns are ignored."""
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import document_key, maybe_broadcast, released, small_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Sampled labelled rows of each class, characters of a sampled row that are used to fit, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
-SAMPLE_ROWS, FIT_CHARS, MAX_FEATURES, MARK_RATIO, LEAST_G, GRADES = 3000, 20_000, 20_000, 4.0, 15.0, 4
+#: Sampled labelled rows of each class, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
+SAMPLE_ROWS, MAX_FEATURES, MARK_RATIO, LEAST_G, GRADES = 3000, 20_000, 4.0, 15.0, 4
 CACHED = 100_000
 
 
@@ -91,16 +91,26 @@ def association(a: int, n: int, b: int, m: int) -> float:
     return 2 * out
 
 
-def unlike(texts: list[str], toxic: list[bool]) -> list[int]:
-    """Rows of the sample without near copies of rows before them in the class, whose rare words would look toxic: those that share none of three min-hashes of word triples."""
+#: What the fit needs of a text: its distinct words in the order of their first places, their counts, three min-hashes of its word triples.
+Profile = tuple[list[str], list[int], list[int]]
+
+
+def profile(text: str) -> Profile:
     import xxhash
 
+    w = WORD.findall(text.lower())
+    many = Counter(w)
+    triples = np.fromiter((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), dtype=np.uint64)
+    least = [int((triples * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    return list(many), list(many.values()), least
+
+
+def unlike(profiles: list[Profile], toxic: list[bool]) -> list[int]:
+    """Rows of the sample without near copies of rows before them in the class, whose rare words would look toxic: those that share none of three min-hashes of word triples."""
     seen: set[tuple] = set()
     out = []
-    for k, (t, x) in enumerate(zip(texts, toxic, strict=True)):
-        w = WORD.findall(t.lower())
-        triples = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], dtype=np.uint64)
-        keys = {(x, j, int((triples * np.uint64(m)).min())) for j, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))}
+    for k, ((_, _, least), x) in enumerate(zip(profiles, toxic, strict=True)):
+        keys = {(x, j, h) for j, h in enumerate(least)}
         if not keys & seen:
             out.append(k)
         seen |= keys
@@ -108,35 +118,44 @@ def unlike(texts: list[str], toxic: list[bool]) -> list[int]:
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Severity:
-    """The model of a sample held in memory."""
-    kept = unlike(texts, toxic)
-    texts, toxic = [texts[k] for k in kept], [toxic[k] for k in kept]
+    """The model of texts held in memory."""
+    return fit_profiles([profile(t) for t in texts], toxic)
+
+
+def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
+    """The model of a sample."""
+    kept = unlike(profiles, toxic)
+    profiles, toxic = [profiles[k] for k in kept], [toxic[k] for k in kept]
     n, m = sum(toxic), len(toxic) - sum(toxic)
     if not n or not m:
         return Severity({}, [60.0] * (GRADES - 1))
 
-    def held(text: str) -> Counter:
-        return Counter(f for w in WORD.findall(text.lower()) for f in features(w))
+    def held(p: Profile) -> Counter:
+        out: Counter = Counter()
+        for w, c in zip(p[0], p[1], strict=True):
+            for f in features(w):
+                out[f] += c
+        return out
 
     in_toxic: Counter = Counter()
-    for t, x in zip(texts, toxic, strict=True):
+    for t, x in zip(profiles, toxic, strict=True):
         if x:
             in_toxic.update(held(t).keys())
     in_toxic = Counter({f: c for f, c in in_toxic.items() if c >= (3 if n >= 100 else 2)})
     in_clean: Counter = Counter()
-    for t, x in zip(texts, toxic, strict=True):
+    for t, x in zip(profiles, toxic, strict=True):
         if not x:
             in_clean.update(f for f in held(t) if f in in_toxic)
     strength = {f: association(c, n, in_clean[f], m) for f, c in in_toxic.items() if c / n >= MARK_RATIO * (in_clean[f] + 0.5) / m}
     chosen = sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))[:MAX_FEATURES]
     number = {f: k for k, f in enumerate(chosen)}
     rows, values, many = [], [], []
-    for t in texts:
+    for t in profiles:
         h = held(t)
         own = [f for f in h if f in number]
         rows.append(np.array([number[f] for f in own], dtype=np.int64))
         values.append(np.array([h[f] for f in own], dtype=float))
-        many.append(sum(any(f in number for f in features(x)) for x in WORD.findall(t.lower())))
+        many.append(sum(c for w, c in zip(t[0], t[1], strict=True) if any(f in number for f in features(w))))
     is_toxic, marked = np.array(toxic), np.array(many)
     cuts = np.quantile(marked[is_toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grades = np.where(is_toxic, 1 + np.searchsorted(cuts, marked, side="left"), 0)
@@ -144,15 +163,27 @@ def fit(texts: list[str], toxic: list[bool]) -> Severity:
     return Severity({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, [float(x) for x in at])
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bool]]:
-    """At most `rows` labelled texts of each class: those whose doc_id hashes least."""
+def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Profile, bool]]:
+    """Profiles of at most `rows` labelled texts of each class: those whose doc_id hashes least."""
+    import pyarrow as pa
+
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
     picked = known.filter("toxic").orderBy("h", "doc_id").limit(rows).unionByName(known.filter("not toxic").orderBy("h", "doc_id").limit(rows))
     few = F.broadcast(picked.select("doc_id", "toxic"))  # 2 x rows at most
-    got = documents.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(few, "doc_id").dropDuplicates(["doc_id"]).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [profile(t.as_py() or "") for t in b.column(1)]
+            # No word holds a space. Unsigned hashes go as the signed ones of the same bits.
+            least = np.array([h for _, _, h in found], dtype=np.uint64).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(w) for w, _, _ in found], pa.string()), pa.array([c for _, c, _ in found], pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts", "least"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    rows_of = small_batches(documents).select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic")
+    got = rows_of.mapInArrow(released(run), f"doc_id {id_type}, toxic boolean, words string, counts array<int>, least array<bigint>").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r["doc_id"])
-    return [(r["text"] or "", r["toxic"]) for r in got]
+    return [((r["words"].split(" ") if r["words"] else [], r["counts"], r["least"]), r["toxic"]) for r in got]
 
 
 class _Weights(dict):
@@ -191,7 +222,7 @@ def score(documents: DataFrame, model: Severity) -> DataFrame:
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Severity:
     got = sample(documents, labels)
-    return fit([t for t, _ in got], [x for _, x in got])
+    return fit_profiles([p for p, _ in got], [x for _, x in got])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

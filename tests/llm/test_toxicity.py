@@ -50,6 +50,18 @@ def test_frames(spark):
     assert not any(r["toxic"] for r in T.score(df, T.fitted(df, labels)).collect())
 
 
+def test_fit_sees_whole_texts(spark):
+    words = [f"w{i}x" for i in range(400)]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 4000)) + (" vilest" * 3 if k % 2 else "") for k in range(60)]
+    assert min(map(len, texts)) > 20_000
+    rows = [(k, t, k % 2) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = T.fitted(df.drop("toxic"), df.drop("text"))
+    assert model == T.fit(texts, [bool(k % 2) for k in range(60)]) and model.weights.get("vilest", 0) > 0
+    assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in T.score(df, model).collect())
+
+
 def test_toxic_rows_without_doc_id_are_dropped(spark):
     rows = [(k, f"vilest filth{k} here" if k % 2 else f"fine day{k} here", k % 2) for k in range(80)]
     odd = [(None, "vilest vilest filth", 0), (None, "fine day here", 0), (None, None, 0)]
