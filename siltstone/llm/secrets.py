@@ -1,6 +1,6 @@
 """Secret scans: patterns, and sliding-window Shannon entropy by character class over candidate strings, with allow-list suppression, in Spark expressions only.
 
-A candidate is a maximal run of a class's characters. A window of fixed length slides over it; the sum of c*log2(c) over the window's characters changes by the table F[c] only for the character that enters and the one that leaves, so each step looks at two counts. A candidate whose best window reaches the class's limit is a span, unless an allow-list pattern explains it or a pattern span covers it.
+A candidate is a maximal run of a class's characters. A window of fixed length slides over it; the sum of c*log2(c) over the window's characters changes by the table F[c] only for the character that enters and the one that leaves, so each step looks at two counts. A candidate whose best window reaches the class's limit is a span, unless an allow-list pattern explains it or the spans of patterns (and, for base64, of hex candidates) cover all of it. One that they cover in part stays whole; redact merges overlaps.
 
 Edge cases: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows each give a row; no rows give no rows; further columns are ignored."""
 
@@ -74,6 +74,12 @@ def window_entropy(s: Column, window: int) -> Column:
     return F.when(F.length(s) > 0, let(table_, scan)).otherwise(0.0)
 
 
+def _covered(x: Column, spans: Column) -> Column:
+    """Whether spans, sorted by start, cover all of x between them."""
+    reach = F.aggregate(spans, x["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    return reach >= x["end"]
+
+
 def _entropy_spans(text: Column, base: Column, kind: int) -> Column:
     pattern, window, least = CLASSES[KINDS[kind]]
 
@@ -82,8 +88,7 @@ def _entropy_spans(text: Column, base: Column, kind: int) -> Column:
         ok = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
         for a in ALLOW:
             ok = ok & ~m.rlike(a)
-        covered = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.when(ok, ~covered & (window_entropy(m, window) >= least)).otherwise(False)
+        return F.when(ok, ~_covered(x, base) & (window_entropy(m, window) >= least)).otherwise(False)
 
     return _spans(text, pattern, kind, secret)
 
@@ -100,7 +105,7 @@ def _found(rows: DataFrame) -> DataFrame:
     more = [_entropy_spans(F.col("text"), F.col("base"), k) for k in range(3, len(KINDS))]
     hexes, rest = more[0], more[1]
     rows = rows.select("*", hexes.alias("hexes"))
-    distinct = F.filter(rest, lambda x: ~F.exists(F.col("hexes"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    distinct = F.filter(rest, lambda x: ~_covered(x, F.array_sort(F.concat("base", "hexes"))))
     return rows.select("*", F.array_sort(F.concat("base", "hexes", distinct)).alias("spans"))
 
 
