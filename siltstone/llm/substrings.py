@@ -1,12 +1,16 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that starts earlier are removed, over all documents.
 
-Within a task, threshold-bounded interval expansion decides which strings are equal: starting from the empty string, breadth-first backward extension on a Burrows-Wheeler transform splits suffix intervals by the character before them, which derives common prefixes by increasing value; it stops at `length`, so what is then still in one interval has a common prefix of at least that.
+Threshold-bounded interval expansion decides which strings are equal: starting from the empty string, breadth-first backward extension on a Burrows-Wheeler transform splits suffix intervals by the character before them, which derives common prefixes by increasing value; it stops at `length`, so what is then still in one interval has a common prefix of at least that. The transform needs its suffixes in order, which says nothing yet of where common prefixes end; the borders come from the expansion alone, and no byte is removed without it.
 
-Which strings have to meet in a task is settled by their own bytes. Each window of `length` bytes has an anchor, its least-hashed GRAM-byte string (the leftmost of equals); windows in a row with one anchor form a segment. Equal windows have equal anchors at equal places, so segments are dealt by anchor. Segments that are equal as a whole (copies) are aggregated first, before and after the shuffle, so that a passage in a third of all documents leaves one row a task: all but the first are covered. Of what is left, only the first of each distinct segment of an anchor that has several goes on, with its bytes, to the transform.
+Which strings have to meet in a transform is settled by their own bytes. Each window of `length` bytes has an anchor, its least-hashed GRAM-byte string (the leftmost of equals); windows in a row with one anchor form a segment. Equal windows have equal anchors at equal places.
 
-Steps and what they move: anchors (a hash, a segment hash, a place; about one in 33 bytes), then, for anchors that recur with different segments only, those segments' bytes, then marks merged to runs. Documents are shuffled by doc_id once; both joins use that exchange.
+1. Slices of the texts are searched for segments that repeat in them. Runs of such segments and what they repeat go through a transform on the spot, so that a passage in a third of all documents leaves one row a slice; the first of each distinct segment goes on, as hashes and a place.
+2. Rows meet by anchor; those whose anchor recurs are candidates. Their documents send their bytes on, a segment as two pieces: a window holds the `half` bytes before its anchor or those after it, so each piece goes by the hash of the anchor with that side. Of anchors with more than HOT rows each window is a piece of its own and goes by its own hash, so that a common string shorter than `length` brings nothing together.
+3. Pieces meet by hash, in order, a transform's block at a time. A block carries on what the blocks before it could not remove; where that grows too large, the windows are sorted by hash and blocks hold windows.
 
-Edge cases: null and empty texts have no bytes and no spans; texts shorter than `length` lose nothing; order is (doc_id, start); rows that share a doc_id are ordered by their text's hash and otherwise apart, of identical rows with one doc_id all count as the same document; no rows give no rows; further columns are ignored. A segment is known by the 64-bit hash of its anchor and another one of itself; length is 4095 at most."""
+Rows of one task are sorted by Spark (which spills) and read key by key. Documents are shuffled by their key once; both joins use that exchange.
+
+Edge cases: null and empty texts have no bytes and no spans; texts shorter than `length` lose nothing; order is (doc_id, start), null ids first; rows that share a doc_id but not their text are documents in the order of their texts' hashes, identical rows with one doc_id count as the same document; no rows give no rows; further columns are ignored. length is at most 4095."""
 
 from __future__ import annotations
 
@@ -14,18 +18,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import released, table
+from siltstone.llm.common import materialise, released, table
 
 LENGTH = 100
 #: Bytes of an anchor; a window of 100 has 64 places for it.
 GRAM = 37
 #: Bytes whose anchors are looked for at a time (a longer text goes in overlapping parts), and that a transform holds at a time.
 CHUNK, BLOCK = 1 << 20, 1 << 20
+#: Bytes of texts that are searched for repeats before anything is shuffled.
+SLICE = 1 << 24
+#: Rows of an anchor beyond which each of its windows goes by its own hash.
+HOT = 2000
+#: Windows that are compared at a time before they are shuffled.
+WINDOWS = 40_000
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-DUP, ANCHOR = 0, 1
+#: What a mark says of a place: removed, go by either side of the anchor, go window by window.
+DUP, SIDES, EACH = 0, 1, 2
 #: Low bits of an anchor's sort key that hold its place.
 PLACE = 24
 
@@ -67,7 +78,7 @@ class Ranges:
         """of() for the ranges of one size from every place."""
         sums, down = self.parts[0]
         n = len(sums) - 1
-        return _mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + np.uint64(size) * np.uint64(M1))
+        return _mix((sums[size:] - sums[:-size]) * down[: n - size + 1] + np.uint64(size * M1 & (1 << 64) - 1))
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -225,24 +236,149 @@ def _merge(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[np.r_[new[1:], len(doc)] - 1]
 
 
-def _firsts(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order by keys, doc and start, and in it whether a row is the first of its keys."""
-    by = np.lexsort((start, doc, *keys[::-1]))
-    new = np.zeros(len(by), bool)
-    new[:1] = True
-    for k in keys:
-        s = k[by]
-        new[1:] |= s[1:] != s[:-1]
-    return by, new
+#: Pieces of texts: their bytes, documents and starts.
+Pieces = tuple[list[bytes], np.ndarray, np.ndarray]
+
+
+def decide(pieces: Pieces, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start and end of what an earlier equal string among the pieces removes, a transform's block at a time."""
+    parts, doc, start = pieces
+    out = [(np.zeros(0, np.int64),) * 3]
+
+    def run(own: list[bytes], d: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Places removed in each piece; adds them to out."""
+        found = first_runs([np.frombuffer(p, np.uint8) for p in own], d, s, length)
+        gone = np.zeros(len(own), np.int64)
+        if found:
+            p, a, z = np.array(found, np.int64).T
+            out.append((d[p], s[p] + a, s[p] + z + length))
+            np.add.at(gone, p, z - a + 1)
+        return gone
+
+    sizes = np.array([len(p) for p in parts], np.int64)
+    if sizes.sum() <= block:
+        if len(parts) > 1 or sizes.sum() > length:
+            run(parts, doc, start)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    carried = np.zeros(0, np.int64)
+    order = np.lexsort((start, doc))
+    at = 0
+    while at < len(order):
+        if sizes[carried].sum() > block // 2:
+            _by_window(parts, doc, start, [*carried.tolist(), *order[at:].tolist()], run, length, block)
+            break
+        total = np.cumsum(sizes[order[at : at + block // length]])
+        more = order[at : at + max(1, int(np.searchsorted(total, block // 2, side="right")))]
+        at += len(more)
+        rows = np.r_[carried, more]
+        gone = run([parts[k] for k in rows], doc[rows], start[rows])
+        # What the block removed altogether has its equals before it.
+        carried = rows[gone < sizes[rows] - length + 1]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _by_window(parts: list[bytes], doc: np.ndarray, start: np.ndarray, rows: list[int], run, length: int, block: int) -> None:
+    """The pieces' windows by hash, so that only equal ones share a block; one hash's windows beyond a block meet its first."""
+    hashes = [Ranges(np.frombuffer(parts[k], np.uint8), 1).every(length) for k in rows if len(parts[k]) >= length]
+    rows = [k for k in rows if len(parts[k]) >= length]
+    many = [len(h) for h in hashes]
+    h, piece = np.concatenate(hashes), np.repeat(rows, many)
+    local = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
+    by = np.lexsort((start[piece] + local, doc[piece], h))
+    h, piece, local = h[by], piece[by], local[by]
+    new = np.r_[True, h[1:] != h[:-1]]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    several = ~new | np.r_[~new[1:], False]
+    step = max(2, block // (length + 1))
+    use = np.flatnonzero(several)
+    for a in range(0, len(use), step):
+        own = use[a : a + step]
+        if head[own[0]] != own[0]:
+            own = np.r_[head[own[0]], own]
+        run([parts[k][i : i + length] for k, i in zip(piece[own].tolist(), local[own].tolist(), strict=True)], doc[piece[own]], start[piece[own]] + local[own])
 
 
 def _spread(doc: np.ndarray) -> np.ndarray:
     return _mix(doc.astype(np.uint64)).view(np.int64)
 
 
+def _repeats(data: bytes, b: np.ndarray, e: np.ndarray, a: np.ndarray, doc_at: np.ndarray, doc: np.ndarray, start_at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """What the transform removes of the segments [b, e) of data, each of which looks like the one at a; doc and start of the texts from doc_at on.
+
+    Segments that repeat others in a row are one run. Runs are cut where what they repeat passes a multiple of a block's quarter, and meet by that place."""
+    by = np.lexsort((b, b - a))
+    b, e, a = b[by], e[by], a[by]
+    new = np.flatnonzero(np.r_[True, (b[1:] - a[1:] != b[:-1] - a[:-1]) | (b[1:] >= e[:-1])])
+    b, a, e = b[new], a[new], np.maximum.reduceat(e, new)
+    cell = max(length, BLOCK // 4)
+    first, last = a // cell, (a + (e - b) - length) // cell
+    k = np.repeat(np.arange(len(a)), last - first + 1)
+    c = np.arange(len(k)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[k]
+    low = np.maximum(a[k], c * cell)
+    high = np.minimum(a[k] + (e - b)[k], (c + 1) * cell + length - 1)
+    # What is repeated, once for each cell, and the runs that repeat it.
+    texts = len(doc_at)
+    where, x, y = _merge(low, high, c * texts + np.searchsorted(doc_at, low, side="right") - 1)
+    cells, x, y = np.r_[where // texts, c], np.r_[x, b[k] + low - a[k]], np.r_[y, b[k] + high - a[k]]
+    by = np.argsort(cells, kind="stable")
+    cells, x, y = cells[by], x[by], y[by]
+    text = np.searchsorted(doc_at, x, side="right") - 1
+    own, begin = doc[text], x - doc_at[text] + start_at[text]
+    bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+    out, held, size = [], 0, 0
+    for i, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size += int((y[i:z] - x[i:z]).sum())
+        if size >= BLOCK // 2 or z == len(x):
+            out.append(decide(([data[p:q] for p, q in zip(x[held:z].tolist(), y[held:z].tolist(), strict=True)], own[held:z], begin[held:z]), length))
+            held, size = z, 0
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _by_key(batches: Iterator, least: int) -> Iterator[dict]:
+    """Columns of rows sorted by key, at least `least` rows at a time, no key in two."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        key = b.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        if not cut and len(held) > 1 and held[-2].column("key")[-1].as_py() == key[-1]:
+            continue
+        whole = pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+        if whole.num_rows:
+            yield whole
+        held, rows = [b.slice(cut)], b.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 NULL_ID = -(1 << 63)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc, doc_id, text: doc is a number in the order of (doc_id, null first, hash of the text) that only identical rows share: doc_id itself where none is null or repeated."""
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if not documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        return rows.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", "text")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    names = rows.select(F.struct("doc_id", "th").alias("name")).distinct().repartitionByRange("name").withColumn("block", F.spark_partition_id())
+    names = materialise(names, "document-names")
+    before, at = [], 0
+    for r in names.groupBy("block").agg(F.count("*").alias("n")).orderBy("block").collect():  # a row a partition
+        before.append((r["block"], at))
+        at += r["n"]
+    of = F.broadcast(documents.sparkSession.createDataFrame(before or [(0, 0)], "block int, before long"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("name"))
+    numbered = names.join(of, "block").select("name", (F.col("before") + rank).alias("doc"))
+    return materialise(rows.withColumn("name", F.struct("doc_id", "th")).join(numbered, "name").select("doc", "doc_id", "text"), "document-keys")
+
+
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes) and kept (the remaining bytes); with digests kept_sha256 in place of the last two."""
     import pyarrow as pa
@@ -256,17 +392,33 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     mark = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(texts: list[tuple[int, int, bytes]], rows: list) -> None:
-            data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
-            sizes = np.array([len(t) for _, _, t in texts])
-            ends = np.cumsum(sizes)
-            h, place, seg, start, end = segments(data, ends, length, gram)
-            k = np.searchsorted(ends, start, side="right")
-            shift = np.array([o for _, o, _ in texts]) - (ends - sizes)
-            rows.append((h.view(np.int64), seg.view(np.int64), np.array([d for d, _, _ in texts])[k], start + shift[k], end + shift[k], place + shift[k]))
-
+        def flush(texts: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(t) for _, _, t in texts], np.int64)
+            doc, first, doc_at = np.array([d for d, _, _ in texts], np.int64), np.array([o for _, o, _ in texts], np.int64), np.cumsum(sizes) - sizes
+            data = b"".join(t for _, _, t in texts)
+            rows, lo = [], 0
+            for k in range(len(texts)):  # CHUNK bytes or a text at a time
+                if k + 1 == len(texts) or doc_at[k + 1] + sizes[k + 1] - doc_at[lo] > CHUNK:
+                    a, z = int(doc_at[lo]), int(doc_at[k] + sizes[k])
+                    h, place, seg, start, end = segments(np.frombuffer(data, np.uint8, z - a, a), np.cumsum(sizes[lo : k + 1]), length, gram)
+                    rows.append((h.view(np.int64), seg.view(np.int64), start + a, end + a, place + a))
+                    lo = k + 1
+            key, seg, start, end, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+            text = np.searchsorted(doc_at, start, side="right") - 1
+            own, at = doc[text], start - doc_at[text] + first[text]
+            by = np.lexsort((at, own, seg, key))
+            new = np.r_[True, (key[by][1:] != key[by][:-1]) | (seg[by][1:] != seg[by][:-1])] if len(by) else np.zeros(0, bool)
+            i, j, head = by[new], by[~new], by[new][np.cumsum(new) - 1][~new]
+            yield batch({"key": key[i], "seg": seg[i], "doc": own[i], "at": at[i] << 24 | (end - start)[i] << 12 | (place - start)[i]}, mark)
+            real = (own[j] != own[head]) | (at[j] != at[head])  # a text's parts overlap, and rows repeat
+            j, head = j[real], head[real]
+            if len(j):
+                d, a, e = _repeats(data, start[j], end[j], start[head], doc_at, doc, first, length)
+                d, a, e = _merge(a, e, d)
+                yield batch({"key": _spread(d), "seg": e, "doc": d, "at": -1 - a}, mark)
+
+        texts, size = [], 0
         for b in batches:
-            texts, size, rows = [], 0, []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = t.as_buffer()
                 raw = b"" if raw is None else raw.to_pybytes()
@@ -275,123 +427,117 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     if len(part) >= length:
                         texts.append((d, at, part))
                         size += len(part)
-                    if size >= CHUNK:
-                        flush(texts, rows)
+                    if size >= SLICE:
+                        yield from flush(texts)
                         texts, size = [], 0
-            if texts:
-                flush(texts, rows)
-            if not rows:
-                continue
-            key, seg, doc, start, end, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-            by, new = _firsts([key, seg], doc, start)
-            i, j = by[new], by[~new]
-            yield batch({"key": key[i], "seg": seg[i], "doc": doc[i], "at": start[i] << 24 | (end - start)[i] << 12 | (place - start)[i]}, mark)
-            doc, start, end = _merge(start[j], end[j], doc[j])
-            yield batch({"key": _spread(doc), "seg": end, "doc": doc, "at": -1 - start}, mark)
+        if texts:
+            yield from flush(texts)
 
     plain = pa.schema([("doc", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("place", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Firsts of equal segments by anchor; of anchors with several segments, these as candidates."""
-        got = [[], [], [], []]
-        for b in batches:
-            c = {n: b.column(n).to_numpy() for n in mark.names}
-            d = c["at"] < 0
-            if d.any():
-                zero = np.zeros(d.sum(), np.int64)
-                yield batch({"doc": c["doc"][d], "kind": zero, "start": -1 - c["at"][d], "end": c["seg"][d], "place": zero}, plain)
-            for x, n in zip(got, c, strict=True):
-                x.append(c[n][~d])
-        if not got[0]:
-            return
-        key, seg, doc, at = (np.concatenate(x) for x in got)
-        got.clear()
-        start = at >> 24
-        end, place = start + (at >> 12 & 4095), start + (at & 4095)
-        by, new = _firsts([key, seg], doc, start)
-        j = by[~new]
-        d, a, e = _merge(start[j], end[j], doc[j])
-        yield batch({"doc": d, "kind": np.zeros(len(d)), "start": a, "end": e, "place": np.zeros(len(d))}, plain)
-        i = by[new]
-        own = key[i]
-        several = np.r_[False, own[1:] == own[:-1]] | np.r_[own[1:] == own[:-1], False] if len(own) else np.zeros(0, bool)
-        i = i[several]
-        yield batch({"doc": doc[i], "kind": np.full(len(i), ANCHOR), "start": start[i], "end": end[i], "place": place[i]}, plain)
+        """Places whose anchor recurs."""
+        for t in _by_key(batches, 200_000):
+            key, seg, doc, at = (t.column(n).to_numpy() for n in mark.names)
+            done = at < 0
+            zero = np.zeros(done.sum(), np.int64)
+            yield batch({"doc": doc[done], "kind": zero, "start": -1 - at[done], "end": seg[done], "place": zero}, plain)
+            key, doc, at = key[~done], doc[~done], at[~done]
+            if not len(key):
+                continue
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            many = np.diff(np.r_[new, len(key)])
+            many = np.repeat(many, many)
+            use = many > 1
+            doc, at, many = doc[use], at[use], many[use]
+            start = at >> 24
+            yield batch({"doc": doc, "kind": np.where(many > HOT, EACH, SIDES), "start": start, "end": start + (at >> 12 & 4095), "place": start + (at & 4095)}, plain)
 
     piece = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The candidates' bytes. A window holds the `half` bytes before its anchor or those after it, so a segment goes on as two, each under the hash of the anchor with that side."""
+        """The candidates' bytes. Of pieces that are windows only those go on that a transform does not remove here."""
+        each: list[tuple[int, int, int, bytes]] = []
+
+        def alone() -> Iterator[pa.RecordBatch]:
+            key, doc, start = (np.array(x, np.int64) for x in list(zip(*each, strict=True))[:3])
+            d, x, y = decide(([p for *_, p in each], doc, start), length)
+            d, x, y = _merge(x, y, d)
+            gone = {(i, k) for i, a, z in zip(d.tolist(), x.tolist(), y.tolist(), strict=True) for k in range(a, z - length + 1)}
+            yield batch({"key": _spread(d + x), "doc": d, "start": x, "end": y, "bytes": [None] * len(d)}, piece)
+            left = [r for r in each if (r[1], r[2]) not in gone]
+            yield batch({"key": [r[0] for r in left], "doc": [r[1] for r in left], "start": [r[2] for r in left], "end": [r[2] + length for r in left], "bytes": [r[3] for r in left]}, piece)
+            each.clear()
+
         for b in batches:
             out = {n: [] for n in piece.names}
+
+            def add(d: int, key: np.ndarray, x: np.ndarray, y: np.ndarray, raw: bytes | None) -> None:
+                out["key"] += key.view(np.int64).tolist()
+                out["doc"] += [d] * len(x)
+                out["start"] += x.tolist()
+                out["end"] += y.tolist()
+                out["bytes"] += [None] * len(x) if raw is None else [raw[u:v] for u, v in zip(x.tolist(), y.tolist(), strict=True)]
+
             for d, t, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if not marks.is_valid or not len(marks):
                     continue
                 m = marks.values
                 kind, start, end, place = (m.field(k).to_numpy() for k in range(4))
-                dup = kind == DUP
-                _, a, e = _merge(start[dup], end[dup], np.zeros(dup.sum(), np.int64))
-                out["key"] += _spread(np.arange(len(a)) + d).tolist()
-                out["doc"] += [d] * len(a)
-                out["start"] += a.tolist()
-                out["end"] += e.tolist()
-                out["bytes"] += [None] * len(a)
-                start, end, place = start[~dup], end[~dup], place[~dup]
-                if not len(start):
+                _, a, e = _merge(start[kind == DUP], end[kind == DUP], np.zeros((kind == DUP).sum(), np.int64))
+                add(d, _spread(np.arange(len(a)) + d), a, e, None)
+                if (kind == DUP).all():
                     continue
                 raw = t.as_buffer().to_pybytes()
                 hashes = Ranges(np.frombuffer(raw, np.uint8), 1)
+                own = kind == EACH
+                if own.any():
+                    many = end[own] - start[own] - length + 1
+                    x = np.unique(np.repeat(start[own] - np.cumsum(many) + many, many) + np.arange(many.sum()))
+                    for k in range(0, len(x), 10_000):
+                        w = x[k : k + 10_000]
+                        each.extend(zip(hashes.of(w, w + length, 0).view(np.int64).tolist(), [d] * len(w), w.tolist(), [raw[u : u + length] for u in w.tolist()], strict=True))
+                        if len(each) >= WINDOWS:
+                            yield from alone()
+                start, end, place = start[kind == SIDES], end[kind == SIDES], place[kind == SIDES]
                 # windows from w on: those with w <= place - half have the left side, the rest have the right side
                 last = end - length
                 for x, y, p, q in ((start, np.minimum(last, place - half), place - half, place + gram), (np.maximum(start, place - half + 1), last, place, place + gram + (length - gram - half))):
                     ok = x <= y
                     x, y, p, q = x[ok], y[ok] + length, p[ok], q[ok]
-                    out["key"] += hashes.of(p, q, 0).view(np.int64).tolist()
-                    out["doc"] += [d] * len(x)
-                    out["start"] += x.tolist()
-                    out["end"] += y.tolist()
-                    out["bytes"] += [raw[u:v] for u, v in zip(x.tolist(), y.tolist(), strict=True)]
+                    add(d, hashes.of(p, q, 0), x, y, raw)
+                if len(out["key"]) >= 10_000:
+                    yield batch(out, piece)
+                    for v in out.values():
+                        v.clear()
             yield batch(out, piece)
+        if each:
+            yield from alone()
 
     run = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, start, parts = [], [], [], []
-        for b in batches:
-            real = np.array(b.column("bytes").is_valid())
-            c = {n: b.column(n).to_numpy() for n in ("key", "doc", "start", "end")}
-            if not real.all():
-                yield batch({n: c[n][~real] for n in run.names}, run)
-            key.append(c["key"][real])
-            doc.append(c["doc"][real])
-            start.append(c["start"][real])
-            parts += b.column("bytes").filter(pa.array(real)).to_pylist()
-        if not parts:
-            return
-        key, doc, start = (np.concatenate(x) for x in (key, doc, start))
-        by = np.argsort(key, kind="stable")
-        sorted_key = key[by]
-        bounds = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1], True])
-        block, size = [], 0
-
-        def solve(rows: list[int]) -> pa.RecordBatch:
-            r = np.array(rows)
-            own = [np.frombuffer(parts[k], np.uint8) for k in rows]
-            found = first_runs(own, doc[r], start[r], length)
-            return batch({"doc": [doc[r[p]] for p, _, _ in found], "start": [start[r[p]] + a for p, a, _ in found], "end": [start[r[p]] + z + length for p, _, z in found]}, run)
-
-        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            if z - a < 2:
+        for t in _by_key(batches, 5_000):
+            real = t.column("bytes").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+            key, doc, start, end = (t.column(n).to_numpy() for n in ("key", "doc", "start", "end"))
+            yield batch({"doc": doc[~real], "start": start[~real], "end": end[~real]}, run)
+            bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            several = real & np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+            if not several.any():
                 continue
-            block += by[a:z].tolist()
-            size += sum(len(parts[k]) for k in by[a:z])
-            if size >= BLOCK:
-                yield solve(block)
-                block, size = [], 0
-        if block:
-            yield solve(block)
-
-    names = ["doc", "n_bytes", "n_removed", "n_spans", *(["kept_sha256"] if digests else ["spans", "kept"])]
+            parts = t.column("bytes").filter(pa.array(several)).to_pylist()
+            key, doc, start = key[several], doc[several], start[several]
+            size = np.cumsum([len(p) for p in parts])
+            bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            a = 0
+            while a < len(bounds) - 1:  # whole keys, about a block
+                z = max(a + 1, int(np.searchsorted(size[bounds[1:] - 1], size[bounds[a]] + BLOCK - length, side="right")))
+                lo, hi = int(bounds[a]), int(bounds[z])
+                d, x, y = decide((parts[lo:hi], doc[lo:hi], start[lo:hi]), length)
+                yield batch({"doc": d, "start": x, "end": y}, run)
+                a = z
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["kept_sha256"] if digests else ["spans", "kept"])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,15 +563,15 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
             tail = [pa.array(kept, pa.string())] if digests else [pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(head + tail, names)
 
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.mapInArrow(released(anchors), "key long, seg long, doc long, at long").repartition("key").mapInArrow(released(meet), "doc long, kind byte, start long, end long, place long")
+    docs = keyed(documents)
+    found = docs.select("doc", "text").mapInArrow(released(anchors), "key long, seg long, doc long, at long").repartition("key").sortWithinPartitions("key").mapInArrow(released(meet), "doc long, kind byte, start long, end long, place long")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "place")).alias("marks"))
     pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks").mapInArrow(released(fetch), "key long, doc long, start long, end long, bytes binary")
-    runs = pieces.repartition("key").mapInArrow(released(transform), "doc long, start long, end long")
+    runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(released(transform), "doc long, start long, end long")
     spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     tail = "kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, kept binary"
-    out = docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(released(cut), f"doc long, n_bytes long, n_removed long, n_spans long, {tail}")
-    return out.select(F.nullif(F.col("doc"), F.lit(NULL_ID)).alias("doc_id"), *names[1:])
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    return docs.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(released(cut), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, {tail}")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ import pytest
 from siltstone.llm import substrings as S
 
 
-def brute(docs, length=100):
+def brute(docs, length=100, ordered=False):
     seen, out = set(), {}
-    for i, t in sorted(docs, key=lambda x: -(1 << 63) if x[0] is None else x[0]):
+    for i, t in docs if ordered else sorted(docs, key=lambda x: -(1 << 63) if x[0] is None else x[0]):
         raw = (t or "").encode()
         gone = bytearray(len(raw))
         for k in range(len(raw) - length + 1):
@@ -62,15 +62,60 @@ def make(seed):
     return list(zip(ids, docs, strict=True))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "block", "hot"), [(1, 1 << 20, 2000), (2, 3000, 1)])
+def test_equals_brute_force(spark, seed, block, hot, monkeypatch):
     docs = make(seed)
     monkeypatch.setattr(S, "CHUNK", 900)
+    monkeypatch.setattr(S, "SLICE", 9000)
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "WINDOWS", 300)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int").repartition(3)
     got = {r["doc_id"]: tuple(r)[1:] for r in S.remove_repeats(df, digests=True).collect()}
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("block", [400, 2000, 1 << 20])
+def test_decide_in_blocks(block):
+    rng = random.Random(block)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(60)] + [b"abcdefghijklmnop"] * 40 + [b"xyxyxyxyxyxy" + bytes([65 + k]) * 9 for k in range(26)]
+    doc, start = np.array([rng.randrange(30) for _ in parts]), np.arange(len(parts)) * 100
+    length, seen, want = 12, set(), set()
+    for k in sorted(range(len(parts)), key=lambda k: (doc[k], start[k])):
+        for i in range(len(parts[k]) - length + 1):
+            x = parts[k][i : i + length]
+            if x in seen:
+                want |= {(doc[k], start[k] + j) for j in range(i, i + length)}
+            seen.add(x)
+    got = {(d, j) for d, a, z in zip(*S.decide((parts, doc, start), length, block), strict=True) for j in range(a, z)}
+    assert got == want
+
+
+def test_nothing_is_removed_without_the_transform(spark, monkeypatch):
+    monkeypatch.setattr(S, "first_runs", lambda *_: [])
+    docs = make(1)
+    chunks = [S.decide(([(t or "").encode() for _, t in docs] * 2, np.arange(2 * len(docs)), np.zeros(2 * len(docs), int)))]
+    assert not any(len(x) for c in chunks for x in c)
+    text = b"".join((t or "").encode() for _, t in docs[:6]) * 2
+    n = len(text) // 2
+    assert not len(S._repeats(text, np.array([n]), np.array([2 * n]), np.array([0]), np.array([0, n]), np.array([1, 2]), np.array([0, 0]), 100)[0])
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Different texts of one doc_id are documents in the order of their hashes; the reviewer's case first."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(500), text(140), text(90)
+    passages = [text(150) for _ in range(4)]
+    rows = [(1, a), (2, b + a), (2, c)] + [(rng.choice([None, 3, 4, 4]), text(rng.randrange(300)) + rng.choice(passages) + text(20)) for _ in range(40)] + [(None, ""), (None, None), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = [(k, r["text"]) for k, r in enumerate(df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect())]
+    want = sorted(brute(order, ordered=True).values())
+    assert sorted(tuple(r)[1:] for r in S.remove_repeats(df, digests=True).collect()) == want
+
+
 def test_outputs_and_odd_rows(spark):
     t = "".join(chr(97 + (k * k) % 23) for k in range(300))
     df = spark.createDataFrame([(None, t), (5, t + "x"), (7, None)], "doc_id long, text string")
