@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, named by the cluster in spark.checkpoint.dir; a temporary one where unset (tests)."""
+    """The folder that all executors see, named by the cluster in spark.checkpoint.dir; where that is unset a temporary one, on a single machine only."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_siltstone_dir", None)
     if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = sc._siltstone_dir = tempfile.mkdtemp(prefix="siltstone-")
     return where
 
@@ -44,8 +46,8 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
 
 
 def document_key() -> Column:
-    """What a document is known by in joins, never null: its doc_id, and where that is null, its text, so that others without a doc_id are apart from it."""
-    return F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("of_text"))
+    """What a document is known by in joins, never null: its doc_id, which may be null, and the hash of its text, so that only identical rows share a key."""
+    return F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,6 +55,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Items that scan goes through before it hands on what it has.
+SCAN = 64
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each item: zero, step(zero, item 0), step(that, item 1), ... without zero.
+
+    Appending copies what is there, so states are gathered SCAN at a time, and these blocks then."""
+
+    def block(a: Column, part: Column) -> Column:
+        start = F.struct(a["state"].alias("state"), F.array_repeat(a["state"], 0).alias("out"))
+
+        def one(b: Column, x: Column) -> Column:
+            return let(step(b["state"], x), lambda now: F.struct(now.alias("state"), F.array_append(b["out"], now).alias("out")))
+
+        done = F.aggregate(part, start, one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(a["out"], d["out"]).alias("out")))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SCAN).cast("int")), lambda k: F.slice(items, k * SCAN + 1, SCAN))
+    start = F.struct(zero.alias("state"), F.array_repeat(F.array_repeat(zero, 0), 0).alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, start, block, lambda a: a["out"]))).otherwise(F.array_repeat(zero, 0))
+
+
 def released(run: Callable) -> Callable:
     """run, a function over a task's batches, giving the memory that it freed back to the system at its end: Python workers outlive their tasks."""
 

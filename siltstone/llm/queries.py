@@ -39,6 +39,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY 1
 """
 
 ORACLES = {
+    "op2_secret_scans": secrets.OP2_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
