@@ -33,24 +33,37 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(role, F.lit("&#124;"), F.lit("|")), F.lit("&amp;"), F.lit("&"))
 
 
-def _segments(turns: Column, loss_role: str) -> Column:
-    """array<struct<text, loss>>: the output's pieces in order, with the mask."""
+def merged(turns: Column) -> Column:
+    """array<struct<role, texts>>: sorted turns with adjacent ones of one role merged, each run of them sliced off once."""
 
-    def pieces(t: Column, i: Column) -> Column:
-        before, after = F.get(turns, i - 1)["role"], F.get(turns, i + 1)["role"]
-        head = F.when((i > 0) & (before == t["role"]), F.lit(NEXT)).otherwise(F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(CLOSE)))
-        tail = F.when(after == t["role"], F.lit("")).otherwise(F.lit(END))
-        of = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(of(head, F.lit(False)), of(escape(t["text"]), t["role"] == loss_role), of(tail, F.lit(False)))
+    def fold(heads: Column) -> Column:
+        def block(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1), F.size(turns))
+            return F.struct(F.get(turns, at)["role"].alias("role"), F.transform(F.slice(turns, at + 1, end - at), lambda t: t["text"]).alias("texts"))
 
-    return F.flatten(F.transform(turns, pieces))
+        return F.transform(heads, block)
+
+    changes = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+    return let(changes, fold)
+
+
+def _segments(blocks: Column, loss_role: str) -> Column:
+    """array<struct<text, loss>>: the pieces of merged turns in order, with the mask."""
+    of = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+
+    def pieces(b: Column) -> Column:
+        head = of(F.concat(F.lit(OPEN), escape_role(b["role"]), F.lit(CLOSE)), F.lit(False))
+        texts = F.flatten(F.transform(b["texts"], lambda t, i: F.array(of(F.when(i > 0, NEXT).otherwise(""), F.lit(False)), of(escape(t), b["role"] == loss_role))))
+        return F.concat(F.array(head), texts, F.array(of(F.lit(END), F.lit(False))))
+
+    return F.flatten(F.transform(blocks, pieces))
 
 
 def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted string, segments array<struct<text, loss>> whose texts concatenate to formatted; loss marks what a model is trained on."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    cut = grouped.select("conv_id", let(F.col("turns"), lambda t: _segments(t, loss_role)).alias("segments"))
+    cut = grouped.select("conv_id", _segments(let(F.col("turns"), merged), loss_role).alias("segments"))
     return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 

@@ -83,7 +83,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, held: flo
     start = {1: (0.8, 0.6), -1: (0.02, 0.3), 0: (0.18, 0.1)}
     prior, model = 0.8, [start for _ in range(rules)]
     total = sum(n for _, n in patterns)
-    for _ in range(steps):
+    for _ in range(steps if total else 0):
         seen = [{v: [1 + held * total * x for x in start[v]] for v in (-1, 0, 1)} for _ in range(rules)]
         good = 0.0
         for p, n in patterns:

@@ -1,7 +1,7 @@
 """Toxicity as severity: cumulative-link (proportional odds) regression on sparse text features. One weight vector is shared by all ordered thresholds, P(grade <= k) = sigmoid(t_k - w.x), and the output is the expected severity.
 
 Features of a document are counted over its words: the words themselves and their first four and five letters, which also catch inflected forms. The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS a class, those with the least hash of doc_id, so the sample doesn't depend on partitions), each counted whole in the executors: its distinct words' counts go to the driver, not its text; everything else sees all rows. Features that lean to the toxic class by the G statistic are fitted. Labels say only toxic or not, so toxic training rows get their grade 1 to 3 by how many of their words have such a feature, and no such feature may lower the severity.
-The fitted weights (MAX_FEATURES strings at most) go to the executors with the task.
+The fitted weights, one for each such feature of the sample, go to the executors with the task. Near copies of rows before them in the sample (by min-hashes) are not fitted twice. Severity is an order, not a calibrated scale: its grades come from counts of the features themselves.
 
 Edge cases: null and empty texts have no features and get the baseline severity; labels with a null or repeated doc_id, without a document or with a null toxic are left out or count once; with no toxic or no clean labelled row nothing is rejected (severity 0); repeated rows each give a row; no rows give no rows; further columns are ignored."""
 
@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import document_key, maybe_broadcast, released, small_batches, table
+from siltstone.llm.common import document_key, materialise, maybe_broadcast, released, small_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Sampled labelled rows of each class, features, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
-SAMPLE_ROWS, MAX_FEATURES, MARK_RATIO, LEAST_G, GRADES = 3000, 20_000, 4.0, 15.0, 4
+#: Sampled labelled rows of each class, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
+SAMPLE_ROWS, MARK_RATIO, LEAST_G, GRADES = 3000, 4.0, 15.0, 4
 CACHED = 100_000
 
 
@@ -147,7 +147,7 @@ def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
         if not x:
             in_clean.update(f for f in held(t) if f in in_toxic)
     strength = {f: association(c, n, in_clean[f], m) for f, c in in_toxic.items() if c / n >= MARK_RATIO * (in_clean[f] + 0.5) / m}
-    chosen = sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))[:MAX_FEATURES]
+    chosen = sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))
     number = {f: k for k, f in enumerate(chosen)}
     rows, values, many = [], [], []
     for t in profiles:
@@ -233,5 +233,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those that the model finds toxic."""
     keyed = documents.select(document_key().alias("doc_id"), "text")
-    bad = score(keyed, fitted(documents, labels)).filter("toxic").select(F.col("doc_id").alias("bad")).distinct()
+    bad = materialise(score(keyed, fitted(documents, labels)).filter("toxic").select(F.col("doc_id").alias("bad")).distinct(), "toxic")
     return documents.join(maybe_broadcast(bad), document_key() == F.col("bad"), "left_anti").select(documents.columns)

@@ -76,6 +76,15 @@ def test_null_doc_ids(spark):
     assert sorted(map(str, (tuple(r) for r in D.drop_contaminated(docs, items).collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
 
 
+def test_rows_that_share_a_doc_id(spark):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rows = [(5, "one two three four five six x x x x"), (5, "y y y y y six seven eight nine ten"), (6, PASSAGE), (6, "clean"), (6, PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in D.scan(docs, items).collect())
+    assert got == [(5, 10, 0), (5, 10, 0), (6, 1, 0), (6, 10, 10), (6, 10, 10)]
+    assert sorted(tuple(r) for r in D.drop_contaminated(docs, items).collect()) == sorted([rows[0], rows[1], rows[3]])
+
+
 def test_sql_and_query(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -156,6 +156,38 @@ def test_quality_counts(spark, sf):
         assert not (out[i]["base_failed"] and out[i]["kept"])
 
 
+def test_quality_of_an_empty_table(spark, tmp_path):
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert quality.op8_quality_rules(spark, str(tmp_path)).count() == 0
+
+
+def test_posterior_equals_expectation_maximisation_by_document(spark, sf):
+    """The estimation on counted patterns against one that goes over the documents, in floats of its own."""
+    import numpy as np
+
+    out = quality.judge(quality.measure(spark.read.parquet(f"{sf}/documents.parquet")).cache()).collect()
+    names = [k for k in out[0].asDict() if k.startswith("v_")]
+    v = np.array([[r[k] for k in names] for r in out])
+    n, held = len(v), 0.1
+    start = np.array([[[0.02, 0.18, 0.8], [0.3, 0.1, 0.6]]] * len(names))  # rule, class, vote -1 0 1
+    share, model = 0.8, start.copy()
+    for _ in range(100):
+        like = [np.prod([model[j, k, v[:, j] + 1] for j in range(len(names))], axis=0) for k in (0, 1)]
+        q = share * like[0] / (share * like[0] + (1 - share) * like[1])
+        share = min(0.99, max(0.01, q.mean()))
+        for j in range(len(names)):
+            for k, w in ((0, q), (1, 1 - q)):
+                c = 1 + held * n * start[j, k] + np.array([w[v[:, j] == x].sum() for x in (-1, 0, 1)])
+                model[j, k] = c / c.sum()
+            for x in (0, 2):
+                if (model[j, 0, x] - model[j, 1, x]) * (x - 1) < 0:
+                    model[j, :, x] = model[j, :, x].mean()
+    like = [np.prod([model[j, k, v[:, j] + 1] for j in range(len(names))], axis=0) for k in (0, 1)]
+    q = share * like[0] / (share * like[0] + (1 - share) * like[1])
+    assert np.abs(q - [r["posterior"] for r in out]).max() < 1e-6
+    assert all(r["kept"] == (not r["base_failed"] and p >= 0.5) for r, p in zip(out, q, strict=True) if abs(p - 0.5) > 1e-6)
+
+
 def test_quality_verdicts_follow_labels(spark):
     d = "/root/testdata/sf0.01"
     out = quality.judge(quality.measure(spark.read.parquet(f"{d}/documents.parquet")).cache()).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()

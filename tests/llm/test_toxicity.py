@@ -71,6 +71,14 @@ def test_toxic_rows_without_doc_id_are_dropped(spark):
     assert {r["doc_id"] for r in kept} == {None, *range(0, 80, 2)}
 
 
+def test_rows_that_share_a_doc_id_have_verdicts_of_their_own(spark):
+    rows = [(k, f"vilest filth{k} here" if k % 2 else f"fine day{k} here", k % 2) for k in range(80)] + [(81, "vilest vilest filth", 1), (81, "fine day here", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = T.drop_toxic(spark, df.drop("toxic"), df.drop("text").distinct()).collect()
+    assert [r["text"] for r in kept if r["doc_id"] == 81] == ["fine day here"]
+    assert T.drop_toxic(spark, df.drop("toxic").limit(0), df.drop("text")).count() == 0
+
+
 def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
