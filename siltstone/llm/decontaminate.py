@@ -155,14 +155,9 @@ def scan(documents: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFr
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
-def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity half of op3: n_near items of which a window occurs in the document, as it is or altered."""
-    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_hit", "n_near")
-
-
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 OP3_SQL = r"""
@@ -182,10 +177,33 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id
 ), t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id
+), terms AS (
+  SELECT x, n, greatest(n - 1, 1) AS k, off, x[off + 1] AS a, x[off + 2] AS b FROM (SELECT x, n, unnest(range(greatest(n - 1, 1))) AS off FROM (SELECT DISTINCT x, n FROM bw))
+), vocabulary AS (
+  SELECT DISTINCT a, b FROM terms
+), two AS (
+  SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d)
+), postings AS (
+  SELECT doc_id, pos, a, b FROM two JOIN vocabulary USING (a, b)
+  UNION ALL SELECT doc_id, pos, a, NULL FROM two JOIN (SELECT a FROM vocabulary WHERE b IS NULL) USING (a)
+), frequency AS (
+  SELECT a, b, count(*) AS df FROM postings GROUP BY a, b
+), ranked AS (
+  SELECT x, k, off, t.a, t.b, row_number() OVER (PARTITION BY x ORDER BY df, off) AS r, count(*) OVER (PARTITION BY x) AS held
+  FROM terms t JOIN frequency f ON t.a = f.a AND t.b IS NOT DISTINCT FROM f.b
+), places AS (
+  SELECT doc_id, x, k, r, pos - off AS place FROM ranked q JOIN postings p ON q.a = p.a AND q.b IS NOT DISTINCT FROM p.b WHERE held >= greatest(least(k, 2), k - 2)
+), near AS (
+  SELECT DISTINCT doc_id, x FROM (
+    SELECT a.doc_id, a.x, a.place FROM (SELECT DISTINCT doc_id, x, k, place FROM places WHERE r <= 3) a JOIN places b ON a.doc_id = b.doc_id AND a.x = b.x AND abs(a.place - b.place) <= 4
+    GROUP BY a.doc_id, a.x, a.k, a.place
+    HAVING count(DISTINCT b.r) >= greatest(least(a.k, 2), a.k - 2) AND count(DISTINCT b.r) FILTER (WHERE b.r <= 4) >= least(a.k, 2))
+), l AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id FROM near JOIN bw USING (x) UNION ALL SELECT doc_id, item_id FROM m) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(t.l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 

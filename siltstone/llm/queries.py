@@ -8,7 +8,6 @@ QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_decontamination": decontaminate.op3_decontamination,
-    "op3_proximity": decontaminate.op3_proximity,
     "op4_sharding": shard.op4_sharding,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_token_counts": counts.op6_token_counts,

@@ -1,6 +1,7 @@
 """The positional index against brute force and the SQL."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -63,7 +64,7 @@ PASSAGE = "one two three four five six seven eight nine ten"
 def test_proximity_whatever_other_documents_hold(spark, tmp_path, altered, others):
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, t) for i, t in enumerate([altered, *others, "one two and nine ten"])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in D.op3_proximity(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in D.op3_decontamination(spark, str(tmp_path)).collect()}
     assert got == {0: (0, 1), **{i + 1: (10, 1) if t == PASSAGE else (0, 0) for i, t in enumerate(others)}, len(others) + 1: (0, 0)}
 
 
@@ -89,6 +90,29 @@ def test_sql_and_query(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = sorted(tuple(r) for r in con.sql(f"SELECT {', '.join(COLS)} FROM ({D.OP3_SQL})").fetchall())
-    got = sorted(tuple(r) for r in D.op3_decontamination(spark, sf).select(*COLS).collect())
-    assert got == want and any(r[-1] for r in got)
+    cols = [*COLS, "n_near"]
+    want = sorted(tuple(r) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({D.OP3_SQL})").fetchall())
+    got = sorted(tuple(r) for r in D.op3_decontamination(spark, sf).select(*cols).collect())
+    assert got == want and any(r[-2] for r in got) and sum(r[-1] for r in got) >= sum(r[3] for r in got)
+
+
+def test_proximity_equals_sql(spark, tmp_path):
+    """Altered passages among words that they share."""
+    rng = random.Random(6)
+    words_ = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(rng.choice(words_) for _ in range(rng.choice([1, 2, 5, 10, 14])))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        w = [rng.choice(words_) for _ in range(rng.randrange(0, 12))] + rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, 3)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["zz", *words_]))
+        docs.append((i, " ".join(w)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = [*COLS, "n_near"]
+    want = sorted(tuple(r) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({D.OP3_SQL})").fetchall())
+    assert sorted(tuple(r) for r in D.op3_decontamination(spark, str(tmp_path)).select(*cols).collect()) == want
+    assert any(r[-1] > r[3] for r in want)
