@@ -113,17 +113,22 @@ def _five(token: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
 
 
-def _packs(part: np.ndarray, doc: np.ndarray, n: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
-    """One row a part of rows sorted by part and document: the columns' bytes, and the documents, their sizes and how many rows each has."""
+def _packs(part: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
+    """One row a part of rows sorted by part and document: the columns' bytes, and the documents with how many rows each has, 255 at most at a time."""
     if not len(doc):
-        return {k: [] for k in ("part", *columns, "docs", "sizes", "counts")}
+        return {k: [] for k in ("part", *columns, "docs", "counts")}
     new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
+    many = np.diff(np.r_[new, len(doc)])
+    if many.max() > 255:
+        place = np.arange(len(doc)) - np.repeat(new, many)
+        new = np.flatnonzero(place % 255 == 0)
+        many = np.diff(np.r_[new, len(doc)])
     at = np.r_[new, len(doc)]
-    own, sizes, many, where = doc[new], n[new].astype(np.int32), np.diff(at).astype(np.int32), part[new]
+    own, many, where = doc[new], many.astype(np.uint8), part[new]
     cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     both = list(zip(cut.tolist(), np.r_[cut[1:], len(where)].tolist(), strict=True))
     out = {k: [v[at[a] : at[z]].tobytes() for a, z in both] for k, v in columns.items()}
-    return {"part": where[cut], **out, **{k: [v[a:z].tobytes() for a, z in both] for k, v in (("docs", own), ("sizes", sizes), ("counts", many))}}
+    return {"part": where[cut], **out, **{k: [v[a:z].tobytes() for a, z in both] for k, v in (("docs", own), ("counts", many))}}
 
 
 def _by_part(batches: Iterator) -> Iterator[tuple[int, dict[str, bytes]]]:
@@ -179,80 +184,97 @@ def _profiles(single: DataFrame, hot: np.ndarray, parts: int, seed: int, size: i
     """doc, n, own, tokens, ends: of each class that may have a link, how many n-grams no other class holds, the others in the global order, and where its fragments end."""
     import pyarrow as pa
 
-    packed = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
-    back = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("dfs", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
+    # A row has n-grams, of classes docs, counts of each, or (names, sizes) of classes.
+    columns = "part int, tokens binary, dfs binary, docs binary, counts binary, names binary, sizes binary"
+    packed = pa.schema([("part", pa.int32()), *((c.split()[0], pa.binary()) for c in columns.split(", ")[1:])])
     last = np.iinfo(np.int32).max
 
+    def rows(x: dict[str, list]) -> pa.RecordBatch:
+        return _batch(packed, **{c: x.get(c, [b""] * len(x["part"])) for c in packed.names})
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """N-grams by part, five bytes each: the high bits of the hash, whose low bits are the part. Hot ones go straight to their class's part, which comes after the others."""
+        """N-grams by part, five bytes each: the high bits of the hash, whose low bits are the part. Hot ones, and the sizes, go straight to their class's part, which comes after the others."""
 
         def pack(held: list) -> Iterator[pa.RecordBatch]:
-            doc, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
             straight = np.zeros(len(h), bool)
             if len(hot):
                 straight = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
             part = (h % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part.astype(np.uint16), kind="stable") if parts <= 1 << 16 else np.argsort(part, kind="stable")
             by = by[~straight[by]]
-            yield _batch(packed, **_packs(part[by], doc[by], n[by], tokens=_five(h[by] >> np.uint64(24))))
+            yield rows(_packs(part[by], doc[by], tokens=_five(h[by] >> np.uint64(24))))
             if straight.any():
-                doc, n, h = doc[straight], n[straight], h[straight]
+                doc, h = doc[straight], h[straight]
                 to = parts + _place(doc, parts)
                 by = np.argsort(to, kind="stable")
-                yield _batch(packed, **_packs(to[by], doc[by], n[by], tokens=h[by] >> np.uint64(24) << np.uint64(24) | h[by] % np.uint64(parts)))
+                yield rows(_packs(to[by], doc[by], tokens=h[by] >> np.uint64(24) << np.uint64(24) | h[by] % np.uint64(parts), dfs=np.full(len(by), last, np.int32)))
+
+        def name(held: list) -> pa.RecordBatch:
+            doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            to = parts + _place(doc, parts)
+            by = np.argsort(to, kind="stable")
+            x = _packs(to[by], doc[by], sizes=n[by].astype(np.int32))
+            return rows({"part": x["part"], "names": x["docs"], "sizes": x["sizes"]})
 
-        held, many = [], 0
+        held, named, many = [], [], 0
         for ids, texts, _ in _chunks(batches):
             doc, h = shingles(texts, size)
             if len(doc):
                 n, s1, _ = _keys(doc, h, len(ids), seed)
-                held.append((s1[doc], n[doc], h))
+                held.append((s1[doc], h))
+                named.append((s1[n > 0], n[n > 0]))
                 many += len(doc)
             if many >= DEALT:
                 yield from pack(held)
-                held, many = [], 0
+                yield name(named)
+                held, named, many = [], [], 0
         if held:
             yield from pack(held)
+            yield name(named)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The n-grams of a part that several classes hold, with how many, on their way back to the classes."""
         for part, x in _by_part(batches):
             if part >= parts:
-                yield _batch(back, part=[part - parts], dfs=[np.full(len(x["tokens"]) // 8, last, np.int32).tobytes()], **{k: [v] for k, v in x.items()})
+                yield rows({"part": [part - parts], **{k: [v] for k, v in x.items()}})
                 continue
             five = np.frombuffer(x["tokens"], np.uint8).reshape(-1, 5)
             wide = np.zeros((len(five), 8), np.uint8)
             wide[:, :5] = five
-            token, many = wide.view(np.uint64).ravel(), np.frombuffer(x["counts"], np.int32)
-            doc, n = np.repeat(np.frombuffer(x["docs"], np.int64), many), np.repeat(np.frombuffer(x["sizes"], np.int32), many)
+            token, doc = wide.view(np.uint64).ravel(), np.repeat(np.frombuffer(x["docs"], np.int64), np.frombuffer(x["counts"], np.uint8))
             by = np.argsort(token)
-            token, doc, n = token[by], doc[by], n[by]
+            token, doc = token[by], doc[by]
             new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             times = np.diff(np.r_[new, len(token)])
             df = np.repeat(times, times)
             shared = df > 1
-            token, doc, n, df = (token[shared] << np.uint64(24)) | np.uint64(part), doc[shared], n[shared], df[shared].astype(np.int32)
+            token, doc, df = (token[shared] << np.uint64(24)) | np.uint64(part), doc[shared], df[shared].astype(np.int32)
             to = _place(doc, parts)
             by = np.lexsort((doc, to))
-            yield _batch(back, **_packs(to[by], doc[by], n[by], tokens=token[by], dfs=df[by]))
+            yield rows(_packs(to[by], doc[by], tokens=token[by], dfs=df[by]))
 
     profile = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _by_part(batches):
-            many = np.frombuffer(x["counts"], np.int32)
-            doc, n = np.repeat(np.frombuffer(x["docs"], np.int64), many), np.repeat(np.frombuffer(x["sizes"], np.int32), many).astype(np.int64)
+            doc = np.repeat(np.frombuffer(x["docs"], np.int64), np.frombuffer(x["counts"], np.uint8))
+            name, n = np.frombuffer(x["names"], np.int64), np.frombuffer(x["sizes"], np.int32)
+            by = np.argsort(name)
+            name, n = name[by], n[by].astype(np.int64)
             token, df = np.frombuffer(x["tokens"], np.int64), np.frombuffer(x["dfs"], np.int32)
             by = np.lexsort((token, df, doc))
-            token, df, doc, n = token[by], df[by], doc[by], n[by]
-            new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            token, df, doc = token[by], df[by], doc[by]
+            new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
             many = np.diff(np.r_[new, len(doc)])
-            own = n[new] - many
-            use = own < n[new] - (num * n[new] + den - 1) // den + 1
+            doc = doc[new]
+            n = n[np.searchsorted(name, doc)]
+            own = n - many
+            use = own < n - (num * n + den - 1) // den + 1
             fragment = np.repeat(np.arange(len(new)), many) * FRAGMENTS + np.searchsorted(CUTS, df, side="right")
             ends = np.bincount(fragment, minlength=len(new) * FRAGMENTS).reshape(-1, FRAGMENTS).cumsum(axis=1)[use].astype(np.int32)
             token = token[np.repeat(use, many)]
-            doc, n, own, many = doc[new][use], n[new][use], own[use], many[use]
+            doc, n, own, many = doc[use], n[use], own[use], many[use]
             at = np.r_[0, np.cumsum(many)]
             a = 0
             while a < len(doc):
@@ -263,8 +285,8 @@ def _profiles(single: DataFrame, hot: np.ndarray, parts: int, seed: int, size: i
                 a = z
 
     tasks = min(2 * parts, MOST_TASKS)
-    dealt = single.select("doc", "text").mapInArrow(released(deal), "part int, tokens binary, docs binary, sizes binary, counts binary").repartition(tasks, "part").sortWithinPartitions("part")
-    listed = dealt.mapInArrow(released(count), "part int, tokens binary, dfs binary, docs binary, sizes binary, counts binary").repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
+    dealt = single.select("doc", "text").mapInArrow(released(deal), columns).repartition(tasks, "part").sortWithinPartitions("part")
+    listed = dealt.mapInArrow(released(count), columns).repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
     return materialise(listed.mapInArrow(released(sort), "doc long, n long, own long, tokens array<long>, ends array<int>"), "jaccard-profiles")
 
 
