@@ -5,7 +5,7 @@ Threshold-bounded interval expansion decides which strings are equal: starting f
 Which strings have to meet in a transform is settled by their own bytes. Each window of `length` bytes has an anchor, its least-hashed GRAM-byte string (the leftmost of equals); windows in a row with one anchor form a segment. Equal windows have equal anchors at equal places.
 
 1. Slices of the texts are searched for segments that repeat in them. Runs of such segments and what they repeat go through a transform on the spot, so that a passage in a third of all documents leaves one row a slice; the first of each distinct segment goes on, as hashes and a place.
-2. Rows meet by anchor; those whose anchor recurs are candidates. Their documents send their bytes on, a segment as two pieces: a window holds the `half` bytes before its anchor or those after it, so each piece goes by the hash of the anchor with that side. Of anchors with more than HOT rows each window is a piece of its own and goes by its own hash, so that a common string shorter than `length` brings nothing together.
+2. Rows meet by anchor. Of segments that look alike (equal hashes) the first is told to be so, and the others who it is; their documents send the bytes of whole runs of such segments to meet at the first one's place, PEERS copies at a time, for the transform to decide. Where an anchor has several different segments, the firsts are candidates: a window holds the `half` bytes before its anchor or those after it, so a segment goes as two pieces by the hash of the anchor with that side. Of anchors with more than HOT such segments each window is a piece of its own and goes by its own hash, so that a common string shorter than `length` brings nothing together.
 3. Pieces meet by hash, in order, a transform's block at a time. A block carries on what the blocks before it could not remove; where that grows too large, the windows are sorted by hash and blocks hold windows.
 
 Rows of one task are sorted by Spark (which spills) and read key by key. Documents are shuffled by their key once; both joins use that exchange.
@@ -31,12 +31,14 @@ CHUNK, BLOCK = 1 << 20, 1 << 20
 #: Bytes of texts that are searched for repeats before anything is shuffled.
 SLICE = 1 << 24
 #: Rows of an anchor beyond which each of its windows goes by its own hash.
-HOT = 2000
+HOT = 50_000
+#: Bytes of a first document that its copies meet at, and how many copies meet there at a time.
+CELL, PEERS = 1 << 12, 1000
 #: Windows that are compared at a time before they are shuffled.
 WINDOWS = 40_000
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: What a mark says of a place: removed, go by either side of the anchor, go window by window.
-DUP, SIDES, EACH = 0, 1, 2
+#: What a mark says of a place: removed, go by either side of the anchor, go window by window, go with what looks alike first (peer, place), be that.
+DUP, SIDES, EACH, COPY, FIRST = 0, 1, 2, 3, 4
 #: Low bits of an anchor's sort key that hold its place.
 PLACE = 24
 
@@ -111,26 +113,38 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of text (small non-negative numbers) sorted by at least `length` characters, by doubling from packed characters; ties in any order."""
+    """Suffixes of text (numbers under 2^15, not negative) sorted by at least `length` characters, by doubling from packed characters; ties in any order."""
     n = len(text)
-    bits = max(1, int(text.max()).bit_length())
-    k = min(length, 62 // bits)
-    key = np.zeros(n, np.int64)
+    used = np.zeros(int(text.max()) + 1, bool)
+    used[text] = True
+    text = (np.cumsum(used) - 1)[text]
+    bits = max(1, int(text.max() + 1).bit_length())
+    text = (text + 1).astype(np.uint64)  # what lies beyond the end is 0
+    wide = n.bit_length()
+    # A key holds its suffix's place in the low bits, so that sorting numbers is enough: several times as fast as sorting places by them.
+    low, mask = np.uint64(wide), np.uint64((1 << wide) - 1)
+    if 3 * wide > 64:
+        raise ValueError("a transform holds 2^21 characters at most")
+    k = min(length, (64 - wide) // bits)
+    key = np.zeros(n, np.uint64)
     for j in range(k):
-        key <<= bits
+        key <<= np.uint64(bits)
         key[: n - j] |= text[j:] if j else text
+    places = np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(key)
-        s = key[order]
+        s = np.sort(key << low | places)
+        order = (s & mask).astype(np.int32)
         if k >= length or k >= n:
-            return order.astype(np.int32)
-        new = np.zeros(n, np.int64)
+            return order
+        s >>= low
+        new = np.ones(n, np.uint64)
         np.cumsum(s[1:] != s[:-1], out=new[1:])
-        if new[-1] == n - 1:
-            return order.astype(np.int32)
+        new[1:] += np.uint64(1)
+        if new[-1] == n:
+            return order
         rank = s
-        rank[order] = new + 1
-        key = rank << np.int64(32)
+        rank[order] = new
+        key = rank << low
         key[: n - k] |= rank[k:]
         k *= 2
 
@@ -175,16 +189,14 @@ def expand(parts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, n
             inside = np.repeat(lo[a] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum())
             first = inside[(preceding[inside] < np.repeat(lo[a], w)) & solid[inside]]
             last = inside[(following[inside] >= np.repeat(hi[a], w)) & solid[inside]]
-            owner = np.searchsorted(lo[a], np.r_[first, last], side="right").astype(np.int64) * (n + 1)
-            ends = np.r_[step[first], step[last]]
-            lefts.append(ends[: len(first)][np.argsort(owner[: len(first)] + ends[: len(first)])])
-            rights.append(ends[len(first) :][np.argsort(owner[len(first) :] + ends[len(first) :])] + 1)
+            owner = np.searchsorted(lo[a], np.r_[first, last], side="right").astype(np.int64) << 32 | np.r_[step[first], step[last]]
+            lefts.append(np.sort(owner[: len(first)]) & 0xFFFFFFFF)
+            rights.append((np.sort(owner[len(first) :]) & 0xFFFFFFFF) + 1)
         left, right = np.concatenate(lefts), np.concatenate(rights)
         new = ~border[right]
-        left, right = left[new].astype(np.int64), right[new].astype(np.int64)
-        border[right] = True
-        by = np.argsort(left)
-        lo, hi = left[by], right[by]
+        border[right[new]] = True
+        both = np.sort(left[new].astype(np.int64) << 32 | right[new])
+        lo, hi = both >> 32, both & 0xFFFFFFFF
     return order, border
 
 
@@ -203,25 +215,29 @@ def first_runs(parts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, leng
     sizes = np.array([len(p) for p in parts])
     offset = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     order, border = expand(parts, length)
-    part = np.repeat(np.arange(len(parts)), sizes + 1)
-    local = np.arange(len(part)) - offset[part]
-    fits = local + length <= sizes[part]
-    klass = np.cumsum(border[:-1])  # by row of the suffix order
-    rows = np.flatnonzero(fits[order])
-    pos, k = order[rows], klass[rows]
-    by = np.lexsort((start[part[pos]] + local[pos], doc[part[pos]], k))
-    pos, k = pos[by], k[by]
-    where = start[part[pos]] + local[pos]
-    later = np.r_[False, k[1:] == k[:-1]]
-    # the same place in two overlapping segments of one document is one string, not two
-    head = np.maximum.accumulate(np.where(later, -1, np.arange(len(k)))) if len(k) else np.array([], int)
-    same = (doc[part[pos]] == doc[part[pos[head]]]) & (where == where[head]) if len(k) else later
-    hit = np.sort(pos[later & ~same])
+    rows = np.flatnonzero(~(border[:-1] & border[1:]))  # suffixes that are not alone
+    pos = order[rows]
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)
+    own = part[pos]
+    fits = pos + length <= (offset + sizes)[own]
+    rows, pos, own = rows[fits], pos[fits], own[fits]
+    if not len(rows):
+        return []
+    klass = np.cumsum(border[:-1])[rows]
+    head = np.flatnonzero(np.r_[True, klass[1:] != klass[:-1]])
+    # A place as one number, in the order of places: a text is shorter than 2^32.
+    where = (np.unique(doc, return_inverse=True)[1].astype(np.int64)[own] << 32) + start[own] + pos - offset[own]
+    first = np.repeat(np.minimum.reduceat(where, head), np.diff(np.r_[head, len(where)]))
+    # The same place in two overlapping pieces of one document is one string, not two.
+    later = np.zeros(len(part), bool)
+    later[pos[where > first]] = True
+    hit = np.flatnonzero(later)
     if not len(hit):
         return []
     cut = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (part[hit[1:]] != part[hit[:-1]])])
     ends = np.r_[cut[1:], len(hit)] - 1
-    return [(int(part[hit[a]]), int(local[hit[a]]), int(local[hit[b]])) for a, b in zip(cut, ends, strict=True)]
+    of = part[hit[cut]]
+    return list(zip(of.tolist(), (hit[cut] - offset[of]).tolist(), (hit[ends] - offset[of]).tolist(), strict=True))
 
 
 def _merge(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -302,20 +318,36 @@ def _spread(doc: np.ndarray) -> np.ndarray:
     return _mix(doc.astype(np.uint64)).view(np.int64)
 
 
+def _cells(start: np.ndarray, end: np.ndarray, cell: int, length: int) -> tuple[np.ndarray, ...]:
+    """Intervals cut by the cell, of `cell` bytes, that a window of theirs starts in: number of the interval, cell, start, end."""
+    first, last = start // cell, (end - length) // cell
+    many = last - first + 1
+    k = np.repeat(np.arange(len(start)), many)
+    c = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + first[k]
+    return k, c, np.maximum(start[k], c * cell), np.minimum(end[k], (c + 1) * cell + length - 1)
+
+
+def _runs(b: np.ndarray, e: np.ndarray, a: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping segments [b, e) in a row, each of which looks like the one at a, as one: number of a segment of the run, b, e, a."""
+    by = np.lexsort((b, b - a, *same))
+    b, e, a = b[by], e[by], a[by]
+    new = np.r_[True, (b[1:] - a[1:] != b[:-1] - a[:-1]) | (b[1:] >= e[:-1])]
+    for x in same:
+        new[1:] |= x[by][1:] != x[by][:-1]
+    new = np.flatnonzero(new)
+    return by[new], b[new], np.maximum.reduceat(e, new), a[new]
+
+
+def _met(doc: np.ndarray, cell: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return _mix(_mix(doc.astype(np.uint64)) + _mix(cell.astype(np.uint64)) * np.uint64(M1) + salt.astype(np.uint64) * np.uint64(M2))
+
+
 def _repeats(data: bytes, b: np.ndarray, e: np.ndarray, a: np.ndarray, doc_at: np.ndarray, doc: np.ndarray, start_at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """What the transform removes of the segments [b, e) of data, each of which looks like the one at a; doc and start of the texts from doc_at on.
 
     Segments that repeat others in a row are one run. Runs are cut where what they repeat passes a multiple of a block's quarter, and meet by that place."""
-    by = np.lexsort((b, b - a))
-    b, e, a = b[by], e[by], a[by]
-    new = np.flatnonzero(np.r_[True, (b[1:] - a[1:] != b[:-1] - a[:-1]) | (b[1:] >= e[:-1])])
-    b, a, e = b[new], a[new], np.maximum.reduceat(e, new)
-    cell = max(length, BLOCK // 4)
-    first, last = a // cell, (a + (e - b) - length) // cell
-    k = np.repeat(np.arange(len(a)), last - first + 1)
-    c = np.arange(len(k)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[k]
-    low = np.maximum(a[k], c * cell)
-    high = np.minimum(a[k] + (e - b)[k], (c + 1) * cell + length - 1)
+    _, b, e, a = _runs(b, e, a)
+    k, c, low, high = _cells(a, a + e - b, max(length, BLOCK // 4), length)
     # What is repeated, once for each cell, and the runs that repeat it.
     texts = len(doc_at)
     where, x, y = _merge(low, high, c * texts + np.searchsorted(doc_at, low, side="right") - 1)
@@ -433,25 +465,38 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         if texts:
             yield from flush(texts)
 
-    plain = pa.schema([("doc", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("place", pa.int64())])
+    plain = pa.schema([("doc", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("place", pa.int64()), ("peer", pa.int64()), ("salt", pa.int32())])
+
+    def told(doc: np.ndarray, kind: np.ndarray | int, start: np.ndarray, end: np.ndarray, place: np.ndarray | int = 0, peer: np.ndarray | int = 0, salt: np.ndarray | int = 0) -> pa.RecordBatch:
+        return batch({k: np.broadcast_to(v, len(doc)) for k, v in zip(plain.names, (doc, kind, start, end, place, peer, salt), strict=True)}, plain)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Places whose anchor recurs."""
+        """Places whose anchor recurs: of segments that look alike the first, and the others as its copies; the firsts of an anchor that has several, as they are."""
         for t in _by_key(batches, 200_000):
             key, seg, doc, at = (t.column(n).to_numpy() for n in mark.names)
             done = at < 0
-            zero = np.zeros(done.sum(), np.int64)
-            yield batch({"doc": doc[done], "kind": zero, "start": -1 - at[done], "end": seg[done], "place": zero}, plain)
-            key, doc, at = key[~done], doc[~done], at[~done]
+            yield told(doc[done], DUP, -1 - at[done], seg[done])
+            key, seg, doc, at = key[~done], seg[~done], doc[~done], at[~done]
             if not len(key):
                 continue
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            many = np.diff(np.r_[new, len(key)])
-            many = np.repeat(many, many)
-            use = many > 1
-            doc, at, many = doc[use], at[use], many[use]
+            by = np.lexsort((at, doc, seg, key))
+            key, seg, doc, at = key[by], seg[by], doc[by], at[by]
             start = at >> 24
-            yield batch({"doc": doc, "kind": np.where(many > HOT, EACH, SIDES), "start": start, "end": start + (at >> 12 & 4095), "place": start + (at & 4095)}, plain)
+            end, place = start + (at >> 12 & 4095), start + (at & 4095)
+            other = np.r_[True, key[1:] != key[:-1]]
+            head = other | np.r_[True, seg[1:] != seg[:-1]]
+            of = np.flatnonzero(head)[np.cumsum(head) - 1]
+            many = np.diff(np.r_[np.flatnonzero(head), len(key)])
+            copy = ~head & ((doc != doc[of]) | (start != start[of]))  # identical rows are one place
+            yield told(doc[copy], COPY, start[copy], end[copy], start[of][copy], doc[of][copy], ((np.arange(len(key)) - of - 1) // PEERS)[copy])
+            i = np.flatnonzero(head)[many > 1]
+            yield told(doc[i], FIRST, start[i], end[i], salt=(many[many > 1] - 2) // PEERS)
+            i = np.flatnonzero(head)
+            new = np.flatnonzero(other[i])
+            kinds = np.diff(np.r_[new, len(i)])
+            kinds = np.repeat(kinds, kinds)
+            i, kinds = i[kinds > 1], kinds[kinds > 1]
+            yield told(doc[i], np.where(kinds > HOT, EACH, SIDES), start[i], end[i], place[i])
 
     piece = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
 
@@ -483,13 +528,30 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 if not marks.is_valid or not len(marks):
                     continue
                 m = marks.values
-                kind, start, end, place = (m.field(k).to_numpy() for k in range(4))
+                kind, start, end, place, peer, salt = (m.field(k).to_numpy() for k in range(6))
                 _, a, e = _merge(start[kind == DUP], end[kind == DUP], np.zeros((kind == DUP).sum(), np.int64))
                 add(d, _spread(np.arange(len(a)) + d), a, e, None)
                 if (kind == DUP).all():
                     continue
                 raw = t.as_buffer().to_pybytes()
                 hashes = Ranges(np.frombuffer(raw, np.uint8), 1)
+                own = kind == COPY
+                if own.any():
+                    # By the place in the first document, so that what is alike there meets without the segments' overlaps.
+                    k, x, y, a = _runs(start[own], end[own], place[own], salt[own], peer[own])
+                    i, c, low, high = _cells(a, a + y - x, CELL, length)
+                    x = x[i] + low - a[i]
+                    add(d, _met(peer[own][k[i]], c, salt[own][k[i]]), x, x + high - low, raw)
+                own = kind == FIRST
+                for r in range(int(salt[own].max()) + 1 if own.any() else 0):
+                    use = own & (salt >= r)
+                    _, x, y, _ = _runs(start[use], end[use], start[use])
+                    _, c, low, high = _cells(x, y, CELL, length)
+                    add(d, _met(np.full(len(c), d), c, np.full(len(c), r)), low, high, raw)
+                    if len(out["key"]) >= 10_000:
+                        yield batch(out, piece)
+                        for v in out.values():
+                            v.clear()
                 own = kind == EACH
                 if own.any():
                     many = end[own] - start[own] - length + 1
@@ -564,9 +626,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
             yield pa.RecordBatch.from_arrays(head + tail, names)
 
     docs = keyed(documents)
-    found = docs.select("doc", "text").mapInArrow(released(anchors), "key long, seg long, doc long, at long").repartition("key").sortWithinPartitions("key").mapInArrow(released(meet), "doc long, kind byte, start long, end long, place long")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "place")).alias("marks"))
-    pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks").mapInArrow(released(fetch), "key long, doc long, start long, end long, bytes binary")
+    found = docs.select("doc", "text").mapInArrow(released(anchors), "key long, seg long, doc long, at long").repartition("key").sortWithinPartitions("key").mapInArrow(released(meet), "doc long, kind byte, start long, end long, place long, peer long, salt int")
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "end", "place", "peer", "salt")).alias("marks"))
+    pieces = docs.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "marks", "doc_id").mapInArrow(released(fetch), "key long, doc long, start long, end long, bytes binary")
     runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(released(transform), "doc long, start long, end long")
     spans = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     tail = "kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, kept binary"

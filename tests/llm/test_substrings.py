@@ -70,6 +70,8 @@ def test_equals_brute_force(spark, seed, block, hot, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", block)
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "WINDOWS", 300)
+    monkeypatch.setattr(S, "CELL", 128)
+    monkeypatch.setattr(S, "PEERS", 2)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int").repartition(3)
     got = {r["doc_id"]: tuple(r)[1:] for r in S.remove_repeats(df, digests=True).collect()}
     assert got == brute(docs)
