@@ -6,10 +6,13 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Terms whose stems a task remembers at a time.
+MEMO = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -17,6 +20,47 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def stemmed(terms: Column) -> Column:
+    """An array of terms, folded and stemmed: an Arrow batch at a time, each term once as long as the memo lasts."""
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(term: str) -> str:
+            if term not in known:
+                if len(known) >= MEMO:
+                    known.clear()
+                known[term] = stem(term)
+            return known[term]
+
+        return lists.map(lambda x: None if x is None else [one(t) for t in x])
+
+    return run(terms)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def places(terms: Column) -> Column:
+    """array<struct<term, positions>> of an array of terms: each term once, with its places in order."""
+
+    def grouped(s: Column) -> Column:
+        def runs(heads: Column) -> Column:
+            def run(at: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(heads, k + 1), F.size(s))
+                return F.struct(F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, end - at), lambda x: x["pos"]).alias("positions"))
+
+            return F.transform(heads, run)
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"])), runs)
+
+    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
+    ordered = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    return F.when(F.size(terms) > 0, let(ordered, grouped)).otherwise(none)
+
+
 def python_tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 

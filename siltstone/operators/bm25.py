@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.analyzer import Clause, parse_query
-from siltstone.operators.index import FIELDS, statistics
+from siltstone.operators.index import FIELDS, bucket_of, statistics
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -25,6 +25,10 @@ def clause_hits(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
     """(id, clause, tf): weighted matches of each clause in each document that has any. One scan, whatever the number of clauses; only rows of the clauses' terms leave it."""
     tests = [(k, i, _term_is(c, i)) for k, c in enumerate(clauses) for i in range(len(c.terms))]
     wanted = reduce(lambda a, b: a | b, (t for _, _, t in tests))
+    if "bucket" in postings.columns:
+        buckets = {bucket_of(t, c.prefix and i == len(c.terms) - 1) for c in clauses for i, t in enumerate(c.terms)}
+        if None not in buckets:
+            wanted = F.col("bucket").isin(sorted(buckets)) & wanted
     roles = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(k).alias("clause"), F.lit(i).alias("i"))) for k, i, t in tests]))
     found = postings.filter(wanted).select("id", "field", "positions", F.explode(roles).alias("r"))
     shifted = found.select("id", "field", "r.clause", "r.i", F.transform("positions", lambda p: p - F.col("r.i")).alias("at"))
@@ -60,7 +64,7 @@ def normal_score(bm25_: Column) -> Column:
     return F.abs(bm25_) / (1 + F.abs(bm25_))
 
 
-def search(postings: DataFrame, lengths: DataFrame, documents: DataFrame, query: str, limit: int = 20, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
+def search(postings: DataFrame, lengths: DataFrame, documents: DataFrame, query: str | list[Clause], limit: int = 20, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
     """documents' columns with score and rank. Filters come after the candidate limit (10 x limit with a collection), as users of small indexes expect; exact=True filters first."""
     ranked = bm25(postings, lengths, query)
     wanted = documents.filter("active")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.functions.analyzer import tokens
+from siltstone.functions.analyzer import places, stemmed, tokens
 
 #: Fields in the order and with the weights of a match in them. Fixed values.
 FIELDS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -55,13 +57,27 @@ def rename_case(previous: DataFrame, current: DataFrame) -> DataFrame:
     return old.withColumn("path", F.coalesce("to", "path")).select(previous.columns)
 
 
-def postings(documents: DataFrame, key: str = "id") -> DataFrame:
-    """(term, key, field, positions) of active documents with filepath, title and body: one row a term, document and field.
+#: Buckets of terms in a written index, by their first letters, so that a term's and a prefix's rows are found without opening the others.
+BUCKETS, BUCKET_LETTERS = 64, 2
+
+
+def bucket(term: Column) -> Column:
+    return (F.crc32(F.substring(term, 1, BUCKET_LETTERS).cast("binary")) % BUCKETS).cast("int")
+
+
+def bucket_of(term: str, prefix: bool = False) -> int | None:
+    """The bucket of a term, or of all terms with a prefix; None where a prefix is too short for one."""
+    return None if prefix and len(term) < BUCKET_LETTERS else zlib.crc32(term[:BUCKET_LETTERS].encode()) % BUCKETS
+
+
+def _terms(field: str, stem: bool) -> Column:
+    return stemmed(tokens(F.col(field))) if stem else tokens(F.col(field))
+
 
-    Written by bucket of term, a query reads only its own terms' rows."""
-    parts = [documents.select(key, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "term")) for f in FIELDS]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("term", key, "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def postings(documents: DataFrame, key: str = "id", stem: bool = False) -> DataFrame:
+    """(term, key, field, positions) of active documents with filepath, title and body: one row a term, document and field, made within the document's row: nothing is shuffled. With stem, terms are folded and stemmed."""
+    parts = [documents.select(key, F.lit(f).alias("field"), F.explode(places(_terms(f, stem))).alias("p")).select("p.term", key, "field", "p.positions") for f in FIELDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def lengths(documents: DataFrame, key: str = "id") -> DataFrame:
@@ -79,12 +95,15 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
-def write_snapshot(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    """content, documents, postings and lengths under path; postings are parted by bucket of term, documents by collection."""
+def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None) -> None:
+    """content and documents under path, and postings and lengths of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs."""
     content, rows = split_store(documents)
     keyed = documents.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
-    content.write.mode("overwrite").parquet(f"{path}/content")
-    rows.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/documents")
-    by_term = postings(keyed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    by_term.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(keyed).write.mode("overwrite").parquet(f"{path}/lengths")
+    if known is not None:
+        keyed = keyed.join(known.select("id", "hash"), ["id", "hash"], "left_anti")
+    content.write.parquet(f"{path}/content")
+    rows.write.partitionBy("collection").parquet(f"{path}/documents")
+    key = F.struct("id", "hash")
+    by_term = postings(keyed.withColumn("key", key), "key", True).select("term", "key.*", "field", "positions").withColumn("bucket", bucket(F.col("term")))
+    by_term.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(keyed.withColumn("key", key), "key").select("key.*", "length").write.parquet(f"{path}/lengths")

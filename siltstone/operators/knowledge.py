@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.durable import sums_before
 from siltstone.functions.text import slug, token_estimate
 
 NOTE = "struct<title:string,summary:string,keyInsights:array<string>,tags:array<string>,relatedTopics:array<string>>"
@@ -70,8 +71,10 @@ def extract(parts: DataFrame, model: Callable[[str], str], tries: int = 3) -> Da
 
 
 def within_budget(rows: DataFrame, cost: str, order: list[str], most: float, group: list[str] | None = None) -> DataFrame:
-    """Rows in order as long as what was spent before them is under the budget. The running sum is per group, so one group's rows meet in a task; without groups that is a deliberate single ordered pass over a narrow table."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Rows in order as long as what was spent before them is under the budget: over all of them, or in each group, whose rows then meet in a task."""
+    if not group:
+        return sums_before(rows, order, _spent=F.col(cost)).filter(F.col("_spent") < most).drop("_spent")
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_spent", F.coalesce(F.sum(cost).over(w), F.lit(0))).filter(F.col("_spent") < most).drop("_spent")
 
 
@@ -81,8 +84,8 @@ def unprocessed(sessions: DataFrame, state: DataFrame) -> DataFrame:
 
 def retry_queue(sessions: DataFrame, failed: DataFrame, most_tries: int = 3) -> DataFrame:
     """Sessions that are new or failed fewer than most_tries times, each once."""
-    again = failed.groupBy("session_id").agg(F.count("*").alias("tries")).filter(F.col("tries") < most_tries)
-    return sessions.join(again.select("session_id"), "session_id", "left_semi")
+    given_up = failed.groupBy("session_id").agg(F.count("*").alias("tries")).filter(F.col("tries") >= most_tries)
+    return sessions.join(given_up.select("session_id"), "session_id", "left_anti").dropDuplicates(["session_id"])
 
 
 def placed(notes: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.durable import is_missing, sums_before, written
 from siltstone.functions import text as T
 
 URL = r"https?://[^\s<>\"'\]\)]+"
@@ -141,58 +143,37 @@ def robots_allows(rules: str, agent: str, path: str) -> bool:
 
 
 def first_seen(pages: DataFrame, order: str = "page_id") -> DataFrame:
-    """pages with accepted: in arrival order, a page goes if its canonical URL or its body was accepted before; what is rejected reserves neither.
+    """pages with accepted: in arrival order (which tells pages apart), a page goes if its canonical URL or its body was accepted before; what is rejected reserves neither, and a null is shared with nobody.
 
-    The rule is sequential only within a connected set of URLs and bodies. Groups are found by letting least arrival numbers spread over shared URLs and bodies until nothing changes; one ordered pass over narrow keys then decides within each group."""
-    import pandas as pd
-
-    keys = pages.select(order, F.col("canonical_url").alias("u"), F.col("body_hash").alias("b")).withColumn("g", F.col(order))
-    while True:
-        near = keys
+    The sequential rule by rounds: of the undecided pages those that come first both among their URL's and among their body's are accepted, as nothing before them can be, and all that share with them go. A page a third of all pages copy is decided in one round, by aggregates and narrow joins."""
+    left = written(pages.select(order, F.col("canonical_url").alias("u"), F.col("body_hash").alias("b")), "seen")
+    accepted = None
+    while left.limit(1).count():
+        firsts = left
+        for c in ("u", "b"):
+            least = left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(f"first_{c}"))
+            firsts = firsts.join(least, c, "left")
+        own = F.col(order)
+        now = written(firsts.filter((F.coalesce("first_u", own) == own) & (F.coalesce("first_b", own) == own)).select(order, "u", "b"), "accepted")
+        left = left.join(now.select(order), order, "left_anti")
         for c in ("u", "b"):
-            least = near.groupBy(c).agg(F.min("g").alias("m"))
-            near = near.join(least, c).withColumn("g", F.least("g", "m")).drop("m")
-        # cut the lineage at each round: the job is repeated from files if an executor is lost
-        near = _written(near)
-        moved = near.join(keys.select(order, F.col("g").alias("old")), order).filter("g <> old").limit(1).count()
-        keys = near
-        if not moved:
-            break
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        urls, bodies, ok = set(), set(), []
-        rows = rows.sort_values(order)
-        for u, b in zip(rows["u"], rows["b"], strict=True):
-            good = u not in urls and b not in bodies
-            ok.append(good)
-            if good:
-                urls.add(u)
-                bodies.add(b)
-        return pd.DataFrame({order: rows[order], "accepted": ok})
-
-    kind = pages.schema[order].dataType.simpleString()
-    shared = keys.groupBy("g").agg(F.count("*").alias("n"))
-    many = keys.join(shared.filter("n > 1").select("g"), "g", "left_semi")
-    verdicts = many.groupBy("g").applyInPandas(decide, f"{order} {kind}, accepted boolean")
-    return pages.join(verdicts, order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    sc = df.sparkSession.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
-    path = f"{where}/seen-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+            left = left.join(now.filter(F.col(c).isNotNull()).select(c).distinct(), c, "left_anti")
+        left = written(left.select(order, "u", "b"), "seen")
+        accepted = now.select(order) if accepted is None else accepted.unionByName(now.select(order))
+    if accepted is None:
+        return pages.withColumn("accepted", F.lit(True))
+    return pages.join(accepted.withColumn("accepted", F.lit(True)), order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def budgeted(pages: DataFrame, most_urls: int = 100, most_bytes: int = 50 * 1024 * 1024, topic: str | None = None, order: str = "page_id") -> DataFrame:
-    """Pages in arrival order up to the first that would overflow the budget of URLs or bytes, per topic."""
-    w = Window.partitionBy(topic if topic else F.lit(0)).orderBy(order)
+    """Pages in arrival order up to the first that would overflow the budget of URLs or bytes, over all or per topic, whose pages then meet in a task."""
+    size = F.coalesce(F.octet_length("body_md"), F.lit(0)).cast("long")
+    if topic is None:
+        counted = sums_before(pages, [order], _n=F.lit(1), _b=size)
+        return counted.filter((F.col("_n") < most_urls) & (F.col("_b") + size <= most_bytes)).drop("_n", "_b")
+    w = Window.partitionBy(topic).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(F.octet_length("body_md")).over(upto)).filter((F.col("_n") <= most_urls) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+    return pages.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(size).over(upto)).filter((F.col("_n") <= most_urls) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
 
 
 def stage(pages: DataFrame, path: str) -> None:
@@ -201,7 +182,9 @@ def stage(pages: DataFrame, path: str) -> None:
     try:
         known = spark.read.json(path, schema="id string")
         fresh = pages.join(known.dropna().distinct(), "id", "left_anti")
-    except Exception:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         fresh = pages
     fresh.dropDuplicates(["id"]).write.mode("append").json(path)
 

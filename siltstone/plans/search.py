@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.analyzer import QueryError, TypedQuery, intent_terms, parse_document, validate
+from siltstone.functions.analyzer import QueryError, TypedQuery, intent_terms, parse_document, parse_query, validate
 from siltstone.operators import bm25, chunk, fusion, vector
 
 LEXICAL, FETCH = 20, 20
@@ -16,11 +16,12 @@ LEXICAL, FETCH = 20, 20
 class Index:
     """What a search reads: documents (id, collection, path, title, body, hash, active, source_type), postings, lengths, and chunks with vectors."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame, lengths: DataFrame, chunks: DataFrame | None = None):
-        self.documents, self.postings, self.lengths, self.chunks = documents, postings, lengths, chunks
+    def __init__(self, documents: DataFrame, postings: DataFrame, lengths: DataFrame, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None):
+        """analyse is what was done to the postings' terms, and is done to a query's."""
+        self.documents, self.postings, self.lengths, self.chunks, self.analyse = documents, postings, lengths, chunks, analyse or (lambda t: t)
 
     def lexical(self, query: str, limit: int = LEXICAL, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
-        return bm25.search(self.postings, self.lengths, self.documents, query, limit, collection, source_type, exact)
+        return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse), limit, collection, source_type, exact)
 
     def nearest(self, query: list[float], limit: int = LEXICAL, collection: str | None = None) -> DataFrame:
         if self.chunks is None:
@@ -50,8 +51,10 @@ def _fused(index: Index, lists: list[DataFrame], heavy: int, query: str, intent:
 
 def hybrid(index: Index, query: str, expander: Callable[[str], list[TypedQuery]] | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, intent: str | None = None, collection: str | None = None, limit: int = 10, least: float = 0.0) -> DataFrame:
     """A plain query: its own lexical hits, unless they are strong also its expansions', and vector hits of it and its variants."""
-    own = index.lexical(query, LEXICAL, collection)
-    top = [r["score"] for r in own.select("score").limit(2).collect()]
+    found = index.lexical(query, LEXICAL, collection).select("id", "score")
+    hits = found.collect()  # LEXICAL rows at most, read once for the scores and the fusion
+    own = index.documents.sparkSession.createDataFrame(hits, found.schema)
+    top = [r["score"] for r in hits[:2]]
     typed = [] if expander is None or fusion.strong_signal(top, intent) else expander(query)
     lists = [own] if top else []
     lists += [index.lexical(q.text, LEXICAL, collection) for q in typed if q.type == "lex"]

@@ -12,7 +12,12 @@ from siltstone.operators.lookup import glob_regex
 
 def scan(spark: SparkSession, root: str, pattern: str = "**/*.md", ignore: list[str] | None = None) -> DataFrame:
     """(path, text, modified_at) of the files under root that the pattern matches, by Spark's own file listing; nothing is opened on the driver."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    last = pattern.rsplit("/", 1)[-1]
+    if "**" not in last:  # files of other names are not opened
+        reader = reader.option("pathGlobFilter", last)
+    # Excluded folders are known by the listing, before any content is read.
+    raw = reader.load(root).filter(~F.regexp_replace("_metadata.file_path", f"^(?:[a-z0-9]+:)?/*{_quoted(root.rstrip('/') + '/')}", "").rlike(index.EXCLUDED_FOLDERS))
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), f"^(?:[a-z0-9]+:)?/*{_quoted(base)}", "")
     files = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_at"))

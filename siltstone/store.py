@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.durable import is_missing
+from siltstone.functions import analyzer
 from siltstone.functions import text as T
 from siltstone.operators import chunk, health, index, lookup, vector
 from siltstone.plans import search
 from siltstone.sources import files
 
 
+#: Segments of an index before they become one.
+SEGMENTS = 8
+
+
 class Store:
     """A snapshot under `path`: content, documents, postings, lengths, vectors. Each update writes a new version and then moves the pointer, so readers never see half of one."""
 
@@ -18,28 +27,57 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _versions(self) -> DataFrame:
-        return self.spark.read.schema("version long, at timestamp").json(f"{self.path}/versions")
+        return self.spark.read.schema("version long, folder string, segments array<string>, at timestamp").json(f"{self.path}/versions")
 
-    def version(self) -> int:
+    def latest(self) -> tuple[int, str | None]:
+        """The newest version and its folder; 0 where there is none yet. A read that fails for another reason is an error."""
         try:
-            return self._versions().agg(F.max("version")).first()[0] or 0
-        except Exception:
-            return 0
+            row = self._versions().orderBy(F.desc("version")).select("version", "folder").first()
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
+            row = None
+        return (row["version"], row["folder"]) if row else (0, None)
 
-    def _at(self, name: str) -> str:
-        return f"{self.path}/v{self.version()}/{name}"
+    def version(self) -> int:
+        return self.latest()[0]
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(name))
+    def table(self, name: str, folder: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder or self.latest()[1]}/{name}")
 
-    def documents(self) -> DataFrame:
-        d = self.table("documents").join(self.table("content"), "hash").withColumnRenamed("doc", "body")
+    def documents(self, folder: str | None = None) -> DataFrame:
+        folder = folder or self.latest()[1]
+        d = self.table("documents", folder).join(self.table("content", folder), "hash").withColumnRenamed("doc", "body")
         return d.withColumn("id", T.virtual_path(F.col("collection"), F.col("path")))
 
-    def commit(self, documents: DataFrame) -> int:
-        new = self.version() + 1
-        index.write_snapshot(documents, f"{self.path}/v{new}")
-        self.spark.createDataFrame([(new,)], "version long").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.path}/versions")
+    def segments(self) -> list[str]:
+        """Folders whose postings and lengths make up the newest version's; those of documents that changed since no longer count."""
+        return self._versions().orderBy(F.desc("version")).first()["segments"]
+
+    def _current(self, name: str, documents: DataFrame) -> DataFrame:
+        """A table of all segments without the rows of texts that documents no longer hold."""
+        parts = [self.table(name, s) for s in self.segments()]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        if len(parts) == 1:
+            return rows.drop("hash")
+        return rows.join(documents.filter("active").select("id", "hash"), ["id", "hash"], "left_semi").drop("hash")
+
+    def commit(self, documents: DataFrame, whole: bool = False) -> int:
+        """A new version: the texts that changed are indexed in a segment of their own, or, after SEGMENTS of them, all anew."""
+        old, held = self.latest()
+        new = old + 1
+        folder = f"v{new}-{uuid.uuid4().hex[:8]}"  # a folder of its own: nothing is ever overwritten
+        parts = self.segments() if held and not whole else []
+        known = None
+        if parts and len(parts) < SEGMENTS:
+            known = self.documents(held).filter("active").select("id", "hash")
+        else:
+            parts = []
+        index.write_snapshot(documents, f"{self.path}/{folder}", known)
+        row = (new, folder, [*parts, folder])
+        self.spark.createDataFrame([row], "version long, folder string, segments array<string>").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.path}/versions")
         return new
 
     def update(self, root: str, name: str, pattern: str = "**/*.md", ignore: list[str] | None = None) -> DataFrame:
@@ -60,14 +98,18 @@ class Store:
     def has_vectors(self) -> bool:
         try:
             return bool(self.vectors().limit(1).count())
-        except Exception:
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
             return False
 
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
     def index(self) -> search.Index:
-        return search.Index(self.documents(), self.table("postings").drop("bucket"), self.table("lengths"), self.vectors() if self.has_vectors() else None)
+        folder = self.latest()[1]
+        d = self.documents(folder)
+        return search.Index(d, self._current("postings", d), self._current("lengths", d), self.vectors() if self.has_vectors() else None, analyzer.stem)
 
     def search(self, query: str, **options) -> DataFrame:
         return search.search(self.index(), query, **options)
@@ -84,4 +126,4 @@ class Store:
 
     def cleanup(self) -> None:
         """A new version without inactive documents and texts nobody holds."""
-        self.commit(health.drop_inactive(self.documents().drop("id")))
+        self.commit(health.drop_inactive(self.documents().drop("id")), whole=True)

@@ -25,6 +25,51 @@ def test_store(spark, tmp_path):
     assert s.documents().count() == 1 and s.status().first()["documents"] == 1 and s.get("one.md").count() == 1
 
 
+def test_store_is_incremental_and_safe(spark, tmp_path):
+    root = tmp_path / "files"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "node_modules" / "x.md").write_text("running")
+    for k in range(6):
+        (root / f"n{k}.md").write_text(f"# N{k}\nrunning shuffles caf\u00e9 {k}")
+    s = Store(spark, str(tmp_path / "store"))
+    s.update(str(root), "c")
+    assert {r["file"][-5:] for r in s.search("run").collect()} == {f"n{k}.md" for k in range(6)}  # stemmed
+    assert s.search("cafe").count() == 6 and s.search("-x run shuffle").count() == 6  # folded
+    (root / "n0.md").write_text("# N0\nsorts only")
+    (root / "n1.md").unlink()
+    s.update(str(root), "c")
+    assert len(s.segments()) == 2
+    new = spark.read.parquet(f"{s.path}/{s.segments()[1]}/postings").select("id").distinct().collect()
+    assert [r["id"] for r in new] == ["vault://c/n0.md"]
+    assert s.search("run").count() == 4 and [r["file"] for r in s.search("sorting").collect()] == ["vault://c/n0.md"]
+    plan = s._current("lengths", s.documents()).select("length").collect()
+    assert len(plan) == 5
+    s.cleanup()
+    assert len(s.segments()) == 1 and s.search("run").count() == 4 and s.documents().count() == 5
+    # a read that fails for another reason than that there is nothing is an error, not an empty store
+    for f in (tmp_path / "store" / "versions").glob("part-*"):
+        f.write_bytes(b"\x00\xff{")
+    import pytest
+
+    with pytest.raises(Exception):
+        s.table("documents").count()
+
+
+def test_a_term_query_opens_one_bucket(spark, tmp_path):
+    from siltstone.functions.analyzer import parse_query, stem
+    from siltstone.operators import bm25
+
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "a.md").write_text("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")
+    s = Store(spark, str(tmp_path / "store"))
+    s.update(str(root), "c")
+    hits = bm25.clause_hits(s.table("postings"), parse_query("gamm", stem))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert hits.count() == 1
+
+
 def test_idle_stream(spark, tmp_path):
     rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:05:00"), ("b", "2026-01-01 00:01:00"), ("a", "2026-01-01 02:00:00"), ("z", "2026-01-01 09:00:00")]
     spark.createDataFrame(rows, "user_id string, ts string").selectExpr("user_id", "cast(ts as timestamp_ntz) ts").coalesce(1).write.parquet(str(tmp_path / "in"))

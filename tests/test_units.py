@@ -270,3 +270,27 @@ def test_nearest_of_many_goes_on_in_blocks(spark):
     q = spark.createDataFrame([(i, e) for i, e in rows if i % 4 == 0], "qid int, query array<double>")
     got = [sorted(vector.nearest_of_many(v, q, 3, most_queries=n).select("qid", "hash_seq", "rank").collect()) for n in (3, 4, 1000)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 30
+
+
+def test_retry_queue_keeps_new_sessions(spark):
+    sessions_ = spark.createDataFrame([("new",), ("once",), ("thrice",), ("once",)], "session_id string")
+    failed = spark.createDataFrame([("once",), ("thrice",), ("thrice",), ("thrice",)], "session_id string")
+    assert sorted(r["session_id"] for r in knowledge.retry_queue(sessions_, failed, 3).collect()) == ["new", "once"]
+
+
+def test_nulls_are_shared_with_nobody(spark):
+    pages = spark.createDataFrame([(1, "u1", "b1"), (2, None, "b1"), (3, None, None), (4, None, None), (5, "u1", None), (6, "u2", "b2"), (7, "u2", "b3"), (8, "u3", "b3")], "page_id long, canonical_url string, body_hash string")
+    got = {r["page_id"]: r["accepted"] for r in research.first_seen(pages).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False, 8: True}
+    assert research.first_seen(pages.limit(0)).count() == 0
+
+
+def test_ordered_budgets_over_many_ranges(spark):
+    rows = spark.range(0, 500, 1, 7).selectExpr("id page_id", "cast(repeat('x', cast(id % 5 as int)) as string) body_md")
+    spent, want = 0, 0
+    for k in range(500):
+        spent += k % 5
+        want += spent <= 300 and k < 200
+    assert research.budgeted(rows, 200, 300).count() == want
+    kept = knowledge.within_budget(rows.withColumn("c", F.length("body_md")), "c", ["page_id"], 301)
+    assert kept.count() == sum(sum(j % 5 for j in range(k)) < 301 for k in range(500))
