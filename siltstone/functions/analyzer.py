@@ -234,3 +234,16 @@ INTENT_STOP = frozenset(
 def intent_terms(intent: str) -> list[str]:
     stripped = (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in intent.lower().split())
     return [w for w in stripped if len(w) > 1 and w not in INTENT_STOP]
+
+
+HANGUL = r"[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
+
+
+def mixed_tokens(text: str, korean=None) -> list[str]:
+    """Terms of a text in several scripts: runs of Hangul go to an injected analyser, which gives the words that carry meaning, and all else is split as usual. Without an analyser everything is."""
+    if korean is None:
+        return python_tokens(text)
+    out = []
+    for part in re.findall(f"{HANGUL}+|(?:(?!{HANGUL}).)+", text, re.S):
+        out += [w.lower() for w in korean(part)] if re.match(HANGUL, part) else python_tokens(part)
+    return out

@@ -24,7 +24,14 @@ def same_file(a: Column, b: Column) -> Column:
 def retrieval(results: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, precision_at_k, recall, mrr, f1, hits_at_k) over results (query_id, rank, file) and expected (query_id, file)."""
     want = expected.select("query_id", F.col("file").alias("want"))
-    met = results.join(want, "query_id").filter(same_file(F.col("file"), F.col("want")))
+    # One path is the other's end: then their last steps are equal, unless the shorter one is a bare name.
+    last = lambda c: F.element_at(F.split(normal_path(F.col(c)), "/"), -1)
+    bare = lambda c: ~normal_path(F.col(c)).contains("/")
+    r, w = results.withColumn("last", last("file")).withColumn("bare", bare("file")), want.withColumn("last", last("want")).withColumn("bare", bare("want"))
+    same = r.drop("bare").join(w.drop("bare"), ["query_id", "last"]).select("query_id", "rank", "file", "want")
+    some = lambda a, b: a.filter("bare").drop("bare", "last").join(b.drop("bare"), "query_id")
+    odd = some(r, w).filter(last("file") != F.col("last")).drop("last").unionByName(some(w, r.filter("not bare")).filter(last("want") != F.col("last")).drop("last"))
+    met = same.unionByName(odd.select("query_id", "rank", "file", "want")).filter(same_file(F.col("file"), F.col("want")))
     of = met.groupBy("query_id", "want").agg(F.min("rank").alias("r")).groupBy("query_id").agg(F.count("*").alias("found"), F.count_if(F.col("r") <= k).alias("hits_at_k"), F.min("r").alias("first"))
     n = want.groupBy("query_id").agg(F.count("*").alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -97,3 +97,12 @@ def note_markdown(notes: DataFrame) -> DataFrame:
     bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
     text = F.concat(F.lit("---\ntitle: "), F.col("title"), F.lit("\ntags: ["), F.array_join("tags", ", "), F.lit("]\n---\n\n"), F.col("summary"), F.when(F.size("keyInsights") > 0, F.concat(F.lit("\n\n## Key insights\n\n"), bullets("keyInsights"))).otherwise(""), F.when(F.size("relatedTopics") > 0, F.concat(F.lit("\n\n## Related topics\n\n"), bullets("relatedTopics"))).otherwise(""), F.lit("\n"))
     return notes.withColumn("markdown", text)
+
+
+def draft_names(drafts: DataFrame, taken: DataFrame, order: str = "created") -> DataFrame:
+    """drafts (folder, stem, order) with file_name: the stem, with a number where drafts before it or files that are there (folder, file_name) have the name."""
+    held = taken.withColumn("stem", F.regexp_replace("file_name", r"(?:-\d+)?\.md$", "")).withColumn("n", F.coalesce(F.regexp_extract("file_name", r"-(\d+)\.md$", 1).try_cast("int"), F.lit(1)))
+    last = held.groupBy("folder", "stem").agg(F.max("n").alias("last"))
+    k = F.row_number().over(Window.partitionBy("folder", "stem").orderBy(order)) + F.coalesce("last", F.lit(0))
+    named = drafts.join(last, ["folder", "stem"], "left").withColumn("_k", k)
+    return named.withColumn("file_name", F.concat("stem", F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k"))).otherwise(""), F.lit(".md"))).drop("_k", "last")

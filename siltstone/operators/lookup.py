@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.paths import within
 
 #: Largest edit distance and results of suggestions. Fixed values.
 DISTANCE, LOOKUP_DISTANCE, SUGGESTIONS = 3, 5, 5
@@ -101,3 +102,24 @@ def default_collections(collections: DataFrame, documents: DataFrame) -> DataFra
     """Names searched unless others are asked for: those marked so, and those that only documents know."""
     known = documents.select(F.col("collection").alias("name")).distinct().join(collections.select("name"), "name", "left_anti")
     return collections.filter(F.coalesce("include_by_default", F.lit(True))).select("name").unionByName(known)
+
+
+def find_for_command(documents: DataFrame, name: str, roots: dict[str, str] | None = None) -> DataFrame:
+    """find's second table of priorities, for names as they are typed: by id; a virtual path exactly, then by its end within the collection; collection/path likewise, if there is such a collection; a file's path under the longest of the collections' roots; at last any path's end."""
+    bare, line = (name, None) if not (m := re.search(r":(\d+)$", name)) else (name[: m.start()], int(m[1]))
+    short = re.sub(r"^[\"']?#?|[\"']$", "", bare).lower()
+    active = documents.filter("active")
+    rank = F.when(F.lower("hash").startswith(short), 0) if re.fullmatch("[0-9a-f]{6,}", short) else F.when(F.lit(False), 0)
+    is_virtual = bare.startswith(f"{T.SCHEME}:")
+    rest = re.sub("^/+", "", bare.split(":", 1)[1]) if is_virtual else bare
+    collection, _, path = rest.partition("/")
+    if path and not bare.startswith(("/", "~")):
+        own = F.col("collection") == collection
+        rank = rank.when(own & (F.col("path") == path), 1).when(own & like_suffix(F.col("path"), path), 2)
+    if not is_virtual:
+        under = max(((len(r), c, p) for c, r in (roots or {}).items() if (p := within(bare, r))), default=None)
+        if under is not None:
+            rank = rank.when((F.col("collection") == under[1]) & (F.col("path") == under[2]), 3)
+        rank = rank.when(like_suffix(F.col("path"), bare.rsplit("/", 1)[-1]), 4)
+    got = active.withColumn("priority", rank).filter(F.col("priority").isNotNull())
+    return got.orderBy("priority", "collection", "path").limit(1).withColumn("line", F.lit(line).cast("int"))

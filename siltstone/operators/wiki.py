@@ -112,3 +112,72 @@ def overview(pages: DataFrame) -> dict[str, DataFrame]:
         "top_hits": p.filter("hit_count > 0").orderBy(F.desc("hit_count"), "project", "title").limit(10),
         "important": p.filter("importance >= 5").orderBy("project", "title").limit(5),
     }
+
+
+def create(pages: DataFrame, project: str, title: str, body: str = "", tags: list[str] | None = None, sources: list[str] | None = None, similar: str | None = None, merge: bool = False) -> DataFrame:
+    """pages with a new one. A page that is alike (`similar`, a title found by similar_pages) takes the text in instead where merge is set, and is linked with the new page otherwise. A title that its project has already is an error."""
+    if pages.filter((F.col("project") == project) & (F.col("title") == title)).limit(1).count():
+        raise ValueError(f"{project} has a page {title!r} already")
+    if similar is not None and merge:
+        return merge_into(pages, project, similar, body, tags or [], title)
+    given = {"project": F.lit(project), "title": F.lit(title), "body": F.lit(body), "tags": _strings(tags), "sources": _strings(sources), "related": _strings(None)}
+    types = {f.name: f.dataType for f in pages.schema}
+    new = pages.sparkSession.range(1).select(*[given.get(c, F.lit(0) if c in COUNTERS else F.lit(None)).cast(types[c]).alias(c) for c in pages.columns])
+    out = pages.unionByName(new)
+    return link(out, project, title, similar) if similar is not None else out
+
+
+def _strings(values: list[str] | None) -> Column:
+    return F.array(*[F.lit(v) for v in values or []]).cast("array<string>")
+
+
+def update(pages: DataFrame, project: str, title: str, body: str | None = None, append: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """The page with another body, or with text after its own, and other tags; either is counted."""
+    at = (F.col("project") == project) & (F.col("title") == title)
+    out = pages
+    if body is not None:
+        out = out.withColumn("body", F.when(at, F.lit(body)).otherwise(F.col("body")))
+    if append is not None:
+        out = out.withColumn("body", F.when(at, F.concat("body", F.lit("\n\n" + append))).otherwise(F.col("body")))
+    if tags is not None:
+        out = out.withColumn("tags", F.when(at, _strings(tags)).otherwise(F.col("tags")))
+    counter = "append_count" if append is not None else "update_count"
+    return out.withColumn(counter, F.coalesce(counter, F.lit(0)) + at.cast("int"))
+
+
+def remove(pages: DataFrame, project: str, title: str) -> DataFrame:
+    """pages without one, and without links to it in its project's related lists."""
+    kept = pages.filter(~((F.col("project") == project) & (F.col("title") == title)))
+    return kept.withColumn("related", F.when(F.col("project") == project, F.array_remove("related", title)).otherwise(F.col("related")))
+
+
+def listed(pages: DataFrame, project: str | None = None, tag: str | None = None) -> DataFrame:
+    out = pages if project is None else pages.filter(F.col("project") == project)
+    return out if tag is None else out.filter(F.array_contains("tags", tag))
+
+
+def reset(pages: DataFrame, project: str | None = None) -> DataFrame:
+    """pages with their counters, or a project's, at nothing."""
+    at = F.lit(True) if project is None else F.col("project") == project
+    return pages.withColumns({c: F.when(at, 0).otherwise(F.coalesce(c, F.lit(0))) for c in COUNTERS if c in pages.columns})
+
+
+def reconcile(pages: DataFrame, documents: DataFrame, collection: str = "wiki") -> tuple[DataFrame, DataFrame]:
+    """(documents with the collection's rows as the pages are, counts scanned and deactivated): pages are the truth, documents of pages that are gone turn inactive."""
+    from siltstone.functions import text as T
+    from siltstone.operators import index
+
+    text = render(pages).select(F.concat_ws("/", "project", F.concat(T.slug(F.col("title")), F.lit(".md"))).alias("path"), "text")
+    now = index.derive(text, collection)
+    own = documents.filter(F.col("collection") == collection).select(now.columns)
+    out = index.merge(own, now)
+    gone = own.filter("active").join(now, ["collection", "path"], "left_anti")
+    counts = now.agg(F.count("*").alias("scanned")).crossJoin(F.broadcast(gone.agg(F.count("*").alias("deactivated"))))  # one row each
+    return documents.filter(F.col("collection") != collection).select(now.columns).unionByName(out), counts
+
+
+def page_detail(pages: DataFrame, project: str, title: str) -> DataFrame:
+    """A page with its importance, hits and how many pages link to it."""
+    own = scored(pages).filter((F.col("project") == project) & (F.col("title") == title))
+    into = backlinks(pages).filter((F.col("project") == project) & (F.col("title") == title)).agg(F.count("*").alias("linked_from"))
+    return own.crossJoin(F.broadcast(into))  # one row each

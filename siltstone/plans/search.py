@@ -105,3 +105,11 @@ def expand(query: str, model: Callable[[str], str]) -> list[TypedQuery]:
         if kind in ("lex", "vec", "hyde") and text.strip() and (kind == "hyde" or words & set(text.lower().split())):
             out.append(TypedQuery(kind, text.strip()))
     return out or [TypedQuery("lex", query), TypedQuery("vec", query), TypedQuery("hyde", f"Information about {query}")]
+
+
+#: Rows fetched for a command that wants n, and for one that wants all. Fixed values.
+FETCH_LEAST, FETCH_ALL = 50, 100_000
+
+
+def fetch_limit(n: int, everything: bool = False) -> int:
+    return FETCH_ALL if everything else max(FETCH_LEAST, 2 * n)

@@ -59,3 +59,22 @@ def write_markdown(rows: DataFrame, path: str) -> None:
 
 def virtual(collection: str, path: str) -> str:
     return f"{SCHEME}://{collection}/{path}"
+
+
+def parse_binary(files: DataFrame, parser) -> DataFrame:
+    """(path, text, error) of files (path, content) by an injected parser of bytes into pages: pages are parted by a blank line, and a file that can't be parsed keeps its error in place of its text."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            texts, errors = [], []
+            for raw in b.column(1).to_pylist():
+                try:
+                    text, error = "\n\n".join(parser(raw)), None
+                except Exception as e:
+                    text, error = None, f"{type(e).__name__}: {e}"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
