@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {COMMON}\n{sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {COMMON}\n{sql}"
         return f
 
     return add
@@ -57,6 +57,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("hash_seq"), "label", "embedding")
 
 
+def stored(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
+    """Hashes of the texts that have a vector: those of the documents whose id a vector has."""
+    return d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("hash")
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
 
@@ -93,22 +98,22 @@ def collection_stats(spark, sf_dir):
     return health.collection_stats(roots(spark), documents(spark, sf_dir))
 
 
-@query("SELECT hash, min(path) AS path FROM d WHERE doc_id % 3 <> 0 AND hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0) GROUP BY hash")
+@query("SELECT hash, min(path) AS path FROM d WHERE hash NOT IN (SELECT hash FROM d SEMI JOIN embeddings ON doc_id = vec_id) GROUP BY hash")
 def pending_embeddings(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return vector.pending(d, d.filter("doc_id % 3 = 0").select("hash", F.lit(0).alias("seq")))
+    return vector.pending(d, stored(spark, sf_dir, d).select("hash", F.lit(0).alias("seq")))
 
 
-@query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT hash) FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0)) AS needs_embedding, CAST(floor(date_diff('second', max(CAST(modified_at AS TIMESTAMP)), TIMESTAMP '2026-03-01 12:00:00') / 86400) AS BIGINT) AS days_stale FROM d")
+@query("SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT hash) FROM d WHERE hash NOT IN (SELECT hash FROM d SEMI JOIN embeddings ON doc_id = vec_id)) AS needs_embedding, CAST(floor(date_diff('second', max(CAST(modified_at AS TIMESTAMP)), TIMESTAMP '2026-03-01 12:00:00') / 86400) AS BIGINT) AS days_stale FROM d")
 def index_health(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return health.index_health(d, d.filter("doc_id % 3 = 0").select("hash"), "2026-03-01T12:00:00Z")
+    return health.index_health(d, stored(spark, sf_dir, d), "2026-03-01T12:00:00Z")
 
 
-@query("SELECT hash, doc_id FROM d WHERE doc_id % 3 = 0 AND hash NOT IN (SELECT hash FROM d WHERE doc_id % 2 = 1)")
+@query("SELECT hash, doc_id FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def orphan_vectors(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return health.orphan_vectors(d.filter("doc_id % 3 = 0").select("hash", "doc_id"), d.filter("doc_id % 2 = 1"))
+    return health.orphan_vectors(d.select("hash", "doc_id"), d.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_anti"))
 
 
 @query("SELECT DISTINCT least(a.n, b.n) AS name_a, greatest(a.n, b.n) AS name_b FROM (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) a(n, r) JOIN (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) b(n, r) ON a.n <> b.n AND starts_with(a.r, b.r)")
@@ -117,11 +122,11 @@ def overlapping_collections(spark, sf_dir):
 
 
 @query("""SELECT 'overlap' AS kind, 'src0,src1' AS subject UNION ALL VALUES ('no_context', 'src2'), ('no_context', 'gone'), ('empty', 'gone')
-UNION ALL SELECT DISTINCT 'no_embedding', collection FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 3 = 0)
+UNION ALL SELECT DISTINCT 'no_embedding', collection FROM d WHERE hash NOT IN (SELECT hash FROM d SEMI JOIN embeddings ON doc_id = vec_id)
 UNION ALL SELECT 'stale', c FROM (SELECT collection AS c, max(CAST(modified_at AS TIMESTAMP)) AS m FROM d WHERE collection IN ('src0', 'src1', 'src2') GROUP BY 1) WHERE m < TIMESTAMP '2026-02-26 00:00:00' - INTERVAL 30 DAY""")
 def health_alerts(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return health.alerts(roots(spark), d, d.filter("doc_id % 3 = 0").select("hash"), "2026-02-26T00:00:00Z")
+    return health.alerts(roots(spark), d, stored(spark, sf_dir, d), "2026-02-26T00:00:00Z")
 
 
 @query("""SELECT collection, path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'updated' WHEN doc_id % 10 = 2 THEN 'retitled' WHEN doc_id % 10 = 3 THEN 'removed' ELSE 'unchanged' END AS state FROM d""")
@@ -291,15 +296,8 @@ def vector_best_per_file(spark, sf_dir):
     return vector.search(v, files, query_vector(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT qid, vec_id, rank FROM (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(b.e, a.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(a.e, a.e))), CAST(b.vec_id AS VARCHAR)) AS rank FROM v a, v b WHERE a.vec_id < 5) WHERE rank <= 7")
-def vector_nearest_of_many(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    return vector.nearest_of_many(v, q, 7).select("qid", F.col("hash_seq").cast("long").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
-
-
 @query("SELECT qid, vec_id, rank FROM (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(b.e, a.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(a.e, a.e))), CAST(b.vec_id AS VARCHAR)) AS rank FROM v a, v b WHERE a.vec_id % 100 = 0) WHERE rank <= 7")
-def vector_nearest_of_hundredths(spark, sf_dir):
+def vector_nearest_of_many(spark, sf_dir):
     """Every vector whose id is divisible by 100 against all."""
     v = vectors(spark, sf_dir)
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
@@ -308,13 +306,13 @@ def vector_nearest_of_hundredths(spark, sf_dir):
 
 # --- fusion
 
-LISTS = "l AS (SELECT 0 AS list, id AS file, CAST(length(body) AS DOUBLE) AS score FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 1, id, CAST(doc_id % 97 AS DOUBLE) FROM d WHERE doc_id % 3 = 0), rk AS (SELECT list, file, row_number() OVER (PARTITION BY list ORDER BY score DESC, file) AS rank, CASE WHEN list = 0 THEN 2.0 ELSE 1.0 END AS w FROM l), fu AS (SELECT file, sum(w / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0 END AS rrf, min(rank) AS best_rank, count(*) AS lists FROM rk GROUP BY file)"
+LISTS = "l AS (SELECT 0 AS list, id AS file, CAST(length(body) AS DOUBLE) AS score FROM d UNION ALL SELECT 1, id, CAST(length(body) - length(replace(body, 'e', '')) AS DOUBLE) FROM d), rk AS (SELECT list, file, row_number() OVER (PARTITION BY list ORDER BY score DESC, file) AS rank, CASE WHEN list = 0 THEN 2.0 ELSE 1.0 END AS w FROM l), fu AS (SELECT file, sum(w / (60 + rank)) + CASE WHEN min(rank) = 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0 END AS rrf, min(rank) AS best_rank, count(*) AS lists FROM rk GROUP BY file)"
 
 
 def ranked_lists(spark, sf_dir):
     d = documents(spark, sf_dir)
-    a = d.filter("doc_id % 2 = 0").select(F.lit(0).alias("list"), F.col("id").alias("file"), F.length("body").cast("double").alias("score"))
-    b = d.filter("doc_id % 3 = 0").select(F.lit(1).alias("list"), F.col("id").alias("file"), (F.col("doc_id") % 97).cast("double").alias("score"))
+    a = d.select(F.lit(0).alias("list"), F.col("id").alias("file"), F.length("body").cast("double").alias("score"))
+    b = d.select(F.lit(1).alias("list"), F.col("id").alias("file"), (F.length("body") - F.length(F.replace("body", F.lit("e"), F.lit("")))).cast("double").alias("score"))
     return fusion.rank_lists(a.unionByName(b))
 
 
@@ -328,9 +326,9 @@ def rrf_trace(spark, sf_dir):
     return fusion.trace(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0}).select("file", F.round("total", 9).alias("total"), F.size("contributions").cast("long").alias("lists"))
 
 
-@query(f", {LISTS}, c AS (SELECT file, row_number() OVER (ORDER BY rrf DESC, file) AS place FROM fu ORDER BY rrf DESC, file LIMIT 40) SELECT file, round(w / place + (1 - w) * 0.01 * (place % 7), 9) AS score FROM (SELECT *, CASE WHEN place <= 3 THEN 0.75 WHEN place <= 10 THEN 0.6 ELSE 0.4 END AS w FROM c) ORDER BY w / place + (1 - w) * 0.01 * (place % 7) DESC, file LIMIT 10")
+@query(f", {LISTS}, c AS (SELECT file, best_rank, row_number() OVER (ORDER BY rrf DESC, file) AS place FROM fu ORDER BY rrf DESC, file LIMIT 40) SELECT file, round(w / place + (1 - w) / (1.0 + best_rank), 9) AS score FROM (SELECT *, CASE WHEN place <= 3 THEN 0.75 WHEN place <= 10 THEN 0.6 ELSE 0.4 END AS w FROM c) ORDER BY w / place + (1 - w) / (1.0 + best_rank) DESC, file LIMIT 10")
 def position_blend(spark, sf_dir):
-    c = fusion.candidates(fusion.fuse(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0})).withColumn("rerank", 0.01 * (F.col("place") % 7))
+    c = fusion.candidates(fusion.fuse(ranked_lists(spark, sf_dir), {0: 2.0, 1: 1.0})).withColumn("rerank", 1 / (1 + F.col("best_rank")))
     return fusion.finish(fusion.blend(c), 10).select("file", F.round("score", 9).alias("score"))
 
 
@@ -433,7 +431,7 @@ def within_budget(spark, sf_dir):
 
 @query("SELECT doc_id, '[Tool call: run] ' || doc_id AS t FROM documents")
 def strip_tools(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("m", F.concat(F.lit("<details>\n<summary> run </summary>\n\n"), F.substring("text", 1, 50), F.lit("\n</details> "), F.col("doc_id").cast("string")))
+    d = table(spark, sf_dir, "documents").withColumn("m", F.concat(F.lit("<details>\n<summary> run </summary>\n\n"), F.col("text"), F.lit("\n</details> "), F.col("doc_id").cast("string")))
     return d.select("doc_id", knowledge.strip_tools(F.col("m")).alias("t"))
 
 
@@ -469,9 +467,10 @@ def language_guesses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.language_guess(F.col("text")).alias("language"))
 
 
-@query("SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, 'https?://[^\\s<>\"''\\])]+')), '[.,;:!?]+$', '') AS url FROM documents")
+@query("SELECT DISTINCT page_id, regexp_replace(unnest(regexp_extract_all(html || ' see ' || url || '.', 'https?://[^\\s<>\"''\\])]+')), '[.,;:!?]+$', '') AS url FROM pages")
 def urls_in_documents(spark, sf_dir):
-    return research.urls_in(table(spark, sf_dir, "documents")).distinct()
+    said = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(" see "), "url", F.lit(".")).alias("text"))
+    return research.urls_in(said, "page_id").distinct()
 
 
 @query()
@@ -479,7 +478,11 @@ def extracted_pages(spark, sf_dir):
     return research.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "canonical_url", "language", "word_count", "body_hash")
 
 
-@query()
+@query(rf""", {CANON}, pg AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, cu.url AS u, sha256(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS b FROM cu JOIN pages USING (page_id)),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS bs, false AS accepted
+  UNION ALL SELECT i, page_id, CASE WHEN ok THEN list_append(us, u) ELSE us END, CASE WHEN ok THEN list_append(bs, b) ELSE bs END, ok
+  FROM (SELECT pg.i, pg.page_id, pg.u, pg.b, us, bs, NOT coalesce(list_contains(us, u), false) AND NOT coalesce(list_contains(bs, b), false) AS ok FROM st JOIN pg ON pg.i = st.i + 1))
+SELECT page_id, accepted FROM st WHERE i > 0""")
 def first_seen_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("canonical_url", T.canonical_url(F.col("url"))).withColumn("body_hash", T.body_hash(F.col("html")))
     return research.first_seen(p).select("page_id", "accepted")
@@ -492,10 +495,11 @@ def fetch_budget(spark, sf_dir):
 
 # --- evaluation
 
-@query(f", {LISTS}, res AS (SELECT list AS query_id, rank, file FROM rk), ex AS (SELECT 0 AS query_id, id AS file FROM d WHERE doc_id % 40 = 0 UNION ALL SELECT 1, id FROM d WHERE doc_id % 25 = 1), m AS (SELECT ex.query_id, ex.file, min(rank) AS r FROM ex LEFT JOIN res ON res.query_id = ex.query_id AND res.file = ex.file GROUP BY 1, 2), a AS (SELECT query_id, count(*) AS n, count(r) AS f, count(*) FILTER (WHERE r <= 10) AS h, min(r) AS first FROM m GROUP BY 1) SELECT query_id, round(h / least(10, n), 9) AS precision_at_k, round(f / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, h AS hits_at_k FROM a")
+@query(f", {LISTS}, res AS (SELECT list AS query_id, rank, file FROM rk), ex AS (SELECT 0 AS query_id, id AS file FROM d JOIN labels USING (doc_id) WHERE quality = 0 UNION ALL SELECT 1, id FROM d JOIN labels USING (doc_id) WHERE toxic = 1), m AS (SELECT ex.query_id, ex.file, min(rank) AS r FROM ex LEFT JOIN res ON res.query_id = ex.query_id AND res.file = ex.file GROUP BY 1, 2), a AS (SELECT query_id, count(*) AS n, count(r) AS f, count(*) FILTER (WHERE r <= 10) AS h, min(r) AS first FROM m GROUP BY 1) SELECT query_id, round(h / least(10, n), 9) AS precision_at_k, round(f / n, 9) AS recall, round(coalesce(1.0 / first, 0), 9) AS mrr, h AS hits_at_k FROM a")
 def retrieval_metrics(spark, sf_dir):
     d = documents(spark, sf_dir)
-    want = d.filter("doc_id % 40 = 0").select(F.lit(0).alias("query_id"), F.col("id").alias("file")).unionByName(d.filter("doc_id % 25 = 1").select(F.lit(1).alias("query_id"), F.col("id").alias("file")))
+    known = d.join(table(spark, sf_dir, "labels"), "doc_id")
+    want = known.filter("quality = 0").select(F.lit(0).alias("query_id"), F.col("id").alias("file")).unionByName(known.filter("toxic = 1").select(F.lit(1).alias("query_id"), F.col("id").alias("file")))
     got = evaluate.retrieval(ranked_lists(spark, sf_dir).select(F.col("list").alias("query_id"), "rank", "file"), want, 10)
     return got.select("query_id", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall", "mrr")], "hits_at_k")
 
@@ -511,10 +515,10 @@ def reward_bands(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(evaluate.rating(F.col("n_chars") % 101).alias("rating")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT lower(substr(text, 1, 6)) AS q, min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(substr(text, 1, 6))), lower(substr(text, 1, 6)) QUALIFY row_number() OVER (PARTITION BY lower(trim(substr(any_value(text), 1, 6))) ORDER BY min(doc_id)) = 1")
+@query("SELECT sha256(text) AS q, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) = 1")
 def expansion_dedup(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").select(F.substring("text", 1, 6).alias("query"), "doc_id")
-    return expansion.dedup(p, ["doc_id"]).select(F.lower("query").alias("q"), "doc_id")
+    p = table(spark, sf_dir, "documents").select(F.col("text").alias("query"), "doc_id")
+    return expansion.dedup(p, ["doc_id"]).select(F.sha2("query", 256).alias("q"), "doc_id")
 
 
 # --- further operators
@@ -537,9 +541,9 @@ def newest_cache_entries(spark, sf_dir):
     return health.trim_cache(documents(spark, sf_dir).select(F.col("id").alias("hash"), F.col("modified_at").alias("created_at")), 50)
 
 
-@query("SELECT DISTINCT lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(substr(body, 1, 40)), '[^\\p{L}\\p{N}\\s-]', '', 'g')), '[\\s-]+', '-', 'g'), '^-|-$', '', 'g'))) AS slug FROM d")
+@query("SELECT DISTINCT sha256(lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(body), '[^\\p{L}\\p{N}\\s-]', '', 'g')), '[\\s-]+', '-', 'g'), '^-|-$', '', 'g')))) AS slug FROM d")
 def slugs(spark, sf_dir):
-    return documents(spark, sf_dir).select(T.slug(F.substring("body", 1, 40)).alias("slug")).distinct()
+    return documents(spark, sf_dir).select(F.sha2(T.slug(F.col("body")), 256).alias("slug")).distinct()
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a-' || doc_id || '/b-c.md' WHEN doc_id % 3 = 1 THEN 'x/' || doc_id || '.md' ELSE doc_id || '-v1.txt' END AS path FROM documents")
@@ -567,9 +571,9 @@ def format_files(spark, sf_dir):
     return formatter.as_files(rows)
 
 
-@query("SELECT doc_id + 1 AS rank, '---' || chr(10) || '# ' || title || chr(10) || chr(10) || '**docid:** `#' || docid || '`' || chr(10) || chr(10) || substr(body, 1, 30) || chr(10) AS line FROM d")
+@query("SELECT doc_id + 1 AS rank, '---' || chr(10) || '# ' || title || chr(10) || chr(10) || '**docid:** `#' || docid || '`' || chr(10) || chr(10) || body || chr(10) AS line FROM d")
 def format_markdown(spark, sf_dir):
-    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("rank"), "docid", "title", F.col("path").alias("file"), F.substring("body", 1, 30).alias("snippet"))
+    rows = documents(spark, sf_dir).select((F.col("doc_id") + 1).alias("rank"), "docid", "title", F.col("path").alias("file"), F.col("body").alias("snippet"))
     return formatter.as_markdown(rows)
 
 
@@ -677,3 +681,6 @@ def similar_pages(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked lexical search over the whole index."""
     return bm25_prefixes(spark, sf_dir)
+
+
+from siltstone.plans import catalog_sources  # noqa: E402, F401  (its queries register themselves here)
