@@ -61,6 +61,10 @@ def rename_case(previous: DataFrame, current: DataFrame) -> DataFrame:
 BUCKETS, BUCKET_LETTERS = 64, 2
 
 
+#: Columns of written postings: a segment without any has no file to learn them from.
+POSTINGS = "term string, id string, hash string, field string, positions array<int>, bucket int"
+
+
 def bucket(term: Column) -> Column:
     return (F.crc32(F.substring(term, 1, BUCKET_LETTERS).cast("binary")) % BUCKETS).cast("int")
 
@@ -95,13 +99,16 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
-def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None) -> None:
-    """content and documents under path, and postings and lengths of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs."""
-    content, rows = split_store(documents)
+def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None) -> None:
+    """Under path: all documents; the texts that `held` (hash) has not, in ranges of their hashes; postings and lengths of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it."""
+    rows = documents.drop("body")
     keyed = documents.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
+    fresh = documents
     if known is not None:
         keyed = keyed.join(known.select("id", "hash"), ["id", "hash"], "left_anti")
-    content.write.parquet(f"{path}/content")
+    if held is not None:
+        fresh = documents.join(held.select("hash"), "hash", "left_anti")
+    split_store(fresh)[0].repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(f"{path}/content")
     rows.write.partitionBy("collection").parquet(f"{path}/documents")
     key = F.struct("id", "hash")
     by_term = postings(keyed.withColumn("key", key), "key", True).select("term", "key.*", "field", "positions").withColumn("bucket", bucket(F.col("term")))

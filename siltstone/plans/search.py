@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,23 @@ LEXICAL, FETCH = 20, 20
 
 
 class Index:
-    """What a search reads: documents (id, collection, path, title, body, hash, active, source_type), postings, lengths, and chunks with vectors."""
+    """What a search reads: documents (id, collection, path, title, hash, active, source_type), postings, lengths, and chunks with vectors. Texts are the documents' body or, apart from them, content (hash, doc)."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame, lengths: DataFrame, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None):
+    def __init__(self, documents: DataFrame, postings: DataFrame, lengths: DataFrame, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None, content: DataFrame | None = None):
         """analyse is what was done to the postings' terms, and is done to a query's."""
         self.documents, self.postings, self.lengths, self.chunks, self.analyse = documents, postings, lengths, chunks, analyse or (lambda t: t)
+        self.content = content
+
+    def bodies(self, files: DataFrame) -> DataFrame:
+        """(file, body) of a search's few candidates; of a content store, only the row groups of their hashes are read."""
+        wanted = self.documents.join(F.broadcast(files.select("file")), F.col("id") == F.col("file"))
+        if self.content is None:
+            return wanted.select("file", "body")
+        named = wanted.select("file", "hash")
+        rows = named.collect()  # fusion's candidates at most
+        held = self.documents.sparkSession.createDataFrame(rows, named.schema)
+        among = reduce(or_, (F.col("hash") == h for h in sorted({r["hash"] for r in rows})), F.lit(False))
+        return self.content.filter(among).join(F.broadcast(held), "hash").select("file", F.col("doc").alias("body"))
 
     def lexical(self, query: str, limit: int = LEXICAL, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
         return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse), limit, collection, source_type, exact)
@@ -42,8 +56,7 @@ def _fused(index: Index, lists: list[DataFrame], heavy: int, query: str, intent:
     chosen = fusion.candidates(fusion.fuse(ranked, fusion.first_heavy(len(lists), heavy)))
     if reranker is None:
         return fusion.finish(chosen.withColumn("score", 1 / F.col("place")), limit, least)
-    bodies = index.documents.join(F.broadcast(chosen.select("file")), F.col("id") == F.col("file")).select("file", "body")
-    cut = chunk.chunk_documents(bodies, "file", "body")
+    cut = chunk.chunk_documents(index.bodies(chosen), "file", "body")
     best = fusion.best_chunk(cut, query, intent_terms(intent) if intent else None)
     scored = fusion.rerank(best, query, reranker)
     return fusion.finish(fusion.blend(chosen.join(scored, "file")), limit, least)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,46 +44,57 @@ class Store:
         return self.latest()[0]
 
     def table(self, name: str, folder: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder or self.latest()[1]}/{name}")
+        read = self.spark.read.schema(index.POSTINGS) if name == "postings" else self.spark.read
+        return read.parquet(f"{self.path}/{folder or self.latest()[1]}/{name}")
 
-    def documents(self, folder: str | None = None) -> DataFrame:
-        folder = folder or self.latest()[1]
-        d = self.table("documents", folder).join(self.table("content", folder), "hash").withColumnRenamed("doc", "body")
-        return d.withColumn("id", T.virtual_path(F.col("collection"), F.col("path")))
+    def listing(self) -> DataFrame:
+        """Documents without their texts."""
+        return self.table("documents").withColumn("id", T.virtual_path(F.col("collection"), F.col("path")))
+
+    def content(self) -> DataFrame:
+        """(hash, doc): each text once, in whichever segment first held it."""
+        return self._all("content")
+
+    def documents(self) -> DataFrame:
+        return self.listing().join(self.content().withColumnRenamed("doc", "body"), "hash")
 
     def segments(self) -> list[str]:
-        """Folders whose postings and lengths make up the newest version's; those of documents that changed since no longer count."""
+        """Folders whose texts, postings and lengths make up the newest version's; those of documents that changed since no longer count."""
         return self._versions().orderBy(F.desc("version")).first()["segments"]
 
-    def _current(self, name: str, documents: DataFrame) -> DataFrame:
+    def _all(self, name: str, segments: list[str] | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self.table(name, s) for s in segments or self.segments()))
+
+    def _current(self, name: str, listing: DataFrame) -> DataFrame:
         """A table of all segments without the rows of texts that documents no longer hold."""
-        parts = [self.table(name, s) for s in self.segments()]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        parts = self.segments()
+        rows = self._all(name, parts)
         if len(parts) == 1:
             return rows.drop("hash")
-        return rows.join(documents.filter("active").select("id", "hash"), ["id", "hash"], "left_semi").drop("hash")
+        return rows.join(listing.filter("active").select("id", "hash"), ["id", "hash"], "left_semi").drop("hash")
 
     def commit(self, documents: DataFrame, whole: bool = False) -> int:
-        """A new version: the texts that changed are indexed in a segment of their own, or, after SEGMENTS of them, all anew."""
+        """A new version: what no segment holds is written as a segment of its own, or, after SEGMENTS of them, all anew. Documents that the store holds may come with a null body."""
         old, held = self.latest()
         new = old + 1
         folder = f"v{new}-{uuid.uuid4().hex[:8]}"  # a folder of its own: nothing is ever overwritten
-        parts = self.segments() if held and not whole else []
-        known = None
-        if parts and len(parts) < SEGMENTS:
-            known = self.documents(held).filter("active").select("id", "hash")
+        parts = self.segments() if held else []
+        if parts and not whole and len(parts) < SEGMENTS:
+            # a text that went and came back is in a segment already, and must not be in two
+            index.write_snapshot(documents, f"{self.path}/{folder}", self._all("lengths", parts), self._all("content", parts))
         else:
+            if parts:
+                kept = self._all("content", parts).withColumnRenamed("doc", "_doc")
+                documents = documents.join(kept, "hash", "left").withColumn("body", F.coalesce("body", "_doc")).drop("_doc")
             parts = []
-        index.write_snapshot(documents, f"{self.path}/{folder}", known)
+            index.write_snapshot(documents, f"{self.path}/{folder}")
         row = (new, folder, [*parts, folder])
         self.spark.createDataFrame([row], "version long, folder string, segments array<string>").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.path}/versions")
         return new
 
     def update(self, root: str, name: str, pattern: str = "**/*.md", ignore: list[str] | None = None) -> DataFrame:
         """Re-read a collection's files; counts of what changed."""
-        held = self.documents().drop("id") if self.version() else None
+        held = self.listing().drop("id").withColumn("body", F.lit(None).cast("string")) if self.version() else None
         rows, counts = files.reindex(self.spark, root, name, held, pattern, ignore)
         counts = self.spark.createDataFrame(counts.collect(), counts.schema)  # a row a collection
         others = held.filter(F.col("collection") != name).select(rows.columns) if held is not None else rows.limit(0)
@@ -91,8 +103,8 @@ class Store:
 
     def embed(self, model) -> None:
         """Vectors for texts that have none, beside all versions, as they belong to texts."""
-        todo = vector.pending(self.documents(), self.vectors()) if self.has_vectors() else self.documents().filter("active").select("hash").distinct()
-        cut = chunk.chunk_documents(self.table("content").join(todo.select("hash"), "hash", "left_semi"), "hash", "doc")
+        todo = vector.pending(self.listing(), self.vectors()) if self.has_vectors() else self.listing().filter("active").select("hash").distinct()
+        cut = chunk.chunk_documents(self.content().join(todo.select("hash"), "hash", "left_semi"), "hash", "doc")
         vector.embed(cut, model).withColumn("hash_seq", F.concat_ws("_", "hash", "seq")).write.mode("append").parquet(f"{self.path}/vectors")
 
     def has_vectors(self) -> bool:
@@ -107,9 +119,8 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
     def index(self) -> search.Index:
-        folder = self.latest()[1]
-        d = self.documents(folder)
-        return search.Index(d, self._current("postings", d), self._current("lengths", d), self.vectors() if self.has_vectors() else None, analyzer.stem)
+        d = self.listing()
+        return search.Index(d, self._current("postings", d), self._current("lengths", d), self.vectors() if self.has_vectors() else None, analyzer.stem, self.content())
 
     def search(self, query: str, **options) -> DataFrame:
         return search.search(self.index(), query, **options)
@@ -121,8 +132,7 @@ class Store:
         return lookup.find_many(self.documents(), pattern, most_bytes)
 
     def status(self) -> DataFrame:
-        d = self.documents()
-        return d.filter("active").groupBy("collection").agg(F.count("*").alias("documents"))
+        return self.listing().filter("active").groupBy("collection").agg(F.count("*").alias("documents"))
 
     def cleanup(self) -> None:
         """A new version without inactive documents and texts nobody holds."""

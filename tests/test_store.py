@@ -42,7 +42,7 @@ def test_store_is_incremental_and_safe(spark, tmp_path):
     new = spark.read.parquet(f"{s.path}/{s.segments()[1]}/postings").select("id").distinct().collect()
     assert [r["id"] for r in new] == ["vault://c/n0.md"]
     assert s.search("run").count() == 4 and [r["file"] for r in s.search("sorting").collect()] == ["vault://c/n0.md"]
-    plan = s._current("lengths", s.documents()).select("length").collect()
+    plan = s._current("lengths", s.listing()).select("length").collect()
     assert len(plan) == 5
     s.cleanup()
     assert len(s.segments()) == 1 and s.search("run").count() == 4 and s.documents().count() == 5
@@ -55,6 +55,25 @@ def test_store_is_incremental_and_safe(spark, tmp_path):
         s.table("documents").count()
 
 
+def test_a_text_that_comes_back_counts_once(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    s = Store(spark, str(tmp_path / "store"))
+    (root / "other.md").write_text("gamma delta")
+    for text in ("alpha beta", "gamma", "alpha beta"):
+        (root / "a.md").write_text(text)
+        s.update(str(root), "c")
+    assert len(s.segments()) == 3  # the third holds nothing new
+    assert sorted(r["doc"] for r in s.content().collect()) == ["alpha beta", "gamma", "gamma delta"]
+    assert s._current("lengths", s.listing()).count() == 2 and s.search("alpha").count() == 1
+    places = s._current("postings", s.listing()).filter("term = 'alpha' AND field = 'body'").collect()
+    assert len(places) == 1
+    one = s.search("gamma", reranker=lambda q, texts: [1.0 if t == "gamma delta" else 0.0 for t in texts]).collect()
+    assert [r["file"] for r in one] == ["vault://c/other.md"]
+    s.commit(s.listing().drop("id").selectExpr("*", "cast(null as string) body"), whole=True)
+    assert s.content().count() == 2 and {r["body"] for r in s.documents().collect()} == {"alpha beta", "gamma delta"}
+
+
 def test_a_term_query_opens_one_bucket(spark, tmp_path):
     from siltstone.functions.analyzer import parse_query, stem
     from siltstone.operators import bm25
