@@ -112,5 +112,6 @@ def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = No
     rows.write.partitionBy("collection").parquet(f"{path}/documents")
     key = F.struct("id", "hash")
     by_term = postings(keyed.withColumn("key", key), "key", True).select("term", "key.*", "field", "positions").withColumn("bucket", bucket(F.col("term")))
-    by_term.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # rebalanced, not dealt by range: no second pass over the texts for a sample, and a large bucket is split by size
+    by_term.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     lengths(keyed.withColumn("key", key), "key").select("key.*", "length").write.parquet(f"{path}/lengths")
