@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, counts, decontaminate, jaccard, pieces, quality, secrets, shard, substrings, toxicity
+from siltstone.llm import chat, counts, decontaminate, jaccard, negatives, pieces, quality, secrets, shard, substrings, topk, toxicity, turns
 
 QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_exact_top_k": topk.op11_exact_top_k,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_structure_repair": turns.op13_structure_repair,
 }
 
 OP7_SQL = r"""
@@ -42,4 +45,6 @@ ORACLES = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
+    "op11_exact_top_k": topk.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
