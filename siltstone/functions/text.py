@@ -76,6 +76,12 @@ def virtual_path(collection: Column, path: Column) -> Column:
     return F.concat(F.lit(f"{SCHEME}://"), collection, F.lit("/"), path)
 
 
+def split_virtual(name: str) -> tuple[str, str]:
+    """(collection, path) of what virtual_path made."""
+    collection, _, path = name.removeprefix(f"{SCHEME}://").partition("/")
+    return collection, path
+
+
 def normalise_virtual(name: Column) -> Column:
     """One spelling of a virtual path: the scheme with any number of slashes, or just leading double slashes; other names stay."""
     s = F.trim(name)

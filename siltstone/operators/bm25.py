@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.analyzer import Clause, parse_query
+from siltstone.durable import written
+from siltstone.functions.analyzer import Clause, parse_query, tokens
+from siltstone.functions.text import split_virtual
 from siltstone.operators.index import FIELDS, bucket_of, statistics
 
 K1, B = 1.2, 0.75
@@ -22,7 +24,7 @@ def _term_is(c: Clause, i: int) -> Column:
 
 
 def clause_hits(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
-    """(id, clause, tf): weighted matches of each clause in each document that has any. One scan, whatever the number of clauses; only rows of the clauses' terms leave it."""
+    """(id, clause, tf), and length where postings have it: weighted matches of each clause in each document that has any. One scan, whatever the number of clauses; only rows of the clauses' terms leave it. Places are read only for clauses of several terms."""
     tests = [(k, i, _term_is(c, i)) for k, c in enumerate(clauses) for i in range(len(c.terms))]
     wanted = reduce(lambda a, b: a | b, (t for _, _, t in tests))
     if "bucket" in postings.columns:
@@ -30,43 +32,87 @@ def clause_hits(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
         if None not in buckets:
             wanted = F.col("bucket").isin(sorted(buckets)) & wanted
     roles = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(k).alias("clause"), F.lit(i).alias("i"))) for k, i, t in tests]))
-    found = postings.filter(wanted).select("id", "field", "positions", F.explode(roles).alias("r"))
-    shifted = found.select("id", "field", "r.clause", "r.i", F.transform("positions", lambda p: p - F.col("r.i")).alias("at"))
-    lists = shifted.groupBy("id", "field", "clause", "i").agg(F.flatten(F.collect_list("at")).alias("at"))
-    met = lists.groupBy("id", "field", "clause").agg(F.collect_list("at").alias("lists"))
+    kept = ["length"] if "length" in postings.columns else []
+    most = [F.max(c).alias(c) for c in kept]
+    weight = F.get(F.array(*[F.lit(w) for w in FIELDS.values()]), F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("field")).cast("int") - 1)
+    met = postings.filter(wanted)
+    if all(len(c.terms) == 1 for c in clauses):
+        n = F.col("n") if "n" in postings.columns else F.size("positions")
+        found = met.select("id", (n * weight).alias("w"), *kept, F.explode(roles).alias("r"))
+        return found.groupBy("id", F.col("r.clause").alias("clause")).agg(F.sum("w").alias("tf"), *most)
+    found = met.select("id", "field", "positions", *kept, F.explode(roles).alias("r"))
+    shifted = found.select("id", "field", "r.clause", "r.i", *kept, F.transform("positions", lambda p: p - F.col("r.i")).alias("at"))
+    lists = shifted.groupBy("id", "field", "clause", "i").agg(F.flatten(F.collect_list("at")).alias("at"), *most)
+    both = lists.groupBy("id", "field", "clause").agg(F.collect_list("at").alias("lists"), *most)
     size = F.get(F.array(*[F.lit(len(c.terms)) for c in clauses]), F.col("clause"))
-    both = F.reduce(F.slice("lists", 2, 1 << 20), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    common = F.reduce(F.slice("lists", 2, 1 << 20), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))
     # A single prefix may match two terms at different places, each a hit of its own.
-    n = F.when(F.size("lists") == size, F.when(size == 1, F.size(F.get("lists", F.lit(0)))).otherwise(F.size(both))).otherwise(0)
-    weight = F.get(F.array(*[F.lit(w) for w in FIELDS.values()]), F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("field")).cast("int") - 1)
-    return met.select("id", "clause", (n * weight).alias("w")).filter("w > 0").groupBy("id", "clause").agg(F.sum("w").alias("tf"))
+    n = F.when(F.size("lists") == size, F.when(size == 1, F.size(F.get("lists", F.lit(0)))).otherwise(F.size(common))).otherwise(0)
+    return both.select("id", "clause", *kept, (n * weight).alias("w")).filter("w > 0").groupBy("id", "clause").agg(F.sum("w").alias("tf"), *most)
+
+
+def _score(idf: Column, tf: Column, length: Column, mean: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, query: str | list[Clause]) -> DataFrame:
-    """(id, bm25) of the documents that match all positive clauses and no negated one."""
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
+
+
+def bm25(postings: DataFrame, lengths: DataFrame | None, query: str | list[Clause], stats: tuple[int, float] | None = None) -> DataFrame:
+    """(id, bm25) of the documents that match all positive clauses and no negated one. With stats (documents, mean length) and a length in each posting nothing else is read."""
     clauses = parse_query(query) if isinstance(query, str) else query
     if not clauses:
-        return lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
+        return postings.select("id", F.lit(0.0).alias("bm25")).limit(0)
     hits = clause_hits(postings, clauses)
     negated = [k for k, c in enumerate(clauses) if c.negated]
     positive = hits.filter(~F.col("clause").isin(negated)) if negated else hits
-    stats = statistics(lengths)
     df = positive.groupBy("clause").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weights = F.broadcast(df.crossJoin(F.broadcast(stats)).select("clause", idf.alias("idf"), "mean_length"))  # a row a clause
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = positive.join(weights, "clause").join(lengths, "id").groupBy("id").agg(F.sum(part).alias("bm25"), F.count("*").alias("met"))
+    if stats is None:
+        weights = df.crossJoin(F.broadcast(statistics(lengths))).select("clause", _idf(F.col("n_docs"), F.col("df")).alias("idf"), "mean_length")
+    else:
+        weights = df.select("clause", _idf(F.lit(stats[0]), F.col("df")).alias("idf"), F.lit(float(stats[1])).alias("mean_length"))
+    scored = positive.join(F.broadcast(weights), "clause")  # a row a clause
+    if "length" not in postings.columns:
+        scored = scored.join(lengths, "id")
+    scored = scored.groupBy("id").agg(F.sum(_score(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))).alias("bm25"), F.count("*").alias("met"))
     out = scored.filter(F.col("met") == len(clauses) - len(negated)).select("id", "bm25")
     return out.join(hits.filter(F.col("clause").isin(negated)).select("id"), "id", "left_anti") if negated else out
 
 
+def _matches(terms: Column, c: Clause) -> Column:
+    """How often a clause is found in an array of terms."""
+    same = lambda t, i: t.startswith(c.terms[i]) if c.prefix and i == len(c.terms) - 1 else t == c.terms[i]
+    if len(c.terms) == 1:
+        return F.size(F.filter(terms, lambda t: same(t, 0)))
+    last = F.size(terms) - len(c.terms)
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(starts, lambda at: reduce(lambda a, b: a & b, (same(F.get(terms, at + i), i) for i in range(len(c.terms))))))
+
+
+def scan(documents: DataFrame, query: str | list[Clause], key: str = "id") -> DataFrame:
+    """(id, bm25) as bm25 gives it, of documents without an index: one pass over the texts counts each clause within its row and writes what matches, narrow rows, with the statistics; no token leaves its row."""
+    clauses = parse_query(query) if isinstance(query, str) else query
+    if not clauses:
+        return documents.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    split = documents.select(key, *[tokens(F.col(f)).alias(f) for f in FIELDS])
+    tf = [sum((_matches(F.col(f), c) * w for f, w in FIELDS.items()), F.lit(0.0)) for c in clauses]
+    length = sum((F.size(f) for f in FIELDS), F.lit(0))
+    counted = written(split.select(key, length.alias("length"), F.array(*tf).alias("tf")), "counted")
+    of = lambda k: F.get("tf", F.lit(k))
+    told = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(of(k) > 0).alias(f"df{k}") for k in range(len(clauses))]).first()
+    wanted = reduce(lambda a, b: a & b, (of(k) == 0 if c.negated else of(k) > 0 for k, c in enumerate(clauses)))
+    parts = [_score(_idf(F.lit(told["n"]), F.lit(told[f"df{k}"])), of(k), F.col("length"), F.lit(told["mean"])) for k, c in enumerate(clauses) if not c.negated]
+    return counted.filter(wanted).select(key, sum(parts, F.lit(0.0)).alias("bm25"))
+
+
 def normal_score(bm25_: Column) -> Column:
     return F.abs(bm25_) / (1 + F.abs(bm25_))
 
 
-def search(postings: DataFrame, lengths: DataFrame, documents: DataFrame, query: str | list[Clause], limit: int = 20, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
-    """documents' columns with score and rank. Filters come after the candidate limit (10 x limit with a collection), as users of small indexes expect; exact=True filters first."""
-    ranked = bm25(postings, lengths, query)
+def search(postings: DataFrame | None, lengths: DataFrame | None, documents: DataFrame, query: str | list[Clause], limit: int = 20, collection: str | None = None, source_type: str | None = None, exact: bool = False, stats: tuple[int, float] | None = None) -> DataFrame:
+    """documents' columns with score and rank; without postings the documents' texts are scanned. Filters come after the candidate limit (10 x limit with a collection), as users of small indexes expect; exact=True filters first."""
+    ranked = scan(documents.filter("active"), query) if postings is None else bm25(postings, lengths, query, stats)
     wanted = documents.filter("active")
     if collection is not None:
         wanted = wanted.filter(F.col("collection") == collection)
@@ -74,7 +120,23 @@ def search(postings: DataFrame, lengths: DataFrame, documents: DataFrame, query:
         wanted = wanted.filter(F.col("source_type") == source_type)
     if exact:
         ranked = ranked.join(wanted.select("id"), "id", "left_semi")
-    else:
-        ranked = ranked.orderBy(F.desc("bm25"), "id").limit(limit * OVERFETCH if collection is not None else limit)
-    out = F.broadcast(ranked) if not exact else ranked  # limit x OVERFETCH rows at most
+    ranked = ranked.orderBy(F.desc("bm25"), "id").limit(limit * OVERFETCH if collection is not None and not exact else limit)
+    if stats is not None:
+        # few ids, collected, so that the listing's files are pruned by them
+        found = ranked.collect()
+        held = documents.sparkSession.createDataFrame(found, ranked.schema)
+        wanted = wanted.filter(_named(documents, [r["id"] for r in found]))
+        ranked = held
+    out = F.broadcast(ranked)  # limit x OVERFETCH rows at most
     return wanted.join(out, "id").withColumn("score", normal_score(F.col("bm25"))).orderBy(F.desc("bm25"), "id").limit(limit)
+
+
+def _named(documents: DataFrame, ids: list[str]) -> Column:
+    """The listing's rows of ids, by the columns that its files are parted and sorted by."""
+    split = [split_virtual(i) for i in ids]
+    if not split:
+        return F.lit(False)
+    by: dict[str, list[str]] = {}
+    for collection, path in split:
+        by.setdefault(collection, []).append(path)
+    return reduce(lambda a, b: a | b, ((F.col("collection") == c) & F.col("path").isin(sorted(p)) for c, p in sorted(by.items())))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.memo import key as _key
+
 #: Rank constant, bonuses for a first and for a second or third place, candidates kept, limits of a strong first hit. Fixed values.
 K, FIRST, NEXT, CANDIDATES, STRONG, GAP = 60, 0.05, 0.02, 40, 0.85, 0.15
 #: Share of the fused rank in the blend, for the first ranks, the next and the rest. Fixed values.
@@ -73,15 +75,24 @@ def best_chunk(chunks: DataFrame, query: str, intent: list[str] | None = None) -
     return scored.groupBy("file").agg(F.max_by(F.struct("seq", "pos", "text"), F.struct("s", -F.col("seq"))).alias("b")).select("file", "b.*")
 
 
-def rerank(chosen: DataFrame, query: str, model: Callable[[str, list[str]], list[float]]) -> DataFrame:
-    """chosen (file, text) with rerank scores of an injected model; equal texts are scored once."""
+def rerank(chosen: DataFrame, query: str, model: Callable[[str, list[str]], list[float]], memo=None, name: str = "rerank") -> DataFrame:
+    """chosen (file, text) with rerank scores of an injected model; equal texts are scored once, and with a memo (memo.Memo) texts that this model (name) has scored for this query before are not scored again."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(x) for x in model(query, b.column(0).to_pylist())], pa.float64())], ["text", "rerank"])
 
-    scores = chosen.select("text").dropDuplicates().mapInArrow(run, "text string, rerank double")
+    def score(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(run, "text string, rerank double")
+
+    each = chosen.select("text").dropDuplicates()
+    if memo is None:
+        scores = score(each)
+    else:
+        keyed = each.withColumn("key", _key(name, query, F.col("text")))
+        answer = lambda todo: score(todo.select("text")).select(_key(name, query, F.col("text")).alias("key"), F.col("rerank").cast("string").alias("value"))
+        scores = memo.through(keyed, answer).select("text", F.col("value").cast("double").alias("rerank"))
     return chosen.join(scores, "text", "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
 
 

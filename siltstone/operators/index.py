@@ -61,8 +61,9 @@ def rename_case(previous: DataFrame, current: DataFrame) -> DataFrame:
 BUCKETS, BUCKET_LETTERS = 64, 2
 
 
-#: Columns of written postings: a segment without any has no file to learn them from.
-POSTINGS = "term string, id string, hash string, field string, positions array<int>, bucket int"
+#: Columns of written postings. A document's own row, which tells its length, has no term and the bucket OWN, so that one pass over the texts writes both.
+POSTINGS = "term string, id string, hash string, field string, n int, length int, positions array<int>, bucket int"
+OWN = -1
 
 
 def bucket(term: Column) -> Column:
@@ -99,9 +100,21 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
+def written_postings(documents: DataFrame, stem: bool = True) -> DataFrame:
+    """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row; each text is split and stemmed once, within its row."""
+    split = documents.select("id", "hash", *[_terms(f, stem).alias(f) for f in FIELDS])
+    length = sum((F.size(f) for f in FIELDS), F.lit(0))
+    entry = lambda term, field, at: F.struct(term.alias("term"), F.lit(field).alias("field"), at.alias("positions"))
+    own = F.array(entry(F.lit(""), "", F.array().cast("array<int>")))
+    entries = lambda f: F.transform(places(F.col(f)), lambda p: entry(p["term"], f, p["positions"]))
+    every = F.concat(own, *[entries(f) for f in FIELDS])
+    rows = split.select("id", "hash", length.alias("length"), F.explode(every).alias("e")).select("e.*", "id", "hash", "length")
+    is_own = F.col("field") == ""
+    return rows.select("term", "id", F.when(is_own, F.col("hash")).alias("hash"), "field", F.size("positions").alias("n"), "length", "positions", F.when(is_own, OWN).otherwise(bucket(F.col("term"))).alias("bucket"))
+
+
 def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None) -> None:
-    """Under path: all documents; the texts that `held` (hash) has not, in ranges of their hashes; postings and lengths of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it."""
-    rows = documents.drop("body")
+    """Under path: all documents, in the order of their paths; the texts that `held` (hash) has not, in ranges of their hashes; postings of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it."""
     keyed = documents.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
     fresh = documents
     if known is not None:
@@ -109,9 +122,6 @@ def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = No
     if held is not None:
         fresh = documents.join(held.select("hash"), "hash", "left_anti")
     split_store(fresh)[0].repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(f"{path}/content")
-    rows.write.partitionBy("collection").parquet(f"{path}/documents")
-    key = F.struct("id", "hash")
-    by_term = postings(keyed.withColumn("key", key), "key", True).select("term", "key.*", "field", "positions").withColumn("bucket", bucket(F.col("term")))
+    documents.drop("body").repartitionByRange("collection", "path").sortWithinPartitions("collection", "path").write.partitionBy("collection").parquet(f"{path}/documents")
     # rebalanced, not dealt by range: no second pass over the texts for a sample, and a large bucket is split by size
-    by_term.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(keyed.withColumn("key", key), "key").select("key.*", "length").write.parquet(f"{path}/lengths")
+    written_postings(keyed).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")

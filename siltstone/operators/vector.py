@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,69 @@ def nearest(vectors: DataFrame, query: list[float], k: int, column: str = "embed
     return vectors.withColumn("distance", cosine_distance(F.col(column), q)).orderBy("distance", key).limit(k)
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "hash_seq", most_queries: int = 1000) -> DataFrame:
-    """The k nearest rows of each of a table of queries (qid, query): a scan of vectors against a broadcast for each block of most_queries."""
-    n = queries.count()
-    blocks = [queries]
-    if n > most_queries:
-        # Equal qids share a block, so that they are ranked together.
-        numbered = queries.withColumn("_block", F.floor((F.dense_rank().over(Window.orderBy("qid")) - 1) / most_queries))
-        blocks = [numbered.filter(F.col("_block") == b).drop("_block") for b in range(-(-n // most_queries))]
-    w = Window.partitionBy("qid").orderBy("distance", key)
-    out = None
-    for q in blocks:
-        pairs = vectors.join(F.broadcast(q)).select("qid", key, cosine_distance(F.col(column), F.col("query")).alias("distance"))
-        found = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out
+#: Bytes of query vectors that every task may hold; rows of a block of vectors and of one of queries where there are more.
+QUERY_BYTES, BLOCK, QUERY_BLOCK = 16 << 20, 4096, 1024
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Rows of unit length; a zero vector has no direction, and its distance to all is null."""
+    m = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(1))[:, None]
+
+
+def _closest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k least distances a query, and of all that equal the last of them. Distances are rounded to 12 places, so that equal vectors tie."""
+    d = np.round(1 - q @ v.T, 12)
+    d[np.isnan(d)] = np.inf
+    last = np.partition(d, k - 1, 1)[:, k - 1] if v.shape[0] > k else np.full(len(q), np.inf)
+    i, j = np.nonzero((d <= last[:, None]) & (d < np.inf))
+    return i, j, d[i, j]
+
+
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "hash_seq", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(qid, key, distance, rank) of the k nearest rows of each of a table of queries (qid, query); ties go to the lesser key.
+
+    Up to query_bytes of queries go to every task, which keeps each query's k best of a batch (a matrix product), so vectors are read once and never shuffled. Larger sets are cut into blocks by hash that meet blocks of vectors: every block of queries travels to every block of vectors."""
+    qid = queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {qid}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
+    told = queries.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim")).first()
+    rows = vectors.filter(F.col(column).isNotNull()).select(key, column)
+    if told["n"] * 8 * (told["dim"] or 1) <= query_bytes:
+        asked = queries.filter("query is not null").toArrow().combine_chunks()  # under query_bytes
+        ids, q = asked["qid"].combine_chunks(), asked["query"].combine_chunks()
+        name = f"{key}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit = _matrix(q)
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    part = b.slice(lo, BLOCK)
+                    v = _matrix(part.column(1))
+                    for a in range(0, len(unit), QUERY_BLOCK):
+                        i, j, d = _closest(unit[a : a + QUERY_BLOCK], v, k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + a)), part.column(0).take(pa.array(j)), pa.array(d)], ["qid", name, "distance"])
+
+        found = rows.mapInArrow(run, schema) if len(ids) else rows.sparkSession.createDataFrame([], schema)
+    else:
+        parts, groups = max(1, -(-rows.count() // BLOCK)), -(-told["n"] // QUERY_BLOCK)
+        v = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(column).alias("v"))).alias("rows"))
+        q = queries.filter("query is not null").groupBy(F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("qid", "query")).alias("asked"))
+        met = q.select("asked", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("n")).select("asked", F.col("n").cast("long").alias("part"))
+        found = met.join(v.hint("shuffle_merge"), "part").select("asked", "rows").mapInArrow(_of_blocks(k, key), schema)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _of_blocks(k: int, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                asked, rows = (b.column(c).slice(r, 1).flatten() for c in (0, 1))
+                i, j, d = _closest(_matrix(asked.field("query")), _matrix(rows.field("v")), k)
+                yield pa.RecordBatch.from_arrays([asked.field("qid").take(pa.array(i)), rows.field("key").take(pa.array(j)), pa.array(d)], ["qid", key, "distance"])
+
+    return run
 
 
 def search(chunks: DataFrame, documents: DataFrame, query: list[float], limit: int = 10, collection: str | None = None, source_type: str | None = None) -> DataFrame:
@@ -72,6 +122,12 @@ def pending(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     return documents.filter("active").join(done, "hash", "left_anti").groupBy("hash").agg(F.min("path").alias("path"))
 
 
+def missing(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Chunks (hash, seq, ...) that have no vector of the model: whole documents, and those that lost some of their chunks."""
+    done = vectors.filter((F.col("model") == model) & F.col("embedding").isNotNull()).select("hash", "seq")
+    return chunks.join(done, ["hash", "seq"], "left_anti")
+
+
 def prompt(text: Column, title: Column | None = None, family: str = "gemma", query: bool = False) -> Column:
     if query:
         before, after = QUERY_PROMPTS[family].split("{}")
@@ -81,31 +137,49 @@ def prompt(text: Column, title: Column | None = None, family: str = "gemma", que
     return F.concat_ws("\n", title, text) if title is not None else text
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 32, most_errors: float = 0.8) -> DataFrame:
-    """chunks (hash, seq, pos, text) with embedding, by an injected model in batches; a failed batch is tried one by one, and a task with too many failures stops."""
-    import pyarrow as pa
+#: Chunks and bytes of text that a call of a model gets at most. Fixed values.
+BATCH, BATCH_BYTES = 64, 64 << 20
+
+
+def cuts(sizes: list[int], most: int = BATCH, most_bytes: int = BATCH_BYTES) -> list[tuple[int, int]]:
+    """Spans of texts of these sizes with at most `most` texts and most_bytes bytes each; a text over that is alone."""
+    out, start, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == most or held + size > most_bytes):
+            out.append((start, i))
+            start, held = i, 0
+        held += size
+    return [*out, (start, len(sizes))] if sizes else out
+
+
+def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], name: str = "default", batch: int = BATCH, batch_bytes: int = BATCH_BYTES, most_errors: float = 0.8) -> DataFrame:
+    """(hash, seq, pos, model, embedding, error) of chunks (hash, seq, pos, text) by an injected model, which gets at most `batch` texts and batch_bytes bytes a call. A failed batch is tried text by text; a text that fails keeps its row with an error and no vector. A task with too many failures stops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = done = 0
         for b in batches:
-            rows = b.to_pylist()
-            for i in range(0, len(rows), batch):
-                part, out = rows[i : i + batch], []
+            texts = b.column(3)
+            for lo, hi in cuts([len(t.as_py().encode()) if t.is_valid else 0 for t in texts], batch, batch_bytes):
+                part, given = b.slice(lo, hi - lo), [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                vectors, errors = [None] * len(given), [None] * len(given)
                 try:
-                    out = list(zip(part, model([r["text"] for r in part]), strict=True))
+                    got = model(given)
+                    if len(got) != len(given):
+                        raise ValueError(f"{len(got)} vectors for {len(given)} texts")
+                    vectors = got
                 except Exception:
-                    for r in part:
+                    for k, t in enumerate(given):
                         try:
-                            out.append((r, model([r["text"]])[0]))
-                        except Exception:
+                            (vectors[k],) = model([t])
+                        except Exception as e:
                             failed += 1
-                done += len(part)
+                            errors[k] = f"{type(e).__name__}: {e}"
+                done += len(given)
                 if done >= 10 and failed / done > most_errors:
                     raise RuntimeError(f"{failed} of {done} chunks failed")
-                cols = [pa.array([r[c] for r, _ in out], b.schema.field(c).type) for c in ("hash", "seq", "pos")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([v for _, v in out], pa.list_(pa.float32()))], ["hash", "seq", "pos", "embedding"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array([name] * len(given)), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], ["hash", "seq", "pos", "model", "embedding", "error"])
 
-    return chunks.select("hash", "seq", "pos", "text").mapInArrow(run, "hash string, seq int, pos int, embedding array<float>")
+    return chunks.select("hash", "seq", "pos", "text").mapInArrow(run, "hash string, seq int, pos int, model string, embedding array<float>, error string")
 
 
 def check_dimension(vectors: DataFrame, size: int) -> None:

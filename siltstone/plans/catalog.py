@@ -72,8 +72,7 @@ def roots(spark: SparkSession) -> DataFrame:
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    d = documents(spark, sf_dir)
-    return search.Index(d, index.postings(d), index.lengths(d))
+    return search.Index(documents(spark, sf_dir))
 
 
 # --- store, status, health
@@ -683,4 +682,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_prefixes(spark, sf_dir)
 
 
-from siltstone.plans import catalog_models, catalog_sources  # noqa: E402, F401  (its queries register themselves here)
+from siltstone.plans import catalog_models, catalog_sets, catalog_sources  # noqa: E402, F401  (its queries register themselves here)

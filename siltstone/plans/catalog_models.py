@@ -32,7 +32,7 @@ def _with_models(spark, sf_dir, reranker):
     e = table(spark, sf_dir, "embeddings")
     chunks = documents(spark, sf_dir).join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id").select("hash", F.lit(0).alias("seq"), F.lit(0).alias("pos"), F.col("doc_id").cast("string").alias("hash_seq"), "embedding")
     first = {r["vec_id"]: r["embedding"] for r in e.filter("vec_id in (0, 1)").select("vec_id", "embedding").collect()}
-    index = search.Index(lexical.documents, lexical.postings, lexical.lengths, chunks)
+    index = search.Index(lexical.documents, chunks=chunks)
     typed = [TypedQuery("lex", "the", 1), TypedQuery("vec", "what is said", 2)]
     out = search.hybrid(index, "for", lambda _: typed, lambda texts: [first[i] for i in range(len(texts))], reranker)
     return out.select("file", F.round("score", 6).alias("score"))

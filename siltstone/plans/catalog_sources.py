@@ -76,8 +76,7 @@ def bm25_source_type(spark, sf_dir):
 
 
 def _by_language(spark, sf_dir):
-    i = lexical_index(spark, sf_dir)
-    return search.Index(i.documents.withColumn("source_type", F.substring_index("path", "/", 1)), i.postings, i.lengths)
+    return search.Index(documents(spark, sf_dir).withColumn("source_type", F.substring_index("path", "/", 1)))
 
 
 FUSED = """, t AS (SELECT id, collection, bm FROM r ORDER BY bm DESC, id LIMIT 200), l AS (SELECT CASE collection WHEN 'src1' THEN 0 ELSE 1 END AS list, id AS file, row_number() OVER (PARTITION BY collection ORDER BY bm DESC, id) AS rank FROM t WHERE collection IN ('src1', 'src2')),

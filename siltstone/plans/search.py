@@ -16,12 +16,12 @@ LEXICAL, FETCH = 20, 20
 
 
 class Index:
-    """What a search reads: documents (id, collection, path, title, hash, active, source_type), postings, lengths, and chunks with vectors. Texts are the documents' body or, apart from them, content (hash, doc)."""
+    """What a search reads: documents (id, collection, path, title, hash, active, source_type), postings (none: the documents' filepath, title and body are scanned), lengths, and chunks with vectors. Texts are the documents' body or, apart from them, content (hash, doc)."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame, lengths: DataFrame, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None, content: DataFrame | None = None):
-        """analyse is what was done to the postings' terms, and is done to a query's."""
+    def __init__(self, documents: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None, content: DataFrame | None = None, stats: tuple[int, float] | None = None):
+        """analyse is what was done to the postings' terms, and is done to a query's; stats, the number of documents and their mean length, go with postings that hold lengths, in place of lengths."""
         self.documents, self.postings, self.lengths, self.chunks, self.analyse = documents, postings, lengths, chunks, analyse or (lambda t: t)
-        self.content = content
+        self.content, self.stats = content, stats
 
     def bodies(self, files: DataFrame) -> DataFrame:
         """(file, body) of a search's few candidates; of a content store, only the row groups of their hashes are read."""
@@ -35,7 +35,7 @@ class Index:
         return self.content.filter(among).join(F.broadcast(held), "hash").select("file", F.col("doc").alias("body"))
 
     def lexical(self, query: str, limit: int = LEXICAL, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
-        return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse), limit, collection, source_type, exact)
+        return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse), limit, collection, source_type, exact, self.stats)
 
     def nearest(self, query: list[float], limit: int = LEXICAL, collection: str | None = None) -> DataFrame:
         if self.chunks is None:
@@ -47,7 +47,7 @@ def _listed(rows: DataFrame, number: int) -> DataFrame:
     return rows.select(F.lit(number).alias("list"), F.col("id").alias("file"), "score")
 
 
-def _fused(index: Index, lists: list[DataFrame], heavy: int, query: str, intent: str | None, reranker, limit: int, least: float) -> DataFrame:
+def _fused(index: Index, lists: list[DataFrame], heavy: int, query: str, intent: str | None, reranker, limit: int, least: float, memo=None) -> DataFrame:
     """Lists to results: fuse, keep the candidates, choose their best chunks, score those, blend."""
     both = lists[0]
     for x in lists[1:]:
@@ -58,16 +58,17 @@ def _fused(index: Index, lists: list[DataFrame], heavy: int, query: str, intent:
         return fusion.finish(chosen.withColumn("score", 1 / F.col("place")), limit, least)
     cut = chunk.chunk_documents(index.bodies(chosen), "file", "body")
     best = fusion.best_chunk(cut, query, intent_terms(intent) if intent else None)
-    scored = fusion.rerank(best, query, reranker)
+    scored = fusion.rerank(best, query, reranker, memo)
     return fusion.finish(fusion.blend(chosen.join(scored, "file")), limit, least)
 
 
-def hybrid(index: Index, query: str, expander: Callable[[str], list[TypedQuery]] | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, intent: str | None = None, collection: str | None = None, limit: int = 10, least: float = 0.0) -> DataFrame:
-    """A plain query: its own lexical hits, unless they are strong also its expansions', and vector hits of it and its variants."""
+def hybrid(index: Index, query: str, expander: Callable[[str], list[TypedQuery]] | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, intent: str | None = None, collection: str | None = None, limit: int = 10, least: float = 0.0, memo=None) -> DataFrame:
+    """A plain query: its own lexical hits, unless they are strong also its expansions', and vector hits of it and its variants. A memo (memo.Memo) keeps what the expander and the reranker say."""
     found = index.lexical(query, LEXICAL, collection).select("id", "score")
     hits = found.collect()  # LEXICAL rows at most, read once for the scores and the fusion
     own = index.documents.sparkSession.createDataFrame(hits, found.schema)
     top = [r["score"] for r in hits[:2]]
+    expander = memo.expander(expander) if memo is not None and expander is not None else expander
     typed = [] if expander is None or fusion.strong_signal(top, intent) else expander(query)
     lists = [own] if top else []
     lists += [index.lexical(q.text, LEXICAL, collection) for q in typed if q.type == "lex"]
@@ -76,10 +77,10 @@ def hybrid(index: Index, query: str, expander: Callable[[str], list[TypedQuery]]
         lists += [index.nearest(v, LEXICAL, collection) for v in embedder(texts)]
     if not lists:
         lists = [own]
-    return _fused(index, [_listed(x, i) for i, x in enumerate(lists)], 2, query, intent, reranker, limit, least)
+    return _fused(index, [_listed(x, i) for i, x in enumerate(lists)], 2, query, intent, reranker, limit, least, memo)
 
 
-def structured(index: Index, searches: list[TypedQuery], collections: list[str | None] | None = None, embedder=None, reranker=None, intent: str | None = None, limit: int = 10, least: float = 0.0) -> DataFrame:
+def structured(index: Index, searches: list[TypedQuery], collections: list[str | None] | None = None, embedder=None, reranker=None, intent: str | None = None, limit: int = 10, least: float = 0.0, memo=None) -> DataFrame:
     """Typed queries, one list each for every collection asked for; lexical lists come first, and the first list counts double."""
     for q in searches:
         if (wrong := validate(q)) is not None:
@@ -93,7 +94,7 @@ def structured(index: Index, searches: list[TypedQuery], collections: list[str |
         lists += [index.nearest(v, LEXICAL, c) for v in embedder([q.text for q in vectors]) for c in names]
     by_type = {t: next((q.text for q in searches if q.type == t), None) for t in ("lex", "vec")}
     primary = by_type["lex"] or by_type["vec"] or searches[0].text
-    return _fused(index, [_listed(x, i) for i, x in enumerate(lists)], 1, primary, intent, reranker, limit, least)
+    return _fused(index, [_listed(x, i) for i, x in enumerate(lists)], 1, primary, intent, reranker, limit, least, memo)
 
 
 def search(index: Index, text: str, **options) -> DataFrame:

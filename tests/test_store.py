@@ -1,5 +1,7 @@
 """A store over real files, and the idle stream."""
 
+from pyspark.sql import functions as F
+
 from siltstone.store import Store
 from siltstone.streaming import idle
 
@@ -42,12 +44,11 @@ def test_store_is_incremental_and_safe(spark, tmp_path):
     new = spark.read.parquet(f"{s.path}/{s.segments()[1]}/postings").select("id").distinct().collect()
     assert [r["id"] for r in new] == ["vault://c/n0.md"]
     assert s.search("run").count() == 4 and [r["file"] for r in s.search("sorting").collect()] == ["vault://c/n0.md"]
-    plan = s._current("lengths", s.listing()).select("length").collect()
-    assert len(plan) == 5
+    assert s.lengths().count() == 5 == s.record()["documents"] and s.record()["dead"] == 2
     s.cleanup()
     assert len(s.segments()) == 1 and s.search("run").count() == 4 and s.documents().count() == 5
     # a read that fails for another reason than that there is nothing is an error, not an empty store
-    for f in (tmp_path / "store" / "versions").glob("part-*"):
+    for f in (tmp_path / "store" / "versions").glob("*.json"):
         f.write_bytes(b"\x00\xff{")
     import pytest
 
@@ -65,8 +66,8 @@ def test_a_text_that_comes_back_counts_once(spark, tmp_path):
         s.update(str(root), "c")
     assert len(s.segments()) == 3  # the third holds nothing new
     assert sorted(r["doc"] for r in s.content().collect()) == ["alpha beta", "gamma", "gamma delta"]
-    assert s._current("lengths", s.listing()).count() == 2 and s.search("alpha").count() == 1
-    places = s._current("postings", s.listing()).filter("term = 'alpha' AND field = 'body'").collect()
+    assert s.lengths().count() == 2 and s.search("alpha").count() == 1
+    places = s.postings().filter("term = 'alpha' AND field = 'body'").collect()
     assert len(places) == 1
     one = s.search("gamma", reranker=lambda q, texts: [1.0 if t == "gamma delta" else 0.0 for t in texts]).collect()
     assert [r["file"] for r in one] == ["vault://c/other.md"]
@@ -89,6 +90,86 @@ def test_a_term_query_opens_one_bucket(spark, tmp_path):
     assert hits.count() == 1
 
 
+def _listing(spark, texts: dict[str, str]):
+    from siltstone.operators import index
+
+    return index.derive(spark.createDataFrame(list(texts.items()), "path string, text string"), "c")
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    """Both begin from one version; the second to end gets an error, and nothing of the first is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pytest
+
+    from siltstone.sources import fs
+    from siltstone.store import Conflict
+
+    s = Store(spark, str(tmp_path / "store"))
+    base = s.commit(_listing(spark, {"a.md": "alpha"}))
+    s.commit(_listing(spark, {"a.md": "alpha", "b.md": "beta"}), base=base)
+    with pytest.raises(Conflict):
+        s.commit(_listing(spark, {"a.md": "alpha", "c.md": "gamma"}), base=base)
+    assert s.version() == 2 and s.search("beta").count() == 1 and s.search("gamma").count() == 0
+    assert {n for n in fs.names(spark, s.path) if n[0] == "v" and n != "versions"} == set(s.segments())  # the loser's folder is gone
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: fs.put_new(spark, f"{tmp_path}/once.json", str(k)), range(8)))
+    assert won.count(True) == 1 and fs.read_text(spark, f"{tmp_path}/once.json") == str(won.index(True))
+
+
+def test_versions_expire(spark, tmp_path):
+    from siltstone.sources import fs
+
+    s = Store(spark, str(tmp_path / "store"))
+    for k in range(3):
+        s.commit(_listing(spark, {"a.md": f"alpha {k}", "b.md": "beta"}))
+    folders = set(s.segments())
+    assert len(folders) == 3 and s.expire() == [] and s.versions() == [3]  # the newest needs all
+    s.cleanup()
+    assert set(s.expire()) == folders and s.versions() == [4]
+    assert {n for n in fs.names(spark, s.path) if n[0] == "v" and n != "versions"} == set(s.segments())
+    assert s.search("alpha").count() == 1 and s.search("beta").count() == 1
+
+
+def test_a_search_opens_neither_lengths_nor_all_documents(spark, tmp_path):
+    """Scores come from the postings of the query's buckets alone; of the documents' own rows and of the listing only what was found is read."""
+    s = Store(spark, str(tmp_path / "store"))
+    s.commit(_listing(spark, {f"n{k:03}.md": f"alpha {'beta ' * (k % 5)}gamma{k}" for k in range(200)}))
+    s.commit(_listing(spark, {f"n{k:03}.md": f"alpha {'beta ' * (k % 5)}gamma{k}" for k in range(1, 201)}))
+    i = s.index()
+    found = i.lexical("beta", 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    (listed,) = plan.split("FileScan")[1:]  # the listing, pruned by collection and path; no postings any more
+    assert "docid" in listed and "collection" in listed.split("PartitionFilters: [")[1].split("]")[0] and "path" in listed.split("PushedFilters: [")[1]
+    from siltstone.functions.analyzer import parse_query, stem
+    from siltstone.operators import bm25
+
+    ranked = bm25.bm25(i.postings, None, parse_query("beta", stem), i.stats)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("FileScan")[1:]
+    dead = [x for x in scans if "segment" in x.split("ReadSchema")[1].split("+-")[0]]
+    assert len(dead) <= 4  # once a segment, as often as hits are read
+    for x in scans:
+        if x not in dead:  # postings of the term's bucket, without places
+            assert "bucket" in x.split("PartitionFilters: [")[1].split("]")[0] and "positions" not in x.split("ReadSchema")[1].split("+-")[0]
+            assert "docid" not in x.split("ReadSchema")[1].split("+-")[0]
+
+
+def test_stored_scores_equal_a_scan(spark, tmp_path):
+    """With segments, dead documents, phrases and negation, a store ranks as a scan of its texts does."""
+    from siltstone.operators import bm25
+
+    words = ["alpha", "beta", "gamma", "delta", "alphas"]
+    texts = lambda a: {f"n{k:03}.md": " ".join(words[(k * j + a) % 4] for j in range(1, 3 + k % 7)) for k in range(a, 60 + a)}
+    s = Store(spark, str(tmp_path / "store"))
+    for a in (0, 7, 11):
+        s.commit(_listing(spark, texts(a)))
+    d = s.documents().filter("active").withColumn("filepath", F.concat_ws("/", "collection", "path"))
+    for q in ("alph", "alpha beta", '"alpha beta" gam', "delta -beta", '"gamma"', "nothing"):
+        got = {r["id"]: round(r["bm25"], 9) for r in s.index().lexical(q, 1000).collect()}
+        assert got == {r["id"]: round(r["bm25"], 9) for r in bm25.scan(d, q).collect()}
+
+
 def test_idle_stream(spark, tmp_path):
     rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:05:00"), ("b", "2026-01-01 00:01:00"), ("a", "2026-01-01 02:00:00"), ("z", "2026-01-01 09:00:00")]
     spark.createDataFrame(rows, "user_id string, ts string").selectExpr("user_id", "cast(ts as timestamp_ntz) ts").coalesce(1).write.parquet(str(tmp_path / "in"))
