@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.durable import sums_before
+from siltstone.durable import sums_before, written
 from siltstone.functions.text import slug, token_estimate
 
 NOTE = "struct<title:string,summary:string,keyInsights:array<string>,tags:array<string>,relatedTopics:array<string>>"
@@ -100,9 +100,28 @@ def note_markdown(notes: DataFrame) -> DataFrame:
 
 
 def draft_names(drafts: DataFrame, taken: DataFrame, order: str = "created") -> DataFrame:
-    """drafts (folder, stem, order) with file_name: the stem, with a number where drafts before it or files that are there (folder, file_name) have the name."""
-    held = taken.withColumn("stem", F.regexp_replace("file_name", r"(?:-\d+)?\.md$", "")).withColumn("n", F.coalesce(F.regexp_extract("file_name", r"-(\d+)\.md$", 1).try_cast("int"), F.lit(1)))
-    last = held.groupBy("folder", "stem").agg(F.max("n").alias("last"))
-    k = F.row_number().over(Window.partitionBy("folder", "stem").orderBy(order)) + F.coalesce("last", F.lit(0))
-    named = drafts.join(last, ["folder", "stem"], "left").withColumn("_k", k)
-    return named.withColumn("file_name", F.concat("stem", F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k"))).otherwise(""), F.lit(".md"))).drop("_k", "last")
+    """drafts (folder, stem, order; order tells them apart) with file_name: in order, each gets its stem, or the stem with the least number from 2 that no file there (folder, file_name) and no draft before it has.
+
+    The k-th draft of a stem starts at the k-th number that no file has. Names of different stems can still meet (`a` with a number, and `a-2`): of those the first draft keeps the name, the others and the drafts of their stems behind them move on, until no two meet. A stem's drafts are numbered in one task."""
+    number = lambda c, stem: F.when(c == F.concat(stem, F.lit(".md")), F.lit(1)).otherwise(F.regexp_extract(c, r"-(\d+)\.md$", 1).try_cast("int"))
+    stems = drafts.select("folder", "stem").distinct()
+    # A file counts for the stem that it is, and for the one that it is a number of; `a-1` and `a-02` are numbers of nothing.
+    bare = taken.select("folder", "file_name").distinct().withColumn("whole", F.regexp_replace("file_name", r"\.md$", "")).withColumn("cut", F.regexp_extract("file_name", r"^(.*)-(?:[2-9]|[1-9]\d+)\.md$", 1))
+    each = bare.select("folder", "file_name", F.explode(F.array_distinct(F.array("whole", "cut"))).alias("stem")).join(stems, ["folder", "stem"])
+    held = each.select("folder", "stem", number(F.col("file_name"), F.col("stem")).alias("n")).groupBy("folder", "stem").agg(F.sort_array(F.collect_set("n")).alias("held"))
+    of_stem = Window.partitionBy("folder", "stem").orderBy(order)
+    k = F.row_number().over(of_stem)
+    gaps = F.transform(F.coalesce("held", F.array().cast("array<int>")), lambda n, i: n - i - 1)
+    rows = drafts.join(held, ["folder", "stem"], "left").withColumn("_k", k)
+    rows = written(rows.withColumn("_n", F.col("_k") + F.size(F.filter(gaps, lambda g: g < F.col("_k")))), "drafts")
+    name = F.concat("stem", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n"))).otherwise(""), F.lit(".md"))
+    while True:
+        named = rows.withColumn("file_name", name)
+        first = named.groupBy("folder", "file_name").agg(F.min(order).alias("_first"), F.count("*").alias("_many")).filter("_many > 1").drop("_many")
+        if not first.limit(1).count():
+            return named.drop("_k", "_n", "held")
+        moved = named.join(first, ["folder", "file_name"], "left").withColumn("_n", F.col("_n") + (F.coalesce("_first", F.col(order)) != F.col(order)).cast("int"))
+        # past the numbers that files have, and behind the stem's drafts before
+        free = F.aggregate(F.coalesce("held", F.array().cast("array<int>")), F.col("_n"), lambda n, t: F.when(t == n, n + 1).otherwise(n))
+        behind = F.max(F.col("_n") - F.col("_k")).over(of_stem.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_k")
+        rows = written(moved.withColumn("_n", free).withColumn("_n", behind).withColumn("_n", free).drop("file_name", "_first"), "drafts")
