@@ -20,24 +20,39 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+HANGUL = r"[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
+
+
 def stemmed(terms: Column) -> Column:
     """An array of terms, folded and stemmed: an Arrow batch at a time, each term once as long as the memo lasts."""
+    return analysed(terms, None, True)
+
+
+def analysed(terms: Column, korean=None, stems: bool = True) -> Column:
+    """An array of terms, each given to the analyser of its script, in its place: runs of Hangul to an injected one, which gives the words that carry meaning; all terms then folded and stemmed."""
+
     @F.pandas_udf("array<string>")
     def run(lists: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
+        known: dict[str, list[str]] = {}
 
-        def one(term: str) -> str:
+        def one(term: str) -> list[str]:
             if term not in known:
                 if len(known) >= MEMO:
                     known.clear()
-                known[term] = stem(term)
+                words = [w.lower() for w in korean(term)] if korean is not None and re.match(HANGUL, term) else [term]
+                known[term] = [stem(w) for w in words] if stems else words
             return known[term]
 
-        return lists.map(lambda x: None if x is None else [one(t) for t in x])
+        return lists.map(lambda x: None if x is None else [w for t in x for w in one(t)])
 
     return run(terms)
 
 
+def script_tokens(text: Column) -> Column:
+    """tokens, cut where the script changes between Hangul and others: within the row, nothing is shuffled."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{HANGUL}+|(?:(?!{HANGUL})[\\p{{L}}\\p{{N}}])+"), F.lit(0))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -67,7 +82,7 @@ def python_tokens(text: str) -> list[str]:
 
 def fold(term: str) -> str:
     """Without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c)))
 
 
 class Porter:
@@ -154,19 +169,19 @@ _PART = re.compile(r'(?P<no>-?)(?:"(?P<phrase>[^"]*)(?:"|$)|(?P<term>[^\s"]+))')
 _HYPHENED = re.compile(r"^[^\W_]+(?:-[^\W_]+)+$")
 
 
-def parse_query(text: str, analyse=lambda t: t) -> list[Clause]:
-    """Clauses of a query: words match as prefixes, quoted text and hyphened words as phrases, and a dash before either negates it.
+def parse_query(text: str, analyse=lambda t: t, split=python_tokens) -> list[Clause]:
+    """Clauses of a query: words match as prefixes, quoted text and hyphened words as phrases, and a dash before either negates it. split is what makes terms of a text, as it was done to the index; a word that gives several is a phrase with an open end.
 
     Without a positive clause there is nothing to search for, and the list is empty."""
     out = []
     for m in _PART.finditer(text.strip()):
         if m["phrase"] is not None:
             words = [re.sub(r"[^\w']|_", "", w) for w in m["phrase"].split()]
-            terms, prefix = [t for w in words for t in python_tokens(w)], False
+            terms, prefix = [t for w in words for t in split(w)], False
         elif _HYPHENED.match(m["term"]):
-            terms, prefix = python_tokens(m["term"]), False
+            terms, prefix = split(m["term"]), False
         else:
-            terms, prefix = python_tokens(re.sub(r"[^\w']", "", m["term"])), True
+            terms, prefix = split(re.sub(r"[^\w']", "", m["term"])), True
         if terms:
             out.append(Clause(tuple(map(analyse, terms)), prefix, bool(m["no"])))
     return out if any(not c.negated for c in out) else []
@@ -236,9 +251,6 @@ def intent_terms(intent: str) -> list[str]:
     return [w for w in stripped if len(w) > 1 and w not in INTENT_STOP]
 
 
-HANGUL = r"[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
-
-
 def mixed_tokens(text: str, korean=None) -> list[str]:
     """Terms of a text in several scripts: runs of Hangul go to an injected analyser, which gives the words that carry meaning, and all else is split as usual. Without an analyser everything is."""
     if korean is None:

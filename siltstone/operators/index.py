@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.functions.analyzer import places, stemmed, tokens
+from siltstone.functions.analyzer import analysed, places, script_tokens, stemmed, tokens
 
 #: Fields in the order and with the weights of a match in them. Fixed values.
 FIELDS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -75,7 +75,9 @@ def bucket_of(term: str, prefix: bool = False) -> int | None:
     return None if prefix and len(term) < BUCKET_LETTERS else zlib.crc32(term[:BUCKET_LETTERS].encode()) % BUCKETS
 
 
-def _terms(field: str, stem: bool) -> Column:
+def _terms(field: str, stem: bool, korean=None) -> Column:
+    if korean is not None:
+        return analysed(script_tokens(F.col(field)), korean, stem)
     return stemmed(tokens(F.col(field))) if stem else tokens(F.col(field))
 
 
@@ -100,9 +102,9 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
-def written_postings(documents: DataFrame, stem: bool = True) -> DataFrame:
-    """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row; each text is split and stemmed once, within its row."""
-    split = documents.select("id", "hash", *[_terms(f, stem).alias(f) for f in FIELDS])
+def written_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
+    """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row; each text is split, by scripts where there is an analyser of Hangul, and stemmed once, within its row."""
+    split = documents.select("id", "hash", *[_terms(f, stem, korean).alias(f) for f in FIELDS])
     length = sum((F.size(f) for f in FIELDS), F.lit(0))
     entry = lambda term, field, at: F.struct(term.alias("term"), F.lit(field).alias("field"), at.alias("positions"))
     own = F.array(entry(F.lit(""), "", F.array().cast("array<int>")))
@@ -113,7 +115,7 @@ def written_postings(documents: DataFrame, stem: bool = True) -> DataFrame:
     return rows.select("term", "id", F.when(is_own, F.col("hash")).alias("hash"), "field", F.size("positions").alias("n"), "length", "positions", F.when(is_own, OWN).otherwise(bucket(F.col("term"))).alias("bucket"))
 
 
-def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None) -> None:
+def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None, korean=None) -> None:
     """Under path: all documents, in the order of their paths; the texts that `held` (hash) has not, in ranges of their hashes; postings of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it."""
     keyed = documents.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
     fresh = documents
@@ -124,4 +126,4 @@ def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = No
     split_store(fresh)[0].repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(f"{path}/content")
     documents.drop("body").repartitionByRange("collection", "path").sortWithinPartitions("collection", "path").write.partitionBy("collection").parquet(f"{path}/documents")
     # rebalanced, not dealt by range: no second pass over the texts for a sample, and a large bucket is split by size
-    written_postings(keyed).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    written_postings(keyed, korean=korean).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -145,3 +145,16 @@ def inverted_lists_recall(spark, sf_dir):
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     _, found = ivf.calibrate(lists, centres, q, 10)
     return q.agg(F.when(F.lit(found) >= 0.9, "at least 0.9").otherwise("under 0.9").alias("recall"), F.count("*").alias("queries"))
+
+
+#: Letters that are written as Hangul in the texts of one language, to have texts in two scripts.
+LETTERS, SYLLABLES = "etaoin", "가나다라마바"
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(CASE WHEN lang = 'en' THEN translate(lower(text), '{LETTERS}', '{SYLLABLES}') ELSE lower(text) END, '[가-힣]{{1,2}}|[\\p{{L}}\\p{{N}}--[가-힣]]+')) AS term FROM documents) GROUP BY term".replace("[\\p{L}\\p{N}--[가-힣]]+", "[\\p{Latin}\\p{Greek}\\p{Cyrillic}\\p{N}ªºµʰ-ʸˠ-ˤ]+"))
+def script_terms(spark, sf_dir):
+    """Terms of texts in Hangul and Latin letters, with an analyser that cuts runs of Hangul in twos."""
+    d = table(spark, sf_dir, "documents")
+    text = F.when(F.col("lang") == "en", F.translate(F.lower("text"), LETTERS, SYLLABLES)).otherwise(F.col("text"))
+    terms = analyzer.analysed(analyzer.script_tokens(text), lambda run: [run[i : i + 2] for i in range(0, len(run), 2)], False)
+    return d.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))

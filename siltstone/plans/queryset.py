@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.durable import written
-from siltstone.functions.analyzer import parse_query
+from siltstone.functions.analyzer import parse_query, python_tokens
 from siltstone.operators import bm25, chunk, evaluate, fusion, vector
 from siltstone.operators.index import FIELDS
 from siltstone.plans import search
@@ -22,7 +22,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_merge")
 
 
-def clauses(queries: DataFrame, analyse: Callable[[str], str] | None = None) -> DataFrame:
+def clauses(queries: DataFrame, analyse: Callable[[str], str] | None = None, split: Callable[[str], list[str]] = python_tokens) -> DataFrame:
     """(query_id, number, negated, terms array<string>, prefix) of queries (query_id, query); a query without a positive clause gives none."""
     kind = queries.schema["query_id"].dataType
 
@@ -30,7 +30,7 @@ def clauses(queries: DataFrame, analyse: Callable[[str], str] | None = None) ->
         for b in batches:
             rows = []
             for q, text in zip(b.column(0), b.column(1)):
-                rows += [(q.as_py(), n, c.negated, list(c.terms), c.prefix) for n, c in enumerate(parse_query(text.as_py() or "", analyse or (lambda t: t)))]
+                rows += [(q.as_py(), n, c.negated, list(c.terms), c.prefix) for n, c in enumerate(parse_query(text.as_py() or "", analyse or (lambda t: t), split))]
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = [b.schema.field(0).type, pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["query_id", "number", "negated", "terms", "prefix"])
@@ -69,11 +69,11 @@ def clause_hits(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.unionByName(several)
 
 
-def lexical(postings: DataFrame, stats: tuple[int, float], queries: DataFrame, limit: int = search.LEXICAL, analyse: Callable[[str], str] | None = None) -> DataFrame:
+def lexical(postings: DataFrame, stats: tuple[int, float], queries: DataFrame, limit: int = search.LEXICAL, analyse: Callable[[str], str] | None = None, split: Callable[[str], list[str]] = python_tokens) -> DataFrame:
     """(query_id, rank, id, bm25) of each query's best `limit` documents, as Index.lexical finds them one query at a time. postings hold lengths; stats are the documents and their mean length.
 
     A clause that many queries share is looked up and counted once; its hits then go to each of those queries where they lie."""
-    parsed = written(clauses(queries, analyse).withColumn("clause", F.sha2(F.to_json(F.struct("terms", "prefix")), 256)), "clauses")
+    parsed = written(clauses(queries, analyse, split).withColumn("clause", F.sha2(F.to_json(F.struct("terms", "prefix")), 256)), "clauses")
     hits = written(clause_hits(postings, parsed.select("clause", "terms", "prefix").dropDuplicates(["clause"])), "clause-hits")
     df = hits.groupBy("clause").agg(F.count("*").alias("df"))
     idf = bm25._idf(F.lit(stats[0]), F.col("df"))
@@ -138,7 +138,7 @@ BENCH_LIMIT = 10
 
 def bench(index: search.Index, queries: DataFrame, vectors: DataFrame | None = None, backends: tuple[str, ...] = ("bm25", "vector", "hybrid", "full"), reranker: Callable[[str, list[str]], list[float]] | None = None, limit: int = BENCH_LIMIT) -> DataFrame:
     """(backend, query_id, rank, file) of queries (query_id, query) and their vectors (query_id, query: a vector) by each way of searching: lexical, by vector, both fused, and fused with a reranker. A way whose models are missing gives nothing, and so scores zero."""
-    lex = written(lexical(index.postings, index.stats, queries, search.LEXICAL, index.analyse), "bench-lexical")
+    lex = written(lexical(index.postings, index.stats, queries, search.LEXICAL, index.analyse, index.split), "bench-lexical")
     vec = written(nearest(index.chunks, index.documents, vectors), "bench-vector") if vectors is not None and index.chunks is not None else None
     out = []
     if "bm25" in backends:

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.analyzer import QueryError, TypedQuery, intent_terms, parse_document, parse_query, validate
+from siltstone.functions.analyzer import QueryError, TypedQuery, intent_terms, parse_document, parse_query, python_tokens, validate
 from siltstone.operators import bm25, chunk, fusion, vector
 
 LEXICAL, FETCH = 20, 20
@@ -18,10 +18,10 @@ LEXICAL, FETCH = 20, 20
 class Index:
     """What a search reads: documents (id, collection, path, title, hash, active, source_type), postings (none: the documents' filepath, title and body are scanned), lengths, and chunks with vectors. Texts are the documents' body or, apart from them, content (hash, doc)."""
 
-    def __init__(self, documents: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None, content: DataFrame | None = None, stats: tuple[int, float] | None = None):
-        """analyse is what was done to the postings' terms, and is done to a query's; stats, the number of documents and their mean length, go with postings that hold lengths, in place of lengths."""
+    def __init__(self, documents: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, chunks: DataFrame | None = None, analyse: Callable[[str], str] | None = None, content: DataFrame | None = None, stats: tuple[int, float] | None = None, split: Callable[[str], list[str]] = python_tokens):
+        """analyse is what was done to the postings' terms, and split what made them, and both are done to a query's; stats, the number of documents and their mean length, go with postings that hold lengths, in place of lengths."""
         self.documents, self.postings, self.lengths, self.chunks, self.analyse = documents, postings, lengths, chunks, analyse or (lambda t: t)
-        self.content, self.stats = content, stats
+        self.content, self.stats, self.split = content, stats, split
 
     def bodies(self, files: DataFrame) -> DataFrame:
         """(file, body) of a search's few candidates; of a content store, only the row groups of their hashes are read."""
@@ -35,7 +35,7 @@ class Index:
         return self.content.filter(among).join(F.broadcast(held), "hash").select("file", F.col("doc").alias("body"))
 
     def lexical(self, query: str, limit: int = LEXICAL, collection: str | None = None, source_type: str | None = None, exact: bool = False) -> DataFrame:
-        return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse), limit, collection, source_type, exact, self.stats)
+        return bm25.search(self.postings, self.lengths, self.documents, parse_query(query, self.analyse, self.split), limit, collection, source_type, exact, self.stats)
 
     def nearest(self, query: list[float], limit: int = LEXICAL, collection: str | None = None) -> DataFrame:
         if self.chunks is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timezone
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +32,9 @@ class Conflict(RuntimeError):
 class Store:
     """A snapshot under `path`: content, documents, postings, vectors. Each update writes a folder of its own and then puts a version's record, which must not be there yet: readers never see half of a version, and of two writers from one base the later one fails with Conflict."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, korean=None):
+        """korean, an analyser of runs of Hangul (a text to its words), must be the same for all that write to and search in a store."""
+        self.spark, self.path, self.korean = spark, path.rstrip("/"), korean
 
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in fs.names(self.spark, f"{self.path}/versions") if n.endswith(".json") and n[0] != "_"]
@@ -105,13 +106,13 @@ class Store:
         if parts and not whole and len(parts) < SEGMENTS:
             # a text that went and came back is in a segment already, and must not be in two
             content = reduce(DataFrame.unionByName, (self.table("content", s) for s in parts))
-            index.write_snapshot(documents, f"{self.path}/{folder}", self._indexed(parts), content)
+            index.write_snapshot(documents, f"{self.path}/{folder}", self._indexed(parts), content, self.korean)
         else:
             if parts:
                 kept = reduce(DataFrame.unionByName, (self.table("content", s) for s in parts)).withColumnRenamed("doc", "_doc")
                 documents = documents.join(kept, "hash", "left").withColumn("body", F.coalesce("body", "_doc")).drop("_doc")
             parts = []
-            index.write_snapshot(documents, f"{self.path}/{folder}")
+            index.write_snapshot(documents, f"{self.path}/{folder}", korean=self.korean)
         parts = [*parts, folder]
         schema = documents.drop("body").schema
         schema = StructType([f for f in schema if f.name != "collection"] + [schema["collection"]])  # as the files have it, the column they are parted by last
@@ -195,7 +196,7 @@ class Store:
     def index(self, model: str = "default") -> search.Index:
         record = self.record()
         mean = record["length"] / record["documents"] if record["documents"] else 0.0
-        return search.Index(self.listing(), self.postings(record), None, self.vectors(model) if self.has_vectors() else None, analyzer.stem, self.content(), (record["documents"], mean))
+        return search.Index(self.listing(), self.postings(record), None, self.vectors(model) if self.has_vectors() else None, analyzer.stem, self.content(), (record["documents"], mean), partial(analyzer.mixed_tokens, korean=self.korean))
 
     def search(self, query: str, model: str = "default", **options) -> DataFrame:
         """Search the newest version; what an expander or a reranker says is kept (memo=None: it isn't)."""

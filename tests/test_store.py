@@ -178,3 +178,18 @@ def test_idle_stream(spark, tmp_path):
     q = idle.run(idle.ready_sessions(events), lambda df, _: got.extend(tuple(r) for r in df.select("user_id", "events").collect()), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert sorted(got) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_scripts_in_one_text(spark, tmp_path):
+    """Hangul goes to its analyser on index and query alike; without one nothing changes."""
+    cut = lambda run: [run[i : i + 2] for i in range(0, len(run), 2) if run[i : i + 2] != "그리"]
+    texts = {"a.md": "검색엔진broadcast joins", "b.md": "엔진 shuffles 그리 검색", "c.md": "broadcasting"}
+    with_it, without = Store(spark, str(tmp_path / "k"), cut), Store(spark, str(tmp_path / "n"))
+    for s in (with_it, without):
+        s.commit(_listing(spark, texts))
+    found = lambda s, q: sorted(r["file"][-4:] for r in s.search(q).collect())
+    assert found(with_it, "엔진") == ["a.md", "b.md"] and found(with_it, "검색엔진") == ["a.md"] and found(with_it, "broadcast") == ["a.md", "c.md"]
+    assert found(with_it, "검색엔진broadcast") == ["a.md"] and found(with_it, "그리") == []
+    assert found(without, "엔진") == ["b.md"] and found(without, "broadcast") == ["c.md"] and found(without, "검색엔진") == ["a.md"]
+    terms = lambda s: {r["term"] for r in s.postings().filter("field = 'body'").select("term").collect()}
+    assert {"검색", "엔진", "broadcast", "join"} <= terms(with_it) and "검색엔진broadcast" in terms(without)
