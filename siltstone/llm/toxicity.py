@@ -1,9 +1,9 @@
 """Toxicity as severity: cumulative-link (proportional odds) regression on sparse text features. One weight vector is shared by all ordered thresholds, P(grade <= k) = sigmoid(t_k - w.x), and the output is the expected severity.
 
-Features of a document are counted over its words: the words themselves and their first four and five letters, which also catch inflected forms. The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS a class, those with the least hash of doc_id, so the sample doesn't depend on partitions), each counted whole in the executors: its distinct words' counts go to the driver, not its text; everything else sees all rows. Features that lean to the toxic class by the G statistic are fitted. Labels say only toxic or not, so toxic training rows get their grade 1 to 3 by how many of their words have such a feature, and no such feature may lower the severity.
-The fitted weights, one for each such feature of the sample, go to the executors with the task. Near copies of rows before them in the sample (by min-hashes) are not fitted twice. Severity is an order, not a calibrated scale: its grades come from counts of the features themselves.
+Features of a document are counted over its words: the words themselves and their first four and five letters, which also catch inflected forms. The model is fitted on a bounded sample of labelled documents (SAMPLE_ROWS a class; labels meet their documents first, then those with the least hash of doc_id and text are taken, so the sample depends neither on partitions nor on labels of other tables), each counted whole in the executors: its distinct words' counts go to the driver, not its text; everything else sees all rows. Features that lean to the toxic class by the G statistic are fitted. Labels say only toxic or not, so toxic training rows get their grade 1 to 3 across: the sample is cut into FOLDS parts, and a row is graded by how many of its words have a feature that the other parts mark; no feature may lower the severity.
+The fitted weights, one for each such feature of the sample (those of 0.001 or less are zero), go to the executors with the task. Near copies of rows before them in the sample (by min-hashes) are not fitted twice. Severity is an order, not a calibrated scale.
 
-Edge cases: null and empty texts have no features and get the baseline severity; labels with a null or repeated doc_id, without a document or with a null toxic are left out or count once; with no toxic or no clean labelled row nothing is rejected (severity 0); repeated rows each give a row; no rows give no rows; further columns are ignored."""
+Edge cases: null and empty texts have no features and get the baseline severity; very long texts are read whole, a batch of at most 1000 texts at a time; labels with a null or repeated doc_id, without a document or with a null toxic are left out or count once; documents that share a labelled doc_id but not their text each count, repeated rows once; with no toxic or no clean labelled row nothing is rejected (severity 0); repeated rows each give a row; no rows give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from siltstone.llm.common import document_key, materialise, maybe_broadcast, rel
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sampled labelled rows of each class, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
 SAMPLE_ROWS, MARK_RATIO, LEAST_G, GRADES = 3000, 4.0, 15.0, 4
+#: Parts of the sample whose rows are graded by what the other parts mark.
+FOLDS = 5
 CACHED = 100_000
 
 
@@ -117,6 +119,24 @@ def unlike(profiles: list[Profile], toxic: list[bool]) -> list[int]:
     return out
 
 
+def marks(held: list[Counter], toxic: list[bool]) -> list[str]:
+    """Features, strongest first, that lean to the toxic of some rows' features."""
+    n, m = sum(toxic), len(toxic) - sum(toxic)
+    if not n or not m:
+        return []
+    in_toxic: Counter = Counter()
+    for h, x in zip(held, toxic, strict=True):
+        if x:
+            in_toxic.update(h.keys())
+    in_toxic = Counter({f: c for f, c in in_toxic.items() if c >= (3 if n >= 100 else 2)})
+    in_clean: Counter = Counter()
+    for h, x in zip(held, toxic, strict=True):
+        if not x:
+            in_clean.update(f for f in h if f in in_toxic)
+    strength = {f: association(c, n, in_clean[f], m) for f, c in in_toxic.items() if c / n >= MARK_RATIO * (in_clean[f] + 0.5) / m}
+    return sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))
+
+
 def fit(texts: list[str], toxic: list[bool]) -> Severity:
     """The model of texts held in memory."""
     return fit_profiles([profile(t) for t in texts], toxic)
@@ -137,52 +157,47 @@ def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
                 out[f] += c
         return out
 
-    in_toxic: Counter = Counter()
-    for t, x in zip(profiles, toxic, strict=True):
-        if x:
-            in_toxic.update(held(t).keys())
-    in_toxic = Counter({f: c for f, c in in_toxic.items() if c >= (3 if n >= 100 else 2)})
-    in_clean: Counter = Counter()
-    for t, x in zip(profiles, toxic, strict=True):
-        if not x:
-            in_clean.update(f for f in held(t) if f in in_toxic)
-    strength = {f: association(c, n, in_clean[f], m) for f, c in in_toxic.items() if c / n >= MARK_RATIO * (in_clean[f] + 0.5) / m}
-    chosen = sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))
+    every = [held(p) for p in profiles]
+    chosen = marks(every, toxic)
     number = {f: k for k, f in enumerate(chosen)}
-    rows, values, many = [], [], []
-    for t in profiles:
-        h = held(t)
+    rows, values = [], []
+    for h in every:
         own = [f for f in h if f in number]
         rows.append(np.array([number[f] for f in own], dtype=np.int64))
         values.append(np.array([h[f] for f in own], dtype=float))
-        many.append(sum(c for w, c in zip(t[0], t[1], strict=True) if any(f in number for f in features(w))))
-    is_toxic, marked = np.array(toxic), np.array(many)
-    cuts = np.quantile(marked[is_toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
-    grades = np.where(is_toxic, 1 + np.searchsorted(cuts, marked, side="left"), 0)
+    many = np.zeros(len(profiles))
+    for fold in range(FOLDS):
+        rest = [k for k in range(len(profiles)) if k % FOLDS != fold]
+        other = set(marks([every[k] for k in rest], [toxic[k] for k in rest]))
+        many[fold::FOLDS] = [sum(c for w, c in zip(p[0], p[1], strict=True) if any(f in other for f in features(w))) for p in profiles[fold::FOLDS]]
+    is_toxic = np.array(toxic)
+    cuts = np.quantile(many[is_toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
+    grades = np.where(is_toxic, 1 + np.searchsorted(cuts, many, side="left"), 0)
     w, at = fit_ordinal(rows, values, grades, len(chosen))
     return Severity({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, [float(x) for x in at])
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Profile, bool]]:
-    """Profiles of at most `rows` labelled texts of each class: those whose doc_id hashes least."""
+    """Profiles of at most `rows` labelled documents of each class: those whose doc_id and text hash least."""
     import pyarrow as pa
 
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    known = known.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
-    picked = known.filter("toxic").orderBy("h", "doc_id").limit(rows).unionByName(known.filter("not toxic").orderBy("h", "doc_id").limit(rows))
-    few = F.broadcast(picked.select("doc_id", "toxic"))  # 2 x rows at most
+    keyed = documents.filter("doc_id is not null").select(document_key().alias("key"), "text")
+    found = keyed.select("key", F.col("key.doc_id").alias("doc_id")).join(maybe_broadcast(known), "doc_id").groupBy("key").agg(F.first("toxic").alias("toxic"))
+    found = materialise(found.withColumn("h", F.xxhash64("key", F.lit(9))), "labelled")
+    picked = found.filter("toxic").orderBy("h", "key").limit(rows).unionByName(found.filter("not toxic").orderBy("h", "key").limit(rows))
+    few = F.broadcast(materialise(picked.select("key", "toxic", "h"), "sampled"))  # 2 x rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [profile(t.as_py() or "") for t in b.column(1)]
+            got = [profile(t.as_py() or "") for t in b.column(1)]
             # No word holds a space. Unsigned hashes go as the signed ones of the same bits.
-            least = np.array([h for _, _, h in found], dtype=np.uint64).view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(w) for w, _, _ in found], pa.string()), pa.array([c for _, c, _ in found], pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts", "least"])
+            least = np.array([h for _, _, h in got], dtype=np.uint64).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(w) for w, _, _ in got], pa.string()), pa.array([c for _, c, _ in got], pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["h", "toxic", "words", "counts", "least"])
 
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows_of = small_batches(documents).select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic")
-    got = rows_of.mapInArrow(released(run), f"doc_id {id_type}, toxic boolean, words string, counts array<int>, least array<bigint>").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
+    rows_of = small_batches(keyed).join(few, "key").select("h", "text", "toxic")
+    got = rows_of.mapInArrow(released(run), "h long, toxic boolean, words string, counts array<int>, least array<bigint>").dropDuplicates(["h"]).collect()
+    got.sort(key=lambda r: r["h"])
     return [((r["words"].split(" ") if r["words"] else [], r["counts"], r["least"]), r["toxic"]) for r in got]
 
 

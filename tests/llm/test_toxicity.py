@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import toxicity as T
 
@@ -31,12 +32,14 @@ def labelled():
     return [(docs[r["doc_id"]], bool(r["toxic"])) for r in lab]
 
 
-def test_held_out_accuracy(labelled):
-    train, held = labelled[::2], labelled[1::2]
+@pytest.mark.parametrize("half", [0, 1])
+def test_held_out_accuracy(labelled, half):
+    """Fitted on one half of the labels, nine in ten toxic rows of the other are found, and of its clean rows one in fifty is rejected at most."""
+    train, held = labelled[half::2], labelled[1 - half :: 2]
     model = T.fit([t for t, _ in train], [x for _, x in train])
     p = model.probabilities(np.array([model.latent(T.WORD.findall(t.lower())) for t, _ in held]))[:, 0] >= 0.5
     y = np.array([x for _, x in held])
-    assert (p & y).sum() / y.sum() > 0.85 and (p & ~y).sum() / (~y).sum() < 0.02
+    assert (p & y).sum() / y.sum() >= 0.9 and (p & ~y).sum() / (~y).sum() < 0.02
 
 
 def test_frames(spark):
@@ -58,7 +61,9 @@ def test_fit_sees_whole_texts(spark):
     rows = [(k, t, k % 2) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     model = T.fitted(df.drop("toxic"), df.drop("text"))
-    assert model == T.fit(texts, [bool(k % 2) for k in range(60)]) and model.weights.get("vilest", 0) > 0
+    assert model.weights.get("vilest", 0) > 0
+    order = [k for k, _ in sorted(((r["doc_id"], r["h"]) for r in df.withColumn("h", F.xxhash64(T.document_key(), F.lit(9))).collect()), key=lambda x: x[1])]
+    assert model == T.fit([texts[k] for k in order], [bool(k % 2) for k in order])
     assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in T.score(df, model).collect())
 
 
@@ -79,6 +84,20 @@ def test_rows_that_share_a_doc_id_have_verdicts_of_their_own(spark):
     assert T.drop_toxic(spark, df.drop("toxic").limit(0), df.drop("text")).count() == 0
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    """Labels meet their documents before the sample is cut: many others change nothing."""
+    rows = [(k, f"vilest filth{k} here" if k % 2 else f"fine day{k} here", k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    others = spark.range(1000, 9000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = T.sample(df.drop("toxic"), df.drop("text").unionByName(others), 30)
+    assert len(got) == 40 and sum(x for _, x in got) == 20
+    assert got == T.sample(df.drop("toxic"), df.drop("text"), 30)
+    few = T.sample(df.drop("toxic"), df.drop("text"), 6)
+    assert len(few) == 12 and all(g in got for g in few)
+    shared = df.drop("toxic").unionByName(spark.createDataFrame([(1, "another text"), (1, "another text")], "doc_id long, text string"))
+    assert len(T.sample(shared, df.drop("text"), 30)) == 41  # a text of its own counts, a repeated row once
+
+
 def test_query_equals_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -93,5 +112,5 @@ def test_query_equals_brute_force(spark):
     kept = T.drop_toxic(spark, docs, labels)
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    assert sum(i in ids for i, x in known.items() if x) < 0.35 * sum(known.values())  # some fifty toxic rows in four languages to learn from
+    assert sum(i in ids for i, x in known.items() if x) < 0.35 * sum(known.values())  # 51 toxic rows in four languages to learn from; the gate of nine in ten is above, on more
     assert sum(i not in ids for i, x in known.items() if not x) < 0.02 * len(known)
