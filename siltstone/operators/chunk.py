@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Callable, Iterator
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
+from siltstone.functions import code
+
 #: Characters of a chunk, of its overlap with the next, and of the window before the target in which a break is looked for; characters a token at first guess. Fixed values.
 SIZE, OVERLAP, WINDOW, TOKENS, CHARS_PER_TOKEN = 3600, 540, 800, 900, 3
 #: Break patterns with their scores; a break is at the match's start, and the best score of a place counts. Fixed values.
@@ -27,8 +28,6 @@ BREAKS = [
     (r"\n", 1),
 ]
 _BREAKS = [(re.compile(p), s) for p, s in BREAKS]
-#: Scores of code constructs. Fixed values.
-CODE = {"class": 100, "function": 90, "decorated": 90, "import": 60}
 
 
 def break_points(text: str) -> dict[int, int]:
@@ -46,40 +45,6 @@ def fences(text: str) -> list[tuple[int, int]]:
     return spans + [(marks[-1], len(text))] if len(marks) % 2 else spans
 
 
-def python_breaks(text: str) -> dict[int, int]:
-    """Break points before the top-level and class-level constructs of Python code; none where it doesn't parse."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return {}
-    starts = [0]
-    for line in text.split("\n"):
-        starts.append(starts[-1] + len(line) + 1)
-    out = {}
-    for node in ast.walk(tree):
-        kind = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.Import: "import", ast.ImportFrom: "import"}.get(type(node))
-        if kind:
-            first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-            at = max(0, starts[first - 1] - 1)
-            out[at] = max(out.get(at, 0), CODE[kind])
-    return out
-
-
-#: Line starts that open a construct in other languages, approximately.
-_OTHER = [(re.compile(r"\n\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|struct|trait|impl|enum|type)\b"), 100), (re.compile(r"\n\s*(?:export\s+)?(?:async\s+)?(?:pub\s+)?(?:function|func|fn|def)\b"), 90), (re.compile(r"\n(?:import|use|from)\b"), 60)]
-
-
-def code_breaks(text: str, path: str) -> dict[int, int]:
-    if path.endswith(".py"):
-        return python_breaks(text)
-    out: dict[int, int] = {}
-    if re.search(r"\.(ts|tsx|js|jsx|go|rs)$", path):
-        for pattern, score in _OTHER:
-            for m in pattern.finditer(text):
-                out[m.start()] = max(score, out.get(m.start(), 0))
-    return out
-
-
 def cutoff(points: list[int], scores: dict[int, int], spans: list[tuple[int, int]], target: int) -> int:
     """The break before target with the best score, which fades with the square of its distance; target if there is none."""
     best, where = -1.0, target
@@ -144,7 +109,7 @@ def chunk_documents(documents: DataFrame, key: str = "hash", text: str = "doc",
             paths = b.column(2).to_pylist() if path else [""] * b.num_rows
             for k, t, p in zip(b.column(0).to_pylist(), b.column(1), paths, strict=True):
                 body = t.as_py() or ""
-                extra = code_breaks(body, p or "")
+                extra = code.breaks(body, p or "")
                 for seq, (pos, piece) in enumerate(chunks_by_tokens(body, count, extra=extra) if count else chunks(body, size, overlap, extra)):
                     for name, value in zip(rows, (k, seq, pos, piece), strict=True):
                         rows[name].append(value)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions import code
 from siltstone.functions import analyzer as A
 from siltstone.functions import text as T
 from siltstone.operators import chunk, evaluate, expansion, formatter, fusion, index, knowledge, lookup, research, reward, snippet, wiki
@@ -95,7 +96,7 @@ def test_chunks_cover_the_text():
     assert chunk.fences("x\n```\na\n```\nb\n```") == [(1, 11), (13, 17)]
     parts = chunk.chunks_by_tokens("abc " * 4000, lambda s: len(s) // 2)
     assert all(len(t) // 2 <= chunk.TOKENS for _, t in parts) and parts[-1][0] + len(parts[-1][1]) == 16000
-    assert chunk.python_breaks("import a\n\nclass B:\n    def c(self):\n        pass\n") == {0: 60, 9: 100, 18: 90}
+    assert code.breaks("import a\n\nclass B:\n    def c(self):\n        pass\n", "x.py") == {0: 60, 9: 100, 18: 90}
 
 
 def test_snippet(spark):
