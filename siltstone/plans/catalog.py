@@ -115,9 +115,21 @@ def orphan_vectors(spark, sf_dir):
     return health.orphan_vectors(d.select("hash", "doc_id"), d.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_anti"))
 
 
-@query("SELECT DISTINCT least(a.n, b.n) AS name_a, greatest(a.n, b.n) AS name_b FROM (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) a(n, r) JOIN (VALUES ('src0', '/data/a/'), ('src1', '/data/a/b/'), ('src2', '/data/ab/'), ('gone', '/srv/x/')) b(n, r) ON a.n <> b.n AND starts_with(a.r, b.r)")
+#: A collection for each source and, below it, for each of its languages.
+NESTED = "nc AS (SELECT source AS name, '/data/' || source AS root FROM documents GROUP BY 1 UNION ALL SELECT source || '-' || lang, '/data/' || source || '/' || lang FROM documents GROUP BY source, lang)"
+
+
+def nested(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    low = d.select(F.concat_ws("-", "source", "lang").alias("name"), F.concat(F.lit("/data/"), "source", F.lit("/"), "lang").alias("root"), "lang").distinct()
+    top = d.select(F.col("source").alias("name"), F.concat(F.lit("/data/"), "source").alias("root"), F.lit(None).cast("string").alias("lang")).distinct()
+    context = F.when(F.col("lang").isNotNull(), F.create_map(F.lit("/"), "lang")).otherwise(F.create_map(F.lit("en"), F.lit("English"), F.lit("fr/1"), F.lit("first French")))
+    return top.unionByName(low).select("name", "root", context.alias("context"), F.lit(True).alias("include_by_default"))
+
+
+@query(f", {NESTED} SELECT least(a.name, b.name) AS name_a, greatest(a.name, b.name) AS name_b FROM nc a JOIN nc b ON a.name <> b.name AND starts_with(b.root || '/', a.root || '/')")
 def overlapping_collections(spark, sf_dir):
-    return health.overlaps(roots(spark))
+    return health.overlaps(nested(spark, sf_dir))
 
 
 @query("""SELECT 'overlap' AS kind, 'src0,src1' AS subject UNION ALL VALUES ('no_context', 'src2'), ('no_context', 'gone'), ('empty', 'gone')
@@ -333,12 +345,28 @@ def position_blend(spark, sf_dir):
 
 # --- chunks and snippets
 
-@query()
+#: The chunks as a recursion: every break begins with a line's end, so lines with their offsets give all break points and scores; a break with an odd number of fences before it is inside one.
+CHUNKS = r"""ln AS (SELECT id, length(body) AS n, generate_subscripts(l, 1) AS i, len(l) AS lines, unnest(l) AS x FROM (SELECT id, body, string_split(body, chr(10)) AS l FROM d)),
+lo AS (SELECT *, lag(x) OVER w AS before, coalesce(sum(length(x) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS p FROM ln WINDOW w AS (PARTITION BY id ORDER BY i)),
+bs AS (SELECT id, i, p, starts_with(x, '```') AS fence, CASE WHEN regexp_matches(x, '^#([^#]|$)') THEN 100 WHEN regexp_matches(x, '^##([^#]|$)') THEN 90 WHEN regexp_matches(x, '^###([^#]|$)') OR starts_with(x, '```') THEN 80
+  WHEN regexp_matches(x, '^####([^#]|$)') THEN 70 WHEN regexp_matches(x, '^#####([^#]|$)') OR (regexp_matches(x, '^(---|[*][*][*]|___)\s*$') AND i < lines) THEN 60 WHEN regexp_matches(x, '^######([^#]|$)') THEN 50
+  WHEN x = '' AND i < lines AND NOT (i > 2 AND before = '') THEN 20 WHEN regexp_matches(x, '^([-*]|[0-9]+[.])\s') OR (x IN ('-', '*') AND i < lines) OR (regexp_matches(x, '^[0-9]+[.]$') AND i < lines) THEN 5 ELSE 1 END AS s FROM lo WHERE i > 1),
+bp AS (SELECT id, list({'p': p, 's': s} ORDER BY p) AS points FROM (SELECT *, coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS inside FROM bs) WHERE inside = 0 GROUP BY id),
+dn AS (SELECT d.id, body, length(body) AS n, points FROM d LEFT JOIN bp USING (id)),
+ct AS (SELECT id, 0 AS seq, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS e FROM dn
+  UNION ALL SELECT id, CASE WHEN e IS NULL THEN seq ELSE seq + 1 END, CASE WHEN e IS NULL THEN pos WHEN e - 540 > pos THEN e - 540 ELSE e END,
+    CASE WHEN e IS NOT NULL THEN NULL WHEN n <= 3600 OR pos + 3600 >= n THEN n ELSE CASE WHEN cut_at > pos THEN cut_at ELSE pos + 3600 END END
+  FROM (SELECT *, w[list_position(list_transform(w, lambda x: x.s * (1 - 0.7 * pow((pos + 3600 - x.p) / 800.0, 2))), list_max(list_transform(w, lambda x: x.s * (1 - 0.7 * pow((pos + 3600 - x.p) / 800.0, 2)))))].p AS cut_at
+    FROM (SELECT ct.id, ct.seq, ct.pos, ct.e, n, list_filter(points, lambda x: x.p BETWEEN pos + 2800 AND pos + 3600) AS w FROM ct JOIN dn USING (id) WHERE e IS NULL OR e < n))),
+ck AS (SELECT id, CAST(seq AS INTEGER) AS seq, CAST(pos AS INTEGER) AS pos, substr(body, pos + 1, e - pos) AS text FROM ct JOIN dn USING (id) WHERE e IS NOT NULL)"""
+
+
+@query(f", {CHUNKS} SELECT id, seq, pos, text FROM ck")
 def chunks(spark, sf_dir):
     return chunk.chunk_documents(documents(spark, sf_dir), "id", "body")
 
 
-@query()
+@query(f", {CHUNKS} SELECT id AS file, seq, pos, text FROM ck QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(contains(lower(text), 'that') AS INT) + CAST(contains(lower(text), 'tion') AS INT) DESC, seq) = 1")
 def best_chunks(spark, sf_dir):
     cut = chunk.chunk_documents(documents(spark, sf_dir).withColumnRenamed("id", "file"), "file", "body")
     return fusion.best_chunk(cut, "that tion")
@@ -372,13 +400,21 @@ def paging(spark, sf_dir):
 
 # --- wiki
 
-PAGES = "p AS (SELECT collection AS project, CAST(doc_id AS VARCHAR) AS title, doc_id, '[[' || (doc_id % 50) || ']] and [[' || (doc_id % 7) || ']]' AS body, ['t' || (doc_id % 5), lang] AS tags FROM d JOIN documents USING (doc_id))"
+#: Pages of the documents: a page has the text, its language and first word as tags, and a link to the first document that begins with the same word; its counters are how often the text has each of some marks.
+MARKS = ".,!?;:-"
+FIRST_WORD = r"regexp_extract(lower(text), '[\p{L}\p{N}]+')"
+PAGES = rf"""p AS (SELECT source AS project, CAST(doc_id AS VARCHAR) AS title, doc_id, text || chr(10) || '[[' || min(doc_id) OVER (PARTITION BY {FIRST_WORD}) || ']]' AS body, list_filter([lang, {FIRST_WORD}], lambda x: x <> '') AS tags,
+  {', '.join(f"length(text) - length(replace(text, '{m}', '')) AS c{k}" for k, m in enumerate(MARKS))} FROM documents)"""
 
 
 def pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    target = lambda n: F.concat(F.lit("[["), F.col("doc_id") % n, F.lit("]]"))
-    return d.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("title"), "doc_id", F.concat(target(50), F.lit(" and "), target(7)).alias("body"), F.array(F.concat(F.lit("t"), F.col("doc_id") % 5), "lang").alias("tags"), F.array().cast("array<string>").alias("related"), F.array().cast("array<string>").alias("sources"), *[(F.col("doc_id") % (k + 2)).cast("int").alias(c) for k, c in enumerate(wiki.COUNTERS)], F.lit("2026-01-01").alias("updated"))
+    word = F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}]+", 0)
+    firsts = d.groupBy(word.alias("word")).agg(F.min("doc_id").alias("first"))
+    none = F.array().cast("array<string>")
+    many = lambda m: (F.length("text") - F.length(F.replace("text", F.lit(m), F.lit("")))).cast("int")
+    rows = d.withColumn("word", word).join(firsts, "word")
+    return rows.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("title"), "doc_id", F.concat("text", F.lit("\n[["), "first", F.lit("]]")).alias("body"), F.filter(F.array("lang", "word"), lambda x: x != "").alias("tags"), none.alias("related"), none.alias("sources"), *[many(m).alias(c) for m, c in zip(MARKS, wiki.COUNTERS)], F.lit("2026-01-01").alias("updated"))
 
 
 @query(f", {PAGES} SELECT tag, count(*) AS pages, array_to_string(list_sort(list_distinct(list(project))), ',') AS projects FROM (SELECT project, unnest(tags) AS tag FROM p) GROUP BY tag")
@@ -391,7 +427,7 @@ def backlinks(spark, sf_dir):
     return wiki.backlinks(pages(spark, sf_dir))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS title, CAST(doc_id % 2 + 2 * (doc_id % 3) + doc_id % 4 + doc_id % 5 + 3 * (doc_id % 6) AS BIGINT) AS importance, CAST(doc_id % 7 + doc_id % 8 AS BIGINT) AS hit_count FROM documents")
+@query(f", {PAGES} SELECT title, CAST(c0 + 2 * c1 + c2 + c3 + 3 * c4 AS BIGINT) AS importance, CAST(c5 + c6 AS BIGINT) AS hit_count FROM p")
 def page_importance(spark, sf_dir):
     p = wiki.scored(pages(spark, sf_dir))
     return p.select("title", F.col("importance").cast("long").alias("importance"), F.col("hit_count").cast("long").alias("hit_count"))
@@ -402,7 +438,7 @@ def project_counts(spark, sf_dir):
     return wiki.overview(pages(spark, sf_dir))["projects"]
 
 
-@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS title, source AS project, 't' || (doc_id % 5) || ',' || lang AS tags, '[[' || (doc_id % 50) || ']] and [[' || (doc_id % 7) || ']]' AS body FROM documents")
+@query(f", {PAGES} SELECT doc_id, title, project, array_to_string(tags, ',') AS tags, regexp_replace(body, '^\\n+', '') AS body FROM p")
 def front_matter_round_trip(spark, sf_dir):
     t = wiki.render(pages(spark, sf_dir)).select("doc_id", wiki.front_matter(F.col("text")).alias("m"))
     return t.select("doc_id", "m.title", "m.project", F.array_join("m.tags", ",").alias("tags"), "m.body")
@@ -657,24 +693,29 @@ def benchmark_summary(spark, sf_dir):
     return evaluate.summary(d).select("backend", F.round("precision_at_k", 6).alias("precision_at_k"), F.round("recall", 6).alias("recall"), "queries")
 
 
-@query("SELECT 'src0' AS name, 'en' AS prefix, 'changed' AS context UNION ALL VALUES ('src0', '/', 'all of a'), ('src1', 'fr', 'French')")
+@query(f", {NESTED} SELECT name, prefix, context FROM (SELECT name, 'en' AS prefix, CASE WHEN name = 'src0' THEN 'changed' ELSE 'English' END AS context FROM nc WHERE NOT contains(name, '-') UNION ALL SELECT name, 'fr/1', 'first French' FROM nc WHERE NOT contains(name, '-') AND name <> 'src1' UNION ALL SELECT name, '/', split_part(name, '-', 2) FROM nc WHERE contains(name, '-'))")
 def context_changes(spark, sf_dir):
-    c = context.remove(context.put(roots(spark), "src0", "en", "changed"), "src1", "fr/1")
+    c = context.remove(context.put(nested(spark, sf_dir), "src0", "en", "changed"), "src1", "fr/1")
     return context.entries(c).select(F.col("collection").alias("name"), "prefix", "context")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS title, CAST(doc_id % 5 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS link_count FROM documents")
+@query(f", {PAGES} SELECT title, CAST(c3 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS link_count FROM p")
 def counter_bumps(spark, sf_dir):
     p = pages(spark, sf_dir)
     hits = p.filter("doc_id % 2 = 0").select("project", "title", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
     return wiki.bump(p, hits, "link_count").select("title", F.col("link_count").cast("long").alias("link_count"))
 
 
-@query("SELECT id, round(CAST(sum(s) AS DOUBLE), 6) AS score FROM (SELECT id, 2.0 * (1 + doc_id % 5) AS s FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT id, 1.0 * (1 + doc_id % 3) FROM d WHERE doc_id % 3 = 0) GROUP BY id ORDER BY sum(s) DESC, id LIMIT 5")
+def _project_search(word: str) -> str:
+    return f"(WITH {_bm25_sql([(f'''starts_with($[i], '{word}')''', False)], "SELECT id, bm / (1 + bm) AS s FROM r WHERE collection = 'src1' ORDER BY bm DESC, id LIMIT 20")[2:]})"
+
+
+@query(f"SELECT id, round(sum(s), 6) AS score FROM (SELECT id, 2 * s AS s FROM {_project_search('for')} UNION ALL SELECT id, s FROM {_project_search('the')}) GROUP BY id ORDER BY sum(s) DESC, id LIMIT 5")
 def similar_pages(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    a, b = d.filter("doc_id % 2 = 0").select("id", (1.0 + F.col("doc_id") % 5).alias("score")), d.filter("doc_id % 3 = 0").select("id", (1.0 + F.col("doc_id") % 3).alias("score"))
-    return wiki.similar_pages(a, b).select("id", F.round("score", 6).alias("score"))
+    """A project's pages that are like a new one, by searches for its title and for its text."""
+    i = lexical_index(spark, sf_dir)
+    of = lambda text: i.lexical(text, 20, "src1", exact=True).select("id", "score")
+    return wiki.similar_pages(of("for"), of("the")).select("id", F.round("score", 6).alias("score"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.analyzer import TypedQuery
 from siltstone.operators import reward
 from siltstone.plans import search
-from siltstone.plans.catalog import _bm25_sql, documents, lexical_index, query, table
+from siltstone.plans.catalog import CHUNKS, _bm25_sql, documents, lexical_index, query, table
 
 
 def _lexical_list(word: str) -> str:
@@ -43,10 +43,13 @@ def hybrid_with_vectors(spark, sf_dir):
     return _with_models(spark, sf_dir, None)
 
 
-@query(f"{PLACED} SELECT file, round(share / place + (1 - share) * 0.25, 6) AS score FROM (SELECT *, CASE WHEN place <= 3 THEN 0.75 WHEN place <= 10 THEN 0.6 ELSE 0.4 END AS share FROM pl) ORDER BY share / place + (1 - share) * 0.25 DESC, file LIMIT 10")
+BEST = f"bk AS (SELECT id, text FROM ck QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(contains(lower(text), 'for') AS INT) DESC, seq) = 1)"
+
+
+@query(f"{PLACED}, {CHUNKS}, {BEST} SELECT file, round(s, 6) AS score FROM (SELECT file, share / place + (1 - share) * (length(text) / 3600.0) AS s FROM (SELECT *, CASE WHEN place <= 3 THEN 0.75 WHEN place <= 10 THEN 0.6 ELSE 0.4 END AS share FROM pl) JOIN bk ON bk.id = file) ORDER BY s DESC, file LIMIT 10")
 def hybrid_with_reranker(spark, sf_dir):
-    """The whole of it: expansions, vectors, best chunks, scores of chunks (here all the same), blend."""
-    return _with_models(spark, sf_dir, lambda _, texts: [0.25] * len(texts))
+    """The whole of it: expansions, vectors, best chunks, scores of those chunks (the longer the better), blend."""
+    return _with_models(spark, sf_dir, lambda _, texts: [len(t) / 3600 for t in texts])
 
 
 MAY_REPEAT = ", ".join(f"'{w}'" for w in reward.MAY_REPEAT)

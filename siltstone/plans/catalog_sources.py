@@ -53,13 +53,50 @@ def search_answers(spark, sf_dir):
     return d.select("doc_id", F.explode(research.from_search(answer)).alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id, p AS part, sha256(string_agg(t, chr(10) || chr(10) ORDER BY turn) || CASE WHEN p = 0 AND n > 1 THEN chr(10) || chr(10) ELSE '' END) AS h FROM (SELECT *, CASE WHEN n > 1 AND k > ceil(n / 2.0) THEN 1 ELSE 0 END AS p
+FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN '### User' ELSE '### Assistant' END || chr(10) || text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)) GROUP BY conv_id, p, n""")
 def prepared_sessions(spark, sf_dir):
-    """Every turn of a conversation is in one half or the other."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda t: F.concat(F.when(t["role"] == "user", "### User\n").otherwise("### Assistant\n"), t["turn"].cast("string"))), "\n\n").alias("markdown"))
-    parts = knowledge.prepare(c.withColumnRenamed("conv_id", "session_id"), 4)
-    turns = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^### (?:User|Assistant)"), F.lit(0)))
-    return parts.groupBy(F.col("session_id").alias("conv_id")).agg(F.sum(turns).alias("n"))
+    """Whole conversations in two halves."""
+    said = F.struct("turn", F.concat(F.when(F.col("role") == "user", "### User\n").otherwise("### Assistant\n"), "text").alias("t"))
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda t: t["t"]), "\n\n").alias("markdown"))
+    parts = knowledge.prepare(c, 0)
+    return parts.select(F.col("session_id").alias("conv_id"), "part", F.sha2("text", 256).alias("h"))
+
+
+def _event_lines(spark, sf_dir):
+    """Conversations as event logs: a file a conversation, a first line that names the session and its folder, a JSON line an event. What the system said is the output of a tool."""
+    block = F.array(F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text")))
+    message = F.to_json(F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), block.alias("content")))
+    output = F.to_json(F.struct(F.lit("function_call_output").alias("type"), F.lit("c1").alias("call_id"), F.col("text").alias("output")))
+    # what a payload is, is JSON within JSON: spliced in, as a struct of one column can't have two shapes
+    line = lambda kind, at, payload: F.concat(F.lit('{"timestamp":"'), at, F.lit(f'","type":"{kind}","payload":'), payload, F.lit("}"))
+    at = F.lpad(F.col("turn").cast("string"), 6, "0")
+    c = table(spark, sf_dir, "conversations")
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.concat(F.lit("s"), "conv_id").alias("id"), F.concat(F.lit("/work/q"), F.col("conv_id") % 3).alias("cwd")))
+    heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), line("session_meta", F.lit(""), meta).alias("value"))
+    rows = heads.unionByName(c.select("conv_id", "turn", line("response_item", at, F.when(F.col("role").isin("user", "assistant"), message).otherwise(output)).alias("value")))
+    whole = rows.groupBy(F.concat(F.lit("/logs/"), "conv_id", F.lit(".jsonl")).alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return sessions.lines_of(whole)
+
+
+@query("""SELECT 's' || conv_id AS session_id, 'q' || (conv_id % 3) AS project, count(*) FILTER (WHERE said) AS messages, sha256(coalesce(string_agg(CASE WHEN role IN ('user', 'assistant') THEN role || chr(10) || trim(text) ELSE 'tool' || chr(10) || '<details>' || chr(10) || '<summary>result:c1</summary>' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || '</details>' END || chr(10), '' ORDER BY turn) FILTER (WHERE said), '')) AS h
+FROM (SELECT *, role NOT IN ('user', 'assistant') OR trim(text) <> '' AS said FROM conversations) GROUP BY conv_id""")
+def event_logs(spark, sf_dir):
+    s = sessions.sessions(sessions.event_messages(_event_lines(spark, sf_dir)))
+    digest = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"], F.lit("\n"))), "")
+    return s.select("session_id", "project", F.size("messages").cast("long").alias("messages"), F.sha2(digest, 256).alias("h"))
+
+
+@query("SELECT '/logs/' || conv_id || '.jsonl' AS file, 'event' AS format FROM conversations GROUP BY conv_id")
+def event_formats(spark, sf_dir):
+    return sessions.formats(_event_lines(spark, sf_dir))
+
+
+@query("SELECT doc_id, 'https://h/' || doc_id AS url, source AS title, substr(sha256(text), 1, 8) AS published FROM documents")
+def atom_entries(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">'), "source", F.lit('</title>\n<link rel="alternate" href="https://h/'), "doc_id", F.lit('"/><published>'), F.substring(F.sha2("text", 256), 1, 8), F.lit("</published></entry></feed>"))
+    return d.select("doc_id", F.explode(research.from_feed(entry)).alias("x")).select("doc_id", "x.*")
 
 
 # --- searches
@@ -117,7 +154,7 @@ def pages_by_tag(spark, sf_dir):
     return wiki.listed(pages(spark, sf_dir), "src1", "en").select("project", "title")
 
 
-@query(f", {PAGES} SELECT project, title, CASE WHEN project = 'src2' THEN 0 ELSE doc_id % 2 END AS show_count FROM p")
+@query(f", {PAGES} SELECT project, title, CAST(CASE WHEN project = 'src2' THEN 0 ELSE c0 END AS BIGINT) AS show_count FROM p")
 def counters_reset(spark, sf_dir):
     return wiki.reset(pages(spark, sf_dir), "src2").select("project", "title", F.col("show_count").cast("long").alias("show_count"))
 
