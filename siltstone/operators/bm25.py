@@ -38,9 +38,10 @@ def clause_hits(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
     met = postings.filter(wanted)
     if all(len(c.terms) == 1 for c in clauses):
         n = F.col("n") if "n" in postings.columns else F.size("positions")
-        found = met.select("id", (n * weight).alias("w"), *kept, F.explode(roles).alias("r"))
+        # dealt by document: what follows, up to the scores, needs no other shuffle
+        found = met.select("id", (n * weight).alias("w"), *kept, F.explode(roles).alias("r")).repartition("id")
         return found.groupBy("id", F.col("r.clause").alias("clause")).agg(F.sum("w").alias("tf"), *most)
-    found = met.select("id", "field", "positions", *kept, F.explode(roles).alias("r"))
+    found = met.select("id", "field", "positions", *kept, F.explode(roles).alias("r")).repartition("id")
     shifted = found.select("id", "field", "r.clause", "r.i", *kept, F.transform("positions", lambda p: p - F.col("r.i")).alias("at"))
     lists = shifted.groupBy("id", "field", "clause", "i").agg(F.flatten(F.collect_list("at")).alias("at"), *most)
     both = lists.groupBy("id", "field", "clause").agg(F.collect_list("at").alias("lists"), *most)

@@ -158,3 +158,16 @@ def script_terms(spark, sf_dir):
     text = F.when(F.col("lang") == "en", F.translate(F.lower("text"), LETTERS, SYLLABLES)).otherwise(F.col("text"))
     terms = analyzer.analysed(analyzer.script_tokens(text), lambda run: [run[i : i + 2] for i in range(0, len(run), 2)], False)
     return d.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'thing')", False)], f"SELECT id, {SCORED} FROM (SELECT * FROM r ORDER BY bm DESC, id LIMIT 50) WHERE bm / (1 + bm) >= 0.35 AND collection IN ('src1', 'src2', 'src3') ORDER BY bm DESC, id LIMIT 5"))
+def command_search(spark, sf_dir):
+    """The search command: of the first fifty, those of some collections with a least score."""
+    out = search.command(search.Index(documents(spark, sf_dir)), "thing", 5, least=0.35, collections=["src1", "src2", "src3"])
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql([("starts_with($[i], 'thing')", False)], f"SELECT id, {SCORED} FROM r WHERE bm / (1 + bm) >= 0.4"))
+def command_search_all(spark, sf_dir):
+    """All results of a least score."""
+    return search.command(search.Index(documents(spark, sf_dir)), "thing", everything=True, least=0.4).select("id", F.round("score", 6).alias("score"))

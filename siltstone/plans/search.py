@@ -127,3 +127,13 @@ FETCH_LEAST, FETCH_ALL = 50, 100_000
 
 def fetch_limit(n: int, everything: bool = False) -> int:
     return FETCH_ALL if everything else max(FETCH_LEAST, 2 * n)
+
+
+def command(index: Index, query: str, n: int = 5, everything: bool = False, least: float = 0.0, collections: list[str] | None = None) -> DataFrame:
+    """What the search command shows: of a fetch that is larger than n (all: of all), the files of some collections with a least score, the first n of them or all."""
+    found = index.lexical(query, fetch_limit(n, everything), collections[0] if collections and len(collections) == 1 else None)
+    kept = found.filter(F.col("score") >= least)
+    if collections:
+        kept = kept.filter(F.col("collection").isin(collections))
+    ordered = kept.orderBy(F.desc("bm25"), "id")
+    return ordered if everything else ordered.limit(n)

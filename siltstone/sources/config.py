@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 
@@ -55,6 +57,20 @@ def collection_name(name: str) -> str:
     return name
 
 
+def config_hash(rows: list[dict]) -> str:
+    """Of what collections say, whatever their order."""
+    return hashlib.sha256(json.dumps(sorted((sorted(r.items()) for r in rows), key=str), ensure_ascii=False).encode()).hexdigest()
+
+
+def upserted(held: list[dict], new: list[dict], remove: bool = False) -> list[dict]:
+    """held with new ones put in by name: what a new one says counts, what it doesn't say stays. With remove, those that aren't among the new go."""
+    old = {r["name"]: r for r in held}
+    by = {} if remove else dict(old)
+    for r in new:
+        by[collection_name(r["name"])] = {**old.get(r["name"], {}), **r}
+    return [by[n] for n in sorted(by)]
+
+
 def collections(spark: SparkSession, rows: list[dict]) -> DataFrame:
     names = [c.split(" ")[0] for c in ("name string", "root string", "pattern string", "ignore array", "include_by_default boolean", "context map", "type string")]
     full = [{"pattern": DEFAULTS["glob"], "ignore": [], "context": {}, "type": "static", **r} for r in rows]

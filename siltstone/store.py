@@ -16,7 +16,7 @@ from siltstone.functions import analyzer
 from siltstone.functions import text as T
 from siltstone.operators import chunk, health, index, lookup, memo, vector
 from siltstone.plans import search
-from siltstone.sources import files, fs
+from siltstone.sources import config, files, fs
 
 #: Segments of an index before they become one.
 SEGMENTS = 8
@@ -204,6 +204,53 @@ class Store:
             options.setdefault("memo", self.memo())
         return search.search(self.index(model), query, **options)
 
+    def _collections(self) -> tuple[int, dict]:
+        known = [int(n[:-5]) for n in fs.names(self.spark, f"{self.path}/collections") if n.endswith(".json") and n[0] != "_"]
+        return (known[-1], json.loads(fs.read_text(self.spark, f"{self.path}/collections/{known[-1]:012d}.json"))) if known else (0, {"rows": [], "hash": ""})
+
+    def collections(self) -> DataFrame:
+        """The collections, a small table (config.COLLECTION)."""
+        return config.collections(self.spark, self._collections()[1]["rows"])
+
+    def _put_collections(self, number: int, rows: list[dict], of: str) -> None:
+        if not fs.put_new(self.spark, f"{self.path}/collections/{number + 1:012d}.json", json.dumps({"rows": rows, "hash": of}, ensure_ascii=False)):
+            raise Conflict("another writer has changed the collections")
+
+    def upsert_collections(self, rows: list[dict]) -> None:
+        """Add collections or change what is said of them, by name."""
+        number, held = self._collections()
+        self._put_collections(number, config.upserted(held["rows"], rows), "")
+
+    def remove_collection(self, name: str) -> None:
+        """Forget a collection; its documents become inactive."""
+        number, held = self._collections()
+        self._put_collections(number, [r for r in held["rows"] if r["name"] != name], "")
+        base = self.version()
+        if base:
+            listing = self.listing().drop("id").withColumn("body", F.lit(None).cast("string"))
+            self.commit(health.remove_collection(listing, name), base=base)
+
+    def sync_collections(self, rows: list[dict]) -> bool:
+        """Make the collections what a configuration says; False, and nothing is done, if it says what it said the last time."""
+        number, held = self._collections()
+        of = config.config_hash(rows)
+        if held["hash"] == of:
+            return False
+        self._put_collections(number, config.upserted(held["rows"], rows, remove=True), of)
+        return True
+
+    def update_all(self) -> dict[str, dict]:
+        """Re-read all collections; counts of what changed by collection."""
+        done = {}
+        for r in self._collections()[1]["rows"]:
+            got = self.update(r["root"], r["name"], r.get("pattern", config.DEFAULTS["glob"]), r.get("ignore") or None).filter(F.col("collection") == r["name"]).first()
+            done[r["name"]] = got.asDict() if got else {}
+        return done
+
+    def find(self, query: str, n: int = 5, everything: bool = False, least: float = 0.0, collections: list[str] | None = None) -> DataFrame:
+        """The search command's lexical results."""
+        return search.command(self.index(), query, n, everything, least, collections)
+
     def get(self, name: str) -> DataFrame:
         return lookup.find(self.documents(), name)
 

@@ -193,3 +193,41 @@ def test_scripts_in_one_text(spark, tmp_path):
     assert found(without, "엔진") == ["b.md"] and found(without, "broadcast") == ["c.md"] and found(without, "검색엔진") == ["a.md"]
     terms = lambda s: {r["term"] for r in s.postings().filter("field = 'body'").select("term").collect()}
     assert {"검색", "엔진", "broadcast", "join"} <= terms(with_it) and "검색엔진broadcast" in terms(without)
+
+
+def test_collections_are_a_table(spark, tmp_path):
+    import pytest
+
+    from siltstone.store import Conflict
+
+    for c in ("a", "b"):
+        (tmp_path / c).mkdir()
+        (tmp_path / c / "n.md").write_text(f"alpha {c}")
+    s = Store(spark, str(tmp_path / "store"))
+    rows = [{"name": c, "root": str(tmp_path / c)} for c in ("a", "b")]
+    assert s.sync_collections(rows) and not s.sync_collections(list(reversed(rows)))  # the same configuration
+    assert {n: c["indexed"] for n, c in s.update_all().items()} == {"a": 1, "b": 1}
+    s.upsert_collections([{"name": "a", "context": {"/": "first"}}, {"name": "c", "root": "/x"}])
+    held = {r["name"]: r for r in s.collections().collect()}
+    assert set(held) == {"a", "b", "c"} and held["a"]["context"] == {"/": "first"} and held["a"]["root"] == str(tmp_path / "a") and held["b"]["pattern"] == "**/*.md"
+    assert s.sync_collections(rows[:1]) and [r["name"] for r in s.collections().collect()] == ["a"]
+    number, _ = s._collections()
+    s.upsert_collections(rows)
+    with pytest.raises(Conflict):
+        s._put_collections(number, [], "")
+    assert sorted(r["collection"] for r in s.find("alpha").collect()) == ["a", "b"]
+    assert [r["collection"] for r in s.find("alpha", 1, collections=["b"]).collect()] == ["b"] and s.find("alpha", least=0.99).count() == 0
+    s.remove_collection("b")
+    assert [r["collection"] for r in s.find("alpha", everything=True).collect()] == ["a"] and [r["name"] for r in s.collections().collect()] == ["a"]
+
+
+def test_topics_search_their_own_notes(spark, tmp_path):
+    from siltstone.operators import index, topic
+
+    texts = {"sources/0123456789ab.md": "# Parts\nalpha parts", "parts.md": "alpha parts of parts", "sources/1123456789ab.md": "# Other\nbeta"}
+    s = Store(spark, str(tmp_path / "store"))
+    mine = index.derive(spark.createDataFrame(list(texts.items()), "path string, text string"), "research-t")
+    other = index.derive(spark.createDataFrame([("sources/2123456789ab.md", "alpha")], "path string, text string"), "research-u")
+    s.commit(mine.unionByName(other))
+    got = topic.search_topic(s.index(), "t", "alpha").collect()
+    assert [(r["source_id"], r["title"], r["path"]) for r in got] == [("0123456789ab", "Parts", "sources/0123456789ab.md")]
