@@ -142,13 +142,39 @@ def robots_allows(rules: str, agent: str, path: str) -> bool:
     return best[1]
 
 
-def first_seen(pages: DataFrame, order: str = "page_id") -> DataFrame:
+#: Undecided pages that one task may go through in order (three short values each).
+FEW = 50_000
+
+
+def _one_after_the_other(left: DataFrame, order: str) -> DataFrame:
+    """(order) of the pages accepted, by one ordered pass."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        urls, bodies = set(), set()
+        for b in batches:
+            kept = []
+            for k, (u, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if (u is None or u not in urls) and (h is None or h not in bodies):
+                    kept.append(k)
+                    urls.add(u)
+                    bodies.add(h)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64()))], [order])
+
+    return written(left.repartition(1).sortWithinPartitions(order).mapInArrow(run, f"{order} {left.schema[order].dataType.simpleString()}"), "accepted")
+
+
+def first_seen(pages: DataFrame, order: str = "page_id", few: int = FEW) -> DataFrame:
     """pages with accepted: in arrival order (which tells pages apart), a page goes if its canonical URL or its body was accepted before; what is rejected reserves neither, and a null is shared with nobody.
 
-    The sequential rule by rounds: of the undecided pages those that come first both among their URL's and among their body's are accepted, as nothing before them can be, and all that share with them go. A page a third of all pages copy is decided in one round, by aggregates and narrow joins."""
+    The sequential rule by rounds: of the undecided pages those that come first both among their URL's and among their body's are accepted, as nothing before them can be, and all that share with them go; once `few` are left, a single task goes through those in order, so a chain of pages that each share with the next costs no round a link unless there are more. A page a third of all pages copy is decided in one round, by aggregates and narrow joins."""
     left = written(pages.select(order, F.col("canonical_url").alias("u"), F.col("body_hash").alias("b")), "seen")
     accepted = None
-    while left.limit(1).count():
+    while n := left.count():
+        if n <= few:
+            now = _one_after_the_other(left, order)
+            accepted = now if accepted is None else accepted.unionByName(now)
+            break
         firsts = left
         for c in ("u", "b"):
             least = left.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias(f"first_{c}"))

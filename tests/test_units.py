@@ -21,14 +21,15 @@ def value(spark, expr, **cols):
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("foo bar", [(("foo",), True, False), (("bar",), True, False)]),
-        ('"machine learning"', [(("machine", "learning"), False, False)]),
-        ('"C++ performance"', [(("c", "performance"), False, False)]),
-        ("performance -sports", [(("performance",), True, False), (("sports",), True, True)]),
-        ("multi-agent memory", [(("multi", "agent"), False, False), (("memory",), True, False)]),
-        ("performance -multi-agent", [(("performance",), True, False), (("multi", "agent"), False, True)]),
-        ("hello!world", [(("helloworld",), True, False)]),
-        ('"open quote here', [(("open", "quote", "here"), False, False)]),
+        ("  -\"cold start\" warm ", [(("cold", "start"), False, True), (("warm",), True, False)]),
+        ("Zebra", [(("zebra",), True, False)]),
+        ("river-bank-2 tide", [(("river", "bank", "2"), False, False), (("tide",), True, False)]),
+        ("tide -river-bank", [(("tide",), True, False), (("river", "bank"), False, True)]),
+        ('"R&D: lab" "', [(("rd", "lab"), False, False)]),
+        ("don't", [(("don", "t"), True, False)]),
+        ("a+b=c -d", [(("abc",), True, False), (("d",), True, True)]),
+        ('"never closed, this', [(("never", "closed", "this"), False, False)]),
+        ('"" () x', [(("x",), True, False)]),
         ("-only -these", []),
         ("   ", []),
     ],
@@ -197,8 +198,9 @@ def test_first_seen_is_sequential(spark):
             if want[g * 3 + k]:
                 urls.add(u)
                 bodies.add(b)
-    got = research.first_seen(spark.createDataFrame(rows, "page_id long, canonical_url string, body_hash string"))
-    assert {r["page_id"]: r["accepted"] for r in got.collect()} == want
+    pages = spark.createDataFrame(rows, "page_id long, canonical_url string, body_hash string")
+    for few in (0, 100, research.FEW):  # by rounds, by rounds and a pass, by a pass
+        assert {r["page_id"]: r["accepted"] for r in research.first_seen(pages, few=few).collect()} == want
 
 
 def test_research(spark, tmp_path):
