@@ -723,4 +723,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_prefixes(spark, sf_dir)
 
 
-from siltstone.plans import catalog_models, catalog_sets, catalog_sources  # noqa: E402, F401  (its queries register themselves here)
+from siltstone.plans import catalog_models, catalog_more, catalog_sets, catalog_sources  # noqa: E402, F401  (its queries register themselves here)
