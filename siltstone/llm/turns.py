@@ -4,7 +4,7 @@ Each turn is a 4x4 matrix over the states of that pattern (nothing yet, after s,
 
 Edits: Keep costs 0, Rerole (to user or assistant) 2, Delete 3, Insert (a user or assistant turn with empty text) 2; blank and duplicate turns must be deleted; a truncated turn that isn't deleted costs 1.
 
-Edge cases: a null role or text is one space, so a null text is blank; turns are in the order of turn (nulls first), then role, then the SHA-256 of the text, where the input says no more; repeated rows stay, and all but the first are duplicates; a null conv_id is a conversation of its own; empty texts are blank; texts are read whole in the JVM and never held by a Python task of the scan; no rows give no rows; further columns are ignored."""
+Edge cases: a null role or text is one space, so a null text is blank; turns are in the order of turn (nulls first), then role, then the SHA-256 of the text, where the input says no more; repeated rows stay, and all but the first are duplicates; a null conv_id is a conversation of its own; empty texts are blank; very long texts are read whole, twice, and stay out of the scan, which sees what they say of a turn; no rows give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -198,21 +198,27 @@ def _conv_type(df: DataFrame) -> tuple[str, pa.DataType]:
     return t.simpleString(), to_arrow_type(t)
 
 
+def _given(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, sha of the text, and key, which only identical rows share and which is never null."""
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    named = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    return named.withColumns({"key": F.unhex(F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "sha")), 256)), "sha": F.unhex("sha")})
+
+
 def fault_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, sha, copy, fault (blank, duplicate, truncated or null): every row of rows (conv_id, turn, role, text), each with its first fault.
+    """conv_id, turn, role, sha, key, copy, fault (blank, duplicate, truncated or null): every row of rows (conv_id, turn, role, text), each with its first fault. Texts stay behind: what they say of a turn goes on.
 
     Repeated rows are one row with a count while earlier rows are looked up: the least turn of each (conv_id, role, text) joins back on a key that is unique on both sides, so a text that fills a conversation is no hot key."""
-    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
-    given = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    given = given.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    distinct = materialise(given.groupBy("conv_id", "turn", "role", "sha").agg(F.count("*").alias("n"), F.first("text").alias("text")), "turns-distinct")
+    last = F.regexp_extract("text", rf"({WORD})[\x20\x09-\x0D]*\z", 1)
+    given = _given(rows).select("conv_id", "turn", "role", "sha", "key", (~F.col("text").rlike(WORD)).alias("blank"), last.rlike("[.!?]").alias("ended"))
+    one = [F.first(c).alias(c) for c in ("key", "blank", "ended")]
+    distinct = materialise(given.groupBy("conv_id", "turn", "role", "sha").agg(F.count("*").alias("n"), *one), "turns-distinct")
     first = distinct.groupBy("conv_id", "role", "sha").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("f"))
     first = first.select(F.col("conv_id").alias("c"), F.col("f.turn").alias("t"), F.col("role").alias("r"), F.col("sha").alias("s"), F.lit(True).alias("leads"))
     same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("role") == F.col("r")) & (F.col("sha") == F.col("s"))
     told = distinct.join(first, same, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    last = F.regexp_extract("text", rf"({WORD})[\x20\x09-\x0D]*\z", 1)
-    fault = F.when(~F.col("text").rlike(WORD), "blank").when(F.col("leads").isNull() | (F.col("copy") > 1), "duplicate").when(~last.rlike("[.!?]"), "truncated")
-    return told.select("conv_id", "turn", "role", "text", "sha", "copy", fault.alias("fault"))
+    fault = F.when(F.col("blank"), "blank").when(F.col("leads").isNull() | (F.col("copy") > 1), "duplicate").when(~F.col("ended"), "truncated")
+    return told.select("conv_id", "turn", "role", "sha", "key", "copy", fault.alias("fault"))
 
 
 def _initial() -> Column:
@@ -281,7 +287,7 @@ def totals(levels: list[DataFrame]) -> DataFrame:
 
 
 def edit_rows(numbered: DataFrame, segments: DataFrame, levels: list[DataFrame], ends: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, node, place, turn, text, edit, inserted (roles), new_role of every turn, and one row without a turn where something is inserted after a conversation's last turn."""
+    """conv_id, node, at (its place in its stretch), turn, role, key, edit, inserted (roles), new_role of every turn, and one row without a turn where something is inserted after a conversation's last turn."""
     name, kind_of = _conv_type(segments)
     went = ends.select("conv_id", "node", F.lit(START).alias("enter"), "leave", F.lit(True).alias("final"))
     fields = [pa.field("conv_id", kind_of), _KEY, pa.field("enter", pa.int32()), pa.field("leave", pa.int32()), pa.field("final", pa.bool_())]
@@ -308,16 +314,20 @@ def edit_rows(numbered: DataFrame, segments: DataFrame, levels: list[DataFrame],
 
     given = [pa.field("conv_id", kind_of), _KEY, pa.field("at", pa.int64()), pa.field("edit", pa.string()), pa.field("inserted", pa.list_(pa.string())), pa.field("new_role", pa.string())]
     every = on(segments.select("conv_id", "node", "kinds", "audit"), went).mapInArrow(_rows(apart)(pa.schema(given)), f"conv_id {name}, node long, at long, edit string, inserted array<string>, new_role string")
-    mine = numbered.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), (F.col("place") - F.col("stretch") * segment).alias("_at"), "turn", "role", "text")
+    mine = numbered.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), (F.col("place") - F.col("stretch") * segment).alias("_at"), "turn", "role", "key")
     joined = every.join(mine, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")) & (F.col("at") == F.col("_at")), "left")
     return joined.drop("_c", "_n", "_at")
 
 
-def repaired_rows(edited: DataFrame) -> DataFrame:
-    """conv_id, node, at, part, role, text: the repaired turns, in the order of (node, at, part)."""
+def repaired_rows(edited: DataFrame, rows: DataFrame) -> DataFrame:
+    """conv_id, node, at, part, role, text: the repaired turns, in the order of (node, at, part). Of the texts of rows each that stays meets its turn once; a turn that stays is no duplicate, so the keys are unique."""
     new = F.transform("inserted", lambda r: F.struct(r.alias("role"), F.lit("").alias("text")))
-    own = F.when(F.col("edit").isin("K", "R"), F.array(F.struct(F.coalesce("new_role", "role").alias("role"), F.col("text").alias("text")))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
-    return edited.select("conv_id", "node", "at", F.posexplode(F.concat(new, own)).alias("part", "t")).select("conv_id", "node", "at", "part", "t.role", "t.text")
+    stays = F.col("edit").isin("K", "R")
+    texts = _given(rows).groupBy("key").agg(F.first("text").alias("text"))
+    own = F.array(F.struct(F.coalesce("new_role", "role").alias("role"), F.col("text").alias("text")))
+    parts = [edited.filter(stays).join(texts, "key").withColumn("lines", F.concat(new, own)), edited.filter(~stays).withColumn("lines", new)]
+    out = [p.select("conv_id", "node", "at", F.posexplode("lines").alias("part", "t")).select("conv_id", "node", "at", "part", "t.role", "t.text") for p in parts]
+    return out[0].unionByName(out[1])
 
 
 def digests(lines: DataFrame, name: str, kind_of: pa.DataType) -> DataFrame:
@@ -372,7 +382,8 @@ def repair(conversations: DataFrame, segment: int = SEGMENT, fan: int = FAN) ->
     numbered, segments, levels = scan(conversations, segment, fan)
     name, kind_of = _conv_type(conversations)
     ends = materialise(totals(levels), "turns-totals")
-    lines = materialise(repaired_rows(edit_rows(numbered, segments, levels, ends, segment)), "turns-repaired")
+    edited = materialise(edit_rows(numbered, segments, levels, ends, segment), "turns-edited")
+    lines = materialise(repaired_rows(edited, conversations), "turns-repaired")
     per_turn = numbered.filter("turn is not null").select("conv_id", "turn").distinct().groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count("*")).alias("gaps"))
     faults = numbered.groupBy("conv_id").agg(*[F.sum((F.coalesce("fault", F.lit("")) == f).cast("long")).alias(f) for f in ("blank", "duplicate", "truncated")])
     report = faults
