@@ -82,15 +82,15 @@ def fit_ordinal(rows: list[np.ndarray], counts: list[np.ndarray], grades: np.nda
     return theta[:size], theta[size] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def association(a: int, n: int, b: int, m: int) -> float:
-    """The G statistic of a feature that a of n toxic and b of m clean rows hold; 0 unless it leans to the toxic."""
-    if a * m <= b * n:
-        return 0.0
-    out = 0.0
-    for x, rows in ((a, n), (b, m)):
-        for seen, share in ((x, (a + b) / (n + m)), (rows - x, 1 - (a + b) / (n + m))):
-            out += seen * np.log(seen / (rows * share)) if seen else 0.0
-    return 2 * out
+def association(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """The G statistic of features that a of n toxic and b of m clean rows hold; 0 for those that don't lean to the toxic."""
+    out = np.zeros(len(a))
+    share = (a + b) / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x, rows in ((a, n), (b, m)):
+            for seen, part in ((x, share), (rows - x, 1 - share)):
+                out += np.where(seen > 0, seen * np.log(seen / (rows * part)), 0.0)
+    return np.where(a * m > b * n, 2 * out, 0.0)
 
 
 #: What the fit needs of a text: its distinct words in the order of their first places, their counts, three min-hashes of its word triples.
@@ -119,22 +119,42 @@ def unlike(profiles: list[Profile], toxic: list[bool]) -> list[int]:
     return out
 
 
-def marks(held: list[Counter], toxic: list[bool]) -> list[str]:
-    """Features, strongest first, that lean to the toxic of some rows' features."""
-    n, m = sum(toxic), len(toxic) - sum(toxic)
+@dataclass
+class Counted:
+    """A row's features by number: the words that have any of them, their counts, and which word has which."""
+
+    counts: np.ndarray
+    word: np.ndarray
+    feature: np.ndarray
+
+    @property
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Its features, and how often it has each."""
+        f, at = np.unique(self.feature, return_inverse=True)
+        return f, np.bincount(at, weights=self.counts[self.word], minlength=len(f)) if len(f) else np.zeros(0)
+
+
+def counted(p: Profile, number: dict[str, int]) -> Counted:
+    counts, word, feature = [], [], []
+    for w, c in zip(p[0], p[1], strict=True):
+        found = [number[f] for f in features(w) if f in number]
+        if found:
+            word += [len(counts)] * len(found)
+            feature += found
+            counts.append(c)
+    return Counted(np.array(counts, np.int32), np.array(word, np.int32), np.array(feature, np.int32))
+
+
+def marks(held: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the features (of `size`), strongest first, that lean to the toxic of some rows' features."""
+    n, m = int(toxic.sum()), int((~toxic).sum())
     if not n or not m:
-        return []
-    in_toxic: Counter = Counter()
-    for h, x in zip(held, toxic, strict=True):
-        if x:
-            in_toxic.update(h.keys())
-    in_toxic = Counter({f: c for f, c in in_toxic.items() if c >= (3 if n >= 100 else 2)})
-    in_clean: Counter = Counter()
-    for h, x in zip(held, toxic, strict=True):
-        if not x:
-            in_clean.update(f for f in h if f in in_toxic)
-    strength = {f: association(c, n, in_clean[f], m) for f, c in in_toxic.items() if c / n >= MARK_RATIO * (in_clean[f] + 0.5) / m}
-    return sorted((f for f, g in strength.items() if g >= LEAST_G), key=lambda f: (-strength[f], f))
+        return np.zeros(0, np.int64)
+    of = lambda kind: np.bincount(np.concatenate([h for h, x in zip(held, toxic, strict=True) if x == kind]), minlength=size)
+    a, b = of(True), of(False)
+    g = association(a, n, b, m)
+    good = np.flatnonzero((a >= (3 if n >= 100 else 2)) & (a / n >= MARK_RATIO * (b + 0.5) / m) & (g >= LEAST_G))
+    return good[np.lexsort((good, -g[good]))]
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Severity:
@@ -150,31 +170,36 @@ def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
     if not n or not m:
         return Severity({}, [60.0] * (GRADES - 1))
 
-    def held(p: Profile) -> Counter:
-        out: Counter = Counter()
-        for w, c in zip(p[0], p[1], strict=True):
-            for f in features(w):
-                out[f] += c
-        return out
-
-    every = [held(p) for p in profiles]
-    chosen = marks(every, toxic)
-    number = {f: k for k, f in enumerate(chosen)}
+    in_toxic: Counter = Counter()
+    for p, x in zip(profiles, toxic, strict=True):
+        if x:
+            in_toxic.update({f for w in p[0] for f in features(w)})
+    names = sorted(f for f, c in in_toxic.items() if c >= 2)
+    number = {f: k for k, f in enumerate(names)}
+    every = [counted(p, number) for p in profiles]
+    is_toxic = np.array(toxic)
+    own = [r.own for r in every]
+    held = [f for f, _ in own]
+    chosen = marks(held, is_toxic, len(names))
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
     rows, values = [], []
-    for h in every:
-        own = [f for f in h if f in number]
-        rows.append(np.array([number[f] for f in own], dtype=np.int64))
-        values.append(np.array([h[f] for f in own], dtype=float))
-    many = np.zeros(len(profiles))
+    for f, c in own:
+        at = place[f]
+        rows.append(at[at >= 0])
+        values.append(c[at >= 0])
+    many = np.zeros(len(every))
     for fold in range(FOLDS):
-        rest = [k for k in range(len(profiles)) if k % FOLDS != fold]
-        other = set(marks([every[k] for k in rest], [toxic[k] for k in rest]))
-        many[fold::FOLDS] = [sum(c for w, c in zip(p[0], p[1], strict=True) if any(f in other for f in features(w))) for p in profiles[fold::FOLDS]]
-    is_toxic = np.array(toxic)
+        rest = np.arange(len(every)) % FOLDS != fold
+        marked = np.zeros(len(names), bool)
+        marked[marks([h for h, r in zip(held, rest, strict=True) if r], is_toxic[rest], len(names))] = True
+        for k in np.flatnonzero(~rest).tolist():
+            words = np.unique(every[k].word[marked[every[k].feature]])
+            many[k] = every[k].counts[words].sum()
     cuts = np.quantile(many[is_toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grades = np.where(is_toxic, 1 + np.searchsorted(cuts, many, side="left"), 0)
     w, at = fit_ordinal(rows, values, grades, len(chosen))
-    return Severity({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, [float(x) for x in at])
+    return Severity({names[f]: float(x) for f, x in zip(chosen.tolist(), w, strict=True) if abs(x) > 1e-3}, [float(x) for x in at])
 
 
 def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Profile, bool]]:
