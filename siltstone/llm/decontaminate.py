@@ -2,7 +2,7 @@
 
 A term is a word with the word after it (a window of one word is a term by itself), which keeps the lists of common words short. The index holds (term, document, position) of the terms that occur in test items, as a written table with no shuffle. Its counts order each window's terms; the postings of the rarest give candidate starts (position - offset), which must agree on the RARE rarest; only for the documents and windows that are left are the other terms' postings read, and a window matches where all its terms' adjusted lists meet. The index gives proximity matches too, whatever other documents hold: all of a window's terms but LOST (so that one altered word is forgiven), each within SLOP words of its place as one of the rarest tells it.
 
-Edge cases: null and empty texts have no words; an item of fewer than `length` words, but not none, is one window; rows that repeat are the same document, those that share a doc_id (null ones too) but not their text are documents of their own; rows that share an item_id are the same item; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
+Edge cases: null and empty texts have no words; very long texts are read whole, a row at a time, and give as many postings as they hold terms of the items; an item of fewer than `length` words, but not none, is one window; rows that repeat are the same document, those that share a doc_id (null ones too) but not their text are documents of their own; rows that share an item_id are the same item; ties between equally rare terms go to the earlier offset; no items give no hits; no documents give no rows; further columns are ignored.
 The vocabulary and windows of the items are broadcast only under a counted bound, and joined by shuffle beyond it."""
 
 from __future__ import annotations

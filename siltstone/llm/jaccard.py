@@ -1,12 +1,12 @@
 """N-gram Jaccard join by vertical partitioning: the global order of n-grams is cut into fragments, the overlap of a pair is counted in each fragment by itself, and the counts are summed per pair.
 
-A document is the set of its distinct n-grams of words, as 64-bit hashes; equal sets are one class from the start, and a class is known by a hash of its own (checked for collisions with a second one).
+A document is the set of its distinct n-grams of words, as 64-bit hashes; equal sets are one class from the start, and a class is known by a hash of its own (checked for collisions with a second one). Between documents n-grams are compared by 40 bits of their hash within a part that more bits choose (4 at least): some two n-grams in a part of 2,000,000 are taken for equal that aren't, which can add one to a pair's overlap, so a pair one n-gram short of the threshold could be linked, once in many billions of pairs; an overlap is never counted too low.
 
 1. Order. N-grams are dealt to parts by their hash and counted there; those that several classes hold go back to their classes, which sort them into the global order: by document frequency, rarest first, ties by hash. N-grams that a large share of all documents holds would make one part long, so they are found while the sets are made, come last in the order as they are, and are not dealt. Classes whose unshared n-grams rule out any link are done; the others are written as profiles: their shared n-grams in the global order, cut into FRAGMENTS at powers of two of the document frequency.
 2. Candidates. Two sets that reach the threshold share an n-gram in the first fragment of each, its prefix of n - ceil(t n) + 1 n-grams. N-grams with the same members are one bucket, found by aggregates, so that no task holds a bucket. The prefix is counted first, and pairs that can't reach the threshold with all that comes after it are dropped.
 3. Overlaps. For what is left the profiles' fragments meet by (pair, fragment), each pair's common n-grams are counted per fragment, and the sum decides.
 
-Links are looked for where they can still join components. In each bucket some members lead and are compared with all others whose size and place of the shared n-gram (as the first that the pair shares) allow a link and which are in another component: first the member that shares most bucket places, and of all leads only a class's best; then about 4, 16, 64, ... leads a bucket, by the order of a hash, until every bucket is one component or all its members have led. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost.
+Links are looked for where they can still join components. In each bucket some members lead and are compared with all others whose size and place of the shared n-gram (as the first that the pair shares) allow a link and which are in another component: first the member that shares most bucket places, and of all leads only a class's best; then about 4, 16, 64, ... leads a bucket, by the order of a hash, until every bucket is one component or all its members have led. A group of copies thus costs about one comparison a member, no partner is left out, and no link between different components is lost. Texts put together from a stock of common passages, which share whole passages and still do not link, are the costly case: the members of such a bucket are compared with each other until all have led, so pairs grow with the square of a bucket.
 
 Edge cases: null and empty texts have an empty set and are their own component; fewer words than n make one n-gram of their own kind; repeated rows and equal sets are linked; rows that share a doc_id but not their text are documents of their own; a null doc_id sorts before all others; no rows give no rows; further columns are ignored."""
 

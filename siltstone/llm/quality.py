@@ -2,7 +2,7 @@
 
 The votes of a document form one of at most 3^rules patterns, so the estimation works on counts of patterns: a bounded aggregate over the whole table.
 
-Edge cases: null and empty texts have no words, every count is 0, and they fail the base rule; repeated rows each count; no rows give no rows; further columns are ignored."""
+Edge cases: null and empty texts have no words, every count is 0, and they fail the base rule; very long texts are read whole, in time that grows with their words and the logarithm of them; repeated rows each count; no rows give no rows; further columns are ignored."""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 Groups are the sets of equal texts, in the order of their smallest doc_id, ties by the hash of the text. Sizes never leave the cluster as a whole: the driver sees sums of blocks (as many as partitions), and then only the group boundaries that lie where a cut can fall.
 
-Edge cases: a null text is a group apart from the empty text and weighs 1 byte; fewer groups than shards leave the last shards empty; a group larger than an even share sets the capacity, and the greedy cut then fills the first shards up to it; repeated doc_ids are separate rows; groups that have no doc_id but null come first, and null doc_ids are dealt like any others; no rows give no rows; further columns are ignored."""
+Edge cases: a null text is a group apart from the empty text and weighs 1 byte; fewer groups than shards leave the last shards empty; a group larger than an even share sets the capacity, and the greedy cut then fills the first shards up to it; repeated doc_ids are separate rows; very long texts count by their bytes and travel as hashes; groups that have no doc_id but null come first, and null doc_ids are dealt like any others; no rows give no rows; further columns are ignored."""
 
 from __future__ import annotations
 
