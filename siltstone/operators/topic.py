@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.durable import sums_before
+from siltstone.durable import sums_before, written
 from siltstone.functions import text as T
-from siltstone.operators.research import first_seen
+from siltstone.operators.research import extract_pages, first_seen, run_status
 from siltstone.plans import search
 
 #: What a topic may say, with defaults, and what each kind of source needs and may say, with bounds. Fixed values.
@@ -131,3 +131,85 @@ def conditional(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests (canonical_url) with the headers that let an unchanged page be answered from the cache (canonical_url, etag, last_modified)."""
     held = cache.groupBy("canonical_url").agg(F.max(F.struct("last_modified", "etag")).alias("h"))
     return requests.join(held, "canonical_url", "left").withColumn("if_none_match", F.col("h.etag")).withColumn("if_modified_since", F.col("h.last_modified")).drop("h")
+
+
+FETCHED = "status int, content_type string, body string, etag string, last_modified string, error string"
+CACHE = "canonical_url string, etag string, last_modified string, content_type string, body string, fetched string"
+
+
+def by_calls(fetcher, robots=None, agent: str = "siltstone", order: str = "page_id"):
+    """requests (order, canonical_url, if_none_match, if_modified_since) to their answers by an injected fetcher (url, headers to status, content_type, body, headers), a host in one task after the other. robots gives a host's rules; what they forbid is not fetched, and a call that fails keeps its error."""
+    import pyarrow as pa
+
+    from siltstone.operators.research import robots_allows
+
+    def fetch(requests: DataFrame) -> DataFrame:
+        kind = requests.schema[order].dataType.simpleString()
+        host = F.lower(F.regexp_extract("canonical_url", r"^[a-zA-Z]+://([^/?#]+)", 1))
+
+        def run(batches):
+            rules: dict[str, str] = {}
+            for b in batches:
+                rows = []
+                for r in b.to_pylist():
+                    path = "/" + r["canonical_url"].split("://", 1)[-1].partition("/")[2]
+                    headers = {k: v for k, v in (("If-None-Match", r["if_none_match"]), ("If-Modified-Since", r["if_modified_since"])) if v}
+                    row = dict.fromkeys(("status", "content_type", "body", "etag", "last_modified", "error"))
+                    try:
+                        if robots is not None:
+                            if len(rules) > 1000:
+                                rules.clear()
+                            if r["host"] not in rules:
+                                rules[r["host"]] = robots(r["host"]) or ""
+                            if not robots_allows(rules[r["host"]], agent, path):
+                                raise PermissionError("robots")
+                        status, content_type, body, said = fetcher(r["canonical_url"], headers)
+                        row.update(status=status, content_type=content_type, body=body, etag=said.get("ETag"), last_modified=said.get("Last-Modified"))
+                    except Exception as e:
+                        row["error"] = "robots" if isinstance(e, PermissionError) else f"{type(e).__name__}: {e}"
+                    rows.append({order: r[order], **row})
+                types = [("status", pa.int32()), *((c, pa.string()) for c in ("content_type", "body", "etag", "last_modified", "error"))]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([b.schema.field(order), *types]))
+
+        asked = requests.select(order, "canonical_url", "if_none_match", "if_modified_since", host.alias("host"))
+        return asked.repartition("host").sortWithinPartitions("host", order).mapInArrow(run, f"{order} {kind}, {FETCHED}")
+
+    return fetch
+
+
+def run(found: DataFrame, fetch, topic: dict, staged: DataFrame, cache: DataFrame, now: str, order: str = "page_id") -> dict[str, DataFrame]:
+    """A topic's run over found URLs (order, url), in that order: pages with their outcomes, the records to stage, what goes into the cache, and events for the log.
+
+    What was staged before is known and costs nothing; of the rest as many are fetched as the budget has URLs, each with the headers of its copy in the cache (CACHE), which is taken where the page hasn't changed. Then outcomes() decides. Budgets of bytes are of what was fetched."""
+    rows = found.select(order, "url", T.canonical_url(F.col("url")).alias("canonical_url"))
+    known = staged.filter("canonical_url is not null").select("canonical_url").distinct()
+    first = rows.groupBy("canonical_url").agg(F.min(order).alias(order))  # a URL is fetched once
+    fresh = rows.join(first, ["canonical_url", order]).join(known, "canonical_url", "left_anti").orderBy(order).limit(topic["budget"]["max_new_urls"])
+    got = written(fetch(conditional(fresh, cache)), "fetched")
+    copies = cache.groupBy("canonical_url").agg(F.max_by(F.struct("content_type", "body"), F.struct("last_modified", "etag")).alias("copy"))
+    whole = fresh.join(got, order).join(copies, "canonical_url", "left")
+    same = F.col("status") == 304
+    content_type, raw = F.when(same, F.col("copy.content_type")).otherwise(F.col("content_type")), F.when(same, F.col("copy.body")).otherwise(F.col("body"))
+    failed = F.when(F.col("error").isNotNull(), F.when(F.col("error") == "robots", "robots").otherwise("error")).when(~same & ~F.col("status").between(200, 299), F.concat(F.lit("status:"), "status"))
+    whole = whole.select(order, "url", "canonical_url", content_type.alias("content_type"), raw.alias("raw"), F.coalesce(F.octet_length(raw), F.lit(0)).alias("n_bytes"), failed.alias("failed"))
+    good = written(whole, "answers")
+    texts = extract_pages(good.filter("failed is null and content_type = 'html'").select(F.col(order).cast("long").alias("page_id"), "url", F.col("raw").alias("html"))).select(F.col("page_id").cast(good.schema[order].dataType).alias(order), "title", "body_md", "language")
+    read = good.filter("failed is null").join(texts, order, "left")
+    read = read.withColumns({"body_md": F.coalesce("body_md", "raw"), "language": F.coalesce("language", T.language_guess(F.col("raw")))})
+    again = rows.join(good.select(order), order, "left_anti").join(known, "canonical_url", "left_semi").select(order, "url", F.lit("html").alias("content_type"), F.lit("").alias("body_md"), F.lit(0).alias("n_bytes"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("title"))
+    pages = read.select(again.columns).unionByName(again)
+    decided = written(outcomes(pages, staged, topic, order), "outcomes")
+    ended = good.filter("failed is not null").select(order, "url", F.col("failed").alias("outcome"))
+    every = decided.select(order, "url", "outcome").unionByName(ended)
+    accepted = decided.filter("outcome = 'accepted'").select(order, T.source_id(F.col("canonical_url")).alias("id"), "url", "canonical_url", "title", "body_md", "body_hash", "language", F.lit(now).alias("fetched"))
+    kept = fresh.join(got.filter("status between 200 and 299 and (etag is not null or last_modified is not null)"), order).select("canonical_url", "etag", "last_modified", "content_type", "body", F.lit(now).alias("fetched"))
+    kind = F.when(F.col("outcome") == "accepted", "accepted").when(F.col("outcome").isin("known", "seen", "halted"), F.col("outcome")).otherwise("rejected")
+    told = every.select(F.lit(topic["id"]).alias("topic"), F.lit(now).alias("ts"), kind.alias("kind"), F.lit(0.0).alias("cost"))
+    calls = got.filter("status is not null").select(F.lit(topic["id"]).alias("topic"), F.lit(now).alias("ts"), F.lit("fetched").alias("kind"), F.lit(0.0).alias("cost"))
+    return {"pages": every, "records": accepted, "cache": kept, "events": told.unionByName(calls)}
+
+
+def listed(topics: list[dict], events: DataFrame) -> DataFrame:
+    """(topic, title, sources, fetched, accepted, rejected, last_event) of topics and what their runs logged; one that never ran has none."""
+    named = events.sparkSession.createDataFrame([(t["id"], t["title"], len(t["sources"])) for t in map(settled, topics)], "topic string, title string, sources int")
+    return named.join(run_status(events), "topic", "left").select("topic", "title", "sources", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fetched", "accepted", "rejected")], "last_event")
