@@ -249,3 +249,57 @@ def score(rows: DataFrame) -> DataFrame:
     out = out.withColumn("total", F.greatest(F.lit(0), "_total")).withColumn("entity_points", F.greatest(F.lit(0), "entity_points"))
     out = out.withColumn("rating", rating(F.col("_share"))).withColumn("percentage", F.round("_share", 1)).withColumn("reward", F.least(F.lit(1.0), F.col("total") / F.col("max_points")))
     return out.select(*rows.columns, "only_mode", *PARTS, "total", "max_points", "percentage", "rating", "reward")
+
+
+#: The second scorer's words that tell nothing: those that ask, the first of COMMON.
+ASKING = COMMON[: COMMON.index("tell") + 1]
+
+
+def chained_entities(query: Column) -> Column:
+    """Names as the second scorer finds them: a capitalised first word is none, and every word after a name is one too, up to the next that asks."""
+
+    def seen(state: Column, x: Column) -> Column:
+        c = F.regexp_replace(x["w"], rf"\A{EDGE}+|{EDGE}+\z", "")
+        low, long, capital = F.lower(c), F.length(c) >= 2, c.rlike(r"^\p{Lu}")
+        acronym = long & c.rlike(r"\p{Lu}") & ~c.rlike(r"[\p{Ll}\p{Lt}]")
+        other = (x["i"] > 0) & capital & ~_among(low, ASKING)
+        odd = long & (c.rlike(r"[.+\-#@]") | (capital & c.rlike(r"^.+\p{Lu}")))
+        name = (c != "") & (acronym | other | odd | (state["after"] & ~_among(low, ASKING)))
+        return F.struct(name.alias("after"), F.when(name, F.array_append(state["names"], low)).otherwise(state["names"]).alias("names"))
+
+    numbered = F.transform(words(query), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    start = F.struct(F.lit(False).alias("after"), F.array().cast("array<string>").alias("names"))
+    return F.array_distinct(F.aggregate(numbered, start, seen, lambda s: s["names"]))
+
+
+def second_score(rows: DataFrame) -> DataFrame:
+    """rows (query, expansion) with the points of the evaluation's own, lighter scorer: fixed distances between lines (2 for lex, 3 for vec), 3 points for an echo, no filler, coverage, quotes or cap, and no queries for one kind; otherwise as score."""
+    from siltstone.operators.evaluate import rating
+
+    raw = strip(F.replace(strip(F.col("expansion")), F.lit("<|im_end|>"), F.lit("")))
+    thought = raw.contains("<think>") & raw.contains("</think>")
+    text = F.when(thought, strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))).otherwise(raw)
+    clean = rows.select(*rows.columns, text.alias("_t"), thought.alias("_thought"), chained_entities(F.col("query")).alias("_names"))
+    parts = clean.select("*", *[_lines(F.col("_t"), k).alias(f"_{k}") for k in KINDS])
+    lex, vec, hyde, names, q = (F.col(c) for c in ("_lex", "_vec", "_hyde", "_names", "query"))
+    n_lex, n_vec = F.size(lex), F.size(vec)
+    some = lambda c: (F.size(c) > 0).cast("int")
+    bad_line = F.exists(F.filter(F.transform(F.split("_t", "\n"), strip), lambda x: x != ""), lambda x: ~x.rlike(r"^(?:lex|vec|hyde):"))
+    failed = bad_line | reduce(lambda a, b: a | b, [F.col("_t").contains(m) for m in TEMPLATE_MARKS])
+    terms = F.array_except(words(F.lower(q)), F.array(*map(F.lit, ASKING)))
+    natural = _count(vec, lambda v: v.contains(" ") & (F.length(v) > 15))
+    zero = F.lit(0)
+    points = {
+        "format_points": 10 * (1 + some(lex) + some(vec)),
+        "diversity_points": 10 * some(lex) * some(vec) + F.when(n_lex + n_vec >= 2, 5).otherwise(0) + F.greatest(zero, 5 - 2 * _pairs_alike(lex, F.lit(2))) + F.greatest(zero, 5 - 2 * _pairs_alike(vec, F.lit(3))) + F.greatest(zero, 5 - 3 * _count(F.concat(lex, vec), lambda x: _echo(x, q))),
+        "hyde_points": F.when(F.size(hyde) > 0, let(F.get(hyde, zero), lambda h: 10 + F.when(F.length(h).between(50, 200), 5).when(F.length(h) < 50, 2).otherwise(0) + F.greatest(zero, 5 - repetition(h)))).otherwise(0),
+        "quality_points": 5 + F.when((n_lex > 0) & (n_vec > 0) & (_mean_length(lex) <= _mean_length(vec)), 5).otherwise(0) + F.when(n_vec > 0, F.when(natural == n_vec, 5).otherwise(2)).otherwise(0) + F.when(n_lex > 0, _all_or_some(_count(lex, lambda x: keeps_terms(x, terms)), lex, 5, 2)).otherwise(0),
+        "entity_points": F.when(F.size(names) == 0, 10).when(n_lex > 0, _all_or_some(_count(lex, lambda x: keeps_entities(x, names)), lex, 15, 5, -30) - 15 * _count(lex, says_nothing) + F.when(F.exists(vec, lambda x: keeps_entities(x, names)), 5).otherwise(0)).otherwise(0),
+        "think_points": F.when(F.col("_thought"), 0).otherwise(20),
+    }
+    out = parts.select(*rows.columns, failed.alias("_failed"), F.size(hyde).alias("_n"), *[F.when(failed, 0).otherwise(points[p]).alias(p) for p in PARTS])
+    out = out.withColumn("_total", reduce(lambda a, b: a + b, [F.col(p) for p in PARTS]))
+    out = out.withColumn("max_points", F.when(F.col("_failed"), 100).when(F.col("_n") > 0, 140).otherwise(120))
+    out = out.withColumn("_share", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * F.col("_total") / F.col("max_points"))))
+    out = out.withColumn("total", F.greatest(zero, "_total")).withColumn("entity_points", F.greatest(zero, "entity_points"))
+    return out.withColumn("rating", rating(F.col("_share"))).withColumn("percentage", F.round("_share", 1)).select(*rows.columns, *PARTS, "total", "max_points", "percentage", "rating")

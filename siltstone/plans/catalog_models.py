@@ -68,3 +68,13 @@ def expansion_scores(spark, sf_dir):
     asked = F.when(F.col("lang") == "en", plain).when(F.col("lang") == "de", F.concat(plain, F.lit(" /only:hyde"))).otherwise("API deploy")
     said = F.concat(F.lit("lex: "), "lang", F.lit(" deploy\nvec: how to deploy with "), "lang", F.lit(" today\nhyde: "), F.trim(F.regexp_replace("text", r"\s+", " ")))
     return reward.score(d.select("doc_id", asked.alias("query"), said.alias("expansion"))).select("doc_id", "total", "max_points", "rating")
+
+
+@query(f"{EXPANDED} SELECT doc_id, CAST(CASE WHEN lang IN ('en', 'de') THEN 110 ELSE 120 END + passage AS INTEGER) AS total, 140 AS max_points FROM p")
+def second_scores(spark, sf_dir):
+    """The same expansions by the evaluation's own scorer, to which a query for one kind of line is a query like any other."""
+    d = table(spark, sf_dir, "documents")
+    plain = F.concat("source", F.lit(" deploy"))
+    asked = F.when(F.col("lang") == "en", plain).when(F.col("lang") == "de", F.concat(plain, F.lit(" /only:hyde"))).otherwise("API deploy")
+    said = F.concat(F.lit("lex: "), "lang", F.lit(" deploy\nvec: how to deploy with "), "lang", F.lit(" today\nhyde: "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return reward.second_score(d.select("doc_id", asked.alias("query"), said.alias("expansion"))).select("doc_id", "total", "max_points")

@@ -65,3 +65,22 @@ def test_thoughts_marks_and_odd_lines(scored):
     assert scored("a b", "lex: b c\nvec: x<|im_start|>")["total"] == 0
     assert scored("a b", "said\nlex: b c")["max_points"] == 100
     assert scored("a b", "lex: b c\nvec: what a b may be like<|im_end|>")["think_points"] == 20
+
+
+def test_second_scorer(spark):
+    """Points worked out by hand: names in a chain, fixed distances, light echoes."""
+    rows = [
+        ("how to use AWS lambda layers", "lex: aws lambda\nlex: lambda layers\nvec: use layers with AWS lambda functions", dict(format_points=30, diversity_points=30, quality_points=20, entity_points=20, think_points=20, total=120, max_points=120, rating="Excellent")),
+        # the second lex line has one word more: too near for 2; it keeps one name of the chain
+        ("Redis cache", "lex: cache size\nlex: cache size max\nvec: Redis", dict(diversity_points=28, quality_points=12, entity_points=10)),
+        # `Postgres` is no name at the start; an echo costs 3
+        ("Postgres tuning", "lex: postgres tuning\nvec: tuning a large database server\nhyde: Postgres postgres postgres postgres.", dict(diversity_points=27, hyde_points=13, entity_points=10, max_points=140)),
+        ("Node.js and C++ bindings", "lex: what is\nvec: node.js bindings", dict(entity_points=0, quality_points=15)),
+        ("plain query", "lex: x\nnoise", dict(total=0, max_points=100, rating="Failed")),
+        ("plain query", "<think>x</think>lex: plain\nvec: the plain query that is asked", dict(think_points=0, entity_points=10)),
+    ]
+    got = reward.second_score(spark.createDataFrame([(k, q, e) for k, (q, e, _) in enumerate(rows)], "n int, query string, expansion string")).orderBy("n").collect()
+    for r, (q, e, want) in zip(got, rows):
+        assert {k: r[k] for k in want} == want, (q, r)
+    names = spark.createDataFrame([("what is the GitHub Actions cache for my-app",)], "query string").select(reward.chained_entities(F.col("query")).alias("n")).first()["n"]
+    assert names == ["github", "actions", "cache", "my-app"]
