@@ -224,6 +224,16 @@ def minimax(sizes, k):
     return low
 
 
+def test_chat_of_very_many_turns_and_a_very_long_text(spark):
+    """Linear in both: 20,000 turns of one conversation, runs of one role among them, and a text of two million characters."""
+    turns = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "case when id % 7 < 4 then 'user' else 'assistant' end as role", "concat('text ', id, ' <|turn:') as text")
+    long = spark.range(1).selectExpr("2L as conv_id", "0L as turn", "'assistant' as role", "repeat('<|\\\\', 700000) as text")
+    out = chat.format_chats(turns.unionByName(long))
+    back = {r["conv_id"]: r["b"] for r in out.select("conv_id", chat.read_back(out["formatted"]).alias("b")).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]] == [("user" if k % 7 < 4 else "assistant", f"text {k} <|turn:") for k in range(20_000)]
+    assert len(back[2]) == 1 and back[2][0]["text"] == long.first()["text"] and len(back[2][0]["text"]) >= 2_000_000
+
+
 @pytest.mark.parametrize("case", ["odd", "sf", "hot", "few"])
 def test_sharding_is_minimax(spark, sf, case, monkeypatch):
     texts = {"odd": ODD, "sf": [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()], "hot": ["same"] * 50 + [f"t{i}" * (i % 7) for i in range(100)], "few": ["a", None, ""]}[case]
