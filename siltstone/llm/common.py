@@ -78,6 +78,33 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column])
     return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, start, block, lambda a: a["out"]))).otherwise(F.array_repeat(zero, 0))
 
 
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released_after(run: Callable) -> Callable:
+    """run, a function on the driver, giving back what it freed."""
+
+    @functools.wraps(run)
+    def whole(*args, **named):
+        try:
+            return run(*args, **named)
+        finally:
+            give_back()
+
+    return whole
+
+
 def released(run: Callable) -> Callable:
     """run, a function over a task's batches, giving the memory that it freed back to the system at its end: Python workers outlive their tasks."""
 

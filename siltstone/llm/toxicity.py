@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import document_key, materialise, maybe_broadcast, released, small_batches, table
+from siltstone.llm.common import document_key, materialise, maybe_broadcast, released, released_after, small_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sampled labelled rows of each class, least ratio of its share among toxic to that among clean rows and least G statistic of a feature, ordered grades.
@@ -107,11 +107,11 @@ def profile(text: str) -> Profile:
     return list(many), list(many.values()), least
 
 
-def unlike(profiles: list[Profile], toxic: list[bool]) -> list[int]:
+def unlike(profiles: Sequence[Profile], toxic: list[bool]) -> list[int]:
     """Rows of the sample without near copies of rows before them in the class, whose rare words would look toxic: those that share none of three min-hashes of word triples."""
     seen: set[tuple] = set()
     out = []
-    for k, ((_, _, least), x) in enumerate(zip(profiles, toxic, strict=True)):
+    for k, ((_, _, least), x) in enumerate(zip(iter(profiles), toxic, strict=True)):
         keys = {(x, j, h) for j, h in enumerate(least)}
         if not keys & seen:
             out.append(k)
@@ -162,21 +162,22 @@ def fit(texts: list[str], toxic: list[bool]) -> Severity:
     return fit_profiles([profile(t) for t in texts], toxic)
 
 
-def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
+def fit_profiles(profiles: Sequence[Profile], toxic: list[bool]) -> Severity:
     """The model of a sample."""
     kept = unlike(profiles, toxic)
-    profiles, toxic = [profiles[k] for k in kept], [toxic[k] for k in kept]
+    toxic = [toxic[k] for k in kept]
     n, m = sum(toxic), len(toxic) - sum(toxic)
     if not n or not m:
         return Severity({}, [60.0] * (GRADES - 1))
 
     in_toxic: Counter = Counter()
-    for p, x in zip(profiles, toxic, strict=True):
+    for k, x in zip(kept, toxic, strict=True):
         if x:
-            in_toxic.update({f for w in p[0] for f in features(w)})
+            in_toxic.update({f for w in profiles[k][0] for f in features(w)})
     names = sorted(f for f, c in in_toxic.items() if c >= 2)
+    del in_toxic
     number = {f: k for k, f in enumerate(names)}
-    every = [counted(p, number) for p in profiles]
+    every = [counted(profiles[k], number) for k in kept]
     is_toxic = np.array(toxic)
     own = [r.own for r in every]
     held = [f for f, _ in own]
@@ -202,8 +203,28 @@ def fit_profiles(profiles: list[Profile], toxic: list[bool]) -> Severity:
     return Severity({names[f]: float(x) for f, x in zip(chosen.tolist(), w, strict=True) if abs(x) > 1e-3}, [float(x) for x in at])
 
 
+class Profiles(Sequence):
+    """Profiles of an Arrow table, each made when it is asked for: the driver holds texts' words as they came, and no list of them."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return self.rows.num_rows
+
+    def __getitem__(self, k: int) -> Profile:
+        words, counts, least = (self.rows[c][k].as_py() for c in ("words", "counts", "least"))
+        return words.split(" ") if words else [], counts, least
+
+
 def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Profile, bool]]:
-    """Profiles of at most `rows` labelled documents of each class: those whose doc_id and text hash least."""
+    """(profile, toxic) of what sampled gives."""
+    got = sampled(documents, labels, rows)
+    return list(zip(Profiles(got), got["toxic"].to_pylist(), strict=True))
+
+
+def sampled(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
+    """An Arrow table (h, toxic, words, counts, least) of at most `rows` labelled documents of each class: those whose doc_id and text hash least."""
     import pyarrow as pa
 
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -221,9 +242,8 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(w) for w, _, _ in got], pa.string()), pa.array([c for _, c, _ in got], pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["h", "toxic", "words", "counts", "least"])
 
     rows_of = small_batches(keyed).join(few, "key").select("h", "text", "toxic")
-    got = rows_of.mapInArrow(released(run), "h long, toxic boolean, words string, counts array<int>, least array<bigint>").dropDuplicates(["h"]).collect()
-    got.sort(key=lambda r: r["h"])
-    return [((r["words"].split(" ") if r["words"] else [], r["counts"], r["least"]), r["toxic"]) for r in got]
+    got = rows_of.mapInArrow(released(run), "h long, toxic boolean, words string, counts array<int>, least array<bigint>").dropDuplicates(["h"]).toArrow()
+    return got.sort_by("h").combine_chunks()
 
 
 class _Weights(dict):
@@ -260,9 +280,10 @@ def score(documents: DataFrame, model: Severity) -> DataFrame:
     return small_batches(documents).select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, severity double, p_toxic double, toxic boolean, n_words long")
 
 
+@released_after
 def fitted(documents: DataFrame, labels: DataFrame) -> Severity:
-    got = sample(documents, labels)
-    return fit_profiles([p for p, _ in got], [x for _, x in got])
+    got = sampled(documents, labels)
+    return fit_profiles(Profiles(got), got["toxic"].to_pylist())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
