@@ -24,9 +24,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, column: str = "embedding", key: str = "hash_seq") -> DataFrame:
-    """The k rows of least distance: a projection and a top-k per partition, no shuffle of vectors."""
+    """The k rows of least distance: a projection and a top-k per partition, no shuffle of vectors. Distances are rounded to 12 places, as nearest_of_many's are, so that what differs by the order of additions only ties."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("distance", cosine_distance(F.col(column), q)).orderBy("distance", key).limit(k)
+    return vectors.withColumn("distance", F.round(cosine_distance(F.col(column), q), 12)).orderBy("distance", key).limit(k)
 
 
 #: Bytes of query vectors that every task may hold; rows of a block of vectors and of one of queries where there are more.

@@ -176,3 +176,11 @@ def test_a_model_is_asked_once(spark, store, tmp_path):
     assert kept.table().count() > every
     newest = {r["key"] for r in kept.table().orderBy(F.desc("at"), "key").limit(5).collect()}
     assert kept.trim(5) == 5 and {r["key"] for r in kept.table().collect()} == newest
+
+
+def test_equal_scores_of_two_query_vectors_tie(spark):
+    """[1, 1] is at a distance of 2e-16 from itself, [1, 0] at none: both are found whole, and their names decide."""
+    chunks = spark.createDataFrame([("h0", 0, 0, "0", [1.0, 0.0]), ("h1", 0, 0, "1", [1.0, 1.0])], "hash string, seq int, pos int, hash_seq string, embedding array<double>")
+    files = spark.createDataFrame([("z", "h0", True), ("a", "h1", True)], "id string, hash string, active boolean")
+    got = vector.search_variants(chunks, files, [[1.0, 0.0], [1.0, 1.0]]).collect()
+    assert [(r["id"], r["score"]) for r in got] == [("a", 1.0), ("z", 1.0)]
