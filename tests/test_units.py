@@ -297,3 +297,14 @@ def test_ordered_budgets_over_many_ranges(spark):
     assert research.budgeted(rows, 200, 300).count() == want
     kept = knowledge.within_budget(rows.withColumn("c", F.length("body_md")), "c", ["page_id"], 301)
     assert kept.count() == sum(sum(j % 5 for j in range(k)) < 301 for k in range(500))
+
+
+def test_chunks_leave_in_small_batches(spark):
+    """A task's batches of texts and of chunks are bounded, whatever the number of documents."""
+    from siltstone import batches
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    d = spark.range(3000, numPartitions=1).selectExpr("cast(id as string) as hash", "repeat('word ', 1000) as doc")
+    out = chunk.chunk_documents(d)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
+    assert out.count() == 3000 * len(chunk.chunks("word " * 1000))
