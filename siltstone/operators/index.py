@@ -7,11 +7,14 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.durable import written
 from siltstone.functions import text as T
 from siltstone.functions.analyzer import analysed, places, script_tokens, stemmed, tokens
 
 #: Fields in the order and with the weights of a match in them. Fixed values.
 FIELDS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
+#: Rows up to which a list of keys is broadcast.
+BROADCAST_ROWS = 500_000
 EXCLUDED_FOLDERS = r"(^|/)(?:node_modules|\.git|\.cache|vendor|dist|build|\.[^/]+)(/|$)"
 
 
@@ -102,6 +105,21 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
+def vocabulary_of(documents: DataFrame, key: str = "id") -> DataFrame:
+    """(term, df, cf) of documents with filepath, title and body, as vocabulary gives them of postings. A row's terms and, after them, its different ones are counted where they lie, so only terms and counts are shuffled; rows of a key that is there more than once are one document, and meet before."""
+    every = lambda of: F.concat(*[F.coalesce(tokens(of(f)), F.array().cast("array<string>")) for f in FIELDS])
+    repeated = written(documents.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "repeated")
+    n = repeated.count()
+    rows = documents.select(every(F.col).alias("terms")) if not n else None
+    if n:
+        named = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated.hint("shuffle_merge")
+        alone = documents.join(named, key, "left_anti").select(every(F.col).alias("terms"))
+        several = documents.join(named, key, "left_semi").groupBy(key).agg(F.collect_list(F.struct(*FIELDS)).alias("rows"))
+        rows = alone.unionByName(several.select(F.flatten(F.transform("rows", lambda r: every(lambda f: r[f]))).alias("terms")))
+    each = rows.select(F.size("terms").alias("n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    return each.groupBy("term").agg(F.count_if(F.col("at") >= F.col("n")).alias("df"), F.count_if(F.col("at") < F.col("n")).alias("cf"))
+
+
 def written_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
     """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row; each text is split, by scripts where there is an analyser of Hangul, and stemmed once, within its row."""
     split = documents.select("id", "hash", *[_terms(f, stem, korean).alias(f) for f in FIELDS])

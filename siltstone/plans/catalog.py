@@ -239,7 +239,7 @@ def folders_without_context(spark, sf_dir):
 
 @query("SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(list_concat(f, list_concat(t, b))) AS term FROM k) GROUP BY 1, 2) GROUP BY term")
 def vocabulary(spark, sf_dir):
-    return index.vocabulary(index.postings(documents(spark, sf_dir)))
+    return index.vocabulary_of(documents(spark, sf_dir))
 
 
 def _bm25_sql(clauses: list[tuple[str, bool]], tail: str) -> str:

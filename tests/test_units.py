@@ -308,3 +308,13 @@ def test_chunks_leave_in_small_batches(spark):
     out = chunk.chunk_documents(d)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= batches.BATCH_ROWS
     assert out.count() == 3000 * len(chunk.chunks("word " * 1000))
+
+
+def test_vocabulary_counts_repeated_ids_once(spark):
+    rows = [("a", "x/a.md", "t", "one two two"), ("a", "x/a.md", "t", "one three"), ("b", "x/b.md", "t", "two t"), ("c", "x/c.md", None, None)]
+    d = spark.createDataFrame(rows, "id string, filepath string, title string, body string")
+    got = {tuple(r) for r in index.vocabulary_of(d).collect()}
+    assert got == {tuple(r) for r in index.vocabulary(index.postings(d)).collect()}
+    assert ("two", 2, 3) in got and ("one", 1, 2) in got and ("t", 2, 4) in got
+    plan = index.vocabulary_of(d.filter("id <> 'a'"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # terms and counts only
