@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,16 +27,16 @@ HANGUL = r"[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
 
 
 def stemmed(terms: Column) -> Column:
-    """An array of terms, folded and stemmed: an Arrow batch at a time, each term once as long as the memo lasts."""
+    """An array of terms, folded and stemmed: an Arrow batch at a time, each term once a task as long as the memo lasts."""
     return analysed(terms, None, True)
 
 
 def analysed(terms: Column, korean=None, stems: bool = True) -> Column:
     """An array of terms, each given to the analyser of its script, in its place: runs of Hangul to an injected one, which gives the words that carry meaning; all terms then folded and stemmed."""
 
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, list[str]] = {}  # over a task's batches
 
         def one(term: str) -> list[str]:
             if term not in known:
@@ -43,7 +46,16 @@ def analysed(terms: Column, korean=None, stems: bool = True) -> Column:
                 known[term] = [stem(w) for w in words] if stems else words
             return known[term]
 
-        return lists.map(lambda x: None if x is None else [w for t in x for w in one(t)])
+        for lists in batches:
+            # each term of a batch once; the others are its copies
+            terms_ = lists.flatten().dictionary_encode()
+            words = [one(t) for t in terms_.dictionary.to_pylist()]
+            if all(len(w) == 1 for w in words):
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.ListArray.from_arrays(offsets, pa.array([w[0] for w in words], pa.string()).take(terms_.indices), mask=lists.is_null())
+            else:
+                yield pa.array([None if x is None else [w for t in x for w in one(t)] for x in lists.to_pylist()], pa.list_(pa.string()))
 
     return run(terms)
 
@@ -82,9 +94,15 @@ def python_tokens(text: str) -> list[str]:
 
 def fold(term: str) -> str:
     """Without diacritics."""
+    if term.isascii():
+        return term
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c)))
 
 
+#: Vowels and other characters of a word without y.
+LETTERS = {c: "v" if chr(c) in "aeiou" else "c" for c in range(128)}
+
+
 class Porter:
     """The Porter stemmer (M. F. Porter, 1980), for lower-case words."""
 
@@ -94,6 +112,8 @@ class Porter:
 
     @staticmethod
     def shape(w: str) -> str:
+        if "y" not in w:
+            return w.translate(LETTERS)
         out = ""
         for i, c in enumerate(w):
             vowel = c in "aeiou" or (c == "y" and i > 0 and out[-1] == "c")
@@ -102,7 +122,7 @@ class Porter:
 
     @classmethod
     def measure(cls, w: str) -> int:
-        return len(re.findall("v+c+", cls.shape(w)))
+        return cls.shape(w).count("vc")
 
     @classmethod
     def cvc(cls, w: str) -> bool:
@@ -110,6 +130,8 @@ class Porter:
 
     @classmethod
     def _replace(cls, w: str, rules: dict[str, str]) -> str:
+        if not w.endswith(tuple(rules)):
+            return w
         for end in sorted(rules, key=len, reverse=True):
             if w.endswith(end):
                 return w[: -len(end)] + rules[end] if cls.measure(w[: -len(end)]) > 0 else w
@@ -139,7 +161,7 @@ class Porter:
         if w.endswith("y") and "v" in cls.shape(w[:-1]):
             w = w[:-1] + "i"
         w = cls._replace(cls._replace(w, cls.RULES2), cls.RULES3)
-        for end in cls.RULES4:
+        for end in cls.RULES4 if w.endswith(tuple(cls.RULES4)) else ():
             if w.endswith(end):
                 head = w[: -len(end)]
                 if cls.measure(head) > 1 and (end != "ion" or head[-1:] in ("s", "t")):

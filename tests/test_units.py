@@ -318,3 +318,12 @@ def test_vocabulary_counts_repeated_ids_once(spark):
     assert ("two", 2, 3) in got and ("one", 1, 2) in got and ("t", 2, 4) in got
     plan = index.vocabulary_of(d.filter("id <> 'a'"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # terms and counts only
+
+
+def test_texts_without_an_index_are_stemmed(spark):
+    from siltstone.operators import bm25
+
+    rows = [("a", "a.md", "t", "a thing", True), ("b", "b.md", "t", "Things and thieves", True), ("c", "c.md", "t", "nothing", True)]
+    d = spark.createDataFrame(rows, "id string, filepath string, title string, body string, active boolean")
+    got = bm25.search(None, None, d, A.parse_query('"things"', A.stem), terms=lambda text: A.stemmed(A.tokens(text)))
+    assert {r["id"] for r in got.collect()} == {"a", "b"}
