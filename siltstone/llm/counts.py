@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,6 +20,10 @@ from siltstone.llm.common import released, small_batches, table
 END = "</w>"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CACHED, CACHED_CHARS = 150_000, 64
+#: Bits of a symbol's number, and the rank of a pair that doesn't merge.
+SHIFT, NONE = 20, 1 << 60
+#: What str.split takes for white space and the vocabulary doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -29,7 +34,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordCounter(dict):
-    """Tokens by pre-token: the proved whole tokens, and what has been merged so far."""
+    """Tokens by pre-token: the proved whole tokens, and what has been merged so far. `runs` are those of whole runs between white space."""
 
     def __init__(self, file: bytes, whole: dict[str, int] | None = None):
         import regex
@@ -40,12 +45,20 @@ class WordCounter(dict):
             raise ValueError("only lower-casing word-end BPE files are supported")
         self.alphabet = byte_alphabet()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
+        # symbols by number, pairs of them as one number
+        number: dict[str, int] = {}
+        of = lambda symbol: number.setdefault(symbol, len(number))
+        self.rank = {of(a) << SHIFT | of(b): i for i, (a, b) in enumerate(merges)}
+        self.made = [of(a + b) for a, b in merges]
+        self.first, self.last = ([of(self.alphabet[b] + end) for b in range(256)] for end in ("", END))
         special = [a["content"] for a in spec["added_tokens"]]
         self.special = regex.compile("|".join(sorted(map(regex.escape, special), key=len, reverse=True)))
         self.marks = [s[:2] for s in special]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}")
         self.words = regex.compile(pattern).findall
+        self.plain = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall  # the same for lower-case ASCII
+        self.split = re.compile(f"[^{WHITE}]+").findall
+        self.runs = RunCounter(self)
         super().__init__(self.prove(spec["model"]["vocab"]) if whole is None else whole)
         self.proved = len(self)
 
@@ -69,34 +82,41 @@ class WordCounter(dict):
 
     def merged(self, word: str) -> int:
         """Symbols left when no merge applies: best rank, then leftmost first."""
-        s = [self.alphabet[b] for b in word.encode()]
-        s[-1] += END
-        n, get = len(s), self.rank.get
-        if n <= 24:
-            while len(s) > 1:
-                ranks = [get(p, 1 << 60) for p in zip(s, s[1:], strict=False)]
+        bytes_, get = word.encode(), self.rank.get
+        s = [self.first[b] for b in bytes_[:-1]]
+        s.append(self.last[bytes_[-1]])
+        n = len(s)
+        if n <= 64:
+            # a merge changes the ranks of its two neighbours only
+            ranks, made = [get(a << SHIFT | b, NONE) for a, b in zip(s, s[1:], strict=False)], self.made
+            while ranks:
                 r = min(ranks)
-                if r == 1 << 60:
+                if r == NONE:
                     break
                 i = ranks.index(r)
-                s[i : i + 2] = [s[i] + s[i + 1]]
+                s[i] = m = made[r]
+                del s[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = get(m << SHIFT | s[i + 1], NONE)
+                if i:
+                    ranks[i - 1] = get(s[i - 1] << SHIFT | m, NONE)
             return len(s)
         after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
-        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := get((s[i], s[i + 1]))) is not None]
+        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := get(s[i] << SHIFT | s[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j >= n or s[i] != a or s[j] != b:
                 continue
-            s[i], s[j] = a + b, None
+            s[i], s[j] = self.made[rank], None
             left -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := get((s[i], s[k]))) is not None:
+                if (r := get(s[i] << SHIFT | s[k])) is not None:
                     heapq.heappush(heap, (r, i, s[i], s[k]))
-            if (h := before[i]) >= 0 and (r := get((s[h], s[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := get(s[h] << SHIFT | s[i])) is not None:
                 heapq.heappush(heap, (r, h, s[h], s[i]))
         return left
 
@@ -114,7 +134,27 @@ class WordCounter(dict):
         if any(m in text for m in self.marks):
             parts = self.special.split(text)
             n = len(parts) - 1
-        return n + sum(sum(map(self.__getitem__, self.words(self.normal(p)))) for p in parts)
+        return n + sum(sum(map(self.runs.__getitem__, p.split() if p.isascii() and not SEPARATORS.search(p) else self.split(p))) for p in parts)
+
+
+class RunCounter(dict):
+    """Tokens by run of characters between white space. No pre-token holds white space, nor do normalisation and lower case reach over it, so a text's tokens are those of its runs, and a run that was seen before is neither normalised nor split again."""
+
+    def __init__(self, words: WordCounter):
+        super().__init__()
+        self.of = words
+
+    def __missing__(self, run: str) -> int:
+        if run.isascii():
+            low = run.lower()
+            n = self.of[low] if low.isalpha() else sum(map(self.of.__getitem__, self.of.plain(low)))
+        else:
+            n = sum(map(self.of.__getitem__, self.of.words(self.of.normal(run))))
+        if len(run) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[run] = n
+        return n
 
 
 _COUNTERS: dict[bytes, WordCounter] = {}

@@ -81,3 +81,15 @@ def test_frames(spark):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(x.encode()), n, n > 100)
     empty = df.limit(0)
     assert pieces.tokenise(empty, pieces.read_model()).count() == counts.count_tokens(empty, counts.read_vocabulary()).count() == 0
+
+
+def test_runs_between_white_space_are_counted_once(texts, monkeypatch):
+    """A run that was seen before is looked up whole, also with marks that join letters and with separators that are no white space here."""
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    c = counts.WordCounter(counts.read_vocabulary())
+    assert c.count("Some words, some WORDS and words.") == c.count("Some words, some WORDS and words.")
+    monkeypatch.setattr(c, "words", None)  # nothing is split again
+    assert c.count("words. Some words,\n and  WORDS\tand some") == len(t.encode("words. Some words,\n and  WORDS\tand some", add_special_tokens=False).ids)
+    monkeypatch.undo()
+    for x in ["e ́a é ́", "a\x1cb \x1d c\x1e", " a b c", "ᄀ ᅡ 가"]:
+        assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
