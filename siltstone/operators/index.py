@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.durable import written
 from siltstone.functions import text as T
-from siltstone.functions.analyzer import analysed, places, script_tokens, stemmed, tokens
+from siltstone.functions.analyzer import analysed, let, places, script_tokens, stemmed, tokens
 
 #: Fields in the order and with the weights of a match in them. Fixed values.
 FIELDS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -120,28 +120,101 @@ def vocabulary_of(documents: DataFrame, key: str = "id") -> DataFrame:
     return each.groupBy("term").agg(F.count_if(F.col("at") >= F.col("n")).alias("df"), F.count_if(F.col("at") < F.col("n")).alias("cf"))
 
 
-def written_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
-    """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row; each text is split, by scripts where there is an analyser of Hangul, and stemmed once, within its row."""
+def _entries(documents: DataFrame, stem: bool, korean) -> tuple[DataFrame, list[Column]]:
+    """Documents (id, hash, length and their fields' terms), and each field's array<struct<term, field, positions>>: each text is split, by scripts where there is an analyser of Hangul, and stemmed once, within its row."""
     split = documents.select("id", "hash", *[_terms(f, stem, korean).alias(f) for f in FIELDS])
     length = sum((F.size(f) for f in FIELDS), F.lit(0))
-    entry = lambda term, field, at: F.struct(term.alias("term"), F.lit(field).alias("field"), at.alias("positions"))
-    own = F.array(entry(F.lit(""), "", F.array().cast("array<int>")))
-    entries = lambda f: F.transform(places(F.col(f)), lambda p: entry(p["term"], f, p["positions"]))
-    every = F.concat(own, *[entries(f) for f in FIELDS])
-    rows = split.select("id", "hash", length.alias("length"), F.explode(every).alias("e")).select("e.*", "id", "hash", "length")
+    entries = lambda f: F.transform(places(F.col(f)), lambda p: _entry(p["term"], f, p["positions"]))
+    return split.select("id", "hash", length.alias("length"), *FIELDS), [entries(f) for f in FIELDS]
+
+
+def _entry(term: Column, field: str, at: Column) -> Column:
+    return F.struct(term.alias("term"), F.lit(field).alias("field"), at.alias("positions"))
+
+
+def _own() -> Column:
+    return F.array(_entry(F.lit(""), "", F.array().cast("array<int>")))
+
+
+def written_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
+    """Postings as they are stored (stemmed, unless told otherwise), of documents (id, hash, filepath, title, body): every term of every field with its places, their number and the document's length, and the document's own row."""
+    split, entries = _entries(documents, stem, korean)
+    rows = split.select("id", "hash", "length", F.explode(F.concat(_own(), *entries)).alias("e")).select("e.*", "id", "hash", "length")
     is_own = F.col("field") == ""
     return rows.select("term", "id", F.when(is_own, F.col("hash")).alias("hash"), "field", F.size("positions").alias("n"), "length", "positions", F.when(is_own, OWN).otherwise(bucket(F.col("term"))).alias("bucket"))
 
 
-def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None, korean=None) -> None:
-    """Under path: all documents, in the order of their paths; the texts that `held` (hash) has not, in ranges of their hashes; postings of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it."""
-    keyed = documents.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
-    fresh = documents
-    if known is not None:
-        keyed = keyed.join(known.select("id", "hash"), ["id", "hash"], "left_anti")
+#: The postings of a document and bucket on their way to the bucket's files, and how they are read back: nothing may be lost without an error, and a term may be as long as a text.
+PACKED, STRICT = "term array<string>, field array<string>, positions array<array<int>>", {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)}
+
+
+def packed_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
+    """(bucket, id, hash, length, packed): what written_postings has of a document and bucket as one row, made within the document's row. Packed as JSON, half as much is shuffled as by a row a term."""
+    split, entries = _entries(documents, stem, korean)
+    # in the order of buckets, to be cut where the bucket changes
+    every = F.sort_array(F.flatten(F.array(*[F.transform(e, lambda x: F.struct(bucket(x["term"]).alias("bucket"), x["term"].alias("term"), x["field"].alias("field"), x["positions"].alias("positions"))) for e in entries])))
+
+    def cut(all_: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["bucket"] != F.get(all_, i - 1)["bucket"]))
+        run = lambda hs: lambda at, k: F.struct(F.get(all_, at)["bucket"].alias("bucket"), F.transform(F.slice(all_, at + 1, F.coalesce(F.get(hs, k + 1), F.size(all_)) - at), lambda x: F.struct(x["term"].alias("term"), x["field"].alias("field"), x["positions"].alias("positions"))).alias("e"))
+        return let(heads, lambda hs: F.transform(hs, run(hs)))
+
+    own = F.array(F.struct(F.lit(OWN).alias("bucket"), _own().alias("e")))
+    runs = let(every, lambda all_: F.when(F.size(all_) > 0, F.concat(own, cut(all_))).otherwise(own))
+    rows = split.select("id", "hash", "length", F.explode(runs).alias("r"))
+    return rows.select("r.bucket", "id", F.when(F.col("r.bucket") == OWN, F.col("hash")).alias("hash"), "length", F.to_json(F.struct(*[F.col(f"r.e.{c}").alias(c) for c in ("term", "field", "positions")])).alias("packed"))
+
+
+def unpacked_postings(rows: DataFrame) -> DataFrame:
+    """written_postings' rows of packed_postings', each task's in the order of buckets and terms."""
+    e = rows.select("bucket", "id", "hash", "length", F.from_json("packed", PACKED, STRICT).alias("e"))
+    each = e.select("bucket", "id", "hash", "length", "e", F.posexplode("e.term").alias("at", "term"))
+    placed = each.select("bucket", "term", "id", "hash", "length", F.get("e.field", "at").alias("field"), F.get("e.positions", "at").alias("positions"))
+    return placed.sortWithinPartitions("bucket", "term").select("term", "id", "hash", "field", F.size("positions").alias("n"), "length", "positions", "bucket")
+
+
+#: What of a row is to be written, as bits: its text, its postings.
+TEXT, POSTED = 1, 2
+#: Rows up to which marks, two numbers and a state each, are broadcast: about as many bytes as BROADCAST_ROWS rows of names and hashes.
+MARKS = 2_000_000
+
+
+def _key(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), F.coalesce("collection", F.lit("")), "path", "hash", "active").alias(f"_key{salt}")
+
+
+def marked(documents: DataFrame, listing: DataFrame, known: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """documents with `_todo`, without those that have nothing to do: TEXT on one row of each hash that `held` has not, POSTED on active rows whose (id, hash) `known` has not. listing, the documents without their texts, decides, so that no text is shuffled to tell; rows are told by 128 bits of a hash of their names, and those whose state isn't the commonest are broadcast. Above MARKS of them the texts meet them by one shuffle."""
+    keys = ["_key0", "_key1"]
+    rows = listing.select("collection", "path", "hash", "active", _key(0), _key(1))
+    texts = rows.groupBy("hash").agg(F.min(F.struct(*keys)).alias("k"))
     if held is not None:
-        fresh = documents.join(held.select("hash"), "hash", "left_anti")
-    split_store(fresh)[0].repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(f"{path}/content")
-    documents.drop("body").repartitionByRange("collection", "path").sortWithinPartitions("collection", "path").write.partitionBy("collection").parquet(f"{path}/documents")
+        texts = texts.join(held.select("hash"), "hash", "left_anti")
+    posted = rows.filter("active").withColumn("id", T.virtual_path(F.col("collection"), F.col("path")))
+    if known is not None:
+        posted = posted.join(known.select("id", "hash"), ["id", "hash"], "left_anti")
+    each = rows.select(*keys, F.lit(0).alias("_todo")).unionByName(texts.select("k.*", F.lit(TEXT).alias("_todo"))).unionByName(posted.select(*keys, F.lit(POSTED).alias("_todo")))
+    states = written(each.groupBy(*keys).agg(F.bit_or("_todo").alias("_todo")), "states")
+    counted = {r["_todo"]: r["count"] for r in states.groupBy("_todo").count().collect()}
+    common = max(counted, key=counted.get, default=0)
+    listed = states.filter(F.col("_todo") != common)
+    few = sum(counted.values()) - counted.get(common, 0) <= MARKS
+    met = documents.select("*", _key(0), _key(1)).join(F.broadcast(listed) if few else listed.hint("shuffle_merge"), keys, "left")
+    todo = met.withColumn("_todo", F.coalesce("_todo", F.lit(common))).drop(*keys).filter("_todo <> 0")
+    return todo if few else written(todo, "todo")
+
+
+def write_snapshot(documents: DataFrame, path: str, known: DataFrame | None = None, held: DataFrame | None = None, korean=None) -> None:
+    """Under path: all documents, in the order of their paths; the texts that `held` (hash) has not, in ranges of their hashes; postings of the active documents that `known` (id, hash) has not: stemmed terms, parted by bucket and in order, a bucket in as many files as it needs. A body may be null where both have it. A text is shuffled once, to its range, and only if it is written."""
+    names = documents.drop("body")
+    names.repartitionByRange("collection", "path").sortWithinPartitions("collection", "path").write.partitionBy("collection").parquet(f"{path}/documents")
+    listing = documents.sparkSession.read.schema(names.schema).parquet(f"{path}/documents")
+    todo = marked(documents, listing, known, held)
+    fresh = todo.filter(F.col("_todo").bitwiseAND(TEXT) != 0).select("hash", "body")
+    # ranges hold all rows of a hash: copies meet there without another shuffle
+    split_store(fresh.repartitionByRange("hash"))[0].sortWithinPartitions("hash").write.option("compression", "zstd").parquet(f"{path}/content")
+    posted = todo.filter(F.col("_todo").bitwiseAND(POSTED) != 0)
+    keyed = posted.withColumn("id", T.virtual_path(F.col("collection"), F.col("path"))).withColumn("filepath", F.concat_ws("/", "collection", "path"))
     # rebalanced, not dealt by range: no second pass over the texts for a sample, and a large bucket is split by size
-    written_postings(keyed, korean=korean).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows = unpacked_postings(packed_postings(keyed, korean=korean).hint("rebalance", F.col("bucket")))
+    rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")

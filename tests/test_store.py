@@ -170,6 +170,82 @@ def test_stored_scores_equal_a_scan(spark, tmp_path):
         assert got == {r["id"]: round(r["bm25"], 9) for r in bm25.scan(d, q).collect()}
 
 
+def _shuffled(spark, after: int = -1) -> tuple[int, int]:
+    """(bytes that stages after one wrote to shuffles, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    each = [(x.stageId(), x.shuffleWriteBytes()) for x in (stages.apply(k) for k in range(stages.size()))]
+    return sum(b for k, b in each if k > after), max((k for k, _ in each), default=-1)
+
+
+def test_a_commit_shuffles_the_texts_it_writes_once(spark, tmp_path):
+    """Which texts and postings are new is told without texts, however large the store's tables are; a new text goes to its range and nowhere else."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choices("!#$%&()*+,-./:;<=>?@[]^_{|}~", k=20_000))
+    texts = {f"n{k:03}.md": text() for k in range(100)}
+    size = sum(map(len, texts.values()))
+    s = Store(spark, str(tmp_path / "store"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if they were large
+    try:
+        at = _shuffled(spark)[1]
+        s.commit(_listing(spark, texts))
+        first, at = _shuffled(spark, at)
+        s.commit(_listing(spark, texts | {"n000.md": text(), "n999.md": texts["n001.md"]}))
+        second, _ = _shuffled(spark, at)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert first < 1.3 * size and second < 0.1 * size
+    assert s.content().count() == 101 and s.record()["documents"] == 101 and s.record()["dead"] == 1
+
+
+def test_postings_are_shuffled_a_row_a_document_and_bucket(spark):
+    """What is packed is far less than what a row a term takes, and read back it is the same: odd words of an analyser, a term of a megabyte, documents without terms too."""
+    from siltstone.operators import index
+
+    odd = lambda run: [run, '"a\\\n,\u0000}', "x y\u2028\U0001f600", ""]
+    rows = [("a", "h1", "c/a.md", "One", "\uac80\uc0c9 alpha beta alpha \u00e9t\u00e9"), ("b", "h2", "", "", "!"), ("c", "h3", "c/c.md", "", "z" * (1 << 20) + " z"), ("d", "h4", "c/d.md", "D", " ".join(f"word{k % 700}" for k in range(3000)))]
+    d = spark.createDataFrame(rows, "id string, hash string, filepath string, title string, body string")
+    for korean in (None, odd):
+        old, packed = index.written_postings(d, korean=korean), index.packed_postings(d, korean=korean)
+        new = index.unpacked_postings(packed)
+        assert new.columns == old.columns and [t for _, t in new.dtypes] == [t for _, t in old.dtypes]
+        key = lambda r: (r["id"], r["field"], r["term"], r["positions"])
+        assert sorted(new.collect(), key=key) == sorted(old.collect(), key=key)
+    assert packed.groupBy("id", "bucket").count().filter("count > 1").count() == 0 and packed.filter("id = 'b'").count() == 1
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(5000)]
+    many = spark.createDataFrame([(f"vault://c/n{k}.md", "h", f"c/n{k}.md", "", " ".join(rng.choices(words, k=400))) for k in range(50)], d.schema)
+    old, packed = index.written_postings(many), index.packed_postings(many)
+    at = _shuffled(spark)[1]
+    old.repartition(4, "bucket").write.format("noop").mode("overwrite").save()
+    wide, at = _shuffled(spark, at)
+    packed.repartition(4, "bucket").write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark, at)[0] < 0.7 * wide
+
+
+def test_marks_may_be_shuffled(spark, tmp_path, monkeypatch):
+    """Copies are one text and several documents, moved and returned ones are told, whether marks are broadcast or not."""
+    from siltstone.operators import index
+
+    versions = [{f"n{k:02}.md": f"alpha {k % 3}" for k in range(30)}, {f"n{k:02}.md": f"alpha {k % 4}" for k in range(20, 50)}, {f"n{k:02}.md": f"alpha {k % 3}" for k in range(40)}]
+    got = []
+    for most in (index.MARKS, -1):
+        monkeypatch.setattr(index, "MARKS", most)
+        s = Store(spark, str(tmp_path / f"store{most}"))
+        for texts in versions:
+            s.commit(_listing(spark, texts))
+        assert sorted(r["doc"] for r in s.content().collect()) == [f"alpha {k}" for k in range(4)]
+        assert s.lengths().count() == 40 == s.record()["documents"] and s.documents().filter("body <> concat('alpha ', cast(substr(path, 2, 2) as int) % 3)").count() == 0
+        got.append(sorted((r["id"], round(r["bm25"], 9)) for r in s.index().lexical("alpha 1", 100).collect()))
+    assert got[0] == got[1] and len(got[0]) == 13
+
+
 def test_idle_stream(spark, tmp_path):
     rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:05:00"), ("b", "2026-01-01 00:01:00"), ("a", "2026-01-01 02:00:00"), ("z", "2026-01-01 09:00:00")]
     spark.createDataFrame(rows, "user_id string, ts string").selectExpr("user_id", "cast(ts as timestamp_ntz) ts").coalesce(1).write.parquet(str(tmp_path / "in"))
