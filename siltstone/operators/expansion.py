@@ -88,8 +88,8 @@ SIMPLE = {"lex": 1, "vec": 1, "hyde": 2}
 GENERIC = ["comprehensive guide", "everything you need to know", "beginners and advanced users"]
 
 
-def simple_score(text: Column) -> Column:
-    """Points for each typed line, more for a passage of a good length, less for one that says nothing."""
+def simple_score(text: Column, generic_phrases: list[str] = GENERIC) -> Column:
+    """Points for each typed line, more for a passage of a good length, less for one that says nothing but generic phrases."""
     lines = F.transform(F.split(F.trim(text), "\n"), F.trim)
     points = F.lit(0)
     for kind, n in SIMPLE.items():
@@ -98,7 +98,7 @@ def simple_score(text: Column) -> Column:
     passage = F.coalesce(F.trim(F.substr(F.get(passages, F.size(passages) - 1), F.lit(6))), F.lit(""))
     n = F.length(passage)
     generic = F.lit(0)
-    for g in GENERIC:
+    for g in generic_phrases:
         generic = generic + F.lower(passage).contains(g).cast("int")
     return points + F.when(n.between(80, 200), 2).when(n.between(50, 250), 1).otherwise(0) - generic
 
