@@ -23,6 +23,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """tokens as one text, with a space between them: lists of short strings are slow to hand to Python."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 HANGUL = r"[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]"
 
 

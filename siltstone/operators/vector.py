@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.best import Best
+
 #: Chunks taken per wanted result before filters and the choice of a file's best. Fixed value.
 OVERFETCH = 3
 #: Prompts of the two model families that ask for one. Fixed values.
@@ -29,8 +31,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int, column: str = "embed
     return vectors.withColumn("distance", F.round(cosine_distance(F.col(column), q), 12)).orderBy("distance", key).limit(k)
 
 
-#: Bytes of query vectors that every task may hold; rows of a block of vectors and of one of queries where there are more.
-QUERY_BYTES, BLOCK, QUERY_BLOCK = 16 << 20, 4096, 1024
+#: Bytes of query vectors that every task may hold; rows of a block of vectors and of one of queries where there are more; best rows that a task holds before it sends them on.
+QUERY_BYTES, BLOCK, QUERY_BLOCK, HELD = 16 << 20, 4096, 1024, 4 << 20
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -40,11 +42,14 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
         return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _closest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of the k least distances a query, and of all that equal the last of them. Distances are rounded to 12 places, so that equal vectors tie."""
+def _closest(q: np.ndarray, v: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k least distances a query, and of all that equal the last of them; where a most is known for every query, of all up to it. Distances are rounded to 12 places, so that equal vectors tie."""
     d = np.round(1 - q @ v.T, 12)
     d[np.isnan(d)] = np.inf
-    last = np.partition(d, k - 1, 1)[:, k - 1] if v.shape[0] > k else np.full(len(q), np.inf)
+    if most is not None and np.isfinite(most).all():
+        last = most
+    else:
+        last = np.partition(d, k - 1, 1)[:, k - 1] if v.shape[0] > k else np.full(len(q), np.inf)
     i, j = np.nonzero((d <= last[:, None]) & (d < np.inf))
     return i, j, d[i, j]
 
@@ -52,7 +57,7 @@ def _closest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "hash_seq", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(qid, key, distance, rank) of the k nearest rows of each of a table of queries (qid, query); ties go to the lesser key.
 
-    Up to query_bytes of queries go to every task, which keeps each query's k best of a batch (a matrix product), so vectors are read once and never shuffled. Larger sets are cut into blocks by hash that meet blocks of vectors: every block of queries travels to every block of vectors."""
+    Up to query_bytes of queries go to every task, which keeps each query's k best of all its batches (matrix products), so vectors are read once and never shuffled. Larger sets are cut into blocks by hash that meet blocks of vectors: every block of queries travels to every block of vectors."""
     qid = queries.schema["qid"].dataType.simpleString()
     schema = f"qid {qid}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
     told = queries.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim")).first()
@@ -63,14 +68,25 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, column: str
         name = f"{key}"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unit = _matrix(q)
+            unit, best = _matrix(q), None
+
+            def told(of: Best) -> pa.RecordBatch:
+                i, d, keys = of.rows()
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), keys, pa.array(d)], ["qid", name, "distance"])
+
             for b in batches:
                 for lo in range(0, b.num_rows, BLOCK):
                     part = b.slice(lo, BLOCK)
                     v = _matrix(part.column(1))
                     for a in range(0, len(unit), QUERY_BLOCK):
-                        i, j, d = _closest(unit[a : a + QUERY_BLOCK], v, k)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + a)), part.column(0).take(pa.array(j)), pa.array(d)], ["qid", name, "distance"])
+                        best = best or Best(len(unit), k, part.schema.field(0).type)
+                        i, j, d = _closest(unit[a : a + QUERY_BLOCK], v, k, best.most[a : a + QUERY_BLOCK])
+                        best.add(i + a, d, part.column(0), j)
+                        if best.n > HELD:
+                            yield told(best)
+                            best = None
+            if best is not None:
+                yield told(best)
 
         found = rows.mapInArrow(run, schema) if len(ids) else rows.sparkSession.createDataFrame([], schema)
     else:
