@@ -7,9 +7,11 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.batches import small_batches
 from siltstone.durable import written
 from siltstone.functions import text as T
-from siltstone.functions.analyzer import analysed, let, places, script_tokens, stemmed, tokens
+from siltstone.functions.analyzer import analysed, places, script_tokens, spaced, stemmed, tokens
+from siltstone.operators import packing
 
 #: Fields in the order and with the weights of a match in them. Fixed values.
 FIELDS = {"filepath": 1.5, "title": 4.0, "body": 1.0}
@@ -144,33 +146,17 @@ def written_postings(documents: DataFrame, stem: bool = True, korean=None) -> Da
     return rows.select("term", "id", F.when(is_own, F.col("hash")).alias("hash"), "field", F.size("positions").alias("n"), "length", "positions", F.when(is_own, OWN).otherwise(bucket(F.col("term"))).alias("bucket"))
 
 
-#: The postings of a document and bucket on their way to the bucket's files, and how they are read back: nothing may be lost without an error, and a term may be as long as a text.
-PACKED, STRICT = "term array<string>, field array<string>, positions array<array<int>>", {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)}
-
-
 def packed_postings(documents: DataFrame, stem: bool = True, korean=None) -> DataFrame:
-    """(bucket, id, hash, length, packed): what written_postings has of a document and bucket as one row, made within the document's row. Packed as JSON, half as much is shuffled as by a row a term."""
-    split, entries = _entries(documents, stem, korean)
-    # in the order of buckets, to be cut where the bucket changes
-    every = F.sort_array(F.flatten(F.array(*[F.transform(e, lambda x: F.struct(bucket(x["term"]).alias("bucket"), x["term"].alias("term"), x["field"].alias("field"), x["positions"].alias("positions"))) for e in entries])))
-
-    def cut(all_: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["bucket"] != F.get(all_, i - 1)["bucket"]))
-        run = lambda hs: lambda at, k: F.struct(F.get(all_, at)["bucket"].alias("bucket"), F.transform(F.slice(all_, at + 1, F.coalesce(F.get(hs, k + 1), F.size(all_)) - at), lambda x: F.struct(x["term"].alias("term"), x["field"].alias("field"), x["positions"].alias("positions"))).alias("e"))
-        return let(heads, lambda hs: F.transform(hs, run(hs)))
-
-    own = F.array(F.struct(F.lit(OWN).alias("bucket"), _own().alias("e")))
-    runs = let(every, lambda all_: F.when(F.size(all_) > 0, F.concat(own, cut(all_))).otherwise(own))
-    rows = split.select("id", "hash", "length", F.explode(runs).alias("r"))
-    return rows.select("r.bucket", "id", F.when(F.col("r.bucket") == OWN, F.col("hash")).alias("hash"), "length", F.to_json(F.struct(*[F.col(f"r.e.{c}").alias(c) for c in ("term", "field", "positions")])).alias("packed"))
+    """(bucket, id, hash, length, numbers, terms): what written_postings has of a document and bucket as one row, made within the document's row, so that far less is shuffled than by a row a term."""
+    fields = [(spaced(F.col(f)) if korean is None else _terms(f, stem, korean)).alias(f) for f in FIELDS]
+    run = packing.pack(len(FIELDS), stem and korean is None, BUCKETS, BUCKET_LETTERS, OWN)
+    return small_batches(documents).select("id", "hash", *fields).mapInArrow(run, "bucket int, id string, hash string, length int, numbers binary, terms string")
 
 
 def unpacked_postings(rows: DataFrame) -> DataFrame:
     """written_postings' rows of packed_postings', each task's in the order of buckets and terms."""
-    e = rows.select("bucket", "id", "hash", "length", F.from_json("packed", PACKED, STRICT).alias("e"))
-    each = e.select("bucket", "id", "hash", "length", "e", F.posexplode("e.term").alias("at", "term"))
-    placed = each.select("bucket", "term", "id", "hash", "length", F.get("e.field", "at").alias("field"), F.get("e.positions", "at").alias("positions"))
-    return placed.sortWithinPartitions("bucket", "term").select("term", "id", "hash", "field", F.size("positions").alias("n"), "length", "positions", "bucket")
+    each = rows.select("bucket", "id", "hash", "length", "numbers", "terms").mapInArrow(packing.unpack([*FIELDS, ""]), "bucket int, term string, id string, hash string, field string, n int, length int, positions array<int>")
+    return each.sortWithinPartitions("bucket", "term").select("term", "id", "hash", "field", "n", "length", "positions", "bucket")
 
 
 #: What of a row is to be written, as bits: its text, its postings.
